@@ -81,7 +81,7 @@ class Model:
         code = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in self.table], np.int64)
         order = np.argsort(code)
         self.codes = code[order]
-        self.matrix = np.concatenate([np.array([*self.table.values()], float).reshape(-1, n)[order], np.reshape(self.unseen, (1, -1)) if n else np.zeros((1, 0))])
+        self.matrix = np.concatenate([np.array([*self.table.values()], float).reshape(len(self.table), n)[order], np.reshape(self.unseen, (1, -1)) if n else np.zeros((1, 0))])
         self.partial = {k for k, used in self.scripts.items() if not used.all()}
 
     def __getstate__(self):
