@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import history, lookup, scoring, search, structure, telemetry, traverse
+from ..operators import history, lookup, resolve, scoring, search, structure, telemetry, traverse
 from ..sources.projection import NOW, graph, table, usage
 from .oracle import GRAPH, USAGE, is_test, module
 
@@ -330,3 +330,19 @@ over_usage("o049b_near_session_end", """
 SELECT e.session, count(*) AS n FROM (SELECT session, max(ts) AS e FROM sessions GROUP BY 1) e JOIN usage f ON f.mode IN ('purchase', 'error') AND abs(epoch_us(f.ts) - epoch_us(e.e)) <= 3600000000 GROUP BY 1""", telemetry.near_session_end)
 over_usage("o133_windows", "SELECT CAST(floor(epoch_us(ts) / 604800000000) * 604800000000 AS BIGINT) AS start_us, mode, count(*) AS n, sum(tokens) AS tokens FROM usage GROUP BY 1, 2", telemetry.windows)
 over_usage("o118_tail", "SELECT event_id, mode, tokens FROM usage ORDER BY ts DESC, event_id DESC LIMIT 50", telemetry.tail)
+
+# --- resolution ------------------------------------------------------------------------------------------------------
+query("o041_name_resolution", GRAPH + """
+, u AS (SELECT DISTINCT source_id, split_part(source_id, '::', 1) AS f, regexp_replace(t.name, '_[0-9]+$', '') AS target, e.line FROM edges e JOIN symbols t ON e.target_id = t.id WHERE e.kind = 'calls'),
+c AS (SELECT id, file_path, exported, regexp_replace(name, '_[0-9]+$', '') AS name FROM symbols),
+r AS (SELECT u.source_id, u.target, u.line, c.id, row_number() OVER (PARTITION BY u.source_id, u.target, u.line ORDER BY
+    CASE WHEN c.file_path = u.f THEN 0 WHEN EXISTS (SELECT 1 FROM imports i WHERE i.source_id = u.f AND i.target_id = c.file_path) THEN 3 WHEN c.exported THEN 4 ELSE 5 END, c.id) AS k
+    FROM u JOIN c ON u.target = c.name)
+SELECT DISTINCT source_id, id AS target_id, line FROM r WHERE k = 1""")(
+    lambda s, d: (lambda g: resolve.resolve_names(
+        resolve.unresolved(g),
+        g.symbols.withColumn("name", F.regexp_replace("name", r"_\d+$", "")).withColumn("qualified_name", F.col("name")),
+        g.imports.select(F.col("source_id").alias("file_path"), F.col("target_id").alias("target")),
+        s.createDataFrame([], "file_path string, name string"),
+    ).select("source_id", "target_id", "line").distinct())(graph(s, d))
+)
