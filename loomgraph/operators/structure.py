@@ -11,7 +11,9 @@ from ..model import CodeGraph
 from .history import ages, cochange, commit_counts
 from .scoring import dead_confidence
 
-_LINES = F.col("line_end") - F.col("line_start") + 1
+
+def _lines() -> Column:
+    return F.col("line_end") - F.col("line_start") + 1
 
 
 def stats(g: CodeGraph) -> DataFrame:
@@ -30,7 +32,7 @@ def folders(g: CodeGraph) -> DataFrame:
     """Files, lines, symbols and kinds of each folder."""
     folder = module_of(F.col("file_path"))
     return g.symbols.groupBy(folder.alias("folder")).agg(
-        F.countDistinct("file_path").alias("files"), F.sum(_LINES).alias("lines"), F.count("*").alias("symbols"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")
+        F.countDistinct("file_path").alias("files"), F.sum(_lines()).alias("lines"), F.count("*").alias("symbols"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")
     )
 
 
@@ -54,7 +56,7 @@ def file_edges(g: CodeGraph, n: int = 2000) -> DataFrame:
 
 
 def key_files(g: CodeGraph, n: int = 12) -> DataFrame:
-    score = F.sum(_LINES) + 3 * F.sum("complexity")
+    score = F.sum(_lines()) + 3 * F.sum("complexity")
     return g.symbols.groupBy("file_path").agg(score.alias("score")).orderBy(F.desc("score"), "file_path").limit(n)
 
 
@@ -90,9 +92,9 @@ def modules(g: CodeGraph) -> DataFrame:
     """Files, symbols and lines of each module, and the largest exports."""
     module = module_of(F.col("file_path"))
     rows = g.symbols.withColumn("module", module)
-    top = rows.where("exported").withColumn("r", F.row_number().over(W.partitionBy("module").orderBy(F.desc(_LINES), "id"))).where("r <= 5")
+    top = rows.where("exported").withColumn("r", F.row_number().over(W.partitionBy("module").orderBy(F.desc(_lines()), "id"))).where("r <= 5")
     names = top.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("exports"))
-    return rows.groupBy("module").agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols"), F.sum(_LINES).alias("lines")).join(names, "module", "left")
+    return rows.groupBy("module").agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols"), F.sum(_lines()).alias("lines")).join(names, "module", "left")
 
 
 def module_edges(g: CodeGraph) -> DataFrame:
@@ -147,7 +149,7 @@ def families(g: CodeGraph, n: int = 20) -> DataFrame:
 
 def size_classes(g: CodeGraph) -> DataFrame:
     """Functions and methods by length, with their mean complexity."""
-    size = F.when(_LINES <= 5, "tiny").when(_LINES <= 20, "small").when(_LINES <= 50, "medium").when(_LINES <= 150, "large").otherwise("huge")
+    size = F.when(_lines() <= 5, "tiny").when(_lines() <= 20, "small").when(_lines() <= 50, "medium").when(_lines() <= 150, "large").otherwise("huge")
     return g.symbols.where(F.col("kind").isin("function", "method")).groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.round(F.avg("complexity"), 6).alias("avg_cx"))
 
 

@@ -50,8 +50,6 @@ def _file(g, seq: int) -> str:
 
 
 # --- scans and files -------------------------------------------------------------------------------------------------
-TEXT = F.coalesce(F.col("text"), F.lit(""))
-
 query(
     "o002_size_cutoff",
     "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) <= 20000",
@@ -368,3 +366,36 @@ _FIRED = " UNION ALL ".join(
     f"SELECT '{r.name}' AS rule, count(*) AS n, min({'id' if r.scope == 'symbol' else 'file_path'}) AS sample FROM f_{r.scope} WHERE {r.condition} HAVING count(*) >= {r.least}" for r in RULES
 )
 over_graph("signals", _FEATURES + _FIRED, fired, NOW)
+
+# --- text and tools --------------------------------------------------------------------------------------------------
+from ..functions import text as texts  # noqa: E402
+from . import tools  # noqa: E402
+
+query("o121_task_keywords")(
+    lambda s, d: table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(texts.task_keywords(F.col("text")), ",").alias("keywords"))
+)
+query("o122_change_tasks", r"""SELECT conv_id, turn, regexp_matches(lower(text), 'merge pull request|^merge branch ''|^(fix|feat|refactor|chore|perf|style|build|ci|docs|test)(\(.+\))?:') OR regexp_matches(text, '\(#\d+\)\s*$|^\w.*#\d+') AS change FROM conversations""")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", texts.is_change_task(F.col("text"), F.lit("")).alias("change"))
+)
+query("o092_blast_sections", GRAPH + f"""
+, outside AS (SELECT * FROM calls WHERE target_file = {_F30} AND source_file <> {_F30}), imp AS (SELECT source_id AS item FROM imports WHERE target_id = {_F30})
+SELECT 'importers' AS section, item, 1 AS n FROM imp UNION ALL SELECT 'callers', source_file, count(*) FROM outside GROUP BY 2 UNION ALL SELECT 'exports', target_id, count(DISTINCT source_file) FROM outside GROUP BY 2
+UNION ALL SELECT 'tests', item, 1 FROM (SELECT item FROM imp UNION SELECT source_file FROM outside) WHERE {is_test('item')} UNION ALL SELECT 'imports', target_id, 1 FROM imports WHERE source_id = {_F30}""")(
+    lambda s, d: (lambda g: tools.blast(g, _file(g, 30)))(graph(s, d))
+)
+over_graph("o095_diff_risk", f"""
+SELECT file_path, coalesce(symbols, 0) AS symbols, coalesce(exported, 0) AS exported, coalesce(o, 0) AS outside, CASE WHEN coalesce(o, 0) >= 12 THEN 'HIGH' WHEN coalesce(o, 0) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported FROM symbols GROUP BY 1) LEFT JOIN (SELECT target_file, count(DISTINCT source_file) AS o FROM calls WHERE source_file <> target_file GROUP BY 1) ON file_path = target_file
+WHERE file_path IN {_CHANGED}""", lambda g: tools.diff(g, history.newest_change(g)))
+over_graph("o104_prepare_context", None, lambda g: tools.prepare(g, PHRASE, NOW))
+
+
+@query("o049_changed_symbols_by_line", GRAPH + """
+SELECT s.id, count(*) AS lines FROM symbols s JOIN (SELECT DISTINCT s.file_path, CAST(l_orderkey % 500 AS INTEGER) AS line FROM lineitem JOIN symbols s ON l_partkey = s.seq WHERE l_orderkey % 97 = 0) c
+ON s.file_path = c.file_path AND c.line BETWEEN s.line_start AND s.line_end GROUP BY s.id""")
+def _by_line(s, d):
+    from ..operators.ranges import changed_symbols
+
+    g = graph(s, d)
+    lines = table(s, d, "lineitem").where("l_orderkey % 97 = 0").join(g.symbols.select(F.col("seq").alias("l_partkey"), "file_path"), "l_partkey")
+    return changed_symbols(g, lines.select(F.col("file_path").alias("path"), (F.col("l_orderkey") % 500).cast("int").alias("line")).distinct())
