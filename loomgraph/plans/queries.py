@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.keywords import keywords_column
 from ..operators import history, lookup, resolve, scoring, search, structure, telemetry, traverse
+from ..session import ship
+from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
 from .oracle import GRAPH, USAGE, is_test, module
 
@@ -399,3 +402,10 @@ def _by_line(s, d):
     g = graph(s, d)
     lines = table(s, d, "lineitem").where("l_orderkey % 97 = 0").join(g.symbols.select(F.col("seq").alias("l_partkey"), "file_path"), "l_partkey")
     return changed_symbols(g, lines.select(F.col("file_path").alias("path"), (F.col("l_orderkey") % 500).cast("int").alias("line")).distinct())
+query("o120_change_keywords")(
+    lambda s, d: (ship(s), table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(keywords_column(F.col("text")), ",").alias("keywords")))[1]
+)
+query("o015_export", GRAPH + "SELECT what, count(*) AS n FROM (SELECT 'file' AS what FROM files UNION ALL SELECT 'symbol' FROM symbols UNION ALL SELECT 'edge' FROM edges) GROUP BY what")(
+    lambda s, d: export(graph(s, d)).groupBy("what").agg(F.count("*").alias("n"))
+)
+query("o017_folder_notes")(lambda s, d: folder_notes(graph(s, d)))
