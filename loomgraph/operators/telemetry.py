@@ -151,3 +151,17 @@ def windows(usage: DataFrame, width: str = "7 days", slide: str | None = None) -
 def tail(usage: DataFrame, n: int = 50) -> DataFrame:
     """The last n events of the log."""
     return usage.orderBy(F.desc("ts"), F.desc("event_id")).limit(n).select("event_id", "mode", "tokens")
+
+
+def insights(usage: DataFrame, least: int = 5) -> DataFrame:
+    """task_type, best_modes, avg_tokens, success_rate, n: what sessions of each kind had in common.
+
+    A session's kind is its most frequent mode (the least of equals); the best
+    modes are the most frequent mode list of successful sessions.
+    """
+    rows = sessions(usage)
+    kind = rows.groupBy("session", "mode").agg(F.count("*").alias("c")).groupBy("session").agg(F.min(F.struct((-F.col("c")).alias("c"), "mode"))["mode"].alias("task_type"))
+    each = session_summary(usage).join(kind, "session")
+    all_ = each.groupBy("task_type").agg(F.count("*").alias("n"), F.floor(F.sum("tokens") / F.count("*")).cast("long").alias("avg_tokens"), F.round(F.count_if("success") / F.count("*"), 6).alias("success_rate"))
+    best = each.where("success").groupBy("task_type", "modes").agg(F.count("*").alias("c")).groupBy("task_type").agg(F.min(F.struct((-F.col("c")).alias("c"), "modes"))["modes"].alias("best_modes"))
+    return all_.where(F.col("n") >= least).join(best, "task_type", "left").select("task_type", "best_modes", "avg_tokens", "success_rate", "n")

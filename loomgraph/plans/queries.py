@@ -409,3 +409,65 @@ query("o015_export", GRAPH + "SELECT what, count(*) AS n FROM (SELECT 'file' AS
     lambda s, d: export(graph(s, d)).groupBy("what").agg(F.count("*").alias("n"))
 )
 query("o017_folder_notes")(lambda s, d: folder_notes(graph(s, d)))
+
+# --- advice ----------------------------------------------------------------------------------------------------------
+from ..operators import advice  # noqa: E402
+
+_XC = "(SELECT target_id, count(*) AS c, count(DISTINCT source_file) AS f FROM calls WHERE source_file <> target_file GROUP BY 1)"
+over_graph("o029_hot_sources", "SELECT file_path FROM files WHERE NOT contains(file_path, '/test_')", lambda g: g.files.where(advice.is_hot_source(F.col("file_path"))).select("file_path"))
+over_graph("o031_module_of_file", f"SELECT file_path, {module('file_path')} AS module FROM files", lambda g: g.files.select("file_path", paths.module_of(F.col("file_path")).alias("module")))
+query("o033_empty_results", "SELECT conv_id, turn, regexp_matches(text, '^(No symbols matching|File ''|No dead code|No results for|No external dependencies|No changed files|None of the changed files)') AS empty FROM conversations")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", paths.looks_empty(F.col("text")).alias("empty"))
+)
+over_graph("o047_commit_pairs", "SELECT a, b, together FROM pair_counts", lambda g: history.pair_counts(g).select("a", "b", "together"))
+over_graph("o049c_test_stems", f"""
+, f AS (SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '[.][^.]*$', '') AS stem FROM files)
+SELECT f.file_path, t.file_path AS test FROM f JOIN f t ON contains('_' || t.stem || '_', '_' || f.stem || '_') WHERE NOT {is_test('f.file_path')} AND {is_test('t.file_path')}""", advice.stem_matches)
+over_graph("o054_hybrid_bonus", f"""
+SELECT id, round(100.0 / (61 + seq % 7) + CASE WHEN exported THEN 2.0 ELSE 0 END + least(coalesce(c, 0), 5) * 0.5 + CASE WHEN kind IN ('component', 'hook') THEN 1.5 WHEN kind = 'class' THEN 1.0 ELSE 0 END, 6) AS score
+FROM symbols LEFT JOIN {_XC} x ON id = target_id WHERE seq < 100 ORDER BY score DESC, id LIMIT 50""", lambda g: advice.with_bonus(g, g.symbols.where("seq < 100").select("id", (1 / (61 + F.col("seq") % 7)).alias("score"))))
+over_graph("o056_seeds", None, advice.seeds, PHRASE)
+over_graph("o057_suggestions", None, advice.suggestions, PHRASE)
+query("o058_orbit")(lambda s, d: (lambda g: advice.orbit(g, _file(g, 30), PHRASE))(graph(s, d)))
+query("o059_key_files")(lambda s, d: advice.key_files_in(table(s, d, "conversations")))
+over_graph("o063_superseded", None, scoring.superseded)
+over_graph("o069a_importance", f"""
+SELECT id, CAST(2 * coalesce(c, 0) + CASE WHEN exported THEN 1 ELSE 0 END + CASE WHEN file_path IN (SELECT path FROM commit_files WHERE commit_id IN {_LATEST}) THEN 2 ELSE 0 END AS BIGINT) AS importance, coalesce(f, 0) >= 10 AS utility
+FROM symbols LEFT JOIN {_XC} x ON id = target_id""", lambda g: advice.importance(g, history.recent_files(g)))
+over_graph("o069j_relay_points", """
+, x AS (SELECT source_id, target_id FROM calls WHERE source_file <> target_file), r AS (SELECT source_id AS id, count(*) AS reach FROM x GROUP BY 1),
+m AS (SELECT x.source_id AS id, x.target_id, coalesce(r.reach, 0) AS reach FROM x LEFT JOIN r ON x.target_id = r.id),
+k AS (SELECT id, count(*) AS n, sum(reach) AS total, max(reach) AS best FROM m GROUP BY 1)
+SELECT k.id, (SELECT min(target_id) FROM m WHERE m.id = k.id AND m.reach = k.best) AS via, best, total FROM k WHERE n >= 2 AND total >= 8 AND best >= 5 AND best >= 0.65 * total""", advice.relay_points)
+over_graph("o069i_silent_members", f"""
+SELECT s.id, s.parent_id FROM symbols s JOIN symbols p ON s.parent_id = p.id AND p.kind = 'class' WHERE s.id NOT IN (SELECT target_id FROM calls WHERE NOT {is_test('source_file')})
+AND (p.complexity >= 5 OR p.id IN (SELECT target_id FROM calls WHERE source_file <> target_file AND NOT {is_test('source_file')}))""", advice.silent_members)
+over_graph("o081_calm_zones", f"""
+SELECT i.path, importers FROM (SELECT target_id AS path, count(*) AS importers FROM imports WHERE NOT {is_test('source_id')} GROUP BY 1 HAVING count(*) >= 2) i
+LEFT JOIN (SELECT path, count(DISTINCT commit_id) * 7.0 / 14 AS w FROM commit_files WHERE day >= DATE '2001-08-02' - 14 GROUP BY 1) v ON i.path = v.path WHERE coalesce(w, 0) < 2 ORDER BY importers DESC, path LIMIT 4""", advice.calm_zones, NOW, 2)
+over_graph("o082_badges", f"SELECT id, id IN (SELECT target_id FROM calls WHERE {is_test('source_file')}) AS tested, complexity >= 3 AND lines >= 5 AND complexity / lines >= 0.5 AS dense, complexity >= 20 AS complex FROM symbols WHERE kind IN ('function', 'method')", advice.badges)
+over_graph("o087_recently_active", "SELECT path, count(DISTINCT commit_id) AS commits FROM commit_files WHERE NOT contains(path, '/test_') GROUP BY path ORDER BY commits DESC, path LIMIT 3", advice.recently_active)
+over_graph("o088_entry_points", None, advice.entry_points)
+over_graph("o093_symbol_blast", None, advice.symbol_blast, PHRASE)
+over_graph("o096_diff_dependents", f"""
+, users AS (SELECT target_file, source_file FROM calls WHERE source_file <> target_file AND target_file IN {_CHANGED} UNION SELECT target_id, source_id FROM imports WHERE target_id IN {_CHANGED})
+SELECT DISTINCT CASE WHEN {is_test('source_file')} THEN 'test' ELSE 'dependent' END AS section, source_file AS item FROM users WHERE source_file NOT IN {_CHANGED}
+UNION ALL SELECT 'untested', path FROM {_CHANGED} c WHERE NOT {is_test('path')} AND path NOT IN (SELECT target_file FROM users WHERE {is_test('source_file')})""", lambda g: advice.diff_dependents(g, history.newest_change(g)))
+over_graph("o099_parameter_idioms", "SELECT 'a,b' AS params, count(*) AS n FROM symbols WHERE kind IN ('function', 'method') HAVING count(*) >= 3", advice.parameter_idioms)
+over_graph("o116_name_series", "SELECT file_path, regexp_replace(name, '_?([0-9]+|[A-C])$', '') AS stem, count(DISTINCT name) AS n FROM symbols GROUP BY 1, 2 HAVING count(DISTINCT name) >= 3", advice.name_series)
+over_graph("o127_counterparts", """
+, w AS (SELECT id, file_path, regexp_replace(name, '_[0-9]+$', '') AS name FROM symbols WHERE kind IN ('function', 'method')),
+p(a, b) AS (VALUES """ + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in advice.ANTONYMS) + """),
+m AS (SELECT id, file_path, p.b || substr(name, length(p.a) + 1) AS name FROM w JOIN p ON starts_with(name, p.a || '_') UNION ALL SELECT id, file_path, substr(name, 1, length(name) - length(p.a)) || p.b FROM w JOIN p ON ends_with(name, '_' || p.a))
+SELECT m.id, w.id AS counterpart FROM m JOIN w ON m.file_path = w.file_path AND m.name = w.name""", advice.counterparts)
+over_graph("o084b_stale_callers", """
+, a AS (SELECT path, DATE '2001-08-02' - max(day) AS days FROM commit_files GROUP BY path)
+SELECT target_id AS id, count(*) AS callers FROM calls WHERE source_file <> target_file AND target_file IN (SELECT path FROM a WHERE days < 30) AND source_file IN (SELECT path FROM a WHERE days BETWEEN 90 AND 730) GROUP BY 1""", advice.staleness, NOW)
+over_graph("o073b_hidden_coupling", "SELECT path, partner FROM cochange c WHERE frequency >= 0.02 AND NOT EXISTS (SELECT 1 FROM imports i WHERE (i.source_id = path AND i.target_id = partner) OR (i.source_id = partner AND i.target_id = path))", advice.hidden_coupling, 0.02)
+over_graph("o065b_change_exposure", "SELECT file_path, CASE WHEN count(*) >= 16 THEN 'HIGH' WHEN count(*) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM dependents GROUP BY 1", advice.change_exposure)
+over_usage("o102_insights", """
+, k AS (SELECT session, mode AS task_type FROM (SELECT session, mode, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, mode) AS r FROM sessions GROUP BY 1, 2) WHERE r = 1),
+f AS (SELECT session, string_agg(mode, ',' ORDER BY t, e) AS modes FROM (SELECT session, mode, min(ts) AS t, min(event_id) AS e FROM sessions GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT k.task_type, any_value(f.modes) AS modes, sum(tokens) AS tokens, count(*) FILTER (empty) < 0.5 * count(*) AS success FROM sessions s JOIN k ON s.session = k.session JOIN f ON s.session = f.session GROUP BY s.session, k.task_type)
+SELECT a.task_type, b.modes AS best_modes, avg_tokens, success_rate, n FROM (SELECT task_type, count(*) AS n, CAST(floor(sum(tokens) / count(*)) AS BIGINT) AS avg_tokens, round(count(*) FILTER (success) / count(*), 6) AS success_rate FROM e GROUP BY 1 HAVING count(*) >= 5) a
+LEFT JOIN (SELECT task_type, modes FROM (SELECT task_type, modes, row_number() OVER (PARTITION BY task_type ORDER BY count(*) DESC, modes) AS r FROM e WHERE success GROUP BY 1, 2) WHERE r = 1) b ON a.task_type = b.task_type""", telemetry.insights)
