@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, cut, ensure_importable, held_out, rows_operator, shared_dir
 
-#: Labelled rows that training takes at most, by hash order of their ids, and features that it keeps, by count.
-MAX_ROWS, MAX_FEATURES = 20_000, 500_000
+#: Labelled rows that training takes at most, by hash order of their ids, and features that come to the driver at most, by toxic count.
+MAX_ROWS, MAX_FEATURES = 20_000, 150_000
+#: A feature leans to toxic when its share of toxic documents is at least so many times the sample's.
+LEAN = 1.5
 PREFIXES, STRENGTH, DRIFT = (3, 4, 5, 6), 5.0, 0.6
 #: A segment is significant when its chance in clean text of the same length is at most this.
 P_VALUE = 0.05
@@ -64,7 +66,7 @@ class Model:
         return best - DRIFT
 
     def __post_init__(self):
-        self.memo = Memo(self.token, 400_000)
+        self.memo = Memo(self.token, 250_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
@@ -183,6 +185,20 @@ def count_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def leaning(table: DataFrame, base: float) -> DataFrame:
+    """The features that decide a score: those that lean to toxic, and those below a prefix that does, which may take it back.
+
+    All others score nothing, as a token's log-odds count from 0 up.
+    """
+    kept = table.where("clean + toxic >= 2").withColumn("leans", (F.col("toxic") >= 2) & (F.col("toxic") > LEAN * base * (F.col("clean") + F.col("toxic"))))
+    own = kept.where("leans")
+    word = F.regexp_replace("feature", r"\*$", "")
+    ups = F.array(*[F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES])
+    prefixes = own.where("feature like '%*'").select(F.col("feature").alias("_up"))
+    below = kept.where("not leans").withColumn("_up", F.explode(F.array_compact(ups))).join(prefixes, "_up", "left_semi").drop("_up").distinct()
+    return own.unionByName(below).drop("leans")
+
+
 def _extreme_value(model: Model, maxima: list[tuple[float, int]], scores: np.ndarray) -> None:
     """lambda from the scores of clean tokens (E exp(lambda s) = 1), K from the maxima of clean documents."""
     lo, hi = 1e-3, 20.0
@@ -211,14 +227,16 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fit on folds 1 to 3 and calibrate on fold 4 of the sample; the final log-odds count all four."""
-    rows = cut(training_rows(docs, labels, key, text, label, max_rows), f"{shared_dir(docs.sparkSession)}/train")
-    sizes = {(r["_fold"] == 4, r["_label"]): 0 for r in ()}
+    at = shared_dir(docs.sparkSession)
+    rows = cut(training_rows(docs, labels, key, text, label, max_rows), f"{at}/train")
+    sizes = {}
     for r in rows.groupBy((F.col("_fold") == 4).alias("c"), "_label").count().collect():
         sizes[r["c"], r["_label"]] = r["count"]
     total = tuple(sizes.get((False, y), 0) + sizes.get((True, y), 0) for y in (0, 1))
     if not total[1]:
         return Model()
-    table = count_features(rows).where("clean + toxic >= 2").orderBy(F.desc(F.col("clean") + F.col("toxic")), "feature").limit(max_features).toPandas()
+    counted = cut(count_features(rows), f"{at}/features")
+    table = leaning(counted, total[1] / sum(total)).orderBy(F.desc("toxic"), "clean", "feature").limit(max_features).toPandas()
     fit = Model(chain_odds({f: (int(c), int(t)) for f, c, t in zip(table["feature"], table["clean_fit"], table["toxic_fit"]) if c + t}, tuple(sizes.get((False, y), 0) for y in (0, 1))))
     calibration = rows.where("_fold = 4")
     spark = docs.sparkSession
@@ -232,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield y, len(raw), max((x for _, _, x in maximal_segments(s)), default=0.0), [float(v) for v in s[:: max(1, len(s) // 200)]], [float(x) for _, _, x in maximal_segments(s)]
 
     made = rows_operator(calibration, ["_label", "_text"], best, "y int, n long, top double, scores array<double>, segments array<double>").toPandas()
-    shared.unpersist()
+    shared.destroy()
     clean = made[(made["y"] == 0) & (made["n"] > 0)]
     if len(clean):
         _extreme_value(fit, list(zip(clean["top"], clean["n"])), np.concatenate(clean["scores"].to_list()))
