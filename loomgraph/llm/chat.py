@@ -31,8 +31,8 @@ from .common import cut, ensure_importable, shared_dir
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
-#: Lines of a block; labelled transcripts that training takes at most.
-BLOCK, MAX_TRAIN = 2048, 5_000
+#: Lines of a block; labelled transcripts that training takes at most, and their lines.
+BLOCK, MAX_TRAIN, MAX_LINES = 2048, 2_000, 256
 
 # Names that commonly mark speakers, by role.
 NAMES = {
@@ -166,7 +166,7 @@ def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return at.select("conv", "turn", "_role", "at", "line", (F.coalesce("_n", F.lit(2)) + F.when(F.col("at") == 0, 0).otherwise(1)).cast("int").alias("state"))
 
 
-def train(lines: DataFrame, conversations: int = MAX_TRAIN, longest: int = BLOCK) -> Model:
+def train(lines: DataFrame, conversations: int = MAX_TRAIN, longest: int = MAX_LINES) -> Model:
     """Count in at most so many transcripts, by hash order of their names, of those with at most longest lines."""
     chosen = lines.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") <= longest).orderBy(F.xxhash64("conv"), "conv").limit(conversations)
     table = lines.join(F.broadcast(chosen.select("conv")), "conv").select("conv", "turn", "_role", "at", "line", "state").toPandas()
