@@ -69,6 +69,8 @@ def stream_state(digests: str, schema, checkpoint: str, spark: SparkSession) ->
     with _settings(
         spark,
         spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # else each state partition reserves some MB of disk, however small it is
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
     ):
         rows = spark.readStream.schema(schema).parquet(digests)
         # struct order: the largest id wins, and null ids come first
