@@ -191,3 +191,18 @@ def focus(g: CodeGraph, seeds: DataFrame, depth: int = 3, most: int = 50) -> Dat
             break
         seen = _cut(seen.unionByName(next_.orderBy(F.desc("importance"), "id").limit(room).select(*seen.columns)), f"{at}/seen{d + 1}")
     return seen.select("id", "depth", "importance")
+
+
+def import_depth(g: CodeGraph, starts: DataFrame, most: int = 12) -> DataFrame:
+    """root, depth: the most hops from each start up its importers, tests aside, along shortest paths."""
+    edges = g.imports.where(~is_test(F.col("source_id")) & ~is_test(F.col("target_id"))).select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))
+    return _spread(starts, edges, most).groupBy("root").agg(F.max("hops").alias("depth"))
+
+
+def beyond_focus(g: CodeGraph, shown: DataFrame, seed: str, least: int = 12, most: int = 2) -> DataFrame:
+    """Entry-like or exported callers of a much-called seed that a focus (id) doesn't show: id."""
+    callers = g.calls.where((F.col("target_id") == seed) & ~is_test(F.col("source_file"))).select(F.col("source_id").alias("id"))
+    enough = callers.agg((F.count("*") > least).alias("_many"))
+    rows = g.symbols.where("parent_id is null").join(callers, "id", "left_semi").join(shown.select("id"), "id", "left_anti")
+    entry = F.col("name").isin("main", "run", "cli", "start") | F.col("file_path").endswith("__main__.py") | F.col("exported")
+    return rows.where(entry).join(F.broadcast(enough)).where("_many").orderBy("id").limit(most).select("id")  # enough is one row

@@ -471,3 +471,13 @@ f AS (SELECT session, string_agg(mode, ',' ORDER BY t, e) AS modes FROM (SELECT
 e AS (SELECT k.task_type, any_value(f.modes) AS modes, sum(tokens) AS tokens, count(*) FILTER (empty) < 0.5 * count(*) AS success FROM sessions s JOIN k ON s.session = k.session JOIN f ON s.session = f.session GROUP BY s.session, k.task_type)
 SELECT a.task_type, b.modes AS best_modes, avg_tokens, success_rate, n FROM (SELECT task_type, count(*) AS n, CAST(floor(sum(tokens) / count(*)) AS BIGINT) AS avg_tokens, round(count(*) FILTER (success) / count(*), 6) AS success_rate FROM e GROUP BY 1 HAVING count(*) >= 5) a
 LEFT JOIN (SELECT task_type, modes FROM (SELECT task_type, modes, row_number() OVER (PARTITION BY task_type ORDER BY count(*) DESC, modes) AS r FROM e WHERE success GROUP BY 1, 2) WHERE r = 1) b ON a.task_type = b.task_type""", telemetry.insights)
+
+# --- signatures, embeddings and depth --------------------------------------------------------------------------------
+from ..operators import bodies, embed  # noqa: E402
+
+over_graph("o_signatures", "SELECT id, 2 AS parameters, 0 AS annotated, 0 AS defaults, false AS variadic, false AS is_async, '' AS returns FROM symbols WHERE kind IN ('function', 'method')", bodies.signatures)
+over_graph("o055_embed", None, embed.embed)
+over_graph("o069q_import_depth", None, lambda g: traverse.import_depth(g, g.files.where("file_path like 'economy/%'").select(F.col("file_path").alias("root"))))
+ORACLE_SQL["o069q_import_depth"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", i AS (SELECT * FROM imports WHERE NOT {is_test('source_id')} AND NOT {is_test('target_id')}), reach(root, node, hops) AS (
+    SELECT root, root, 0 FROM ({_STARTS}) UNION SELECT root, i.source_id, hops + 1 FROM reach JOIN i ON i.target_id = node WHERE hops < 12)
+SELECT root, max(hops) AS depth FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) GROUP BY root"""
