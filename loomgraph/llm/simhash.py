@@ -148,7 +148,7 @@ def _buckets(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     yield from close()
                     held, at, over = [], name, False
                 held.append(prints[start:end])
-                if limit and sum(map(len, held)) > limit:
+                if limit and (over or sum(map(len, held)) > limit):
                     over = True
                     for part in held:
                         yield rows(1, np.full(len(part), name[0]), part)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,6 +135,25 @@ def test_simhash_links_of_planted_neighbours(spark, tmp_path):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_simhash_buckets_over_many_batches(spark, tmp_path, monkeypatch):
+    """Pairs that meet under one mask only, in a bucket that is too large and comes in batches smaller than it."""
+    batches = [pa.RecordBatch.from_pydict({"which": pa.array([5] * n, pa.int32()), "bits": [9] * n, "fingerprint": range(at, at + n)}) for at, n in ((0, 10), (10, 10), (20, 5))]
+    assert [x for b in simhash._buckets(8)(iter(batches)) for x in b.column(2).to_pylist()] == list(range(25))
+    rng = random.Random(8)
+    cuts = simhash._cuts(list(range(64)), simhash.BLOCKS)
+    free = sum(cuts[3:])
+    prints = [rng.getrandbits(64) & free for _ in range(33)]
+    prints = sorted(prints + [p ^ sum(m & -m for m in cuts[3:]) for p in prints])
+    rows = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fingerprint long")
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = {(r["a"], r["b"]) for r in simhash.links(rows, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 33
+
+
 ALPHABET = " \t\n'sab1²_.\x1c\x85\xa0　é日\U0001f642"
 
 
