@@ -7,9 +7,12 @@ and whether the line begins or continues a turn.  Emission and transition counts
 come from a bounded sample of labelled transcripts, with add-one smoothing;
 Viterbi recovers the states, and runs of one turn become canonical turns.
 
-Transcripts of more than BLOCK lines are decoded in blocks of that many lines,
-each continuing from the roles' stationary start, so no task holds more than a
-block of one transcript.
+A transcript is decoded and rendered as a whole, whatever its length.  All lines
+are sorted and dealt out in pieces of at most BLOCK lines, one row each, so the
+lines of a long transcript are read and told apart by many tasks.  Two steps run
+along a transcript: Viterbi over one byte a line, which keeps six bytes of back
+pointers a line, and the hash of the rendered text, which holds a turn at a time.
+Scores are whole numbers, so no result depends on where pieces end.
 
 Defined results: null lines count as empty, empty transcripts have no turns, an
 unmarked line is decided by its features alone.  Repeated rows give repeated
@@ -18,20 +21,23 @@ lines, in the order of turn, role and text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_importable, shared_dir
+from .common import Memo, _arrow_schema, cut, ensure_importable, shared_dir
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
-#: Lines of a block; labelled transcripts that training takes at most, and their lines.
+#: Lines of a piece (a power of two); labelled transcripts that training takes at most, and their lines.
 BLOCK, MAX_TRAIN, MAX_LINES = 2048, 2_000, 256
 
 # Names that commonly mark speakers, by role.
@@ -59,6 +65,17 @@ def observe(line: str, first: bool, after_blank: bool) -> str:
     return f"{role}|{look}|{length}|{int(first)}{int(after_blank)}"
 
 
+#: What a line shows by itself, and by its place: the first, after a line that is not blank, after a blank one.
+SHOWN = [f"{role}|{look}|{length}" for role in ("", *ROLES) for look in ("", "?", "`") for length in range(5)]
+PLACES = ("10", "00", "01")
+NUMBERS = {x: i for i, x in enumerate(SHOWN)}
+
+
+def shown(line: str | None) -> int:
+    """The number in SHOWN of what a line shows; 0 for blank lines only."""
+    return NUMBERS[observe(line or "", False, False).rpartition("|")[0]]
+
+
 def observations(lines: list[str]) -> list[str]:
     out, blank = [], False
     for i, line in enumerate(lines):
@@ -91,11 +108,17 @@ class Model:
     def prepare(self) -> Model:
         # a line continues its turn or begins another; it can't continue a turn of another role
         allowed = np.array([[b or ra == rb for rb, b in STATES] for ra, _ in STATES])
-        self.log_move = np.where(allowed, np.log(self.move / self.move.sum(axis=1, keepdims=True)), -1e9)
-        self.log_start = np.where([b for _, b in STATES], np.log(self.start / self.start.sum()), -1e9)
+        self.log_move = np.where(allowed, self._whole(np.log(self.move / self.move.sum(axis=1, keepdims=True))), -(1 << 50))
+        self.log_start = np.where([b for _, b in STATES], self._whole(np.log(self.start / self.start.sum())), -(1 << 50))
         self.cache: dict[str, np.ndarray] = {}
+        self.steps = Memo(self._step, 1 << 14)
         return self
 
+    @staticmethod
+    def _whole(logs: np.ndarray) -> np.ndarray:
+        """Scores as whole numbers: their sums are exact in any order."""
+        return np.rint(logs * (1 << 20)).astype(np.int64)
+
     def _emission(self, o: str) -> np.ndarray:
         if o not in self.cache:
             total = np.zeros(len(STATES))
@@ -106,26 +129,38 @@ class Model:
                 named = o.split("|")[0]
                 if named:  # a marker begins a turn of the role that it names
                     total[s] += 0 if named == role and begins else -20
-            self.cache[o] = total
+            self.cache[o] = self._whole(total)
         return self.cache[o]
 
-    def decode(self, lines: list[str]) -> list[int]:
-        """The most likely states of a block of lines."""
-        seen = observations(lines)
-        if not seen:
-            return []
-        v = self.log_start + self._emission(seen[0])
-        back = []
-        for o in seen[1:]:
-            reach = v[:, None] + self.log_move
-            back.append(reach.argmax(axis=0))
-            v = reach.max(axis=0) + self._emission(o)
-        at = int(v.argmax())
-        out = [at]
-        for step in reversed(back):
-            at = int(step[at])
+    def _step(self, given: tuple[bytes, str]) -> tuple[bytes, bytes]:
+        """From scores of the states and what the next line shows: the next scores, the best one 0, and the back pointers."""
+        before, o = given
+        reach = np.frombuffer(before, np.int64)[:, None] + self.log_move
+        v = reach.max(axis=0) + self._emission(o)
+        return (v - v.max()).tobytes(), reach.argmax(axis=0).astype(np.uint8).tobytes()
+
+    def path(self, seen: Iterable[int]) -> bytes:
+        """The most likely states of a whole transcript, from the numbers of what its lines show."""
+        v, back, blank = b"", bytearray(), 0
+        for x in seen:
+            if v:
+                v, step = self.steps[v, f"{SHOWN[x]}|{PLACES[1 + blank]}"]
+                back += step
+            else:
+                v = (self.log_start + self._emission(f"{SHOWN[x]}|{PLACES[0]}")).tobytes()
+            blank = int(x == 0)
+        if not v:
+            return b""
+        at, n = int(np.frombuffer(v, np.int64).argmax()), len(STATES)
+        out = bytearray([at])
+        for i in range(len(back) - n, -1, -n):
+            at = back[i + at]
             out.append(at)
-        return out[::-1]
+        return bytes(out[::-1])
+
+    def decode(self, lines: list[str]) -> list[int]:
+        """The most likely states of the lines of a transcript."""
+        return list(self.path(map(shown, lines)))
 
 
 def turns(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
@@ -176,41 +211,89 @@ def train(lines: DataFrame, conversations: int = MAX_TRAIN, longest: int = MAX_L
     return model
 
 
-def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """Turns of each transcript: conv, block, turn_no (within the block), role, text, n_lines, n_right (lines whose state is the given one)."""
+def _stream(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Run function over the rows of each partition in their order; nothing but what function keeps is held."""
+    out = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = function(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        while some := list(islice(made, 1024)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*some), out.types)], names=out.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _decoded(lines: DataFrame, model: Model, path: str) -> DataFrame:
+    """conv, line, state and found (the state that Viterbi finds for it in its whole transcript), each transcript in order within a partition."""
     ensure_importable(lines.sparkSession)
     shared = lines.sparkSession.sparkContext.broadcast(model)
-    # a block is a run of turns: long transcripts never meet in one task
-    dealt = lines.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / 512).cast("long"))
     kind = lines.schema["conv"].dataType.simpleString()
+    order = ["conv", "turn", "_role", "at", "line"]
+    coded = _stream(
+        lines.select(*order, "state"), lambda rows: ((*row, shown(row[4])) for row in rows),
+        f"conv {kind}, turn {lines.schema['turn'].dataType.simpleString()}, _role string, at int, line string, state int, shown byte",
+    )
+    # repeated rows are told apart, so that many of them are dealt to many tasks
+    numbered = coded.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").withColumn("id", F.monotonically_increasing_id())
+    pieces = numbered.groupBy("conv", F.shiftright("id", BLOCK.bit_length() - 1).alias("piece")).agg(
+        F.min("id").alias("piece_id"), F.sort_array(F.collect_list(F.struct("id", "line", "state", "shown"))).alias("rows")
+    )
+    pieces = cut(pieces.drop("piece"), f"{path}/pieces")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         m = shared.value.prepare()
-        group = group.sort_values(["turn", "_role", "at", "line"], na_position="first", kind="stable")
-        out, no = [], 0
-        text, truth = group["line"].tolist(), group["state"].tolist()
-        for i in range(0, len(text), BLOCK):
-            part = text[i : i + BLOCK]
-            states = m.decode(part)
-            starts = [j for j, s in enumerate(states) if j == 0 or STATES[s][1]]
-            for (role, said), a, z in zip(turns(part, states), starts, [*starts[1:], len(part)]):
-                right = sum(x == y for x, y in zip(states[a:z], truth[i + a : i + z]))
-                out.append((group["conv"].iloc[0], group["block"].iloc[0], no, role, said, z - a, right))
-                no += 1
-        return pd.DataFrame(out, columns=["conv", "block", "turn_no", "role", "text", "n_lines", "n_right"])
-
-    return dealt.groupBy("conv", "block").applyInPandas(run, f"conv {kind}, block long, turn_no int, role string, text string, n_lines int, n_right int")
+        for _, own in groupby(rows, lambda r: r[0]):
+            ids, ends, seen = [], [0], bytearray()
+            for _, piece_id, part in own:
+                ids.append(piece_id)
+                seen += bytes(part)
+                ends.append(len(seen))
+            states = m.path(seen)
+            for piece_id, a, z in zip(ids, ends, ends[1:]):
+                yield piece_id, list(states[a:z])
+
+    told = pieces.select("conv", "piece_id", F.col("rows.shown").alias("shown")).repartition("conv").sortWithinPartitions("conv", "piece_id")
+    found = cut(_stream(told, run, "piece_id long, found array<tinyint>"), f"{path}/found")
+    both = pieces.join(found, "piece_id").repartition("conv").sortWithinPartitions("conv", "piece_id")
+    return both.select("conv", F.inline(F.arrays_zip(F.col("rows.line").alias("line"), F.col("rows.state").alias("state"), "found")))
+
+
+def _turns(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """From (conv, line, state, found) in order: conv, turn_no, role, text, n_lines, n_right of each turn."""
+    for conv, own in groupby(rows, lambda r: r[0]):
+        no, lines, states, right = 0, [], [], 0
+        for _, line, state, found in own:
+            if lines and STATES[found][1]:
+                yield conv, no, *turns(lines, states)[0], len(lines), right
+                no, lines, states, right = no + 1, [], [], 0
+            lines.append(line)
+            states.append(found)
+            right += state == found
+        yield conv, no, *turns(lines, states)[0], len(lines), right
+
+
+def _transcripts(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """From (conv, line, state, found) in order: conv, n_turns, n_lines, n_right, roles, rendered_sha256 of each transcript."""
+    for conv, own in groupby(_turns(rows), lambda r: r[0]):
+        roles, n_lines, n_right, digest = [], 0, 0, hashlib.sha256()
+        for _, _, role, text, n, right in own:
+            roles.append(role)
+            n_lines, n_right = n_lines + n, n_right + right
+            digest.update(render([(role, text)]).encode())
+        yield conv, len(roles), n_lines, n_right, ",".join(roles), digest.hexdigest()
+
+
+def parse(lines: DataFrame, model: Model) -> DataFrame:
+    """Turns of each transcript: conv, turn_no, role, text, n_lines, n_right (lines whose state is the given one)."""
+    kind = lines.schema["conv"].dataType.simpleString()
+    found = _decoded(lines, model, shared_dir(lines.sparkSession))
+    return _stream(found, _turns, f"conv {kind}, turn_no long, role string, text string, n_lines long, n_right long")
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per block of each conversation: conv, block, n_turns, n_lines, n_right, roles, rendered_sha256."""
+    """Per conversation: conv, n_turns, n_lines, n_right, roles, rendered_sha256."""
     at = shared_dir(rows.sparkSession)
     lines = cut(from_turns(rows, conv, turn, role, text), f"{at}/lines")
-    found = parse(lines, train(lines))
-    ordered = F.array_sort(F.collect_list(F.struct("turn_no", "role", "text")))
-    told = found.groupBy("conv", "block").agg(ordered.alias("t"), F.sum("n_lines").alias("n_lines"), F.sum("n_right").alias("n_right"))
-    shown = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("\n<|end|>\n"))), "")
-    return told.select(
-        F.col("conv").alias(conv), "block", F.size("t").cast("long").alias("n_turns"), "n_lines", "n_right",
-        F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), F.sha2(shown.cast("binary"), 256).alias("rendered_sha256"),
-    )
+    kind = lines.schema["conv"].dataType.simpleString()
+    found = _decoded(lines, train(lines), at)
+    return _stream(found, _transcripts, f"`{conv}` {kind}, n_turns long, n_lines long, n_right long, roles string, rendered_sha256 string")

@@ -371,6 +371,33 @@ def test_chat_query_and_odd_rows(spark):
     assert found["sum(n_right)"] / found["sum(n_lines)"] > 0.7
 
 
+def test_chat_decodes_long_transcripts_whole(spark, monkeypatch):
+    """One message of 3,000 lines, and 1,200 turns of which half go unmarked: as one transcript, wherever the pieces end."""
+    schema = "conv_id long, turn long, role string, text string"
+    rng = random.Random(4)
+    short = [(c, t, "user" if t % 2 == 0 else "assistant", "why so?" if t % 2 == 0 else "as it is\nand was\n\nas before") for c in range(100, 140) for t in range(6)]
+    long = [(1, 0, "user", "what is this?"), (1, 1, "assistant", "\n".join(["plain words of the answer"] * 3_000)), (1, 2, "user", "thanks")]
+    many = [(c, t, "user" if t % 2 == 0 else "assistant", "\n".join(rng.choice(["is it?", "yes it is", "", "- so"]) for _ in range(3))) for c in (2, 3, 4, 5) for t in range(1_200)]
+    rows = spark.createDataFrame(short + long + many, schema)
+    lines = chat.from_turns(rows)
+    model = chat.train(lines)
+    want = {}
+    for r in sorted(lines.collect(), key=lambda r: (r["conv"], r["turn"], r["at"])):
+        want.setdefault(r["conv"], []).append(r["line"])
+    want = {c: chat.turns(x, model.prepare().decode(x)) for c, x in want.items()}
+    assert len(want[1]) < 6
+    for block in (chat.BLOCK, 64):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        found = {}
+        for r in sorted(chat.parse(lines, model).collect(), key=lambda r: (r["conv"], r["turn_no"])):
+            own = found.setdefault(r["conv"], [])
+            assert r["turn_no"] == len(own)
+            own.append((r["role"], r["text"]))
+        assert found == want
+        got = {r["conv_id"]: (r["n_turns"], r["rendered_sha256"]) for r in chat.format_chats(rows).collect()}
+        assert got == {c: (len(x), hashlib.sha256(chat.render(x).encode()).hexdigest()) for c, x in want.items()}
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline as p
 
