@@ -196,10 +196,11 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{path}/star{i}")
-        changed = new.exceptAll(edges) if i > 1 else new
-        if changed.isEmpty():
-            break
+        # both are sets from the second step on, so they are equal if one holds the other and is as large
+        done = i > 1 and new.count() == edges.count() and new.exceptAll(edges).isEmpty()
         edges = new
+        if done:
+            break
     roots = edges.select(F.col("b").alias("node")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 

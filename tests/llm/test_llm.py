@@ -154,6 +154,14 @@ def test_simhash_buckets_over_many_batches(spark, tmp_path, monkeypatch):
     assert len(found) == 33
 
 
+def test_components_have_one_root_when_a_step_only_drops_edges(spark, tmp_path):
+    pairs = [(10, 11), (11, 12), (1, 12), (3, 4), (4, 10), (2, 5), (5, 10), (1, 2), (1, 3), (1, 10.5), (10.5, 11)]
+    edges = spark.createDataFrame([(int(2 * a), int(2 * b)) for a, b in pairs], "a long, b long")
+    found = [(r["node"], r["root"]) for r in simhash.components(edges, str(tmp_path)).collect()]
+    assert sorted(found) == [(n, 2) for n in sorted({int(2 * x) for p in pairs for x in p})]
+    assert simhash.components(edges.limit(0), f"{tmp_path}/none").count() == 0
+
+
 ALPHABET = " \t\n'sab1²_.\x1c\x85\xa0　é日\U0001f642"
 
 
