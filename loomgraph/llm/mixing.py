@@ -7,7 +7,8 @@ the null space of the constraints (document total and word total) until at most
 as many as there are constraints stay fractional; groups of at most about GROUP
 rows of a source fly on their own, what they leave undecided flies again
 together, and the last few rows of a source (with LANDING of its smaller ones,
-kept back for this) land by the choice nearest to its targets.
+kept back for this from its first flight on) land by the choice nearest to its
+targets.  Each source lands when it is down to one group, whatever the others do.
 
 Defined results: a null text has size 0; null sources are one source, the last.
 A source of size 0 has target 0 and its rows are taken no times.  Randomness is
@@ -101,20 +102,20 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _group(last: bool):
+def _group(level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_u", "size"], kind="stable").reset_index(drop=True)
-        p, x, u = (rows[c].to_numpy() for c in ("_p", "size", "_u"))
-        if not last:
-            return rows.assign(_p=flight(p, x, u))
-        # a source's last group keeps a few of its smaller units for the landing
-        left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-        left = left[np.argsort(x[left], kind="stable")]
-        apart = left[np.unique(np.linspace(0, len(left) // 2, LANDING).astype(int))] if len(left) > 3 * LANDING else left[:0]
-        fly = np.setdiff1d(np.arange(len(p)), apart)
-        p = p.astype(float)
-        p[fly] = flight(p[fly], x[fly], u[fly])
-        return rows.assign(_p=landing(p, x))
+        p, x, u = (rows[c].to_numpy(float) for c in ("_p", "size", "_u"))
+        p, kept = p.copy(), rows["_kept"].to_numpy(bool).copy()
+        last = bool(rows["_last"].iloc[0])
+        if not kept.any() and (last or level == 0 and rows["_g"].iloc[0] == 0):
+            # one group of a source keeps a few of its smaller units for the landing
+            left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+            left = left[np.argsort(x[left], kind="stable")]
+            if len(left) > 3 * LANDING:
+                kept[left[np.unique(np.linspace(0, len(left) // 2, LANDING).astype(int))]] = True
+        p[~kept] = flight(p[~kept], x[~kept], u[~kept])
+        return rows.assign(_p=landing(p, x) if last else p, _kept=kept)
 
     return run
 
@@ -135,21 +136,21 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # rows without an id can't be told apart by it, and there may be many of them
     told = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
     state = state.withColumn("_whole", F.floor(ratio + _EPS)).withColumn("_p", F.greatest(F.lit(0.0), ratio - F.col("_whole")))
-    state = state.withColumn("_u", F.pmod(F.xxhash64("_key", "size", told, F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)).drop("_name")
+    state = state.withColumn("_u", F.pmod(F.xxhash64("_key", "size", told, F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)).drop("_name").withColumn("_kept", F.lit(False))
     names, done, level, most = state.columns, None, 0, sums[0] or 0
     fractional = (F.col("_p") > _EPS) & (F.col("_p") < 1 - _EPS)
     while True:
-        # each source is dealt to groups of about GROUP rows; a flight leaves two of a group at most
+        # each source is dealt to groups of about GROUP rows; a flight leaves two of a group at most, and those kept back
         groups = F.ceil(F.col("_docs") / GROUP)
-        dealt = state.withColumn("_g", F.pmod(F.xxhash64("_u", F.lit(level)), groups)).withColumn("_docs", 2 * groups)
-        flown = dealt.groupBy("source", "_g").applyInPandas(_group(most <= GROUP), dealt.schema)
+        dealt = state.withColumn("_g", F.pmod(F.xxhash64("_u", F.lit(level)), groups)).withColumn("_last", groups == 1).withColumn("_docs", 2 * groups + LANDING)
+        flown = dealt.groupBy("source", "_g").applyInPandas(_group(level), dealt.schema)
         flown = cut(flown.select(*names), f"{at}/flight{level}")
         if most <= GROUP:
             done = flown if done is None else done.unionByName(flown)
             break
         settled = flown.where(~fractional)
         done = settled if done is None else done.unionByName(settled)
-        state, most, level = flown.where(fractional), 2 * -(-most // GROUP), level + 1
+        state, most, level = flown.where(fractional), 2 * -(-most // GROUP) + LANDING, level + 1
     copies = (F.col("_whole") + F.round("_p")).cast("long")
     return done.select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

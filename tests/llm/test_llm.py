@@ -301,6 +301,16 @@ def test_flight_is_unbiased():
     assert abs(mean.mean() - 0.3) < 0.03
 
 
+def test_mixing_lands_each_source_near_its_target_beside_large_ones(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(9_300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 9_000, "big").otherwise("small").alias("source"))
+    docs = ids.withColumn("text", F.expr("repeat('w ', cast(1 + pmod(xxhash64(doc_id), 400) as int))"))
+    rows = mixing.mix(docs, weights=(30.0, 1.0)).join(ids, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r["source"]: r["n"] for r in rows} == {"big": 9_000, "small": 300}
+    assert all(abs(r["taken"] - r["target"]) < 2 for r in rows), rows
+
+
 def slow_spans(text):
     out = []
     for k, name, pattern, least, group in (
