@@ -4,8 +4,8 @@ Base patterns find assignments, access keys and long hexadecimal strings.
 Beside them, tokens of mixed character classes and high entropy are candidates.
 All values are hashed, and each hash is counted over the distinct repositories
 and distinct owners that hold it.  A value with more than EXAMPLE_OWNERS owners
-is a widely copied example; one with fewer, of high entropy, is owner-specific
-and live-looking.  Live-looking candidates add spans of kind token; base spans
+or EXAMPLE_REPOSITORIES repositories is a widely copied example; one with fewer
+of both, of high entropy, is owner-specific and live-looking.  Live-looking candidates add spans of kind token; base spans
 always stay.
 
 Defined results: a null text counts as empty, with no spans.  A null repository
@@ -34,8 +34,8 @@ KINDS = ("assign", "access", "hex", "token")
 #: Candidates beside the base patterns, and the bits per character that a live-looking value has.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 LEAST_BITS = 3.0
-#: Distinct owners beyond which a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Distinct owners, or repositories of any owners, beyond which a value is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 100
 _HINTS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 
@@ -101,7 +101,7 @@ def ownership(found: DataFrame, repository: str = "repository", owner: str = "ow
     owners = pairs.groupBy("hash", "o").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
     by_owner = owners.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count("*").alias("n_owners"))
     by_repository = pairs.groupBy("hash", "r").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
-    return by_owner.join(by_repository, "hash").withColumn("example", F.col("n_owners") > EXAMPLE_OWNERS)
+    return by_owner.join(by_repository, "hash").withColumn("example", (F.col("n_owners") > EXAMPLE_OWNERS) | (F.col("n_repositories") > EXAMPLE_REPOSITORIES))
 
 
 def _written(spans: Column) -> Column:
@@ -113,8 +113,9 @@ def _written(spans: Column) -> Column:
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per row of docs: key, n_assign, n_access, n_hex, base_sha256, spans, and how its values are owned.
 
-    n_live: values of high entropy that few owners hold; n_example: values that
-    many hold.  The spans column has all base spans and the live candidates.
+    n_live: values of high entropy that few owners and repositories hold;
+    n_example: values that many hold.  The spans column has all base spans and
+    the live candidates; owned has n_repositories:n_owners of each of them.
     """
     at = shared_dir(docs.sparkSession)
     columns = docs.select(F.col(key).alias("key"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
@@ -122,25 +123,27 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository
     some = cut(rows.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()), f"{at}/some")
     found = some.select("row", "repository", "owner", F.explode("spans").alias("s")).select("row", "repository", "owner", "s.*")
     owned = cut(ownership(found), f"{at}/owned")
-    joined = join_groups(found.select("row", "start", "kind", "end", "bits", "hash"), owned.select("hash", "n_found", "example"), "hash", "n_found", found.count())
+    joined = join_groups(found.select("row", "start", "kind", "end", "bits", "hash"), owned.select("hash", "n_found", "n_repositories", "n_owners", "example"), "hash", "n_found", found.count())
     live = ~F.col("example") & (F.col("bits") >= LEAST_BITS)
     # a document's own spans come together again; they are as many as its text holds
     told = joined.groupBy("row").agg(
-        F.collect_list(F.when((F.col("kind") < 3) | live, F.struct("start", "kind", "end"))).alias("shown"),
+        F.collect_list(F.when((F.col("kind") < 3) | live, F.struct("start", "kind", "end", "n_repositories", "n_owners"))).alias("shown"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum(F.col("example").cast("long")).alias("n_example"),
     )
     base = F.filter("shown", lambda s: s["kind"] < 3)
 
+    counts = F.array_join(F.transform(F.array_sort("shown"), lambda s: F.concat_ws(":", s["n_repositories"], s["n_owners"])), ",")
+
     def number(kind: int) -> Column:
         return F.size(F.filter("shown", lambda s: s["kind"] == kind)).cast("long")
 
     def out(rows_: DataFrame) -> DataFrame:
         return rows_.select(
             F.col("key").alias(key), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
-            F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("shown")).alias("spans"), "n_live", "n_example",
+            F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("shown")).alias("spans"), counts.alias("owned"), "n_live", "n_example",
         )
 
     zero = F.lit(0).cast("long")
-    none = rows.where(F.size("spans") == 0).select("key", F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)").alias("shown"), zero.alias("n_live"), zero.alias("n_example"))
+    none = rows.where(F.size("spans") == 0).select("key", F.expr("cast(array() as array<struct<start: int, kind: int, end: int, n_repositories: bigint, n_owners: bigint>>)").alias("shown"), zero.alias("n_live"), zero.alias("n_example"))
     return out(some.select("row", "key").join(told, "row").drop("row").unionByName(none))

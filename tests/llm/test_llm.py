@@ -339,6 +339,14 @@ def test_secrets_tell_examples_from_owned_values(spark):
     assert got[0]["spans"] == "" and got[0]["n_example"] == 1
 
 
+def test_secrets_count_repositories_too(spark):
+    copied, own = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Gh1Jk2Lz3Xc4Vb5Nm6Qw7Er8"
+    rows = [(i, f"use {copied} here", f"o{i % 3}") for i in range(120)] + [(i, f"use {own} here", f"o{i % 2}") for i in range(200, 204)]
+    got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {(r["spans"], r["n_live"], r["n_example"], r["owned"]) for i, r in got.items() if i < 200} == {("", 0, 1, "")}
+    assert {(r["spans"], r["n_live"], r["n_example"], r["owned"]) for i, r in got.items() if i >= 200} == {("token:4:28", 1, 0, "4:2")}
+
+
 PAGES = "page_id long, url string, html string"
 
 
