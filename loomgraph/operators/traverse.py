@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_test
 from ..model import CodeGraph
+from ..session import shared_base
 
 
 def _cut(df: DataFrame, at: str) -> DataFrame:
@@ -19,8 +20,7 @@ def _cut(df: DataFrame, at: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomgraph-shared"
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def layers(g: CodeGraph, most: int = 100) -> DataFrame:

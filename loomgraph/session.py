@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +32,13 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir; where that is unset, below a folder of this machine, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/loomgraph-shared"
+    return f"{base.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
