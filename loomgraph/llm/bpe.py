@@ -12,11 +12,12 @@ Only the key and text columns are read; other columns may have any name.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
@@ -26,12 +27,8 @@ from .common import Memo, rows_operator
 
 # Fixed value: the public pre-tokeniser pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space of the pre-tokeniser, which is Unicode's White_Space.
-_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of other characters with the space before it; no pre-token crosses its ends.
-CHUNK = rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
-#: Chunks and pre-tokens whose encoding a Python worker remembers.
-CHUNKS, PIECES = 160_000, 260_000
+#: Bytes of encoded pre-tokens that a Python worker remembers, about.
+CACHE_BYTES = 96 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -51,94 +48,74 @@ class BPE:
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = self.vocab
-        #: (left id, right id) -> (rank, merged id)
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.strings: dict[int, str] = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
+        #: Ids to the left, to the right and after a merge, by rank; ids of single bytes.
+        self.left, self.right, self.merged = ([ids[x] for x in column] for column in zip(*((a, b, a + b) for a, b in merges)))
         to_char = byte_characters()
         self.byte_ids = [ids[to_char[b]] for b in range(256)]
+        #: left id * width + right id -> rank
+        self.width = 1 + max(ids.values())
+        self.ranks = {a * self.width + b: rank for rank, (a, b) in reversed(list(enumerate(zip(self.left, self.right))))}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
         back = {c: b for b, c in to_char.items()}
-        self.bytes: dict[int, bytes] = {
-            i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for i, s in self.strings.items()
-        }
+        self.bytes = {i: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for i, s in strings.items()}
+        self.decimals = {i: str(i) for i in strings}
         self.pre = regex.compile(PATTERN, regex.V0)
-        self.chunk = re.compile(CHUNK)
         longest = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.pieces = Memo(self._piece, PIECES)
-        self.memo = Memo(self._chunk, CHUNKS)
+        self.pieces = Memo(lambda piece: array("i", self.merge(piece.encode())).tobytes(), CACHE_BYTES)
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token: a queue of ranks over a doubly linked list of symbols."""
-        symbols = [self.byte_ids[b] for b in data]
+        """The ids of one pre-token: a queue of ranks over a doubly linked list of symbols.
+
+        An entry of the queue is one number, the rank before the position, so
+        that the least rank comes first and of equal ranks the leftmost.
+        """
+        symbols = list(map(self.byte_ids.__getitem__, data))
         n = len(symbols)
-        if n < 2:
-            return symbols
-        merges = self.merges.get
-        queue = []
-        for i in range(n - 1):
-            if found := merges((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+        rank_of, width, lefts, rights, merged = self.ranks.get, self.width, self.left, self.right, self.merged
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        queue = [r << shift | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(a * width + b)) is not None]
         if not queue:
             return symbols
-        heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
-        after = [*range(1, n), -1]
-        before = list(range(-1, n - 1))
+        heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, left, right, merged = pop(queue)
+            entry = heappop(queue)
+            rank, i = entry >> shift, entry & mask
             j = after[i]
-            if j < 0 or symbols[i] != left or symbols[j] != right:
+            if symbols[i] != lefts[rank] or j == n or symbols[j] != rights[rank]:
                 continue  # stale: one of the two symbols has been merged since
-            symbols[i] = merged
+            symbols[i] = new = merged[rank]
             symbols[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if found := merges((merged, symbols[k])):
-                    push(queue, (found[0], i, merged, symbols[k], found[1]))
-            h = before[i]
-            if h >= 0 and (found := merges((symbols[h], merged))):
-                push(queue, (found[0], h, symbols[h], merged, found[1]))
+                if (r := rank_of(new * width + symbols[k])) is not None:
+                    heappush(queue, r << shift | i)
+            if (h := before[i]) >= 0 and (r := rank_of(symbols[h] * width + new)) is not None:
+                heappush(queue, r << shift | h)
         return [s for s in symbols if s >= 0]
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        ids = self.merge(piece.encode())
-        return ",".join(map(str, ids)), self.decode_bytes(ids)
-
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        parts = [self.pieces[piece] for piece in self.pre.findall(chunk)]
-        return parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-
-    def _parts(self, text: str) -> Iterator[tuple[str, bytes]]:
-        """Ids, joined by commas, and decoded bytes of successive chunks."""
-        if self.split is None or not any(s in text for s in self.special):
-            return map(self.memo.__getitem__, self.chunk.findall(text))
-        return self._mixed(text)
-
-    def _mixed(self, text: str) -> Iterator[tuple[str, bytes]]:
-        for part in self.split.split(text):
-            if part in self.special:
-                i = self.special[part]
-                yield str(i), self.bytes[i]
-            else:
-                yield from map(self.memo.__getitem__, self.chunk.findall(part))
+    def _plain(self, text: str) -> list[int]:
+        """The ids of a text, added tokens apart."""
+        return array("i", b"".join(map(self.pieces.__getitem__, self.pre.findall(text)))).tolist()
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; strings of added tokens become those tokens."""
-        return [int(i) for ids, _ in self._parts(text or "") for i in ids.split(",")]
-
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        text = text or ""
+        if self.split is None or not any(s in text for s in self.special):
+            return self._plain(text)
+        return [i for part in self.split.split(text) for i in ([self.special[part]] if part in self.special else self._plain(part))]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: vocabulary strings are concatenated, then read as UTF-8; bytes that aren't UTF-8 become U+FFFD."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
-    def round_trip(self, text: str | None) -> tuple[str, str]:
-        """The ids of a text, joined by commas, and the text decoded from them."""
-        parts = list(self._parts(text or ""))
-        return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]).decode("utf-8", "replace")
+    def written(self, ids: Iterable[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -168,13 +145,8 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     def run(keys, texts):
         bpe = load(vocabulary)
         for k, t in zip(keys, texts):
-            ids, decoded = bpe.round_trip(t)
-            yield (
-                k,
-                ids.count(",") + 1 if ids else 0,
-                hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(decoded.encode()).hexdigest(),
-            )
+            ids = bpe.encode(t)
+            yield k, len(ids), hashlib.sha256(bpe.written(ids).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
     kind = docs.schema[key].dataType.simpleString()
     return rows_operator(docs, [key, text], run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -111,7 +111,7 @@ class Model:
         self.log_move = np.where(allowed, self._whole(np.log(self.move / self.move.sum(axis=1, keepdims=True))), -(1 << 50))
         self.log_start = np.where([b for _, b in STATES], self._whole(np.log(self.start / self.start.sum())), -(1 << 50))
         self.cache: dict[str, np.ndarray] = {}
-        self.steps = Memo(self._step, 1 << 14)
+        self.steps = Memo(self._step, 8 << 20)
         return self
 
     @staticmethod

@@ -5,14 +5,21 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_base
+
 #: A group is hot when it holds at least this share of all rows, so there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 1000
 
+#: Bytes of a batch that become Python values at once, about, and result rows that are gathered.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 4096
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -24,12 +31,22 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this user's in a session without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/loomgraph-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; all of an application lie side by side."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what operators of this application have written to the shared folder; frames that aren't written yet can't be read after."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame, path: str) -> DataFrame:
@@ -38,13 +55,21 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Successive rows of a batch, of about PIECE_BYTES together."""
+    step = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def rows_operator(
     df: DataFrame, columns: Iterable[str | Column], function: Callable[..., Iterator[tuple]], schema: str
 ) -> DataFrame:
-    """Run function(lists of the columns' values) -> tuples on each Arrow batch.
+    """Run function(lists of the columns' values) -> tuples on pieces of the Arrow batches.
 
     function is called with one Python list per column and yields one tuple
-    per output row in the order of schema.
+    per output row in the order of schema.  A piece has about PIECE_BYTES, or is
+    one row; of what function yields, PIECE_ROWS rows are held at most.
     """
     ensure_importable(df.sparkSession)
     out = _arrow_schema(schema)
@@ -52,9 +77,10 @@ def rows_operator(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(function(*(c.to_pylist() for c in batch.columns)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made), out.types)], names=names)
+            for piece in pieces(batch):
+                made = iter(function(*(c.to_pylist() for c in piece.columns)))
+                while some := list(islice(made, PIECE_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*some), out.types)], names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -78,9 +104,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = groups.where(F.col(size) >= least)
     cold = groups.where(F.col(size) < least)
     extra = [c for c in groups.columns if c != key]
-    marked = rows.join(F.broadcast(hot.select(key, F.struct(*extra).alias("_hot"))), key, "left")
-    done = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(cold, key, "left").select(*rows.columns, *extra)
+    own, name = [F.col(f"`{c}`") for c in rows.columns], fresh(rows, "_hot")
+    marked = rows.join(F.broadcast(hot.select(key, F.struct(*extra).alias(name))), key, "left")
+    done = marked.where(F.col(name).isNotNull()).select(*own, f"{name}.*")
+    rest = marked.where(F.col(name).isNull()).drop(name).join(cold, key, "left").select(*own, *extra)
     return done.unionByName(rest)
 
 
@@ -90,18 +117,27 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 class Memo(dict):
-    """A cache of computed values of two generations: when it is full, values unused since it last was are forgotten."""
+    """A cache of computed flat values in two generations, of about most bytes together: when one is full, values unused since the last was are forgotten.
+
+    Keys longer than LONG are rarely seen again and are computed each time.
+    """
+
+    LONG = 64
 
     def __init__(self, compute: Callable, most: int):
         super().__init__()
-        self.compute, self.most, self.older = compute, most // 2, {}
+        self.compute, self.most, self.held, self.older = compute, most // 2, 0, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONG:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.most:
+        self.held += getsizeof(key) + getsizeof(value) + 100
+        if self.held >= self.most:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
         return value

@@ -20,11 +20,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, shared_dir
+from .common import cut, fresh, join_groups, shared_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a digest that choose a bit map, and bits in each map: 256 maps of 4 KiB, whatever the input.
 _MAP_BITS, _POSITION_BITS = 8, 15
+#: Memory of an executor that keyed state takes at most; the rest of it is on disk.
+STATE_MB = 128
 
 
 def normalised(text: Column) -> Column:
@@ -71,6 +73,9 @@ def stream_state(digests: str, schema, checkpoint: str, spark: SparkSession) ->
         spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # else each state partition reserves some MB of disk, however small it is
         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
+        # nor some MB of memory: an executor's partitions share one bounded block cache and write buffer
+        spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
+        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=str(STATE_MB),
     ):
         rows = spark.readStream.schema(schema).parquet(digests)
         # struct order: the largest id wins, and null ids come first
@@ -142,6 +147,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=_di
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts (all repeated rows of an id that stays)."""
-    gone = classes(docs, key, text).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that stay, one of each group of equal texts (all rows of the id that stays and that text)."""
+    told = classes(docs, key, text).where("not kept").select(F.col(key).alias("id"), F.col("text_sha256").alias("sum")).distinct()
+    names = [fresh(docs, "_gone_id"), fresh(docs, "_gone_sum")]
+    gone = told.toDF(*names)
+    # rows of one id may differ in text, so an id alone doesn't name what goes
+    same = F.col(key).eqNullSafe(F.col(names[0])) & (_digest(normalised(F.col(text))) == F.col(names[1]))
+    return docs.join(gone, same, "left_anti")

@@ -2,11 +2,12 @@
 
 Public vocabularies measure characters per token, the share of byte-fallback
 tokens and the entropy of tokens.  Each script and size class (a power of two of
-tokens, since entropy depends on length) has rejection bands about the median of
-all documents that pass the base rules: so many quartile distances, and at least
-a least half-width.  Few characters per token (gibberish), low entropy (filler
-and markup) and a high byte-fallback share (broken or foreign bytes) reject a
-document; the other sides stay open.
+tokens of the first vocabulary, since entropy depends on length) has rejection
+bands about the median of all documents that pass the base rules: so many
+quartile distances, and at least a least half-width.  Few characters per token
+(gibberish), low entropy (filler and markup) and a high byte-fallback share
+(broken or foreign bytes) reject a document when all vocabularies find the same
+measure out of its band; the other sides stay open.
 
 Defined results: a null text has no words; documents without words have
 measures of 0 and fail the base rules.  A class of a script with fewer than
@@ -19,14 +20,18 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from array import array
+from base64 import b64decode
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, rows_operator, shared_dir
+from .common import Memo, cut, rows_operator, shared_dir
 
 #: Base rules: least words, most repeated words in 100.
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -35,14 +40,14 @@ _SYMBOLS = "[#*$%&|<>]".strip("[]")
 _WHITE = " \t\n\x0b\f\r"
 #: Bands: the side (-1: low values are rejected), quartile distances, least half-width and cells per unit of each measure.
 MEASURES = {"chars_per_token": (-1, 4.0, 0.4, 100), "byte_share": (1, 4.0, 0.05, 1000), "entropy": (-1, 1.75, 0.03, 1000)}
-#: Words whose tokens a worker remembers.
-MEMO = 200_000
+#: Bytes of words' tokens that a worker remembers for a vocabulary, about.
+CACHE_BYTES = 48 << 20
 #: Documents that a class needs for bands of its own.
 LEAST = 50
 
 
 class Vocabulary:
-    """Token ids of single words under a SentencePiece model or a vocabulary of the tokenizers library."""
+    """Token ids of single words under a SentencePiece model, a table of byte ranks or a vocabulary of the tokenizers library."""
 
     def __init__(self, path: str):
         if path.endswith(".model"):
@@ -51,35 +56,45 @@ class Vocabulary:
             p = SentencePieceProcessor(model_file=path)
             self.size = p.get_piece_size()
             self.fallback = np.fromiter((p.is_byte(i) for i in range(self.size)), bool, self.size)
-            self._encode = lambda words: p.encode(words, num_threads=1)
+            encode = lambda w: p.encode(w)
         else:
-            from .bpe import load
+            if path.endswith(".tiktoken"):
+                from tiktoken import Encoding
 
-            b = load(path)
-            self.size = max(b.bytes) + 1
+                from .bpe import PATTERN
+
+                with open(path, "rb") as f:
+                    ranks = {b64decode(a): int(b) for a, b in map(bytes.split, f)}
+                e = Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+                strings, plain = {i: s for s, i in ranks.items()}, e.encode_ordinary
+            else:
+                from .bpe import load
+
+                b = load(path)
+                strings, plain = b.bytes, b.encode
+            self.size = max(strings) + 1
             # a byte vocabulary falls back where a token is one byte of a character of several
             self.fallback = np.zeros(self.size, bool)
-            self.fallback[[i for i in b.byte_ids if b.bytes[i][0] >= 0x80]] = True
-            self._encode = lambda words: [b.encode(" " + w) for w in words]
-        self.memo: dict[bytes, np.ndarray] = {}
-
-    def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float, int]:
-        """Characters per token, byte-fallback share, entropy as a share of its greatest value, tokens."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        for w, ids in zip(new, self._encode([w.decode("utf-8", "replace") for w in new])):
-            self.memo[w] = np.array(ids, np.int32)
+            self.fallback[[i for i, s in strings.items() if len(s) == 1 and s[0] >= 0x80]] = True
+            encode = lambda w: plain(" " + w)
+        self.memo = Memo(lambda w: array("i", encode(w.decode("utf-8", "replace"))).tobytes(), CACHE_BYTES)
+
+    def measure(self, words: dict[bytes, int], counts: np.ndarray, chars: int) -> tuple[float, float, float, int]:
+        """Characters per token, byte-fallback share, entropy as a share of its greatest value, tokens, of distinct words and their numbers."""
         parts = list(map(self.memo.__getitem__, words))
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        n = len(ids)
-        if not n:
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        if not len(ids):
             return 0.0, 0.0, 0.0, 0
-        counts = np.bincount(ids)
-        some = counts[counts > 0] / n
+        weights = np.repeat(counts, np.fromiter(map(len, parts), np.int64, len(parts)) >> 2)
+        n = int(weights.sum())
+        order = np.argsort(ids, kind="stable")
+        ids, weights = ids[order], weights[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        each = np.add.reduceat(weights, starts)
+        some = each / n
         top = math.log2(min(n, self.size))
         entropy = float(-(some * np.log2(some)).sum()) / top if top else 1.0
-        return chars / n, float(self.fallback[ids].mean()), entropy, n
+        return chars / n, float(each[self.fallback[ids[starts]]].sum() / n), entropy, n
 
 
 @lru_cache(maxsize=4)
@@ -99,15 +114,18 @@ def script(text: str) -> str:
     return min(found, key=lambda k: (-found[k], k)) if found else ""
 
 
-def repeated_words(words: list, window: int = WINDOW) -> int:
-    """Words in windows of that many words that the text holds twice or more, the first ones included."""
-    n = len(words) - window + 1
+def numbered(words: list) -> tuple[dict, np.ndarray]:
+    """The distinct words, numbered as they come, and the number of each word."""
     ids: dict = {}
-    codes = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    if n < 2 or len(ids) == len(words):
+    return ids, np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+
+
+def repeated_words(codes: np.ndarray, distinct: int, window: int = WINDOW) -> int:
+    """Words in windows of that many words that the text holds twice or more, the first ones included; words by their numbers."""
+    n = len(codes) - window + 1
+    if n < 2 or distinct == len(codes):
         return 0
     keys = codes[:n]
-    distinct = len(ids)
     bound = distinct
     for i in range(1, window):
         if bound * distinct >= 1 << 62:  # pack anew: as many keys as windows
@@ -119,7 +137,7 @@ def repeated_words(words: list, window: int = WINDOW) -> int:
     twice = np.flatnonzero(counts[inverse] > 1)
     if not len(twice):
         return 0
-    cover = np.zeros(len(words) + 1, np.int64)
+    cover = np.zeros(len(codes) + 1, np.int64)
     cover[twice] += 1
     np.add.at(cover, twice + window, -1)
     return int((np.cumsum(cover)[:-1] > 0).sum())
@@ -137,23 +155,32 @@ def repeated_lines(text: str) -> int:
     return again
 
 
-def measures(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, base counts and measures of each row's whole text."""
+def _named(i: int) -> list[str]:
+    """The columns of the measures under the vocabulary with that number."""
+    return [m if i == 0 else f"{m}_{i + 1}" for m in (*MEASURES, "n_tokens")]
+
+
+def measures(docs: DataFrame, paths: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, base counts and measures of each row's whole text; those of vocabularies after the first have its number in their names."""
 
     def run(keys, texts):
-        v = vocabulary(path)
+        every = [vocabulary(path) for path in paths]
         for k, t in zip(keys, texts):
             t = t or ""
             words = t.encode().split()
             chars = len(t) - sum(map(t.count, _WHITE))
-            repeats = repeated_words(words)
+            distinct, codes = numbered(words)
+            counts = np.bincount(codes, minlength=len(distinct))
+            repeats = repeated_words(codes, len(distinct))
             failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED * len(words)
-            yield (k, len(words), chars, sum(map(t.count, _SYMBOLS)), repeated_lines(t), repeats, failed, script(t), *v.measure(words, chars))
+            measured = chain.from_iterable(v.measure(distinct, counts, chars) for v in every)
+            yield (k, len(words), chars, sum(map(t.count, _SYMBOLS)), repeated_lines(t), repeats, failed, script(t), *measured)
 
     kind = docs.schema[key].dataType.simpleString()
+    columns = ", ".join(f"{m} {'long' if m.startswith('n_') else 'double'}" for i in range(len(paths)) for m in _named(i))
     return rows_operator(
         docs, [key, text], run,
-        f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, byte_share double, entropy double, n_tokens long",
+        f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, {columns}",
     )
 
 
@@ -161,48 +188,46 @@ def size_class(tokens: Column) -> Column:
     return F.floor(F.log2(F.greatest(tokens, F.lit(1)))).cast("int")
 
 
-def bands(rows: DataFrame) -> dict[tuple[str, int], dict[str, float]]:
-    """The bound of each measure for each (script, size class), with script '*' for all scripts together.
+def bands(rows: DataFrame, vocabularies: int = 1) -> DataFrame:
+    """_script ('*' for all together), _size, and _<column>: the bound of each measure; one row per script and size class of LEAST documents or more.
 
-    Medians and quartiles are exact on a grid: what reaches the driver is one
-    count for each script, class, measure and grid cell, however many documents.
+    Medians and quartiles are exact on a grid: documents are counted by script,
+    class, measure and grid cell before they are ordered.
     """
-    cells = F.array(*[F.struct(F.lit(m).alias("m"), F.round(F.col(m) * grid).cast("int").alias("cell")) for m, (*_, grid) in MEASURES.items()])
-    passed = rows.where("not base_failed").select("script", size_class(F.col("n_tokens")).alias("size"), F.explode(cells).alias("c"))
-    counted = passed.groupBy("script", "size", "c.m", F.least("c.cell", F.lit(5000)).alias("cell")).count()
-    table: dict[tuple[str, int, str], Counter] = {}
-    for r in counted.collect():
-        for s in (r["script"], "*"):
-            table.setdefault((s, r["size"], r["m"]), Counter())[r["cell"]] += r["count"]
-    out: dict[tuple[str, int], dict[str, float]] = {}
-    for (s, size, m), cell in table.items():
-        if sum(cell.values()) < LEAST:
-            continue
-        side, width, least, grid = MEASURES[m]
-        values = sorted(cell)
-        sums = np.cumsum([cell[v] for v in values])
-        q1, q2, q3 = (values[int(np.searchsorted(sums, q * sums[-1]))] / grid for q in (0.25, 0.5, 0.75))
-        out.setdefault((s, size), {})[m] = q2 + side * max(least, width * (q3 - q1))
-    return out
-
-
-def within(rows: DataFrame, found: dict[tuple[str, int], dict[str, float]]) -> DataFrame:
+    grids = {name: of for i in range(vocabularies) for name, of in zip(_named(i), MEASURES.values())}
+    cells = F.array(*[F.named_struct(F.lit("m"), F.lit(m), F.lit("cell"), F.round(F.col(m) * grid).cast("long")) for m, (*_, grid) in grids.items()])
+    passed = rows.where("not base_failed").select(F.explode(F.array("script", F.lit("*"))).alias("_script"), size_class(F.col("n_tokens")).alias("_size"), cells.alias("c"))
+    counted = passed.select("_script", "_size", F.explode("c").alias("c")).groupBy("_script", "_size", "c.m", "c.cell").agg(F.count("*").alias("n"))
+    group = W.partitionBy("_script", "_size", "m")
+    summed = counted.withColumn("sum", F.sum("n").over(group.orderBy("cell"))).withColumn("all", F.sum("n").over(group))
+    quartile = [F.min(F.when(F.col("sum") >= q * F.col("all"), F.col("cell"))) for q in (0.25, 0.5, 0.75)]
+    found = summed.where(F.col("all") >= LEAST).groupBy("_script", "_size", "m").agg(F.array(*quartile).alias("q"))
+    bounds = []
+    for m, (side, width, least, grid) in grids.items():
+        q = F.max(F.when(F.col("m") == m, F.col("q")))
+        bounds.append((q[1] / grid + side * F.greatest(F.lit(least), width * (q[2] / grid - q[0] / grid))).alias(f"_{m}"))
+    return found.groupBy("_script", "_size").agg(*bounds)
+
+
+def within(rows: DataFrame, table: DataFrame, vocabularies: int = 1) -> DataFrame:
     """rows with in_bands; the bounds that are broadcast number at most the scripts times the size classes."""
-    names = sorted(MEASURES)
-    schema = "_script string, _size int, " + ", ".join(f"_{m} double" for m in names)
-    table = rows.sparkSession.createDataFrame([(s, size, *(of[m] for m in names)) for (s, size), of in found.items()], schema)
+    names = [n for i in range(vocabularies) for n in _named(i)[:-1]]
     all_ = table.where("_script = '*'").drop("_script").select(F.col("_size").alias("_any"), *[F.col(f"_{m}").alias(f"_any_{m}") for m in names])
     joined = rows.withColumn("_class", size_class(F.col("n_tokens")))
-    joined = joined.join(F.broadcast(table), (F.col("script") == F.col("_script")) & (F.col("_class") == F.col("_size")), "left")
+    joined = joined.join(F.broadcast(table.where("_script <> '*'")), (F.col("script") == F.col("_script")) & (F.col("_class") == F.col("_size")), "left")
     joined = joined.join(F.broadcast(all_), F.col("_class") == F.col("_any"), "left")
-    ok = F.lit(True)
-    for m in names:
-        bound, side = F.coalesce(f"_{m}", f"_any_{m}"), MEASURES[m][0]
-        ok &= F.coalesce(F.col(m) <= bound if side > 0 else F.col(m) >= bound, F.lit(True))
-    return joined.select(*rows.columns, ok.alias("in_bands"))
+
+    def out(m: str, side: int) -> Column:
+        bound = F.coalesce(f"_{m}", f"_any_{m}")
+        return F.coalesce(F.col(m) > bound if side > 0 else F.col(m) < bound, F.lit(False))
+
+    rejected = [reduce(Column.__and__, [out(_named(i)[j], of[0]) for i in range(vocabularies)]) for j, of in enumerate(MEASURES.values())]
+    return joined.select(*rows.columns, (~reduce(Column.__or__, rejected)).alias("in_bands"))
 
 
-def judge(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """measures() with kept: neither a base rule nor a band of the row's script and size class rejects it."""
-    rows = cut(measures(docs, path, key, text), f"{shared_dir(docs.sparkSession)}/measures")
-    return within(rows, bands(rows)).withColumn("kept", ~F.col("base_failed") & F.col("in_bands")).drop("in_bands")
+def judge(docs: DataFrame, *paths: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """measures() with kept: neither a base rule nor the bands of the row's script and size class reject it."""
+    at = shared_dir(docs.sparkSession)
+    rows = cut(measures(docs, list(paths), key, text), f"{at}/measures")
+    table = cut(bands(rows, len(paths)), f"{at}/bands")
+    return within(rows, table, len(paths)).withColumn("kept", ~F.col("base_failed") & F.col("in_bands")).drop("in_bands")

@@ -11,7 +11,7 @@ any other path proves it best, and the recurrence is run on all other texts.
 
 Defined results: null and letterless texts are 'und' with score 0.  Text in
 scripts that no language uses is scored against all languages.  Without any
-labelled row all texts are 'und'.  Ties go to the first language by name.
+labelled row all texts are 'und'.  Letters are Unicode's (L).  Ties go to the first language by name.
 Repeated rows are labelled alike; only the text decides.
 """
 
@@ -22,19 +22,22 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, ensure_importable, held_out, rows_operator, shared_dir
+from .common import cut, ensure_importable, held_out, rows_operator, shared_dir
 
-#: Labelled rows of each language that training takes, about, and trigrams of each language that it keeps, by count.
-ROWS_PER_LANGUAGE, TRIGRAMS = 2_000, 30_000
-#: Nats that a switch of language costs, and the most that a word can say against a language.
-PENALTY, CLIP = 12.0, 8.0
+#: Labelled rows of each language, and of all languages together, that training takes, about.
+ROWS_PER_LANGUAGE, MAX_ROWS = 2_000, 200_000
+#: Nats that a switch of language costs, the most that a word can say against a candidate, and what bars a language that isn't one.
+PENALTY, CLIP, BARRED = 12.0, 8.0, 1e6
+#: Bytes of words' scores that a worker remembers, about, and languages whose numbers of rows are broadcast at most.
+CACHE_BYTES, BROADCAST = 64 << 20, 10_000
 #: Least share of a language's letters that a script needs to count as used.
 USED = 0.01
-_WORD = re.compile(r"[^\W\d_]+")
-_OTHER = re.compile(r"(?!\n)[\W\d_]")
+_WORD = regex.compile(r"\p{L}+")
+_OTHER = regex.compile(r"[^\p{L}\n]")
 
 # First code points of Unicode ranges, and their scripts.
 RANGES = [
@@ -56,8 +59,8 @@ def script(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Trigrams of a lower-cased word with its ends marked by spaces."""
-    w = f" {word.lower()} "
+    """Trigrams of a word with its ends marked by spaces."""
+    w = f" {word} "
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
@@ -75,7 +78,7 @@ class Model:
         n = len(self.languages)
         self.rows = np.zeros((1 << 12, n))
         self.letters = np.zeros(1 << 12)
-        self.used = 0
+        self.used = self.held = 0
         self.index = {}
         # trigrams as sorted numbers, their rows (and one more for unseen ones), and scripts that not all languages use
         code = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in self.table], np.int64)
@@ -106,15 +109,19 @@ class Model:
         row = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
         row = np.where(self.codes[row] == code, row, len(self.codes)) if len(self.codes) else np.zeros(len(code), np.int64)
         total = np.stack([np.bincount(token, self.matrix[row, j], n) for j in range(m)], axis=1)
+        barred = np.zeros((n, m), bool)
         if self.partial:
             kind = np.searchsorted(_STARTS, b[at], side="right") - 1
             for i in np.unique(kind).tolist():
                 if (name := RANGES[i][1]) in self.partial:
-                    total[np.ix_(np.unique(token[kind == i]), ~self.scripts[name])] = -1e9
-        return np.maximum(total - total.max(axis=1, keepdims=True), -CLIP), np.bincount(token, minlength=n).astype(float)
+                    barred[np.ix_(np.unique(token[kind == i]), ~self.scripts[name])] = True
+            barred[barred.all(axis=1)] = False  # a word of scripts that no language has together
+        total = np.where(barred, -np.inf, total)
+        total = np.maximum(total - total.max(axis=1, keepdims=True), -CLIP)
+        return np.where(barred, -BARRED, total), np.bincount(token, minlength=n).astype(float)
 
     def _rows(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.used > 300_000:
+        if self.held > CACHE_BYTES:
             self._reset()
         index = self.index
         new = [w for w in dict.fromkeys(raw) if w not in index]
@@ -126,6 +133,7 @@ class Model:
             self.rows[self.used : end], self.letters[self.used : end] = self._score(new)
             index.update(zip(new, range(self.used, end)))
             self.used = end
+            self.held += sum(map(len, new)) + len(new) * (150 + 8 * len(self.languages))
         at = np.fromiter(map(index.__getitem__, raw), np.int64, len(raw))
         return self.rows[at], self.letters[at]
 
@@ -193,20 +201,21 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Count trigrams and scripts in about rows documents of each language (all of rare ones), by hash of their ids, outside the held-out fifth."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, most: int = MAX_ROWS) -> Model:
+    """Count trigrams and scripts in about rows documents of each language (all of rare ones), by hash of their ids, outside the held-out fifth; most bounds all languages together."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(key).alias("_id"))
-    sizes = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(1000).collect()}
-    if not sizes:
+    at = shared_dir(docs.sparkSession)
+    sizes = cut(known.groupBy("_lang").agg(F.count("*").alias("_n")), f"{at}/sizes")
+    number = sizes.count()
+    if not number:
         return Model()
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n))])
     unit = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(unit < F.coalesce(share[F.col("_lang")], F.lit(0.0)))
+    sample = known.join(F.broadcast(sizes) if number <= BROADCAST else sizes, "_lang").where(unit * F.col("_n") < F.lit(min(rows, most / number)))
 
     def count(langs, texts):
         seen: dict[str, Counter] = defaultdict(Counter)
         for lang_, t in zip(langs, texts):
-            words = Counter(_WORD.findall(t))
+            words = Counter(_WORD.findall(t.lower()))
             c = seen[lang_]
             for w, n in words.items():
                 for g in grams(w):
@@ -217,11 +226,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 yield lang_, g[0], g[1:], n
 
     parts = rows_operator(sample, ["_lang", "_text"], count, "lang string, kind string, what string, n long")
-    table = cut(parts.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), f"{shared_dir(docs.sparkSession)}/counts")
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "what")
-    local = table.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRIGRAMS).drop("_r").toPandas()
+    local = cut(parts.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), f"{at}/counts").toPandas()
     languages = sorted(local["lang"].unique())
     at = {name: i for i, name in enumerate(languages)}
     of = local[local["kind"] == "g"]

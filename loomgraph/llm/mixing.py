@@ -11,10 +11,12 @@ kept back for this from its first flight on) land by the choice nearest to its
 targets.  Each source lands when it is down to one group, whatever the others do.
 
 Defined results: a null text has size 0; null sources are one source, the last.
-A source of size 0 has target 0 and its rows are taken no times.  Randomness is
-a hash of SEED, id and size, so reruns agree; rows that agree in these are alike
-and their copies may differ in what is taken.  Repeated rows count as rows of
-their own.  Only the id, text and source columns decide.
+A source of size 0 has target 0 and its rows are taken no times.  Rows that agree
+in id, source and text are alike: they are counted as one group and then told
+apart by a number, and randomness is a hash of SEED, id, text and that number.
+So reruns agree, null ids included, and a group of any size is dealt to many
+tasks; which of several alike rows are taken is open.  Only the id, text and
+source columns decide.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, ensure_importable, join_groups, shared_dir
+from .common import cut, ensure_importable, fresh, join_groups, shared_dir
 
 # Fixed values of the mix: weights by the sources' order, words to take as a share of all, the most copies of a source.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED, GROUP, LANDING = 20240607, 4000, 8
+#: Alike rows that one task tells apart at once.
+BLOCK = 4096
 _EPS = 1e-9
 
 
@@ -40,26 +44,34 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes (source, source_size) with target: the level at which the sum of least(weight * level, cap * size) is share of all.
+def _ranked(rows: DataFrame, order: Column, name: str, path: str) -> DataFrame:
+    """rows with their number, from 0, in a total order: sorted by range, numbered within each partition, and moved by the rows before it."""
+    sorted_ = cut(rows.orderBy(order).withColumn(name, F.monotonically_increasing_id()), path)
+    part = F.shiftright(name, 33)
+    counts = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = sorted_.withColumn("_part", part).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return moved.withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_part", "_before")
 
-    That is where sharing by weight, cutting at the cap and sharing the excess
-    anew comes to rest.  The table has one row per source.
+
+def targets(sizes: DataFrame, path: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sizes (source, source_size, one row per source) with target.
+
+    Sources share by weight, those above cap * size stop there and the excess is
+    shared anew, until none is above.  Each round sums over the sources.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("_n", F.row_number().over(order) - 1).withColumn("_w", weight)
-    rows = rows.withColumn("_full", cap * F.col("source_size") / F.col("_w"))  # the level at which a source is at its cap
-    by_level = W.orderBy("_full", "_n")
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * share
-    capped = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * cap
-    open_weight = F.sum("_w").over(by_level.rowsBetween(0, W.unboundedFollowing))
-    rows = rows.withColumn("_level", (total - capped) / open_weight)
-    # the first source, from the lowest cap on, that stays below its cap fixes the level
-    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_n", "_level"))).over(everything)["_level"]
-    return rows.withColumn("target", F.least(F.col("_w") * F.coalesce(level, F.lit(float("inf"))), cap * F.col("source_size"))).select("source", "source_size", "target")
+    rows = cut(_ranked(sizes, F.col("source").asc_nulls_last(), "_n", f"{path}/sorted").withColumn("_w", weight), f"{path}/ranked")
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, most = 0.0, -1
+    while True:
+        full = (F.col("_w") * level >= cap * F.col("source_size")) if most >= 0 else F.lit(False)
+        number, stopped, open_weight = rows.agg(F.count_if(full), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("_w")))).first()
+        if number == most or not open_weight:
+            break
+        level, most = (total - cap * (stopped or 0)) / open_weight, number
+    target = F.least(F.col("_w") * level, cap * F.col("source_size")) if open_weight else cap * F.col("source_size")
+    return rows.withColumn("target", target).drop("_n", "_w")
 
 
 def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -120,23 +132,28 @@ def _group(level: int):
     return run
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per row of docs: key, size, source_size, target, copies and taken (copies * size)."""
-    spark = docs.sparkSession
-    ensure_importable(spark)
-    at = shared_dir(spark)
+def _units(alike: DataFrame) -> DataFrame:
+    """A row for each of the _n rows of a group, told apart by _i; large groups are dealt out in blocks first."""
+    small, large = alike.where(F.col("_n") <= BLOCK), alike.where(F.col("_n") > BLOCK)
+    blocks = large.withColumn("_b", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {BLOCK}")))).repartition("_key", "_sum", "_b")
+    last = F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK) - 1
+    dealt = blocks.withColumn("_i", F.explode(F.sequence(F.col("_b") * BLOCK, last))).drop("_b")
+    return small.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).unionByName(dealt)
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, weights, share: float, cap: float, at: str) -> DataFrame:
+    """One row per row of docs: _key, _sum (hash of the text), source, size, source_size, target and copies."""
+    ensure_importable(docs.sparkSession)
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    rows = cut(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), name.alias("_name"), words(F.col(text)).alias("size")), f"{at}/rows")
-    totals = cut(rows.groupBy("_name", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), f"{at}/totals")
-    goals = targets(totals.select("source", "source_size"), weights, share, cap)
-    goals = totals.drop("source_size").join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    read = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), name.alias("_name"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_sum"), words(F.col(text)).alias("size"))
+    alike = cut(read.groupBy("_key", "_sum", "source", "_name", "size").agg(F.count("*").alias("_n")), f"{at}/alike")
+    totals = cut(alike.groupBy("_name", "source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("_docs")), f"{at}/totals")
+    goals = cut(targets(totals, at, weights, share, cap).drop("source"), f"{at}/goals")
     sums = totals.agg(F.max("_docs"), F.sum("_docs")).first()
-    state = join_groups(rows, cut(goals, f"{at}/goals"), "_name", "_docs", sums[1] or 0)
+    state = join_groups(_units(alike), goals, "_name", "_docs", sums[1] or 0)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # rows without an id can't be told apart by it, and there may be many of them
-    told = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
     state = state.withColumn("_whole", F.floor(ratio + _EPS)).withColumn("_p", F.greatest(F.lit(0.0), ratio - F.col("_whole")))
-    state = state.withColumn("_u", F.pmod(F.xxhash64("_key", "size", told, F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)).drop("_name").withColumn("_kept", F.lit(False))
+    state = state.withColumn("_u", F.pmod(F.xxhash64("_key", "_sum", "_i", F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)).drop("_name", "_n", "_i").withColumn("_kept", F.lit(False))
     names, done, level, most = state.columns, None, 0, sums[0] or 0
     fractional = (F.col("_p") > _EPS) & (F.col("_p") < 1 - _EPS)
     while True:
@@ -151,12 +168,37 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         settled = flown.where(~fractional)
         done = settled if done is None else done.unionByName(settled)
         state, most, level = flown.where(fractional), 2 * -(-most // GROUP) + LANDING, level + 1
-    copies = (F.col("_whole") + F.round("_p")).cast("long")
-    return done.select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.withColumn("copies", (F.col("_whole") + F.round("_p")).cast("long"))
 
 
-def resample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs with each row as many times as the mix takes it; ids are expected to be unique, and of repeated rows each is taken as often as the least of them."""
-    number = mix(docs, key, text, source, **options).groupBy(F.col(key).alias("_id")).agg(F.min("copies").cast("int").alias("_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")
-    return docs.join(number.where("_copies > 0"), F.col(key).eqNullSafe(F.col("_id"))).select(*docs.columns, times).drop("_time")
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row per row of docs: key, source, size, source_size, target, copies and taken (copies * size)."""
+    made = _mixed(docs, key, text, source, weights, share, cap, shared_dir(docs.sparkSession))
+    return made.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """docs with each row as many times as the mix takes it; alike rows share what it takes of them as evenly as can be."""
+    at = shared_dir(docs.sparkSession)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alike, n, copies, row = (fresh(docs, x) for x in ("_alike", "_alike_n", "_alike_copies", "_alike_row"))
+    made = _mixed(docs, key, text, source, weights, share, cap, at)
+    per = made.groupBy(F.struct("_key", "source", "_sum").alias(alike)).agg(F.count("*").alias(n), F.sum("copies").alias(copies))
+    per = cut(per, f"{at}/copies")
+    same = F.struct(F.col(key).alias("_key"), F.col(source).alias("source"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_sum"))
+    rows = join_groups(docs.withColumn(alike, same), per.where(F.col(copies) > 0), alike, n, per.agg(F.sum(n)).first()[0] or 0).where(F.col(n) >= 1)
+    times = lambda number: F.explode(F.sequence(F.lit(1).cast("long"), number)).alias(row)
+    single = rows.where(F.col(n) == 1).select(*own, times(F.col(copies))).drop(row)
+    if per.where(F.col(n) > 1).isEmpty():
+        return single
+    # alike rows are numbered within the partitions that they were written in, and moved by the rows of partitions before
+    several = cut(rows.where(F.col(n) > 1).withColumn(row, F.monotonically_increasing_id()), f"{at}/several")
+    part = fresh(several, "_alike_part")
+    several = several.withColumn(part, F.shiftright(row, 33))
+    counts = several.groupBy(alike, part).agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy(alike).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = several.select(alike, part, row, (F.row_number().over(W.partitionBy(alike, part).orderBy(row)) - 1).alias("i"))
+    place = place.join(counts.select(alike, part, before.alias("before")), [alike, part]).select(row, (F.col("i") + F.col("before")).alias(alike))
+    told = several.drop(alike, part).join(place, row)
+    number = F.expr(f"`{copies}` div `{n}`") + F.when(F.col(alike) < F.col(copies) % F.col(n), 1).otherwise(0)
+    return single.unionByName(told.withColumn(copies, number).where(F.col(copies) > 0).select(*own, times(F.col(copies)).alias(part)).drop(part))

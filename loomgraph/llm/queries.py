@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judge(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return fertility.judge(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

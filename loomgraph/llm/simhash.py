@@ -9,9 +9,9 @@ components of the links are found by alternating star contractions.
 Bounds.  Only distinct fingerprints are joined, so copies cost nothing.  A
 bucket of up to BUCKET fingerprints is verified by one task, which emits a
 spanning forest of its links, not its pairs.  A larger bucket is dealt out
-again on choices of blocks of the bits that are still free; such a bucket holds
-at most 2 ** 19 fingerprints (4 MiB) by construction, since 45 bits are equal.
-No link is lost at either level.
+again on choices of blocks of the bits that are still free, and so on: 27 bits
+at least are equal in the first buckets, 44 in the second and 52 in the third,
+which by that hold 4,096 fingerprints at most.  No link is lost at any level.
 
 Defined results: null and empty texts, and texts of white space, have
 fingerprint zero and link like any other.  Texts with fewer words than a
@@ -23,14 +23,15 @@ unless all ids of the component are null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_importable, join_groups, rows_operator, shared_dir
+from .common import cut, ensure_importable, fresh, join_groups, rows_operator, shared_dir
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 BLOCKS, SUB_BLOCKS = 7, 8
@@ -48,9 +49,14 @@ def _choices(bits: list[int], blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(_cuts(bits, blocks), blocks - distance)]
 
 
-#: The masks of the first level, and for each of them those of the second, by the bits left free.
+#: The masks of the first level.
 MASKS = _choices(list(range(64)), BLOCKS, DISTANCE)
-SUB_MASKS = [[m | s for s in _choices([b for b in range(64) if not m >> b & 1], SUB_BLOCKS, DISTANCE)] for m in MASKS]
+
+
+@lru_cache(maxsize=None)
+def sub_masks(mask: int) -> np.ndarray:
+    """The masks of the next level, over bits that mask leaves free."""
+    return np.array([mask | s for s in _choices([b for b in range(64) if not mask >> b & 1], SUB_BLOCKS, DISTANCE)], np.uint64)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -72,15 +78,20 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_sum(text: str) -> Column:
+    """A digest that tells texts of one id apart."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """key and fingerprint, as the signed long of its 64 bits."""
+    """key, sum (text_sum) and fingerprint, as the signed long of its 64 bits, of each row."""
 
-    def run(keys, texts):
-        for k, t in zip(keys, texts):
+    def run(keys, sums, texts):
+        for k, s, t in zip(keys, sums, texts):
             f = fingerprint(t, words)
-            yield k, f - (f >> 63 << 64)
+            yield k, s, f - (f >> 63 << 64)
 
-    return rows_operator(docs, [key, text], run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint long")
+    return rows_operator(docs, [key, text_sum(text).alias("_sum"), text], run, f"key {docs.schema[key].dataType.simpleString()}, sum string, fingerprint long")
 
 
 def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -113,13 +124,13 @@ def _signed(v: int) -> int:
     return v - (v >> 63 << 64)
 
 
-def _deal(prints: DataFrame) -> DataFrame:
-    """Rows of one bucket side by side within a task: which mask, the bits under it, the fingerprint."""
-    return prints.repartition("which", "bits").sortWithinPartitions("which", "bits")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(mask, bits, fingerprint) with the rows of one bucket side by side within a task."""
+    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
 
 
-def _buckets(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over sorted rows (which, bits, fingerprint): edges of each bucket (kind 0), or the rows of a bucket beyond limit (kind 1)."""
+def _buckets(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over sorted rows (mask, bits, fingerprint): edges of each bucket (kind 0), or mask and fingerprint of the rows of a bucket beyond limit (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b"]
@@ -137,18 +148,18 @@ def _buckets(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     yield rows(0, [_signed(a) for a, _ in edges], [_signed(b) for _, b in edges])
 
         for batch in batches:
-            which, bits, prints = (batch.column(i).to_numpy() for i in range(3))
-            if not len(which):
+            masks, bits, prints = (batch.column(i).to_numpy() for i in range(3))
+            if not len(masks):
                 continue
-            ends = np.flatnonzero(np.append((which[1:] != which[:-1]) | (bits[1:] != bits[:-1]), True)) + 1
+            ends = np.flatnonzero(np.append((masks[1:] != masks[:-1]) | (bits[1:] != bits[:-1]), True)) + 1
             start = 0
             for end in ends.tolist():
-                name = (int(which[start]), int(bits[start]))
+                name = (int(masks[start]), int(bits[start]))
                 if name != at:
                     yield from close()
                     held, at, over = [], name, False
                 held.append(prints[start:end])
-                if limit and (over or sum(map(len, held)) > limit):
+                if over or sum(map(len, held)) > limit:
                     over = True
                     for part in held:
                         yield rows(1, np.full(len(part), name[0]), part)
@@ -159,26 +170,32 @@ def _buckets(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mask, bits, fingerprint) under each mask of the next level, for rows (mask, fingerprint)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            masks = np.stack([sub_masks(m % (1 << 64)) for m in part.column(0).to_pylist()])
+            prints = np.repeat(part.column(1).to_numpy(), masks.shape[1])
+            masks = masks.reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(prints & masks), pa.array(prints)], ["mask", "bits", "fingerprint"])
+
+
 def links(prints: DataFrame, path: str) -> DataFrame:
     """Edges a < b (signed longs) that connect just the fingerprints within DISTANCE of each other; prints: distinct longs in column fingerprint."""
     ensure_importable(prints.sparkSession)
-    schema = "kind int, a long, b long"
-
-    def keyed(rows: DataFrame, masks) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fingerprint").bitwiseAND(_signed(m)).alias("bits")) for i, m in enumerate(masks)])
-        return rows.select(F.explode(keys).alias("k"), "fingerprint").select("k.which", "k.bits", "fingerprint")
-
-    first = cut(_deal(keyed(prints, MASKS)).mapInArrow(_buckets(BUCKET), schema), f"{path}/first")
-    found = first.where("kind = 0").select("a", "b")
-    large = first.where("kind = 1").select(F.col("a").cast("int").alias("mask"), F.col("b").alias("fingerprint"))
-    if not large.isEmpty():
-        subs = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]) for masks in SUB_MASKS])
-        again = large.select(F.posexplode(F.element_at(subs, F.col("mask") + 1)).alias("i", "m"), "mask", "fingerprint").select(
-            (F.col("mask") * 100 + F.col("i")).alias("which"), F.col("fingerprint").bitwiseAND(F.col("m")).alias("bits"), "fingerprint"
-        )
-        second = cut(_deal(again).mapInArrow(_buckets(None), schema), f"{path}/second")
-        found = found.unionByName(second.select("a", "b"))
-    return found.distinct()
+    keys = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fingerprint").bitwiseAND(_signed(m)).alias("bits")) for m in MASKS])
+    rows = prints.select(F.explode(keys).alias("k"), "fingerprint").select("k.mask", "k.bits", "fingerprint")
+    found: DataFrame | None = None
+    for level in range(3):
+        # buckets of the third level are small by construction
+        made = cut(_dealt(rows).mapInArrow(_buckets(BUCKET if level < 2 else 1 << 62), "kind int, a long, b long"), f"{path}/level{level}")
+        edges, large = made.where("kind = 0").select("a", "b"), made.where("kind = 1").select("a", "b")
+        found = edges if found is None else found.unionByName(edges)
+        if level == 2 or large.isEmpty():
+            return found.distinct()
+        rows = large.mapInArrow(_finer, "mask long, bits long, fingerprint long")
+    raise AssertionError
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -201,24 +218,35 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         edges = new
         if done:
             break
+    else:
+        raise RuntimeError("the components haven't settled")
     roots = edges.select(F.col("b").alias("node")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per row of docs: key, fingerprint (16 hex digits), component_id (smallest key reachable), group_size."""
+def _classes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """near_classes() with the hash of the text, and the fingerprint as a long."""
     at = shared_dir(docs.sparkSession)
     rows = cut(fingerprints(docs, key, text, words), f"{at}/prints")
-    own = cut(rows.groupBy("fingerprint").agg(F.min(key).alias("least"), F.count("*").alias("n")), f"{at}/own")
+    own = cut(rows.groupBy("fingerprint").agg(F.min("key").alias("least"), F.count("*").alias("n")), f"{at}/own")
     roots = components(links(own.select("fingerprint"), at), at)
     tied = own.join(roots, own.fingerprint == roots.node, "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
     groups = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    named = join_groups(tied.select("fingerprint", "n", "root"), groups, "root", "group_size", rows.count()).select("fingerprint", "n", "component_id", "group_size")
-    out = join_groups(rows, cut(named, f"{at}/named"), "fingerprint", "n", rows.count())
-    return out.select(key, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "group_size")
+    total = rows.count()
+    named = join_groups(tied.select("fingerprint", "n", "root"), groups, "root", "group_size", total).select("fingerprint", "n", "component_id", "group_size")
+    return join_groups(rows, cut(named, f"{at}/named"), "fingerprint", "n", total)
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """One row per row of docs: key, fingerprint (16 hex digits), component_id (smallest key reachable), group_size."""
+    print_ = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return _classes(docs, key, text, words).select(F.col("key").alias(key), print_, "component_id", "group_size")
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without those that are not the smallest id of their component (all repeated rows of that id stay)."""
-    gone = near_classes(docs, key, text, words).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without those that are not the smallest id of their component (all rows of that id and component stay)."""
+    names = [fresh(docs, "_gone_id"), fresh(docs, "_gone_sum")]
+    told = _classes(docs, key, text, words).where(~F.col("key").eqNullSafe(F.col("component_id")))
+    gone = told.select("key", "sum").distinct().toDF(*names)
+    # rows of one id may differ in text, so an id alone doesn't name what goes
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(names[0])) & (text_sum(text) == F.col(names[1])), "left_anti")

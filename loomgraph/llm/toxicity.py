@@ -26,13 +26,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, ensure_importable, held_out, rows_operator, shared_dir
 
-#: Labelled rows that training takes at most, by hash order of their ids, and features that come to the driver at most, by toxic count.
-MAX_ROWS, MAX_FEATURES = 20_000, 150_000
+#: Labelled rows that training takes at most, by hash order of their ids; what comes to the driver are features of these.
+MAX_ROWS = 20_000
+#: Bytes of tokens' scores that a worker remembers, about, and cells of a nat of the calibration's scores.
+CACHE_BYTES, GRID = 48 << 20, 1000
 #: A feature leans to toxic when its share of toxic documents is at least so many times the sample's.
 LEAN = 1.5
 PREFIXES, STRENGTH, DRIFT = (3, 4, 5, 6), 5.0, 0.6
@@ -66,7 +69,7 @@ class Model:
         return best - DRIFT
 
     def __post_init__(self):
-        self.memo = Memo(self.token, 250_000)
+        self.memo = Memo(self.token, CACHE_BYTES)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
@@ -81,25 +84,25 @@ class Model:
         scores = np.fromiter(map(self.memo.__getitem__, raw), np.float64, len(raw))
         return maximal_segments(scores), len(raw)
 
-    def evidence(self, text: str | None) -> float:
-        """Nats of evidence in all significant segments."""
+    def significant(self, text: str | None) -> tuple[list[tuple[int, int, float]], float]:
+        """The significant segments of a text, and their evidence in nats."""
         found, n = self.segments(text)
         if not found:
-            return 0.0
-        expected = self.log_k + math.log(n)
-        least = -math.log(-math.log1p(-P_VALUE))
-        return sum(e for _, _, s in found if (e := self.lam * s - expected) >= least)
-
-    def score(self, text: str | None) -> float:
+            return [], 0.0
+        expected, least = self.log_k + math.log(n), -math.log(-math.log1p(-P_VALUE))
+        found = [x for x in found if self.lam * x[2] - expected >= least]
+        return found, sum(self.lam * s - expected for _, _, s in found)
+
+    def judge(self, text: str | None) -> tuple[float, int]:
+        """The score of a text and its number of significant segments."""
+        found, evidence = self.significant(text)
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * math.log1p(self.evidence(text))))))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * math.log1p(evidence))))), len(found)
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """Character spans and scores of the significant segments."""
-        found, n = self.segments(text)
-        least = -math.log(-math.log1p(-P_VALUE))
         spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
-        return [(spans[a][0], spans[z - 1][1], s) for a, z, s in found if self.lam * s - self.log_k - math.log(n) >= least]
+        return [(spans[a][0], spans[z - 1][1], s) for a, z, s in self.significant(text)[0]]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -186,7 +189,7 @@ def count_features(rows: DataFrame) -> DataFrame:
 
 
 def leaning(table: DataFrame, base: float) -> DataFrame:
-    """The features that decide a score: those that lean to toxic, and those below a prefix that does, which may take it back.
+    """The features (feature, clean, toxic) that decide a score: those that lean to toxic, and those below a prefix that does, which may take it back.
 
     All others score nothing, as a token's log-odds count from 0 up.
     """
@@ -199,12 +202,18 @@ def leaning(table: DataFrame, base: float) -> DataFrame:
     return own.unionByName(below).drop("leans")
 
 
-def _extreme_value(model: Model, maxima: list[tuple[float, int]], scores: np.ndarray) -> None:
-    """lambda from the scores of clean tokens (E exp(lambda s) = 1), K from the maxima of clean documents."""
+def _fitted(table: DataFrame, rows: tuple[int, int]) -> dict[str, float]:
+    """Log-odds from counts (feature, clean, toxic) in so many clean and toxic rows."""
+    found = leaning(table, rows[1] / sum(rows)).collect() if all(rows) else []
+    return chain_odds({r["feature"]: (r["clean"], r["toxic"]) for r in found}, rows)
+
+
+def _extreme_value(model: Model, maxima: list[tuple[float, int]], scores: np.ndarray, counts: np.ndarray) -> None:
+    """lambda from the scores of clean tokens and their numbers (E exp(lambda s) = 1), K from the maxima of clean documents."""
     lo, hi = 1e-3, 20.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        if np.mean(np.exp(np.minimum(mid * scores, 50.0))) < 1:
+        if np.average(np.exp(np.minimum(mid * scores, 50.0)), weights=counts) < 1:
             lo = mid
         else:
             hi = mid
@@ -225,9 +234,10 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Fit on folds 1 to 3 and calibrate on fold 4 of the sample; the final log-odds count all four."""
-    at = shared_dir(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+    """Fit on folds 1 to 3 and calibrate on fold 4 of the sample, which doesn't choose features for this; the final log-odds count all four."""
+    spark = docs.sparkSession
+    at = shared_dir(spark)
     rows = cut(training_rows(docs, labels, key, text, label, max_rows), f"{at}/train")
     sizes = {}
     for r in rows.groupBy((F.col("_fold") == 4).alias("c"), "_label").count().collect():
@@ -236,10 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not total[1]:
         return Model()
     counted = cut(count_features(rows), f"{at}/features")
-    table = leaning(counted, total[1] / sum(total)).orderBy(F.desc("toxic"), "clean", "feature").limit(max_features).toPandas()
-    fit = Model(chain_odds({f: (int(c), int(t)) for f, c, t in zip(table["feature"], table["clean_fit"], table["toxic_fit"]) if c + t}, tuple(sizes.get((False, y), 0) for y in (0, 1))))
-    calibration = rows.where("_fold = 4")
-    spark = docs.sparkSession
+    fit = Model(_fitted(counted.select("feature", F.col("clean_fit").alias("clean"), F.col("toxic_fit").alias("toxic")), tuple(sizes.get((False, y), 0) for y in (0, 1))))
     shared = spark.sparkContext.broadcast(fit)
 
     def best(labels_, texts):
@@ -247,30 +254,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for y, t in zip(labels_, texts):
             raw = (t or "").encode().split()
             s = np.fromiter(map(m.memo.__getitem__, raw), np.float64, len(raw))
-            yield y, len(raw), max((x for _, _, x in maximal_segments(s)), default=0.0), [float(v) for v in s[:: max(1, len(s) // 200)]], [float(x) for _, _, x in maximal_segments(s)]
+            found = [float(x) for _, _, x in maximal_segments(s)]
+            cells, numbers = np.unique(np.rint(s * GRID).astype(np.int64), return_counts=True)
+            yield y, len(raw), max(found, default=0.0), cells.tolist(), numbers.tolist(), found
 
-    made = rows_operator(calibration, ["_label", "_text"], best, "y int, n long, top double, scores array<double>, segments array<double>").toPandas()
+    schema = "y int, n long, top double, cells array<long>, numbers array<long>, segments array<double>"
+    made = cut(rows_operator(rows.where("_fold = 4"), ["_label", "_text"], best, schema), f"{at}/calibration")
     shared.destroy()
-    clean = made[(made["y"] == 0) & (made["n"] > 0)]
-    if len(clean):
-        _extreme_value(fit, list(zip(clean["top"], clean["n"])), np.concatenate(clean["scores"].to_list()))
-    least = -math.log(-math.log1p(-P_VALUE))
-    evidence = [sum(e for s in segs if (e := fit.lam * s - fit.log_k - math.log(n)) >= least) if n else 0.0 for n, segs in zip(made["n"], made["segments"])]
-    curve = _curve(np.log1p(np.array(evidence, float)), made["y"].to_numpy(float)) if len(made) else (-50.0, 0.0)
-    counts = {f: (int(c), int(t)) for f, c, t in zip(table["feature"], table["clean"], table["toxic"])}
-    return Model(chain_odds(counts, total), fit.lam, fit.log_k, curve)
+    clean = made.where("y = 0 and n > 0")
+    cells = clean.select(F.explode(F.map_from_arrays("cells", "numbers"))).groupBy("key").agg(F.sum("value").alias("n")).collect()
+    if cells:
+        maxima = [(r["top"], r["n"]) for r in clean.select("top", "n").collect()]
+        _extreme_value(fit, maxima, np.array([r["key"] / GRID for r in cells]), np.array([r["n"] for r in cells], float))
+    evidence = F.aggregate(
+        "segments", F.lit(0.0), lambda a, s: a + F.when((e := fit.lam * s - fit.log_k - F.log("n")) >= -math.log(-math.log1p(-P_VALUE)), e).otherwise(0.0)
+    )
+    told = made.select("y", evidence.alias("e")).collect()
+    curve = _curve(np.log1p(np.array([r["e"] for r in told], float)), np.array([r["y"] for r in told], float)) if told else (-50.0, 0.0)
+    return Model(_fitted(counted.select("feature", "clean", "toxic"), total), fit.lam, fit.log_k, curve)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted and n_passages for each row of docs."""
-    ensure_importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(keys, outs, texts):
         m = shared.value
         for k, out, t in zip(keys, outs, texts):
-            s = m.score(t)
-            yield k, out, s, int(s >= 0.5), len(m.passages(t)) if s >= 0.5 else 0
+            s, n = m.judge(t)
+            yield k, out, s, int(s >= 0.5), n if s >= 0.5 else 0
 
     kind = docs.schema[key].dataType.simpleString()
     return rows_operator(docs, [key, held_out(key).alias("_out"), text], run, f"`{key}` {kind}, held_out boolean, score double, predicted int, n_passages int")
@@ -278,13 +290,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that the model doesn't call toxic, in one pass over the texts."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
     ensure_importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: shared.value.score(t if isinstance(t, str) else None) < 0.5)
+    @arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.judge(t.as_py())[0] < 0.5 for t in texts], pa.bool_())
 
     return docs.where(clean(F.coalesce(F.col(text), F.lit(""))))
