@@ -1,11 +1,12 @@
 """Transcript parsing by a hidden Markov model, and canonical rendering of turns.
 
 Each line of a transcript shows a speaker marker (a name before a colon, a
-bracketed or hashed role), and line features: a question mark at the end,
-length, code or list look, whether a blank line came before.  States are a role
-and whether the line begins or continues a turn.  Emission and transition counts
-come from a bounded sample of labelled transcripts, with add-one smoothing;
-Viterbi recovers the states, and runs of one turn become canonical turns.
+bracketed or hashed role), and line features: a question mark at the end, list
+or code look, length, the case of its first letter, whether a blank line came
+before.  States are a role and whether the line begins or continues a turn.
+Emission and transition counts come from a bounded number of labelled
+transcripts, whatever their length, with add-one smoothing; Viterbi recovers the
+states, and runs of one turn become canonical turns.
 
 A transcript is decoded and rendered as a whole, whatever its length.  All lines
 are sorted and dealt out in pieces of at most BLOCK lines, one row each, so the
@@ -16,7 +17,8 @@ Scores are whole numbers, so no result depends on where pieces end.
 
 Defined results: null lines count as empty, empty transcripts have no turns, an
 unmarked line is decided by its features alone.  Repeated rows give repeated
-lines, in the order of turn, role and text.
+lines, in the order of turn, role and text.  Lines that look like the canonical
+form's own marks are rendered with a backslash before them.
 """
 
 from __future__ import annotations
@@ -31,14 +33,15 @@ from itertools import groupby, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, _arrow_schema, cut, ensure_importable, shared_dir
+from .common import Memo, _arrow_schema, cut, ensure_importable, rows_operator, shared_dir
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
-#: Lines of a piece (a power of two); labelled transcripts that training takes at most, and their lines.
-BLOCK, MAX_TRAIN, MAX_LINES = 2048, 2_000, 256
+#: Lines of a piece (a power of two), and labelled transcripts that training takes at most.
+BLOCK, MAX_TRAIN = 2048, 2_000
 
 # Names that commonly mark speakers, by role.
 NAMES = {
@@ -47,6 +50,8 @@ NAMES = {
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "agent": "assistant", "answer": "assistant", "a": "assistant", "model": "assistant",
 }
 MARKER = re.compile(r"^\s*(?:[#>*\-\[<|(]*\s*)([A-Za-z]{1,12})\s*(?:[\])>|*]*\s*:|[\])>|]+)\s*", re.A)
+#: Lines that could be taken for marks of the canonical form.
+MARK = re.compile(r"^\\*<\|", re.M)
 
 
 def marker(line: str) -> tuple[str, int]:
@@ -56,31 +61,36 @@ def marker(line: str) -> tuple[str, int]:
     return (role, m.end()) if role else ("", 0)
 
 
-def observe(line: str, first: bool, after_blank: bool) -> str:
-    """The symbol that a line shows."""
+#: What a line shows by itself: the role that a marker names, its look, its length class, the case of its first letter.
+SHOWN = [f"{role}|{look}|{length}|{case}" for role in ("", *ROLES) for look in ("", "?", "`") for length in range(5) for case in "0a"]
+NUMBERS = {x: i for i, x in enumerate(SHOWN)}
+#: Its place: the first line, after a line that is not blank, after a blank one.
+PLACES = ("first", "next", "after")
+
+
+def shown(line: str | None) -> int:
+    """The number in SHOWN of what a line shows; 0 for blank lines only."""
+    line = line or ""
     role, n = marker(line)
     rest = line[n:].strip()
     length = 0 if not rest else min(4, 1 + len(rest).bit_length() // 3)
     look = "?" if rest.endswith("?") else "`" if rest.startswith(("```", "- ", "* ", "1.")) else ""
-    return f"{role}|{look}|{length}|{int(first)}{int(after_blank)}"
-
-
-#: What a line shows by itself, and by its place: the first, after a line that is not blank, after a blank one.
-SHOWN = [f"{role}|{look}|{length}" for role in ("", *ROLES) for look in ("", "?", "`") for length in range(5)]
-PLACES = ("10", "00", "01")
-NUMBERS = {x: i for i, x in enumerate(SHOWN)}
+    return NUMBERS[f"{role}|{look}|{length}|{'a' if rest[:1].islower() else '0'}"]
 
 
-def shown(line: str | None) -> int:
-    """The number in SHOWN of what a line shows; 0 for blank lines only."""
-    return NUMBERS[observe(line or "", False, False).rpartition("|")[0]]
+def placed(seen: Iterable[int], before: int | None = None) -> Iterator[tuple[int, int]]:
+    """What lines show, with their places; before is what the line before them shows, if there is one."""
+    for x in seen:
+        yield x, 0 if before is None else 2 if before == 0 else 1
+        before = x
 
 
-def observations(lines: list[str]) -> list[str]:
-    out, blank = [], False
-    for i, line in enumerate(lines):
-        out.append(observe(line, i == 0, blank))
-        blank = not line.strip()
+def counted(states: list[int], seen: Iterable[int], before: tuple[int, int] | None = None) -> Counter:
+    """Numbers of (e, state, what it shows, place), (m, state, next state) and (s, first state) in successive lines; before: state and looks of the line before them."""
+    out: Counter = Counter(("e", s, x, at) for s, (x, at) in zip(states, placed(seen, before and before[1])))
+    out.update(("m", a, b, 0) for a, b in zip([before[0], *states] if before else states, states if before else states[1:]))
+    if states and before is None:
+        out["s", states[0], 0, 0] += 1
     return out
 
 
@@ -92,25 +102,38 @@ class Model:
     move: np.ndarray = field(default_factory=lambda: np.ones((len(STATES), len(STATES))))
     start: np.ndarray = field(default_factory=lambda: np.ones(len(STATES)))
 
-    def learn(self, lines: list[str], states: list[int]) -> None:
-        for o, s in zip(observations(lines), states):
-            for part in self._parts(o):
-                self.emit[s][part] += 1
-        if states:
-            self.start[states[0]] += 1
-        for a, b in zip(states, states[1:]):
-            self.move[a, b] += 1
+    def learn(self, counts: dict[tuple[str, int, int, int], int]) -> Model:
+        for (what, a, b, at), n in counts.items():
+            if what == "e":
+                for part in self._parts(b, at):
+                    self.emit[a][part] += n
+            elif what == "m":
+                self.move[a, b] += n
+            else:
+                self.start[a] += n
+        return self
 
     @staticmethod
-    def _parts(o: str) -> list[str]:
-        return [f"{i}{x}" for i, x in enumerate(o.split("|"))]
+    def _parts(x: int, at: int) -> list[str]:
+        """The independent parts of a symbol; whether a line is marked and where it stands tell together whether a turn begins."""
+        role, look, length, case = SHOWN[x].split("|")
+        return [f"{role}|{PLACES[at]}", f"l{look}", f"n{length}", f"c{case}"]
 
     def prepare(self) -> Model:
+        """Scores from the counts.  How long a turn goes on and what its later lines show are shared by the roles, so the length of a turn says nothing of its role."""
+        begins = np.array([b for _, b in STATES])
+        goes_on = np.array([[not b and ra == rb for rb, b in STATES] for ra, _ in STATES])
+        stay = self.move[goes_on].sum() / (self.move[goes_on].sum() + self.move[:, begins].sum())
+        start = np.where(begins, self.move, 0)
+        start = (1 - stay) * start / start.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.where(goes_on, stay, start))
         # a line continues its turn or begins another; it can't continue a turn of another role
-        allowed = np.array([[b or ra == rb for rb, b in STATES] for ra, _ in STATES])
-        self.log_move = np.where(allowed, self._whole(np.log(self.move / self.move.sum(axis=1, keepdims=True))), -(1 << 50))
-        self.log_start = np.where([b for _, b in STATES], self._whole(np.log(self.start / self.start.sum())), -(1 << 50))
-        self.cache: dict[str, np.ndarray] = {}
+        self.log_move = np.where(goes_on | begins, self._whole(np.maximum(logs, -1e3)), -(1 << 50))
+        self.log_start = np.where(begins, self._whole(np.log(self.start / self.start.sum())), -(1 << 50))
+        later = sum((self.emit[i] for i in range(len(STATES)) if not begins[i]), Counter())
+        self.shared = [self.emit[i] if begins[i] else later for i in range(len(STATES))]
+        self.cache: dict[tuple[int, int], np.ndarray] = {}
         self.steps = Memo(self._step, 8 << 20)
         return self
 
@@ -119,36 +142,35 @@ class Model:
         """Scores as whole numbers: their sums are exact in any order."""
         return np.rint(logs * (1 << 20)).astype(np.int64)
 
-    def _emission(self, o: str) -> np.ndarray:
-        if o not in self.cache:
+    def _emission(self, x: int, at: int) -> np.ndarray:
+        if (x, at) not in self.cache:
             total = np.zeros(len(STATES))
+            named = SHOWN[x].split("|")[0]
             for s, (role, begins) in enumerate(STATES):
-                n = sum(self.emit[s].values()) / 4
-                for part in self._parts(o):
-                    total[s] += np.log((self.emit[s][part] + 1) / (n + 12))
-                named = o.split("|")[0]
+                n = sum(self.shared[s].values()) / 4
+                for part in self._parts(x, at):
+                    total[s] += np.log((self.shared[s][part] + 1) / (n + 12))
                 if named:  # a marker begins a turn of the role that it names
                     total[s] += 0 if named == role and begins else -20
-            self.cache[o] = self._whole(total)
-        return self.cache[o]
+            self.cache[x, at] = self._whole(total)
+        return self.cache[x, at]
 
-    def _step(self, given: tuple[bytes, str]) -> tuple[bytes, bytes]:
+    def _step(self, given: tuple[bytes, int, int]) -> tuple[bytes, bytes]:
         """From scores of the states and what the next line shows: the next scores, the best one 0, and the back pointers."""
-        before, o = given
+        before, x, at = given
         reach = np.frombuffer(before, np.int64)[:, None] + self.log_move
-        v = reach.max(axis=0) + self._emission(o)
+        v = reach.max(axis=0) + self._emission(x, at)
         return (v - v.max()).tobytes(), reach.argmax(axis=0).astype(np.uint8).tobytes()
 
     def path(self, seen: Iterable[int]) -> bytes:
         """The most likely states of a whole transcript, from the numbers of what its lines show."""
-        v, back, blank = b"", bytearray(), 0
-        for x in seen:
+        v, back = b"", bytearray()
+        for x, place in placed(seen):
             if v:
-                v, step = self.steps[v, f"{SHOWN[x]}|{PLACES[1 + blank]}"]
+                v, step = self.steps[v, x, place]
                 back += step
             else:
-                v = (self.log_start + self._emission(f"{SHOWN[x]}|{PLACES[0]}")).tobytes()
-            blank = int(x == 0)
+                v = (self.log_start + self._emission(x, place)).tobytes()
         if not v:
             return b""
         at, n = int(np.frombuffer(v, np.int64).argmax()), len(STATES)
@@ -176,16 +198,17 @@ def turns(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
 
 
 def render(found: list[tuple[str, str]]) -> str:
-    """The canonical form: a role header and the text of each turn."""
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in found)
+    """The canonical form: a role header and the text of each turn; what looks like a mark in a text is escaped."""
+    return "".join(f"<|{role}|>\n{MARK.sub(chr(92) * 2 + chr(92) + 'g<0>', text)}\n<|end|>\n" for role, text in found)
 
 
 def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Raw transcript lines of a table of turns: conv, line number (by turn), line, state.
 
-    A turn is marked in a style that depends on its conversation; in some
-    styles assistants' turns go unmarked after a blank line.  state is the
-    number of the line's true state, for training and measuring.
+    A turn is marked in a style that depends on its conversation; in one style
+    assistants' turns go unmarked, after a blank line where another turn came
+    before.  state is the number of the line's true state, for training and
+    measuring; the blank line continues the turn before it.
     """
     name = F.coalesce(F.col(role), F.lit("user"))
     style = F.pmod(F.xxhash64(conv), F.lit(4))
@@ -196,19 +219,35 @@ def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         .otherwise(F.when(name == "assistant", F.lit("")).otherwise(F.concat(F.initcap(name), F.lit(": "))))
     )
     lines = F.split(F.concat(head, F.coalesce(F.col(text), F.lit(""))), "\n")
+    # the blank line ends every other turn of that style
+    lines = F.when((style == 3) & (name != "assistant"), F.concat(lines, F.array(F.lit("")))).otherwise(lines)
     number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, 2 * i)]), name)
     at = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("_role"), F.posexplode(lines).alias("at", "line"), number.alias("_n"))
     return at.select("conv", "turn", "_role", "at", "line", (F.coalesce("_n", F.lit(2)) + F.when(F.col("at") == 0, 0).otherwise(1)).cast("int").alias("state"))
 
 
-def train(lines: DataFrame, conversations: int = MAX_TRAIN, longest: int = MAX_LINES) -> Model:
-    """Count in at most so many transcripts, by hash order of their names, of those with at most longest lines."""
-    chosen = lines.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") <= longest).orderBy(F.xxhash64("conv"), "conv").limit(conversations)
-    table = lines.join(F.broadcast(chosen.select("conv")), "conv").select("conv", "turn", "_role", "at", "line", "state").toPandas()
-    model = Model()
-    for _, group in table.sort_values(["conv", "turn", "_role", "at", "line"], na_position="first", kind="stable").groupby("conv", sort=True):
-        model.learn(group["line"].tolist(), group["state"].tolist())
-    return model
+def _learned(pieces: DataFrame, conversations: int) -> Model:
+    """Count in at most so many transcripts, by hash order of their names; a table of counts comes to the driver."""
+    chosen = pieces.select("conv").distinct().orderBy(F.xxhash64("conv"), F.col("conv").asc_nulls_first()).limit(conversations).withColumnRenamed("conv", "_conv")
+    last = F.struct(F.element_at("states", -1).alias("state"), F.element_at("seen", -1).alias("shown"))
+    rows = pieces.join(F.broadcast(chosen), F.col("conv").eqNullSafe(F.col("_conv"))).select("conv", "piece_id", F.col("rows.state").alias("states"), F.col("rows.shown").alias("seen"))
+    rows = rows.withColumn("before", F.lag(last).over(W.partitionBy("conv").orderBy("piece_id")))
+
+    def run(states, seen, before):
+        out: Counter = Counter()
+        for s, x, b in zip(states, seen, before):
+            out.update(counted(s, x, b and (b["state"], b["shown"])))
+        for what, n in out.items():
+            yield *what, n
+
+    parts = rows_operator(rows, ["states", "seen", "before"], run, "what string, a int, b int, at int, n long")
+    found = parts.groupBy("what", "a", "b", "at").agg(F.sum("n").alias("n")).collect()
+    return Model().learn({(r["what"], r["a"], r["b"], r["at"]): r["n"] for r in found})
+
+
+def train(lines: DataFrame, conversations: int = MAX_TRAIN) -> Model:
+    """A model of at most so many transcripts of from_turns() rows."""
+    return _learned(_pieces(lines, shared_dir(lines.sparkSession)), conversations)
 
 
 def _stream(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -223,10 +262,9 @@ def _stream(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]
     return df.mapInArrow(run, schema)
 
 
-def _decoded(lines: DataFrame, model: Model, path: str) -> DataFrame:
-    """conv, line, state and found (the state that Viterbi finds for it in its whole transcript), each transcript in order within a partition."""
+def _pieces(lines: DataFrame, path: str) -> DataFrame:
+    """conv, piece_id and rows (id, line, state, shown): successive lines of a transcript, in the order of piece_id."""
     ensure_importable(lines.sparkSession)
-    shared = lines.sparkSession.sparkContext.broadcast(model)
     kind = lines.schema["conv"].dataType.simpleString()
     order = ["conv", "turn", "_role", "at", "line"]
     coded = _stream(
@@ -238,7 +276,12 @@ def _decoded(lines: DataFrame, model: Model, path: str) -> DataFrame:
     pieces = numbered.groupBy("conv", F.shiftright("id", BLOCK.bit_length() - 1).alias("piece")).agg(
         F.min("id").alias("piece_id"), F.sort_array(F.collect_list(F.struct("id", "line", "state", "shown"))).alias("rows")
     )
-    pieces = cut(pieces.drop("piece"), f"{path}/pieces")
+    return cut(pieces.drop("piece"), f"{path}/pieces")
+
+
+def _decoded(pieces: DataFrame, model: Model, path: str) -> DataFrame:
+    """conv, line, state and found (the state that Viterbi finds for it in its whole transcript), each transcript in order within a partition."""
+    shared = pieces.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         m = shared.value.prepare()
@@ -259,41 +302,47 @@ def _decoded(lines: DataFrame, model: Model, path: str) -> DataFrame:
 
 
 def _turns(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """From (conv, line, state, found) in order: conv, turn_no, role, text, n_lines, n_right of each turn."""
+    """From (conv, line, state, found) in order: conv, turn_no, role, text, n_lines, n_right, n_unmarked, n_recalled of each turn."""
     for conv, own in groupby(rows, lambda r: r[0]):
-        no, lines, states, right = 0, [], [], 0
+        no, lines, states, right, unmarked, recalled = 0, [], [], 0, 0, 0
         for _, line, state, found in own:
             if lines and STATES[found][1]:
-                yield conv, no, *turns(lines, states)[0], len(lines), right
-                no, lines, states, right = no + 1, [], [], 0
+                yield conv, no, *turns(lines, states)[0], len(lines), right, unmarked, recalled
+                no, lines, states, right, unmarked, recalled = no + 1, [], [], 0, 0, 0
             lines.append(line)
             states.append(found)
             right += state == found
-        yield conv, no, *turns(lines, states)[0], len(lines), right
+            if STATES[state][1] and not marker(line)[0]:
+                unmarked, recalled = unmarked + 1, recalled + (state == found)
+        yield conv, no, *turns(lines, states)[0], len(lines), right, unmarked, recalled
+
+
+_COUNTS = "n_lines long, n_right long, n_unmarked long, n_recalled long"
 
 
 def _transcripts(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """From (conv, line, state, found) in order: conv, n_turns, n_lines, n_right, roles, rendered_sha256 of each transcript."""
+    """From (conv, line, state, found) in order: conv, n_turns, the counts, roles, rendered_sha256 of each transcript."""
     for conv, own in groupby(_turns(rows), lambda r: r[0]):
-        roles, n_lines, n_right, digest = [], 0, 0, hashlib.sha256()
-        for _, _, role, text, n, right in own:
+        roles, counts, digest = [], [0, 0, 0, 0], hashlib.sha256()
+        for _, _, role, text, *more in own:
             roles.append(role)
-            n_lines, n_right = n_lines + n, n_right + right
+            counts = [a + b for a, b in zip(counts, more)]
             digest.update(render([(role, text)]).encode())
-        yield conv, len(roles), n_lines, n_right, ",".join(roles), digest.hexdigest()
+        yield conv, len(roles), *counts, ",".join(roles), digest.hexdigest()
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """Turns of each transcript: conv, turn_no, role, text, n_lines, n_right (lines whose state is the given one)."""
+    """Turns of each transcript: conv, turn_no, role, text, n_lines, n_right (lines whose state is the given one), n_unmarked (turns that begin without a marker there), n_recalled (of these, found with their role)."""
     kind = lines.schema["conv"].dataType.simpleString()
-    found = _decoded(lines, model, shared_dir(lines.sparkSession))
-    return _stream(found, _turns, f"conv {kind}, turn_no long, role string, text string, n_lines long, n_right long")
+    at = shared_dir(lines.sparkSession)
+    found = _decoded(_pieces(lines, at), model, at)
+    return _stream(found, _turns, f"conv {kind}, turn_no long, role string, text string, {_COUNTS}")
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: conv, n_turns, n_lines, n_right, roles, rendered_sha256."""
+    """Per conversation: conv, n_turns, n_lines, n_right, n_unmarked, n_recalled, roles, rendered_sha256."""
     at = shared_dir(rows.sparkSession)
-    lines = cut(from_turns(rows, conv, turn, role, text), f"{at}/lines")
-    kind = lines.schema["conv"].dataType.simpleString()
-    found = _decoded(lines, train(lines), at)
-    return _stream(found, _transcripts, f"`{conv}` {kind}, n_turns long, n_lines long, n_right long, roles string, rendered_sha256 string")
+    pieces = _pieces(from_turns(rows, conv, turn, role, text), at)
+    kind = pieces.schema["conv"].dataType.simpleString()
+    found = _decoded(pieces, _learned(pieces, MAX_TRAIN), at)
+    return _stream(found, _transcripts, f"`{conv}` {kind}, n_turns long, {_COUNTS}, roles string, rendered_sha256 string")

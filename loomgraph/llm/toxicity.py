@@ -4,8 +4,8 @@ Training counts, in a bounded sample of labelled rows, the documents of either
 class that hold a word or one of its prefixes.  A token's log-odds come from a
 chain of Dirichlet priors: a word's class shares are smoothed by those of its
 longest prefix, that one's by the next shorter, and the shortest by the whole
-sample's.  Tokens score their log-odds less DRIFT, so that clean text drifts
-down.  A linear scan (Ruzzo and Tompa) finds all maximal scoring segments.
+sample's.  Tokens score their log-odds, positive or negative, less DRIFT, so that
+clean text drifts down.  A linear scan (Ruzzo and Tompa) finds all maximal scoring segments.
 Segment scores follow an extreme-value law on clean text, P(S >= x) = 1 -
 exp(-K n exp(-lambda x)), whose lambda and K are fitted on clean rows; the
 significant segments' evidence, in nats, is summed, and a logistic curve fitted
@@ -36,9 +36,9 @@ from .common import Memo, cut, ensure_importable, held_out, rows_operator, share
 MAX_ROWS = 20_000
 #: Bytes of tokens' scores that a worker remembers, about, and cells of a nat of the calibration's scores.
 CACHE_BYTES, GRID = 48 << 20, 1000
-#: A feature leans to toxic when its share of toxic documents is at least so many times the sample's.
-LEAN = 1.5
-PREFIXES, STRENGTH, DRIFT = (3, 4, 5, 6), 5.0, 0.6
+#: A feature leans to toxic when its share of toxic documents is at least so many times the sample's; it leans away when that of so many documents is so many nats below.
+LEAN, AWAY = 1.5, (10, 0.5)
+PREFIXES, STRENGTH, DRIFT, FLOOR = (3, 4, 5, 6), 5.0, 0.6, -3.0
 #: A segment is significant when its chance in clean text of the same length is at most this.
 P_VALUE = 0.05
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -59,14 +59,14 @@ class Model:
     curve: tuple[float, float] = (-50.0, 0.0)
 
     def token(self, raw: bytes) -> float:
-        """The score of a white-space token: the most that a word in it has."""
-        best = 0.0
+        """The score of a white-space token: the most that a word in it has, above or below 0; tokens without words are neutral."""
+        found = []
         for word in _LETTERS.findall(raw.decode("utf-8", "replace").lower()):
             odds = 0.0
             for f in features(word):
                 odds = self.odds.get(f, odds)
-            best = max(best, odds)
-        return best - DRIFT
+            found.append(odds)
+        return max(FLOOR, max(found, default=0.0)) - DRIFT
 
     def __post_init__(self):
         self.memo = Memo(self.token, CACHE_BYTES)
@@ -189,9 +189,9 @@ def count_features(rows: DataFrame) -> DataFrame:
 
 
 def leaning(table: DataFrame, base: float) -> DataFrame:
-    """The features (feature, clean, toxic) that decide a score: those that lean to toxic, and those below a prefix that does, which may take it back.
+    """The features (feature, clean, toxic) that decide a score: those that lean to toxic, those below a prefix that does, which may take it back, and those that lean away.
 
-    All others score nothing, as a token's log-odds count from 0 up.
+    All others are as common among toxic documents as among all, and have log-odds near 0.
     """
     kept = table.where("clean + toxic >= 2").withColumn("leans", (F.col("toxic") >= 2) & (F.col("toxic") > LEAN * base * (F.col("clean") + F.col("toxic"))))
     own = kept.where("leans")
@@ -199,7 +199,9 @@ def leaning(table: DataFrame, base: float) -> DataFrame:
     ups = F.array(*[F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES])
     prefixes = own.where("feature like '%*'").select(F.col("feature").alias("_up"))
     below = kept.where("not leans").withColumn("_up", F.explode(F.array_compact(ups))).join(prefixes, "_up", "left_semi").drop("_up").distinct()
-    return own.unionByName(below).drop("leans")
+    share = (F.col("toxic") + STRENGTH * base) / (F.col("clean") + F.col("toxic") + STRENGTH)
+    away = kept.where("not leans").where((F.col("clean") + F.col("toxic") >= AWAY[0]) & (F.log(share / (1 - share)) < _logit(base) - AWAY[1]))
+    return own.unionByName(below.unionByName(away).distinct()).drop("leans")
 
 
 def _fitted(table: DataFrame, rows: tuple[int, int]) -> dict[str, float]:

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_importable, join_groups, shared_dir
+from .common import cut, ensure_importable, join_groups, pieces, shared_dir
 
 LEAST_BYTES = 0
 #: Bytes that are read or inflated at once, and payload bytes after which a task begins another archive.
@@ -54,17 +54,17 @@ def record(ident, url: str | None, payload: bytes, refers_to=None, revisit: bool
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{json.dumps(refers_to)}>"]
-    block = b"" if revisit else payload
+    block = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + END + payload
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + END + block + END
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields, by lower-case name, and block of a record; raises ValueError if it is cut or its payload differs from its digest."""
+    """Header fields, by lower-case name, and payload of a record; raises ValueError if it is cut or its payload differs from its digest."""
     head, _, rest = data.partition(END)
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -73,9 +73,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["content-length"])
     if rest[n:] != END:
         raise ValueError("a record is cut short")
-    if fields["warc-type"] == "response" and fields["warc-payload-digest"] != f"sha1:{digest(rest[:n])}":
+    payload = rest[:n].partition(END)[2]
+    if fields["warc-type"] == "response" and fields["warc-payload-digest"] != f"sha1:{digest(payload)}":
         raise ValueError("a payload differs from its digest")
-    return fields, rest[:n]
+    return fields, payload
 
 
 def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -95,10 +96,10 @@ def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
         yield tail
 
 
-def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+def records(parts: Iterator[bytes]) -> Iterator[bytes]:
     """The records of an uncompressed stream; each is cut by its Content-Length."""
     held = bytearray()
-    pieces = iter(pieces)
+    parts = iter(parts)
     more = True
     while True:
         at = held.find(END)
@@ -107,7 +108,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             i = low.rfind(b"\r\ncontent-length:")
             size = at + 4 + int(low[i + 17 :].split(b"\r\n")[0]) + 4
             while len(held) < size and more:
-                piece = next(pieces, None)
+                piece = next(parts, None)
                 more = piece is not None
                 held += piece or b""
             if len(held) < size:
@@ -115,7 +116,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             yield bytes(held[:size])
             del held[:size]
             continue
-        piece = next(pieces, None) if more else None
+        piece = next(parts, None) if more else None
         if piece is None:
             if held.strip():
                 raise ValueError("the archive is cut short")
@@ -140,14 +141,15 @@ def normalise(files: fs.FileSystem, path: str, out: str, index: str) -> int:
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = z.compress(data) + z.flush()
             f.write(member)
-            side.write(f"{offset}\t{len(member)}\n".encode())
+            ident = data[: data.index(END)].decode().partition("\r\nWARC-Record-ID: ")[2].partition("\r\n")[0]
+            side.write(f"{offset}\t{len(member)}\t{ident}\n".encode())
             offset += len(member)
             n += 1
     return n
 
 
 def read_members(files: fs.FileSystem, path: str, index: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of the records of a normalised archive, found by its index."""
+    """Header fields and payload of the records of a normalised archive, found by its index."""
     with files.open_input_stream(index, compression=None) as side:
         entries = [tuple(map(int, line.split(b"\t")[:2])) for line in side.read().splitlines()]
     with files.open_input_file(path) as f:
@@ -156,6 +158,18 @@ def read_members(files: fs.FileSystem, path: str, index: str) -> Iterator[tuple[
             yield parse(zlib.decompress(f.read(length), 31))
 
 
+def read_record(files: fs.FileSystem, path: str, index: str, ident) -> tuple[dict[str, str], bytes] | None:
+    """Header fields and payload of the record of one page of a normalised archive, by its index alone; None if it isn't there."""
+    own = f"<urn:page:{json.dumps(ident)}>"
+    with files.open_input_stream(index, compression=None) as side:
+        found = next((x for x in (line.split("\t") for line in side.read().decode().splitlines()) if x[2] == own), None)
+    if found is None:
+        return None
+    with files.open_input_file(path) as f:
+        f.seek(int(found[0]))
+        return parse(zlib.decompress(f.read(int(found[1])), 31))
+
+
 def _folder(uri: str) -> tuple[fs.FileSystem, str]:
     files, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
     files.create_dir(path, recursive=True)
@@ -190,8 +204,8 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
 
-        for batch in batches:
-            for ident, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in (x for batch in batches for x in pieces(batch)):
+            for ident, url, payload, refers in zip(*(c.to_pylist() for c in part.columns)):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     out, z, n, size = files.open_output_stream(path, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0

@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -302,22 +304,26 @@ def test_fertility_counts_and_verdicts(docs):
         assert not (r["base_failed"] and r["kept"])
 
 
-def slow_measure(path, text):
-    """Measures of a whole text, encoded at once."""
-    words = " ".join(WORDS.findall(text))
+@lru_cache
+def encoder(path):
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
         p = SentencePieceProcessor(model_file=path)
-        ids, size = p.encode(words), p.get_piece_size()
-        back = sum(p.id_to_piece(i).startswith("<0x") for i in ids)
-    else:
-        import tiktoken
+        return p.encode, {i for i in range(p.get_piece_size()) if p.id_to_piece(i).startswith("<0x")}, p.get_piece_size()
+    import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        ids = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(" " + words) if words else []
-        single, size = {i for s, i in ranks.items() if len(s) == 1 and s[0] >= 0x80}, max(ranks.values()) + 1
-        back = sum(i in single for i in ids)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda words: e.encode_ordinary(" " + words) if words else [], {i for s, i in ranks.items() if len(s) == 1 and s[0] >= 0x80}, max(ranks.values()) + 1
+
+
+def slow_measure(path, text):
+    """Measures of a whole text, encoded at once."""
+    words = " ".join(WORDS.findall(text))
+    encode, single, size = encoder(path)
+    ids = encode(words)
+    back = sum(i in single for i in ids)
     if not ids:
         return 0.0, 0.0, 0.0, 0
     shares = np.array([*Counter(ids).values()]) / len(ids)
@@ -379,10 +385,13 @@ def test_maximal_segments(scores):
 
 
 def test_toxicity_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.9
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    caught = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert caught >= 0.9 * sum(r["toxic"] for r in rows) and caught >= 0.9 * sum(r["predicted"] for r in rows)
+    assert min(model.odds.values()) < -1 < 1 < max(model.odds.values())  # log-odds count for and against
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
@@ -542,6 +551,10 @@ def test_warc_normaliser_and_index(tmp_path):
     (tmp_path / "a.gz").write_bytes(whole.compress(b"".join(parts)) + whole.flush())
     assert warc.normalise(files, f"{base}/a.gz", f"{base}/b.gz", f"{base}/b.idx") == 50
     assert [b for _, b in warc.read_members(files, f"{base}/b.gz", f"{base}/b.idx")] == [bytes([i]) * i for i in range(50)]
+    for i in (49, 0, 17):  # one record, by the index alone
+        head, payload = warc.read_record(files, f"{base}/b.gz", f"{base}/b.idx", i)
+        assert payload == bytes([i]) * i and head["warc-record-id"] == f"<urn:page:{i}>"
+    assert warc.read_record(files, f"{base}/b.gz", f"{base}/b.idx", 50) is None
     (tmp_path / "c.gz").write_bytes((tmp_path / "a.gz").read_bytes()[:300])
     with pytest.raises((ValueError, zlib.error)):
         warc.normalise(files, f"{base}/c.gz", f"{base}/d.gz", f"{base}/d.idx")
@@ -559,9 +572,42 @@ def test_chat_recovers_marked_turns(spark):
     lines = ["System: be kind", "", "User: hello?", "more text", "Assistant: hi", "- one", "- two"]
     assert chat.turns(lines, model.decode(lines)) == [("system", "be kind"), ("user", "hello?\nmore text"), ("assistant", "hi\n- one\n- two")]
     assert chat.render([("user", "x")]) == "<|user|>\nx\n<|end|>\n"
+    assert chat.render([("user", "a\n<|end|>\n\\<|user|>")]) == "<|user|>\na\n\\<|end|>\n\\\\<|user|>\n<|end|>\n"
     assert model.decode([]) == []
 
 
+def test_chat_finds_unmarked_turns_of_held_out_transcripts(spark):
+    from pyspark.sql import functions as F
+
+    lines = chat.from_turns(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    out = F.crc32(F.col("conv").cast("string").cast("binary")) % 5 == 0
+    model = chat.train(lines.where(~out))
+    found = chat.parse(lines.where(out), model).agg(*[F.sum(c).alias(c) for c in ("n_unmarked", "n_recalled", "n_lines", "n_right")]).first()
+    assert found["n_unmarked"] >= 5 and found["n_recalled"] >= 0.9 * found["n_unmarked"] and found["n_right"] >= 0.97 * found["n_lines"], found
+    for n in (10, 50, 1_500, 5_000):  # a marked turn of many long lines is one turn
+        text = ["User: " + "many plain words " * 8, *["Many plain words " * 8 + "."] * (n - 1), "Assistant: yes"]
+        assert [(r, t.count("\n")) for r, t in chat.turns(text, model.prepare().decode(text))] == [("user", n - 1), ("assistant", 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["", "User: a", "Assistant: b", "plain words", "What is it?", "- item", "lower case words"]), min_size=1, max_size=5), st.integers(0, 5))
+def test_chat_path_is_the_best(lines, seed):
+    """Viterbi against all state sequences."""
+    rng = random.Random(seed)
+    model = chat.Model()
+    for _ in range(6):
+        n = rng.randint(2, 9)
+        model.learn(chat.counted([rng.randrange(6) for _ in range(n)], [rng.randrange(len(chat.SHOWN)) for _ in range(n)]))
+    model.prepare()
+    seen = list(chat.placed(map(chat.shown, lines)))
+    emit = [model._emission(*x) for x in seen]
+
+    def value(path):
+        return int(model.log_start[path[0]]) + sum(int(e[s]) for e, s in zip(emit, path)) + sum(int(model.log_move[a, b]) for a, b in zip(path, path[1:]))
+
+    assert value(model.decode(lines)) == max(value(p) for p in product(range(6), repeat=len(lines)))
+
+
 def test_chat_query_and_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "a"), (1, 1, None, None), (1, 1, None, None), (None, 0, "robot", "x\ny"), (2, None, "assistant", "z")]
