@@ -47,6 +47,23 @@ def is_test_history(path: Column) -> Column:
     return name.startswith("test_") | name.endswith("_test.py") | _ends(name, SIMPLE_TEST_SUFFIXES)
 
 
+def is_test_ambient(path: Column) -> Column:
+    """The predicate of folder notes: files in test folders, and names that say test or spec."""
+    name = basename(path)
+    return F.concat(F.lit("/"), path).rlike("/tests?/") | name.startswith("test_") | name.rlike(r"_test\.|\.(test|spec)\.")
+
+
+def is_test_hotspot(path: Column) -> Column:
+    """The predicate of hotspot lists: also any .test. or .spec. in a name."""
+    name = basename(path)
+    return is_test_history(path) | name.contains(".test.") | name.contains(".spec.") | (name == "conftest.py")
+
+
+def is_test_marked(path: Column) -> Column:
+    """The predicate of path look-ups: a mark of tests or samples anywhere in a path."""
+    return F.lower(path).rlike("test|spec|fixture|example|tutorial|demo|sample")
+
+
 def file_class(path: Column) -> Column:
     """test, config or source."""
     name = basename(path)

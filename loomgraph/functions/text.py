@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a task's keywords leave out.
-TASK_SKIP = tuple(
-    "the and for from with this that fix add update remove change bug feature use make new when not all can should would into also file function method class code need want"
-    " like just please help how what why where".split()
-)
+TASK_SKIP = (
+    "the", "and", "for", "from", "with", "this", "that", "fix", "add", "update", "remove", "change", "bug", "feature", "use", "make", "new", "when", "not", "all", "can",
+    "should", "would", "into", "also", "file", "function", "method", "class", "code", "need", "want", "like", "just", "please", "help", "how", "what", "why", "where",
+)
 TASK_TYPES = ("changelocal", "debug", "bugfix")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..model import CodeGraph
 from .history import ages, cochange, commit_counts, velocity
 from .scoring import file_blast
 from .search import bonus, query_tokens, search
+from .structure import holders, stem_of
 
 # Entry points by file name and by symbol name, antonyms, documentation extensions.
 ENTRY_FILES = ("main.py", "app.py", "server.py", "cli.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "index.ts", "index.js", "main.ts", "main.go", "main.rs", "lib.rs")
@@ -187,15 +190,51 @@ def counterparts(g: CodeGraph) -> DataFrame:
 
 
 def stem_matches(g: CodeGraph) -> DataFrame:
-    """file_path, test: tests whose name holds a source file's stem between underscores or ends.
-
-    Test names are cut to all runs of their words, so the substring join is one of equality.
-    """
-    stem = F.regexp_replace(basename(F.col("file_path")), r"\.[^.]*$", "")
-    files = g.files.select("file_path", stem.alias("stem"))
-    tests = files.where(is_test(F.col("file_path"))).select(F.col("file_path").alias("test"), F.split("stem", "_").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(i, F.size("w")), lambda j: F.array_join(F.slice("w", i, j - i + 1), "_"))))
-    return files.where(~is_test(F.col("file_path"))).join(tests.select("test", F.explode(F.array_distinct(runs)).alias("stem")), "stem").select("file_path", "test")
+    """file_path, test: tests whose base name holds a source file's stem."""
+    files = g.files.select("file_path", stem_of(F.col("file_path")).alias("stem"), basename(F.col("file_path")).alias("name"))
+    tests = files.where(is_test(F.col("file_path"))).select(F.col("file_path").alias("test"), "name")
+    own = files.where(~is_test(F.col("file_path"))).select("file_path", "stem")
+    found = holders(own.select("stem").distinct(), tests.select("name").distinct())
+    return own.join(found, "stem").join(tests, "name").select("file_path", "test")
+
+
+# Marks of files that a path look-up leaves out, and parts of keywords that are too general for one.
+_ASIDE = ("test", "spec", "fixture", "example", "tutorial", "demo", "sample")
+_ASSETS = ("templates", "static")
+_GENERAL_SNAKE = (
+    "response", "request", "error", "errors", "option", "options", "handler", "handlers", "helper", "helpers", "server", "client", "router", "static", "analysis", "middleware", "security",
+)
+_GENERAL_CAMEL = (
+    "import", "test", "tests", "type", "types", "base", "core", "util", "utils", "data", "form", "list", "dict", "object", "class", "model", "models", "view", "views", "helper", "helpers",
+    "mixin", "mixins", "return", "raise", "yield", "async", "await", "error", "errors", "init", "main", "common", "factory", "manager", "field", "fields", "exception", "exceptions", "json", "xml",
+    "host", "method", "setter", "getter",
+)
+
+
+def path_fallback(g: CodeGraph, keyword: str, most: int = 5) -> DataFrame:
+    """file_path: source files whose path holds a keyword without a symbol, or else the first of its parts that at most most paths hold."""
+    snake = "_" in keyword
+    parts = keyword.split("_") if snake else re.findall("[A-Z]?[^A-Z]+|[A-Z]", keyword)
+    general = _GENERAL_SNAKE if snake else _GENERAL_CAMEL
+    tokens = [keyword, *(p for p in parts if len(p) >= 4 and p.lower() not in general)]
+    low = F.lower("file_path")
+    files = g.symbols.select("file_path").distinct().where(~F.exists(F.split("file_path", "/"), lambda x: x.isin(*_ASSETS)))
+    # a keyword has a few parts; each file is held against all of them in one pass
+    held = F.array(*[F.when(low.contains(t.lower()), i) for i, t in enumerate(tokens)])
+    rows = files.where(~low.rlike("|".join(_ASIDE))).select("file_path", F.explode(F.array_compact(held)).alias("place"))
+    best = rows.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") <= most).agg(F.min("place").alias("place"))
+    return rows.join(F.broadcast(best), "place").select("file_path")  # best is one row
+
+
+def coverage(g: CodeGraph, words: list[str], files: DataFrame) -> DataFrame:
+    """resolved, total, share, files, confidence: how many words of a task are names of symbols, and the number of files that its context names."""
+    asked = files.sparkSession.createDataFrame([(i, w.lower()) for i, w in enumerate(words)], "i int, low string")
+    known = g.symbols.select(F.lower("name").alias("low")).join(F.broadcast(asked.select("low").distinct()), "low", "left_semi").distinct()
+    told = asked.join(known.withColumn("known", F.lit(True)), "low", "left").agg(F.count("known").alias("resolved"), F.count("*").alias("total"))
+    share = F.col("resolved") / F.greatest("total", F.lit(1))
+    number = files.select("file_path").distinct().agg(F.count("*").alias("files"))
+    confidence = F.when(share > 0.75, "high").when(share >= 0.4, "medium").otherwise("low")
+    return told.withColumn("share", F.round(share, 6)).crossJoin(number).withColumn("confidence", confidence)  # one row each
 
 
 def staleness(g: CodeGraph, now: str) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..model import CodeGraph
 
 # Words that a query leaves out, and weights.
-STOP_WORDS = frozenset(
-    "a an the in on at to for of is it by as or and but not with from into that this be do has have had was are can will should would could my its their our your all"
-    " add fix get set new use make find show update change create delete remove support implement merge pull request pr via branch commit".split()
-)
+STOP_WORDS = frozenset((
+    "a", "an", "the", "in", "on", "at", "to", "for", "of", "is", "it", "by", "as", "or", "and", "but", "not", "with", "from", "into", "that", "this", "be", "do", "has",
+    "have", "had", "was", "are", "can", "will", "should", "would", "could", "my", "its", "their", "our", "your", "all", "add", "fix", "get", "set", "new", "use", "make",
+    "find", "show", "update", "change", "create", "delete", "remove", "support", "implement", "merge", "pull", "request", "pr", "via", "branch", "commit",
+))
 K1, B, RRF = 1.2, 0.75, 60
 
 

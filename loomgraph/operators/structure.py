@@ -75,17 +75,36 @@ def stable_core(g: CodeGraph, now: str, importers: int = 5, days: int = 30) -> D
     return used.where(F.col("importers") >= importers).join(ages(g, now), "path").where(F.col("days") >= days).select("path", "importers", "days")
 
 
-def risky_untested(g: CodeGraph, commits: int = 5) -> DataFrame:
-    """Often changed source files whose stem no test's name holds.
+def stem_of(path: Column) -> Column:
+    """A file's name without its last extension."""
+    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
+
 
-    Test names are cut at underscores and matched to stems word by word, so the
-    join is by equality and not by substring over all pairs.
+def holders(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """stem, name: the names that hold each stem, wherever in them; both columns distinct.
+
+    A substring join over blocks: a stem looks only at names that hold the
+    rarest of its runs of three characters (or the whole stem, if shorter).
     """
-    stem = lambda c: F.regexp_replace(basename(c), r"\.[^.]*$", "")
-    files = g.files.select("file_path").withColumn("stem", stem(F.col("file_path")))
-    tests = files.where(is_test(F.col("file_path"))).select(F.regexp_replace("stem", "^test_|_test$", "").alias("stem")).distinct()
+    def runs(c: str) -> Column:
+        size = F.least(F.lit(3), F.length(c))
+        every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        return F.when(size == 3, every(3)) if c == "stem" else F.array_distinct(F.concat(every(1), every(2), every(3)))
+
+    held = names.select("name", F.explode(runs("name")).alias("run"))
+    common = held.groupBy("run").agg(F.count("*").alias("n"))
+    own = stems.where(F.length("stem") > 0).select("stem", F.explode(F.coalesce(runs("stem"), F.array("stem"))).alias("run")).distinct()
+    rarest = own.join(common, "run").groupBy("stem").agg(F.min(F.struct("n", "run"))["run"].alias("run"), F.count("*").alias("found"))
+    return rarest.join(held, "run").where(F.col("name").contains(F.col("stem"))).select("stem", "name")
+
+
+def risky_untested(g: CodeGraph, commits: int = 5) -> DataFrame:
+    """Often changed source files whose stem no test's base name holds."""
+    files = g.files.select("file_path", stem_of(F.col("file_path")).alias("stem"), basename(F.col("file_path")).alias("name"))
+    tests = files.where(is_test(F.col("file_path"))).select("name").distinct()
     busy = commit_counts(g).where(F.col("commits") >= commits).select(F.col("path").alias("file_path"), "commits")
-    return files.where(~is_test(F.col("file_path"))).join(busy, "file_path").join(tests, "stem", "left_anti").select("file_path", "commits")
+    own = files.where(~is_test(F.col("file_path"))).join(busy, "file_path")
+    return own.join(holders(own.select("stem").distinct(), tests), "stem", "left_anti").select("file_path", "commits")
 
 
 def modules(g: CodeGraph) -> DataFrame:

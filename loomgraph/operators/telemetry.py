@@ -91,8 +91,8 @@ def predict(usage: DataFrame, n: int = 3, threshold: float = 0.2) -> DataFrame:
     """The n likeliest next modes after each pair of modes; pairs without any fall back on their second mode."""
     second = markov2(usage).where(F.col("p") >= threshold)
     first = markov1(usage).where(F.col("p") >= threshold)
-    modes = usage.select("mode").distinct()
-    states = modes.select(F.col("mode").alias("first")).join(modes.select(F.col("mode").alias("second")), F.col("first") != F.col("second"))
+    # pairs that the log holds, not all that its modes could make
+    states = _ordered(usage, 1).where("m1 is not null and m1 <> mode").select(F.col("mode").alias("first"), F.col("m1").alias("second")).distinct()
     known = second.select("first", "second").distinct()
     fallback = states.join(known, ["first", "second"], "left_anti").join(first.withColumnRenamed("state", "second"), "second").select("first", "second", "next", "n", "p", F.lit(1).alias("order"))
     rows = second.select("first", "second", "next", "n", "p", F.lit(2).alias("order")).unionByName(fallback)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..model import CodeGraph
 from ..functions.keywords import keywords_column
 from ..operators import history, lookup, resolve, scoring, search, structure, telemetry, traverse
 from ..session import ship
@@ -48,6 +49,11 @@ def _id(g, seq: int) -> str:
     return row[0] if row else ""
 
 
+def _symbol_name(g, seq: int) -> str:
+    """The name of one symbol."""
+    return _id(g, seq).split("::")[-1]
+
+
 def _file(g, seq: int) -> str:
     return _id(g, seq).split("::")[0]
 
@@ -108,7 +114,7 @@ query("o007_stale_files", _VERSIONS_SQL + "SELECT path FROM stored WHERE path NO
 )
 
 query(
-    "o124_link_extraction",
+    "o_import_links",
     """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""",
 )(
     lambda s, d: table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
@@ -148,13 +154,15 @@ _T = ("red", "widget", "ring")
 _W = ", ".join(f"{min(len(t) / 3, 2.0)} * CASE WHEN f{i} > 0.15 THEN 0.3 WHEN f{i} > 0.05 THEN 0.6 ELSE 1.0 END AS w{i}" for i, t in enumerate(_T))
 _P = " + ".join(f"w{i} * CASE WHEN lower(name) = '{t}' THEN 10.0 WHEN contains(lower(qualified_name), '{t}') THEN 5.0 WHEN contains(lower(signature), '{t}') THEN 3.0 WHEN contains(lower(doc), '{t}') THEN 1.0 WHEN contains(lower(file_path), '{t}') THEN 0.3 ELSE 0.0 END" for i, t in enumerate(_T))
 _M = " + ".join(f"CASE WHEN contains(lower(qualified_name), '{t}') OR contains(lower(signature), '{t}') OR contains(lower(doc), '{t}') THEN 1 ELSE 0 END" for t in _T)
-over_graph("o050_symbol_search", f"""
+_SEARCH = f"""
 , freq AS (SELECT {', '.join(f"count(*) FILTER (contains(lower(name), '{t}')) / count(*) AS f{i}" for i, t in enumerate(_T))} FROM symbols), w AS (SELECT {_W} FROM freq),
 scored AS (SELECT s.*, {_P} AS base, {_M} AS matched FROM symbols s, w),
-cross_calls AS (SELECT target_id, count(*) AS n FROM calls WHERE source_file <> target_file GROUP BY 1)
-SELECT id, kind, file_path, line_start, round(base + CASE WHEN matched > 1 THEN matched * 4.0 ELSE 0 END + CASE WHEN exported THEN 2.0 ELSE 0 END + least(coalesce(n, 0), 5) * 0.5
+cross_calls AS (SELECT target_id, count(*) AS n FROM calls WHERE source_file <> target_file GROUP BY 1),
+hits AS (SELECT id, kind, file_path, line_start, round(base + CASE WHEN matched > 1 THEN matched * 4.0 ELSE 0 END + CASE WHEN exported THEN 2.0 ELSE 0 END + least(coalesce(n, 0), 5) * 0.5
     + CASE WHEN kind IN ('component', 'hook') THEN 1.5 WHEN kind = 'class' THEN 1.0 ELSE 0 END, 6) AS score
-FROM scored LEFT JOIN cross_calls ON id = target_id WHERE base > 0""", search.search, PHRASE)
+FROM scored LEFT JOIN cross_calls ON id = target_id WHERE base > 0)"""
+over_graph("o050_symbol_search", _SEARCH + " SELECT * FROM hits", search.search, PHRASE)
+_BY_SCORE = "ORDER BY score DESC, file_path, line_start, id"
 
 _TERMS = sorted(TERMS.split())
 _BM25 = f"""
@@ -247,10 +255,18 @@ over_graph("o084_hot_symbols", f"SELECT * FROM (SELECT target_id AS id, count(DI
 over_graph("o085_stable_core", f"""
 SELECT i.path, i.importers, a.days FROM (SELECT target_id AS path, count(*) AS importers FROM imports WHERE NOT {is_test('source_id')} GROUP BY 1 HAVING count(*) >= 1) i
 JOIN (SELECT path, DATE '2001-08-02' - max(day) AS days FROM commit_files GROUP BY path) a ON i.path = a.path WHERE days BETWEEN 3 AND 730""", structure.stable_core, NOW, 1, 3)
+# files without their last number, so that tests hold the names of some of them
+_SHORT = "regexp_replace({}, '_[0-9][.]py$', '.py')"
+
+
+def _short(g) -> CodeGraph:
+    return CodeGraph(g.symbols.withColumn("file_path", F.expr(_SHORT.format("file_path"))), g.edges, g.commit_files.withColumn("path", F.expr(_SHORT.format("path"))))
+
+
 over_graph("o086_risky_untested", f"""
-, f AS (SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '[.][^.]*$', '') AS stem FROM files)
-SELECT f.file_path, c.commits FROM f JOIN (SELECT path, count(DISTINCT commit_id) AS commits FROM commit_files GROUP BY path HAVING count(DISTINCT commit_id) >= 5) c ON f.file_path = c.path
-WHERE NOT {is_test('f.file_path')} AND f.stem NOT IN (SELECT regexp_replace(stem, '^test_|_test$', '') FROM f WHERE {is_test('file_path')})""", structure.risky_untested)
+, g AS (SELECT DISTINCT {_SHORT.format('file_path')} AS file_path FROM files), f AS (SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '[.][^.]*$', '') AS stem FROM g)
+SELECT f.file_path, c.commits FROM f JOIN (SELECT {_SHORT.format('path')} AS path, count(DISTINCT commit_id) AS commits FROM commit_files GROUP BY 1 HAVING count(DISTINCT commit_id) >= 5) c ON f.file_path = c.path
+WHERE NOT {is_test('f.file_path')} AND NOT EXISTS (SELECT 1 FROM g t WHERE {is_test('t.file_path')} AND contains(split_part(t.file_path, '/', -1), f.stem))""", lambda g: structure.risky_untested(_short(g)))
 over_graph("o090_modules", """
 SELECT m.module, files, symbols, lines, exports FROM (SELECT module, count(DISTINCT file_path) AS files, count(*) AS symbols, sum(lines) AS lines FROM symbols GROUP BY module) m
 LEFT JOIN (SELECT module, string_agg(name, ',' ORDER BY r) AS exports FROM (SELECT module, name, row_number() OVER (PARTITION BY module ORDER BY lines DESC, id) AS r FROM symbols WHERE exported) WHERE r <= 5 GROUP BY module) e ON m.module = e.module""", structure.modules)
@@ -281,16 +297,24 @@ over_graph("o064_cycles", """
 p3 AS (SELECT list_append(p, y) AS p FROM p2 JOIN e ON p[-1] = x WHERE y > p[1] AND NOT list_contains(p, y)), p4 AS (SELECT list_append(p, y) AS p FROM p3 JOIN e ON p[-1] = x WHERE y > p[1] AND NOT list_contains(p, y))
 SELECT array_to_string(p, ' > ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM (SELECT p FROM p2 UNION ALL SELECT p FROM p3 UNION ALL SELECT p FROM p4) q JOIN e ON p[-1] = x AND p[1] = y""", traverse.cycles)
 over_graph("o065_layers", None, traverse.layers)
-_STARTS = "SELECT file_path AS root FROM files WHERE file_path LIKE 'economy/%'"
-over_graph("o069d_cascade", None, lambda g: traverse.cascade(g, g.files.where("file_path like 'economy/%'").select(F.col("file_path").alias("root"))))
+_STARTS = "SELECT file_path AS root FROM files"
+over_graph("o069d_cascade", None, lambda g: traverse.cascade(g, g.files.select(F.col("file_path").alias("root"))))
 ORACLE_SQL["o069d_cascade"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", reach(root, node, hops) AS (
     SELECT root, root, 0 FROM ({_STARTS}) UNION SELECT root, i.source_id, hops + 1 FROM reach JOIN imports i ON i.target_id = node WHERE hops < 5)
 SELECT root, hops, count(*) AS files FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1, 2"""
-over_graph("o069e_upstream", None, lambda g: traverse.upstream(g, g.symbols.where("kind = 'class'").select(F.col("id").alias("root"))))
+over_graph("o069e_upstream", None, lambda g: traverse.upstream(g, g.symbols.select(F.col("id").alias("root"))))
 ORACLE_SQL["o069e_upstream"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')}), reach(root, node, hops) AS (
-    SELECT id, id, 0 FROM symbols WHERE kind = 'class' UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 4)
+    SELECT id, id, 0 FROM symbols UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 4)
 SELECT root, count(*) FILTER (hops = 1) AS direct, count(*) AS reach FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1"""
-over_graph("o069f_apex", None, lambda g: traverse.apex(g, g.symbols.where("kind = 'class'").select(F.col("id").alias("root"))))
+over_graph("o069f_apex", None, lambda g: traverse.apex(g, g.symbols.select(F.col("id").alias("root"))))
+_RECURSIVE = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1)
+ORACLE_SQL["o069f_apex"] = _RECURSIVE + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')}), reach(root, node, hops) AS (
+    SELECT id, id, 0 FROM symbols UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 5)
+SELECT id AS root, hops FROM symbols LEFT JOIN (SELECT root, min(hops) AS hops FROM reach WHERE node NOT IN (SELECT target_id FROM c) GROUP BY 1) ON id = root"""
+ORACLE_SQL["o065_layers"] = _RECURSIVE + """, chain(file_path, n) AS (
+    SELECT file_path, 0 FROM (SELECT source_id AS file_path FROM imports UNION SELECT target_id FROM imports) UNION SELECT source_id, n + 1 FROM chain JOIN imports ON target_id = file_path WHERE n < 200),
+far AS (SELECT file_path, max(n) AS n FROM chain GROUP BY 1)
+SELECT file_path, CASE WHEN n < 200 THEN n ELSE (SELECT coalesce(max(n), -1) + 1 FROM far WHERE n < 200) END AS layer FROM far"""
 over_graph("o069g_call_triangles", f"""
 , e AS (SELECT source_id, target_id FROM calls WHERE source_id <> target_id AND NOT {is_test('source_file')} AND NOT {is_test('target_file')})
 SELECT x.source_id AS a, x.target_id AS b, y.target_id AS c FROM e x JOIN e y ON x.target_id = y.source_id JOIN e z ON y.target_id = z.source_id AND z.target_id = x.source_id WHERE x.target_id > x.source_id AND y.target_id > x.source_id AND y.target_id <> x.target_id""", traverse.call_triangles)
@@ -317,7 +341,7 @@ FROM sessions s JOIN f ON s.session = f.session GROUP BY s.session""", telemetry
 over_usage("o112_markov1", "SELECT * FROM markov1", telemetry.markov1)
 over_usage("o113_markov2", "SELECT * FROM markov2", telemetry.markov2)
 over_usage("o114_predict", """
-, m AS (SELECT first, second, next, n, p, 2 AS "order" FROM markov2 WHERE p >= 0.2), f AS (SELECT a.mode AS first, b.state AS second, b.next, b.n, b.p, 1 AS "order" FROM (SELECT DISTINCT mode FROM usage) a JOIN markov1 b ON a.mode <> b.state
+, m AS (SELECT first, second, next, n, p, 2 AS "order" FROM markov2 WHERE p >= 0.2), f AS (SELECT a.mode AS first, b.state AS second, b.next, b.n, b.p, 1 AS "order" FROM (SELECT DISTINCT mode, m1 FROM seqs WHERE m1 <> mode) a JOIN markov1 b ON a.m1 = b.state
     WHERE b.p >= 0.2 AND NOT EXISTS (SELECT 1 FROM m WHERE m.first = a.mode AND m.second = b.state))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY first, second ORDER BY p DESC, next) AS rank FROM (SELECT * FROM m UNION ALL SELECT * FROM f)) WHERE rank <= 3""", telemetry.predict)
 over_usage("o100_report", "SELECT mode, count(*) AS uses, round(avg(tokens), 6) AS avg_tokens, round(100.0 * count(*) FILTER (empty) / count(*), 6) AS empty_pct, count(DISTINCT repo) AS repos FROM usage GROUP BY mode", telemetry.report)
@@ -394,13 +418,13 @@ over_graph("o104_prepare_context", None, lambda g: tools.prepare(g, PHRASE, NOW)
 
 
 @query("o049_changed_symbols_by_line", GRAPH + """
-SELECT s.id, count(*) AS lines FROM symbols s JOIN (SELECT DISTINCT s.file_path, CAST(l_orderkey % 500 AS INTEGER) AS line FROM lineitem JOIN symbols s ON l_partkey = s.seq WHERE l_orderkey % 97 = 0) c
+SELECT s.id, count(*) AS lines FROM symbols s JOIN (SELECT DISTINCT s.file_path, CAST(l_orderkey % 500 AS INTEGER) AS line FROM lineitem JOIN symbols s ON l_partkey = s.seq) c
 ON s.file_path = c.file_path AND c.line BETWEEN s.line_start AND s.line_end GROUP BY s.id""")
 def _by_line(s, d):
     from ..operators.ranges import changed_symbols
 
     g = graph(s, d)
-    lines = table(s, d, "lineitem").where("l_orderkey % 97 = 0").join(g.symbols.select(F.col("seq").alias("l_partkey"), "file_path"), "l_partkey")
+    lines = table(s, d, "lineitem").join(g.symbols.select(F.col("seq").alias("l_partkey"), "file_path"), "l_partkey")
     return changed_symbols(g, lines.select(F.col("file_path").alias("path"), (F.col("l_orderkey") % 500).cast("int").alias("line")).distinct())
 query("o120_change_keywords")(
     lambda s, d: (ship(s), table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(keywords_column(F.col("text")), ",").alias("keywords")))[1]
@@ -421,16 +445,41 @@ query("o033_empty_results", "SELECT conv_id, turn, regexp_matches(text, '^(No sy
 )
 over_graph("o047_commit_pairs", "SELECT a, b, together FROM pair_counts", lambda g: history.pair_counts(g).select("a", "b", "together"))
 over_graph("o049c_test_stems", f"""
-, f AS (SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '[.][^.]*$', '') AS stem FROM files)
-SELECT f.file_path, t.file_path AS test FROM f JOIN f t ON contains('_' || t.stem || '_', '_' || f.stem || '_') WHERE NOT {is_test('f.file_path')} AND {is_test('t.file_path')}""", advice.stem_matches)
-over_graph("o054_hybrid_bonus", f"""
-SELECT id, round(100.0 / (61 + seq % 7) + CASE WHEN exported THEN 2.0 ELSE 0 END + least(coalesce(c, 0), 5) * 0.5 + CASE WHEN kind IN ('component', 'hook') THEN 1.5 WHEN kind = 'class' THEN 1.0 ELSE 0 END, 6) AS score
-FROM symbols LEFT JOIN {_XC} x ON id = target_id WHERE seq < 100 ORDER BY score DESC, id LIMIT 50""", lambda g: advice.with_bonus(g, g.symbols.where("seq < 100").select("id", (1 / (61 + F.col("seq") % 7)).alias("score"))))
-over_graph("o056_seeds", None, advice.seeds, PHRASE)
+, f AS (SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '[.][^.]*$', '') AS stem FROM (SELECT DISTINCT {_SHORT.format('file_path')} AS file_path FROM files))
+SELECT f.file_path, t.file_path AS test FROM f JOIN f t ON contains(split_part(t.file_path, '/', -1), f.stem) WHERE NOT {is_test('f.file_path')} AND {is_test('t.file_path')}""", lambda g: advice.stem_matches(_short(g)))
+@query("o054_hybrid_bonus", GRAPH + _SEARCH + f"""
+, a AS (SELECT id, row_number() OVER ({_BY_SCORE}) AS ra FROM (SELECT * FROM hits {_BY_SCORE} LIMIT 40)),
+b AS (SELECT s.id, row_number() OVER (ORDER BY distance, s.id) AS rb FROM ({_KNN.replace('LIMIT 20', 'LIMIT 40')}) k JOIN symbols s ON s.seq = k.vec_id),
+f AS (SELECT coalesce(a.id, b.id) AS id, round(coalesce(1 / (60 + ra), 0) + coalesce(1 / (60 + rb), 0), 9) AS fused FROM a FULL JOIN b ON a.id = b.id)
+SELECT f.id, round(fused * 100 + CASE WHEN exported THEN 2.0 ELSE 0 END + least(coalesce(c, 0), 5) * 0.5 + CASE WHEN kind IN ('component', 'hook') THEN 1.5 WHEN kind = 'class' THEN 1.0 ELSE 0 END, 6) AS score
+FROM f JOIN symbols s ON f.id = s.id LEFT JOIN {_XC} x ON f.id = target_id ORDER BY score DESC, f.id LIMIT 50""")
+def _hybrid(s, d):
+    """Search hits and nearest vectors (vec_id is a symbol's number), fused by rank, with the structural bonus."""
+    g = graph(s, d)
+    words = search.search(g, PHRASE).limit(40)
+    near = search.nearest(table(s, d, "embeddings"), _vector(s, d), 40).join(g.symbols.select("id", "seq"), F.col("vec_id") == F.col("seq"))
+    fused = search.fuse(words, near, "id", [F.desc("score"), "file_path", "line_start", "id"], ["distance", "id"], 80)
+    return advice.with_bonus(g, fused)
+
+
+over_graph("o056_seeds", _SEARCH + f"""
+, top AS (SELECT * FROM hits {_BY_SCORE} LIMIT 50), good AS (SELECT *, {is_test('file_path')} AS test FROM top WHERE score >= greatest(0.3 * (SELECT max(score) FROM top), 2.0))
+SELECT id, score FROM good WHERE NOT test OR (SELECT bool_and(test) FROM good) {_BY_SCORE} LIMIT 10""", advice.seeds, PHRASE)
 over_graph("o057_suggestions", None, advice.suggestions, PHRASE)
 query("o058_orbit")(lambda s, d: (lambda g: advice.orbit(g, _file(g, 30), PHRASE))(graph(s, d)))
-query("o059_key_files")(lambda s, d: advice.key_files_in(table(s, d, "conversations")))
-over_graph("o063_superseded", None, scoring.superseded)
+over_graph("o059_key_files", f"SELECT path, count(*) AS n, CASE WHEN {is_test('path')} THEN 1 ELSE 0 END AS tier FROM commit_files GROUP BY path ORDER BY tier, n DESC, path LIMIT 15",
+    lambda g: advice.key_files_in(g.commit_files.select(F.concat(F.lit("see "), F.col("path"), F.lit(", changed")).alias("text"))))
+# every second name ends in _old, and every third in _legacy, in place of its number
+_AGED = "regexp_replace(name, '_[0-9]+$', CASE WHEN seq % 2 = 0 THEN '_old' WHEN seq % 3 = 0 THEN '_legacy' ELSE '' END)"
+
+
+def _named(g, name: str) -> CodeGraph:
+    return CodeGraph(g.symbols.withColumn("name", F.expr(name)), g.edges, g.commit_files)
+
+
+over_graph("o063_superseded", f"""
+, named AS (SELECT id, {_AGED} AS name, id IN (SELECT id FROM dead) AS gone FROM symbols)
+SELECT d.id, l.id AS live_id FROM named d JOIN named l ON regexp_replace(d.name, '_(old|legacy)$', '') = l.name WHERE d.gone AND NOT l.gone AND regexp_matches(d.name, '_(old|legacy)$')""", lambda g: scoring.superseded(_named(g, _AGED)))
 over_graph("o069a_importance", f"""
 SELECT id, CAST(2 * coalesce(c, 0) + CASE WHEN exported THEN 1 ELSE 0 END + CASE WHEN file_path IN (SELECT path FROM commit_files WHERE commit_id IN {_LATEST}) THEN 2 ELSE 0 END AS BIGINT) AS importance, coalesce(f, 0) >= 10 AS utility
 FROM symbols LEFT JOIN {_XC} x ON id = target_id""", lambda g: advice.importance(g, history.recent_files(g)))
@@ -447,8 +496,12 @@ SELECT i.path, importers FROM (SELECT target_id AS path, count(*) AS importers F
 LEFT JOIN (SELECT path, count(DISTINCT commit_id) * 7.0 / 14 AS w FROM commit_files WHERE day >= DATE '2001-08-02' - 14 GROUP BY 1) v ON i.path = v.path WHERE coalesce(w, 0) < 2 ORDER BY importers DESC, path LIMIT 4""", advice.calm_zones, NOW, 2)
 over_graph("o082_badges", f"SELECT id, id IN (SELECT target_id FROM calls WHERE {is_test('source_file')}) AS tested, complexity >= 3 AND lines >= 5 AND complexity / lines >= 0.5 AS dense, complexity >= 20 AS complex FROM symbols WHERE kind IN ('function', 'method')", advice.badges)
 over_graph("o087_recently_active", "SELECT path, count(DISTINCT commit_id) AS commits FROM commit_files WHERE NOT contains(path, '/test_') GROUP BY path ORDER BY commits DESC, path LIMIT 3", advice.recently_active)
-over_graph("o088_entry_points", None, advice.entry_points)
-over_graph("o093_symbol_blast", None, advice.symbol_blast, PHRASE)
+_STARTING = "CASE WHEN seq % 50 = 1 THEN 'main' WHEN seq % 50 = 2 THEN 'serve' ELSE name END"
+over_graph("o088_entry_points", f"SELECT id AS entry FROM symbols WHERE seq % 50 IN (1, 2) AND parent_id IS NULL AND NOT {is_test('file_path')} ORDER BY id LIMIT 15", lambda g: advice.entry_points(_named(g, _STARTING)))
+over_graph("o093_symbol_blast", _SEARCH + f"""
+SELECT id, (SELECT count(*) FROM calls WHERE target_id = id AND source_file <> target_file) AS outside, (SELECT count(*) FROM calls WHERE target_id = id AND source_file = target_file) AS local,
+(SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'renders') WHERE target_id = id) AS renderers, (SELECT count(*) FROM edges WHERE kind = 'contains' AND source_id = id) AS children
+FROM (SELECT * FROM hits {_BY_SCORE} LIMIT 5)""", advice.symbol_blast, PHRASE)
 over_graph("o096_diff_dependents", f"""
 , users AS (SELECT target_file, source_file FROM calls WHERE source_file <> target_file AND target_file IN {_CHANGED} UNION SELECT target_id, source_id FROM imports WHERE target_id IN {_CHANGED})
 SELECT DISTINCT CASE WHEN {is_test('source_file')} THEN 'test' ELSE 'dependent' END AS section, source_file AS item FROM users WHERE source_file NOT IN {_CHANGED}
@@ -477,7 +530,29 @@ from ..operators import bodies, embed  # noqa: E402
 
 over_graph("o_signatures", "SELECT id, 2 AS parameters, 0 AS annotated, 0 AS defaults, false AS variadic, false AS is_async, '' AS returns FROM symbols WHERE kind IN ('function', 'method')", bodies.signatures)
 over_graph("o055_embed", None, embed.embed)
-over_graph("o069q_import_depth", None, lambda g: traverse.import_depth(g, g.files.where("file_path like 'economy/%'").select(F.col("file_path").alias("root"))))
+over_graph("o069q_import_depth", None, lambda g: traverse.import_depth(g, g.files.select(F.col("file_path").alias("root"))))
 ORACLE_SQL["o069q_import_depth"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", i AS (SELECT * FROM imports WHERE NOT {is_test('source_id')} AND NOT {is_test('target_id')}), reach(root, node, hops) AS (
     SELECT root, root, 0 FROM ({_STARTS}) UNION SELECT root, i.source_id, hops + 1 FROM reach JOIN i ON i.target_id = node WHERE hops < 12)
 SELECT root, max(hops) AS depth FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) GROUP BY root"""
+
+# --- tasks, branches and hunks ---------------------------------------------------------------------------------------
+from ..functions.keywords import changes_no_source  # noqa: E402
+
+#: A merge of a branch for each part: features, documentation, releases, and numbered branches with a body.
+_MERGE = """concat('Merge pull request #', p_partkey, ' from me/', CASE p_partkey % 7 WHEN 0 THEN 'docs/' WHEN 1 THEN 'fix-' WHEN 2 THEN 'release-' WHEN 3 THEN 'add-' WHEN 4 THEN 'v1.' WHEN 5 THEN 'readme_' ELSE 'docstring-' END,
+    p_size, CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), chr(10), 'Bump versions of dependencies') ELSE concat(chr(10), 'Handle ', p_name) END)"""
+query("o123_branches", f"""
+SELECT p_partkey, regexp_matches(b, '^docs?/') OR regexp_matches(leaf, '(^|[-_])(docs?|readme|changelog|documentation|version|release)([-_]|$)') OR regexp_matches(leaf, '(^|[-_])v?[0-9]+[.][0-9]+')
+    OR (regexp_matches(leaf, '^(issue|ticket|bug|patch|pr|fix|hotfix)[-_]?[0-9]|^[0-9]+[-_]') AND contains(t, 'Bump versions of dependencies')) AS skipped
+FROM (SELECT p_partkey, t, regexp_extract(t, 'from me/(\\S+)', 1) AS b, split_part(regexp_extract(t, 'from me/(\\S+)', 1), '/', -1) AS leaf FROM (SELECT p_partkey, {_MERGE} AS t FROM part))""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", changes_no_source(F.expr(_MERGE)).alias("skipped"))
+)
+query("o124_hunk_lines", """
+SELECT DISTINCT l_orderkey, CAST(unnest(generate_series(l_partkey, l_partkey + CAST(l_quantity AS BIGINT) % 5 - 1)) AS INTEGER) AS line FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 5 > 0""")(
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", F.explode(texts.hunk_lines(F.concat(F.lit("@@ -1,2 +"), "l_partkey", F.lit(","), F.col("l_quantity").cast("long") % 5, F.lit(" @@ x")))).alias("line")).distinct()
+)
+over_graph("o126_path_fallback", "SELECT DISTINCT file_path FROM symbols WHERE contains(file_path, 'economy/brand_11') AND NOT contains(file_path, 'test')", advice.path_fallback, "Economy/Brand_11")
+over_graph("o104_coverage", """
+SELECT resolved, total, round(resolved / total, 6) AS share, (SELECT count(*) FROM files) AS files, CASE WHEN resolved / total > 0.75 THEN 'high' WHEN resolved / total >= 0.4 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT count(*) FILTER (w IN (SELECT lower(name) FROM symbols)) AS resolved, count(*) AS total FROM (SELECT unnest(['nothing', (SELECT lower(name) FROM symbols WHERE seq = 30), (SELECT lower(name) FROM symbols WHERE seq = 31)]) AS w))""",
+    lambda g: advice.coverage(g, ["Nothing", _symbol_name(g, 30), _symbol_name(g, 31)], g.files))

@@ -40,16 +40,6 @@ def _like(column: str, *patterns: str) -> str:
     return f"({' OR '.join(tests)})"
 
 
-def _families(text: str) -> list[tuple[str, int, str, tuple[str, ...]]]:
-    """id, least, label and patterns from lines of `id least label: patterns`."""
-    out = []
-    for line in text.strip().splitlines():
-        head, _, patterns = line.partition(":")
-        ident, least, label = head.split(" ", 2)
-        out.append((ident, int(least), label, tuple(patterns.split())))
-    return out
-
-
 _FN = "kind IN ('function', 'method')"
 _SRC = "NOT is_test"
 
@@ -72,67 +62,67 @@ _BLAST = [
 ]
 
 # More name families of unused functions.
-_DEAD_MORE = _families("""
-S202 1 unused error handlers: handle_% on_error% catch_% except_% error_handler%
-S208 1 unused callbacks and listeners: %_callback %_handler %_listener %_hook
-S218 1 unused initializers: init_% initialize_% setup_app% configure_% bootstrap_% startup_%
-S225 2 unused validators: validate_% check_% verify_% assert_% ensure_%
-S238 1 unused request hooks: middleware_% before_% after_% pre_% post_% intercept_% filter_%
-S241 2 unused configuration readers: config_% settings_% get_config% load_config% get_setting% load_settings%
-S264 2 unused commands: cmd_% command_% do_% run_cmd% execute_% action_%
-S291 3 unused readers: get_% fetch_% retrieve_% load_% read_% query_%
-S310 2 unused adapters: adapt_% adapter_% convert_% converter_% transform_% format_%
-S315 2 unused rate limiters: rate_limit_% throttle_% debounce_% quota_%
-S321 4 unused authentication: auth_% authenticate_% authorize_% check_auth% require_auth%
-S329 2 unused notifications: notify_% send_notification% alert_% dispatch_event_% publish_%
-S335 2 unused state handlers: on_enter_% on_exit_% on_leave_% transition_% state_%
-S341 2 unused scheduled tasks: task_% cron_% scheduled_% periodic_% job_%
-S347 1 unused migration helpers: migrate_% upgrade_% downgrade_% rollback_%
-S378 2 unused parsers: parse_% decode_% deserialize_% from_string_% load_from_%
-S384 2 unused cleanup: cleanup_% teardown_% destroy_% shutdown_% close_% dispose_%
-S390 2 unused reports: report_% generate_% export_% build_report_% render_report_%
-S396 2 unused logging: log_% debug_% trace_% write_log_% record_event_%
-S414 2 unused converters: map_% translate_% convert_% transform_%
-S426 2 unused decorators: register_% decorator_% with_% patch_% decorate_%
-S456 2 unused formatters: format_% formatter_% pretty_% display_%
-S468 1 unused encoders: serialize_% marshal_% encode_% dump_%
-S480 2 unused debug helpers: dump_% print_debug_% trace_% verbose_%
-S505 2 unused predicates: is_% has_% can_% should_% needs_%
-S512 2 unused test support: setup_% teardown_% fixture_% mock_% stub_% fake_%
-S635 4 unused deprecated names: %deprecated% %obsolete% %legacy%
-""")
+_DEAD_MORE = [
+    ("S202", 1, "unused error handlers", ("handle_%", "on_error%", "catch_%", "except_%", "error_handler%",)),
+    ("S208", 1, "unused callbacks and listeners", ("%_callback", "%_handler", "%_listener", "%_hook",)),
+    ("S218", 1, "unused initializers", ("init_%", "initialize_%", "setup_app%", "configure_%", "bootstrap_%", "startup_%",)),
+    ("S225", 2, "unused validators", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%",)),
+    ("S238", 1, "unused request hooks", ("middleware_%", "before_%", "after_%", "pre_%", "post_%", "intercept_%", "filter_%",)),
+    ("S241", 2, "unused configuration readers", ("config_%", "settings_%", "get_config%", "load_config%", "get_setting%", "load_settings%",)),
+    ("S264", 2, "unused commands", ("cmd_%", "command_%", "do_%", "run_cmd%", "execute_%", "action_%",)),
+    ("S291", 3, "unused readers", ("get_%", "fetch_%", "retrieve_%", "load_%", "read_%", "query_%",)),
+    ("S310", 2, "unused adapters", ("adapt_%", "adapter_%", "convert_%", "converter_%", "transform_%", "format_%",)),
+    ("S315", 2, "unused rate limiters", ("rate_limit_%", "throttle_%", "debounce_%", "quota_%",)),
+    ("S321", 4, "unused authentication", ("auth_%", "authenticate_%", "authorize_%", "check_auth%", "require_auth%",)),
+    ("S329", 2, "unused notifications", ("notify_%", "send_notification%", "alert_%", "dispatch_event_%", "publish_%",)),
+    ("S335", 2, "unused state handlers", ("on_enter_%", "on_exit_%", "on_leave_%", "transition_%", "state_%",)),
+    ("S341", 2, "unused scheduled tasks", ("task_%", "cron_%", "scheduled_%", "periodic_%", "job_%",)),
+    ("S347", 1, "unused migration helpers", ("migrate_%", "upgrade_%", "downgrade_%", "rollback_%",)),
+    ("S378", 2, "unused parsers", ("parse_%", "decode_%", "deserialize_%", "from_string_%", "load_from_%",)),
+    ("S384", 2, "unused cleanup", ("cleanup_%", "teardown_%", "destroy_%", "shutdown_%", "close_%", "dispose_%",)),
+    ("S390", 2, "unused reports", ("report_%", "generate_%", "export_%", "build_report_%", "render_report_%",)),
+    ("S396", 2, "unused logging", ("log_%", "debug_%", "trace_%", "write_log_%", "record_event_%",)),
+    ("S414", 2, "unused converters", ("map_%", "translate_%", "convert_%", "transform_%",)),
+    ("S426", 2, "unused decorators", ("register_%", "decorator_%", "with_%", "patch_%", "decorate_%",)),
+    ("S456", 2, "unused formatters", ("format_%", "formatter_%", "pretty_%", "display_%",)),
+    ("S468", 1, "unused encoders", ("serialize_%", "marshal_%", "encode_%", "dump_%",)),
+    ("S480", 2, "unused debug helpers", ("dump_%", "print_debug_%", "trace_%", "verbose_%",)),
+    ("S505", 2, "unused predicates", ("is_%", "has_%", "can_%", "should_%", "needs_%",)),
+    ("S512", 2, "unused test support", ("setup_%", "teardown_%", "fixture_%", "mock_%", "stub_%", "fake_%",)),
+    ("S635", 4, "unused deprecated names", ("%deprecated%", "%obsolete%", "%legacy%",)),
+]
 # Name families of unused classes.
-_DEAD_CLASSES = _families("""
-S248 2 unused exceptions: %error% %exception% %fault% %failure%
-S257 2 unused data types: %schema% %dto% %request% %response% %payload%
-S586 4 unused services: %manager %service %controller %registry %repository %provider
-S647 4 unused bases: %mixin% %base% %abstract%
-S653 4 unused protocols: %protocol %interface %abc
-""")
+_DEAD_CLASSES = [
+    ("S248", 2, "unused exceptions", ("%error%", "%exception%", "%fault%", "%failure%",)),
+    ("S257", 2, "unused data types", ("%schema%", "%dto%", "%request%", "%response%", "%payload%",)),
+    ("S586", 4, "unused services", ("%manager", "%service", "%controller", "%registry", "%repository", "%provider",)),
+    ("S647", 4, "unused bases", ("%mixin%", "%base%", "%abstract%",)),
+    ("S653", 4, "unused protocols", ("%protocol", "%interface", "%abc",)),
+]
 # More families of changed files.
-_DIFF_MORE = _families("""
-S561 1 configuration files changed: %.yaml %.yml %.json %.toml %.ini %.env %.cfg
-S615 1 secrets changed: .env% .envrc .secret% %.pem %.key %.p12
-S645 1 lock files changed: pipfile.lock poetry.lock package-lock.json yarn.lock pnpm-lock.yaml gemfile.lock
-S657 1 build configuration changed: jenkinsfile makefile dockerfile .travis.yml circle.yml azure-pipelines.yml
-S633 1 generated files changed: %_pb2.py %_pb2_grpc.py %_generated.py %_gen.py %_auto.py
-S651 1 models changed: schema.py models.py model.py tables.py entities.py
-S735 1 schema or migration changed: %migration% %migrate% %schema% %alembic%
-S849 1 shared utilities changed: %utils% %helpers% %common% %shared% %core%
-S855 1 legacy files changed: %_old% %_legacy% %_deprecated% %_bak%
-S981 1 security files changed: %auth% %security% %crypto%
-S235 1 interface contracts changed: %.proto %.graphql %.gql %.avro
-S339 1 feature flags changed: %feature_flag% %toggle% %rollout% %flags%
-S345 1 performance code changed: %cache% %query% %index% %performance% %benchmark%
-S357 1 translations changed: %locale% %i18n% %l10n% %translation%
-S381 1 scripts changed: %.sh %.bash %.zsh %.ps1 %.bat
-S387 1 public interfaces changed: %routes% %endpoints% %api% %openapi% %swagger%
-S399 1 error handling changed: %error_handler% %exception_handler% %retry% %fallback% %circuit_breaker%
-S491 1 test fixtures changed: conftest.py fixtures.py test_helpers.py test_utils.py
-S509 1 entities changed: %model% %entity% %orm% %record% %domain%
-S579 1 media changed: %.png %.jpg %.jpeg %.gif %.ico %.svg %.webp
-S584 1 version changed: version.py _version.py version version.txt
-""")
+_DIFF_MORE = [
+    ("S561", 1, "configuration files changed", ("%.yaml", "%.yml", "%.json", "%.toml", "%.ini", "%.env", "%.cfg",)),
+    ("S615", 1, "secrets changed", (".env%", ".envrc", ".secret%", "%.pem", "%.key", "%.p12",)),
+    ("S645", 1, "lock files changed", ("pipfile.lock", "poetry.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "gemfile.lock",)),
+    ("S657", 1, "build configuration changed", ("jenkinsfile", "makefile", "dockerfile", ".travis.yml", "circle.yml", "azure-pipelines.yml",)),
+    ("S633", 1, "generated files changed", ("%_pb2.py", "%_pb2_grpc.py", "%_generated.py", "%_gen.py", "%_auto.py",)),
+    ("S651", 1, "models changed", ("schema.py", "models.py", "model.py", "tables.py", "entities.py",)),
+    ("S735", 1, "schema or migration changed", ("%migration%", "%migrate%", "%schema%", "%alembic%",)),
+    ("S849", 1, "shared utilities changed", ("%utils%", "%helpers%", "%common%", "%shared%", "%core%",)),
+    ("S855", 1, "legacy files changed", ("%_old%", "%_legacy%", "%_deprecated%", "%_bak%",)),
+    ("S981", 1, "security files changed", ("%auth%", "%security%", "%crypto%",)),
+    ("S235", 1, "interface contracts changed", ("%.proto", "%.graphql", "%.gql", "%.avro",)),
+    ("S339", 1, "feature flags changed", ("%feature_flag%", "%toggle%", "%rollout%", "%flags%",)),
+    ("S345", 1, "performance code changed", ("%cache%", "%query%", "%index%", "%performance%", "%benchmark%",)),
+    ("S357", 1, "translations changed", ("%locale%", "%i18n%", "%l10n%", "%translation%",)),
+    ("S381", 1, "scripts changed", ("%.sh", "%.bash", "%.zsh", "%.ps1", "%.bat",)),
+    ("S387", 1, "public interfaces changed", ("%routes%", "%endpoints%", "%api%", "%openapi%", "%swagger%",)),
+    ("S399", 1, "error handling changed", ("%error_handler%", "%exception_handler%", "%retry%", "%fallback%", "%circuit_breaker%",)),
+    ("S491", 1, "test fixtures changed", ("conftest.py", "fixtures.py", "test_helpers.py", "test_utils.py",)),
+    ("S509", 1, "entities changed", ("%model%", "%entity%", "%orm%", "%record%", "%domain%",)),
+    ("S579", 1, "media changed", ("%.png", "%.jpg", "%.jpeg", "%.gif", "%.ico", "%.svg", "%.webp",)),
+    ("S584", 1, "version changed", ("version.py", "_version.py", "version", "version.txt",)),
+]
 
 RULES: list[Rule] = [
     *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND {_FN} AND {_like('low', *p)}", n, label) for i, p, n, label in _DEAD],

@@ -66,7 +66,10 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 _IMPORT = re.compile(r"""^\s*(?:import\b.*|from\s+\S+\s+import\b.*|export\s+.*\bfrom\s+['"].*|(?:pub\s+)?use\s+[\w:]+.*|#include\s+.*|require(?:_relative)?\s+['"].*|using\s+[\w.]+;|(?:const|let|var)\s+.*=\s*require\(.*)""")
 _BASES = re.compile(r"\b(?P<how>extends|implements|:|<)\s*(?P<names>[\w.,\s]+?)\s*(?:\{|$|implements)")
 _CALL = re.compile(r"(?<![\w.])(?:(?P<of>self|this|[A-Za-z_]\w*)\.)?(?P<name>[A-Za-z_]\w*)\s*\(")
-_NOT_CALLS = frozenset("if for while switch return catch function fn def func new print println len range str int float list dict set super elif match with assert sizeof typeof defined fun class struct enum".split())
+_NOT_CALLS = frozenset((
+    "if", "for", "while", "switch", "return", "catch", "function", "fn", "def", "func", "new", "print", "println", "len", "range", "str", "int", "float", "list", "dict",
+    "set", "super", "elif", "match", "with", "assert", "sizeof", "typeof", "defined", "fun", "class", "struct", "enum",
+))
 _BRANCH = re.compile(r"\b(?:if|elif|else if|for|while|case|catch|except|when|rescue)\b|&&|\|\||\?(?=[^.:?])")
 _JSX = re.compile(r"<(?P<name>[A-Z]\w*)[\s/>]")
 

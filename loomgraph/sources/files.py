@@ -15,7 +15,10 @@ LARGEST = 2 * 1024 * 1024
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
     """path, length, modified, content of the source files below root: no hidden or ignored folders, no lock files, none beyond LARGEST."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _sources(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, extensions)
+
+
+def _sources(files: DataFrame, root: str, extensions: tuple[str, ...]) -> DataFrame:
     relative = F.expr("substring(path, instr(path, '{0}') + {1})".format(root.rstrip("/").replace("'", "''"), len(root.rstrip("/")) + 1))
     rows = files.where(F.col("length") <= LARGEST).withColumn("path", relative)
     parts = F.split("path", "/")
@@ -26,6 +29,18 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> Da
     return rows.where(ok).select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
+def watch(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """A stream of the source files below root as they are written: path, hash, version (time of change), deleted, content; for ingest.apply_changes.
+
+    A file that is written again comes again.  Removed files don't come; they
+    are found by comparing a scan with what is stored (`changes`).
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    rows = _sources(files, root, extensions)
+    return rows.select("path", F.md5("content").alias("hash"), F.unix_micros("modified").alias("version"), F.lit(False).alias("deleted"), "content")
+
+
 def changes(stored: DataFrame, found: DataFrame) -> DataFrame:
     """path and status of each file that is stored (path, hash, mtime) or found: new, gone, same, touched or changed."""
     s, f = stored.alias("s"), found.alias("f")

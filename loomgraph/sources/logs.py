@@ -72,3 +72,33 @@ def folder_notes(g: CodeGraph) -> DataFrame:
     rows = g.symbols.groupBy(F.regexp_replace("file_path", "/?[^/]*$", "").alias("folder"), "file_path").agg(F.count("*").alias("n"), F.count_if("exported").alias("e"))
     line = F.concat(F.lit("- "), F.col("file_path"), F.lit(": "), F.col("n").cast("string"), F.lit(" symbols, "), F.col("e").cast("string"), F.lit(" exported"))
     return rows.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("note"))
+
+
+def snapshot_folder(base: str, repo: str) -> str:
+    """Where a repository's snapshot lies below a base folder; the name has the form owner/name."""
+    parts = repo.strip("/").split("/")
+    if len(parts) != 2 or not all(parts) or ".." in parts:
+        raise ValueError(f"a repository is named owner/name, not {repo!r}")
+    return f"{base.rstrip('/')}/{parts[0]}/{parts[1]}"
+
+
+def publish(g: CodeGraph, base: str, repo: str) -> None:
+    """Save a graph as a repository's snapshot and list it in the registry below the base folder."""
+    at = snapshot_folder(base, repo)
+    save(g, at)
+    row = g.symbols.sparkSession.createDataFrame([(repo.strip("/"), at, g.commit_files is not None)], "repo string, path string, history boolean")
+    row.write.mode("append").parquet(f"{base.rstrip('/')}/registry")
+
+
+def snapshots(spark: SparkSession, base: str) -> DataFrame:
+    """repo, path, history of the snapshots that a registry lists."""
+    return spark.read.parquet(f"{base.rstrip('/')}/registry").distinct().orderBy("repo")
+
+
+def snapshot(spark: SparkSession, base: str, repo: str) -> CodeGraph:
+    """The graph of a listed repository; a name that isn't listed is an error that tells those that are."""
+    known = {r["repo"]: r for r in snapshots(spark, base).collect()}  # a registry has a row for each repository
+    if repo.strip("/") not in known:
+        raise KeyError(f"no snapshot of {repo!r}; there are {', '.join(sorted(known))}")
+    row = known[repo.strip("/")]
+    return load(spark, row["path"], row["history"])

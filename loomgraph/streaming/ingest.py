@@ -46,3 +46,9 @@ def apply_changes(store: Store, key: str = "path", on_change: Callable[[DataFram
             on_change(new.select(key, "deleted"))
 
     return run
+
+
+def follow(changed: DataFrame, store: Store, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None, every: str | None = "2 seconds"):
+    """Keep a store up to date with a stream of changed files; changes within every are one batch, so a file saved twice is taken once.  None takes what is there and ends."""
+    writer = changed.writeStream.foreachBatch(apply_changes(store, on_change=on_change)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
