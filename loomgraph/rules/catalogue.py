@@ -40,6 +40,16 @@ def _like(column: str, *patterns: str) -> str:
     return f"({' OR '.join(tests)})"
 
 
+def _word(column: str, *words: str) -> str:
+    """One of words alone, or as the first or last part of a name joined by underscores."""
+    return _like(column, *[p for w in words for p in (w, f"{w}_%", f"%_{w}")])
+
+
+def _has(column: str, *words: str) -> str:
+    """One of words anywhere."""
+    return _like(column, *[f"%{w}%" for w in words])
+
+
 _FN = "kind IN ('function', 'method')"
 _SRC = "NOT is_test"
 
@@ -57,8 +67,8 @@ _DIFF = [
     ("S522", ("__init__.py",), 1, "package init changed"), ("S939", ("%interface%", "%abstract%", "%protocol%"), 1, "interfaces changed"),
 ]
 _BLAST = [
-    ("S261", ("%windows%", "%linux%", "%darwin%", "%android%", "%ios%"), "platform-specific file"), ("S554", ("main.py", "app.py", "__main__.py", "index.ts", "server.py"), "application entry point"),
-    ("S758", ("%route%", "%router%", "%urls%"), "routing file"), ("S884", ("%auth%", "%secur%", "%passw%", "%token%", "%crypt%"), "security-sensitive file"), ("S956", ("conftest%", "fixtures.%"), "shared test fixture"),
+    ("S261", ("%windows%", "%linux%", "%darwin%", "%android%", "%ios%"), "platform-specific file"), 
+    
 ]
 
 # More name families of unused functions.
@@ -124,7 +134,141 @@ _DIFF_MORE = [
     ("S584", 1, "version changed", ("version.py", "_version.py", "version", "version.txt",)),
 ]
 
+# File families by a word that stands anywhere in the base name without its extension.
+_BLAST_HAS = [
+    ("S722", "utility name", ("util", "helper", "common", "shared", "base", "mixin")),
+    ("S734", "data model", ("model", "schema", "entity", "dto", "domain")),
+    ("S740", "wraps other code", ("middleware", "decorator", "wrapper", "interceptor", "hook")),
+    ("S746", "client of a service", ("client",)),
+    ("S758", "routing file", ("router", "routes", "routing", "urls", "url_conf", "endpoint", "endpoints")),
+    ("S866", "database migration", ("migration", "migrate", "upgrade", "downgrade", "alembic")),
+    ("S872", "encoding of data", ("serial", "format", "codec", "marshal", "encode", "decode", "schema")),
+    ("S878", "settings by name", ("config", "settings", "conf", "setup", "options", "params")),
+    ("S884", "security-sensitive file", ("auth", "token", "secret", "credential", "password", "jwt", "oauth", "crypto", "session")),
+    ("S896", "events and messages", ("handler", "listener", "subscriber", "receiver", "consumer", "event", "message", "queue")),
+    ("S902", "request entry by name", ("route", "router", "endpoint", "controller", "view", "urls", "api")),
+    ("S920", "cache or session store", ("cache", "redis", "memcache", "session", "store", "buffer")),
+    ("S926", "request pipeline", ("middleware", "interceptor", "filter", "guard", "hook", "pipeline", "chain")),
+    ("S932", "base library", ("util", "helper", "common", "shared", "lib", "base", "mixin")),
+]
+# File families by a word alone, or first or last in such a name.
+_BLAST_WORD = [
+    ("S770", "constants or settings", ("constants", "consts", "settings", "config", "configuration", "defaults", "env")),
+    ("S800", "registry of plugins", ("plugin", "plugins", "registry", "register", "hooks", "extensions", "middleware")),
+    ("S812", "constants, silently used", ("constants", "constant", "config", "settings", "conf", "consts", "vars", "env")),
+    ("S842", "constants or parameters", ("constants", "config", "settings", "conf", "defaults", "env", "params")),
+    ("S938", "loader or parser", ("loader", "load", "parser", "parse", "reader", "importer", "import_")),
+    ("S950", "context helper", ("context", "ctx", "contextlib", "contextmanager", "scope", "transaction")),
+    ("S962", "dispatch of addresses", ("router", "routes", "urls", "routing", "endpoints", "paths")),
+    ("S974", "data access", ("store", "storage", "repository", "repo", "dao", "data_access", "persistence")),
+    ("S980", "caching layer", ("cache", "cached", "caching", "memoize", "memoization", "redis", "memcache", "memcached")),
+    ("S986", "configuration", ("config", "configuration", "settings", "env", "environment", "options", "params", "parameters", "defaults", "conf")),
+    ("S992", "definitions of entities", ("schema", "schemas", "model", "models", "entity", "entities", "types", "typedefs", "datamodel", "domain")),
+    ("S1004", "security module", ("auth", "authentication", "authorization", "security", "credentials", "crypto", "password", "passwords", "token", "tokens", "session", "sessions", "permission", "permissions", "acl", "oauth", "jwt")),
+    ("S1010", "serializer", ("serializer", "serializers", "marshal", "marshaller", "codec", "codecs", "encoder", "encoders", "decoder", "decoders")),
+    ("S1016", "background work", ("task", "tasks", "job", "jobs", "worker", "workers", "celery", "queue", "queues", "scheduler", "beat")),
+]
+# File families by the whole base name, with the least number of importers.
+_BLAST_BASE = [
+    ("S231", 0, "package file", ("__init__.py", "__init__.ts", "__init__.js")),
+    ("S343", 1, "shared fixtures that others import", ("conftest.py", "fixtures.py", "test_helpers.py", "test_utils.py")),
+    ("S496", 1, "imported package file", ("__init__.py",)),
+    ("S554", 0, "application entry point", ("main.py", "app.py", "server.py", "cli.py", "run.py", "wsgi.py", "asgi.py")),
+    ("S589", 0, "package file by its end", ("__init__.py",)),
+    ("S626", 0, "utility module", ("utils.py", "helpers.py", "util.py", "helper.py", "common.py", "misc.py", "shared.py")),
+    ("S674", 0, "entry point, wider list", ("main.py", "app.py", "server.py", "cli.py", "__main__.py", "entrypoint.py", "entry.py", "wsgi.py", "asgi.py", "run.py")),
+    ("S716", 0, "settings or errors", ("config.py", "settings.py", "constants.py", "exceptions.py", "errors.py")),
+    ("S728", 0, "package initializer", ("__init__.py",)),
+]
+# Other name lists of files.
+_ENTRY_STEMS = ("main", "app", "index", "server", "cli", "run", "manage", "wsgi", "asgi", "__main__")
+_COMMAND_STEMS = ("__main__", "cli", "main", "entrypoint", "entry_point", "run")
+_UTILITY_STEMS = ("utils", "util", "helpers", "helper", "shared", "common", "base", "core", "lib", "tools")
+_TEST_STEMS = ("test_utils", "test_helpers", "test_fixtures", "conftest", "fixtures", "factories")
+_API_FOLDERS = ("api", "views", "endpoints", "routes", "controllers", "handlers")
+_SHARED_FOLDERS = ("/shared/", "/common/", "/core/", "/lib/", "/base/", "/foundation/")
+_CONFIG_WORDS = ("config", "settings", "constants", "conf", "env")
+_UTILITY_WORDS = ("utils", "helpers", "util", "helper", "common", "shared", "misc")
+_CHURN_WORDS = ("handler", "router", "route", "controller", "middleware", "dispatch", "gateway", "proxy", "adapter", "bridge")
+_DATA_WORDS = ("db", "database", "orm", "model", "migration", "repo", "repository", "dao", "query")
+_FIXTURE_BASES = ("conftest.py", "fixtures.py", "factories.py", "test_helpers.py", "test_utils.py")
+# Name lists for the file of the top hotspot.
+_TOP_DATA = ("dao", "repository", "repo", "model", "orm", "schema", "database", "db")
+_TOP_GENERATED = ("_gen.", "_generated.", ".gen.", ".generated.", "generated_", "autogenerated")
+_TOP_WRAPPERS = ("wrapper", "adapter", "proxy", "facade", "bridge", "client")
+_TOP_LEGACY = ("%_old", "%_legacy", "%_deprecated", "%_v1", "%_bak")
+_TOP_ENTRIES = ("main.py", "app.py", "server.py", "index.py", "run.py", "cli.py", "__main__.py", "wsgi.py", "asgi.py")
+
+_PATH = "lower(file_path)"
+_FOLDERS = "length(file_path) - length(replace(file_path, '/', ''))"  # above the file
+_PRIVATE = "left(name, 1) = '_' AND left(name, 2) <> '__'"
+_MIXED_CASE = "regexp_replace(file_path, '^.*/', '')"  # the base name as it is written
+_IN_API = _like(f"concat('/', {_PATH})", *[f"%/{w}/%" for w in _API_FOLDERS])
+
 RULES: list[Rule] = [
+    *[Rule("blast", i, "file", _has("stem", *words), 1, label) for i, label, words in _BLAST_HAS],
+    *[Rule("blast", i, "file", _word("stem", *words), 1, label) for i, label, words in _BLAST_WORD],
+    *[Rule("blast", i, "file", f"{_like('base', *names)} AND importers >= {n}", 1, label) for i, n, label, names in _BLAST_BASE],
+    Rule("blast", "S183", "file", "exported_api >= 10", 1, "files with a wide public interface"),
+    Rule("blast", "S217", "file", _like("stem", *_ENTRY_STEMS), 1, "entry points of an application"),
+    Rule("blast", "S224", "file", "is_test", 1, "test files, few dependents expected"),
+    Rule("blast", "S237", "file", "symbols > 0 AND exported = 0", 1, "files without exports"),
+    Rule("blast", "S290", "file", "exported > 0 AND importers = 0 AND NOT is_test", 1, "exports that no file imports"),
+    Rule("blast", "S383", "file", f"{_like('base', *_FIXTURE_BASES)} AND test_importers >= 3", 1, "fixtures of three tests or more"),
+    Rule("blast", "S413", "file", "symbols >= 30", 1, "files dense in symbols"),
+    Rule("blast", "S459", "file", "exported_fns >= 20 AND importers >= 5", 1, "core utilities"),
+    Rule("blast", "S467", "file", "test_importers > 0 AND test_importers = importers AND NOT is_test", 1, "sources that only tests import"),
+    Rule("blast", "S473", "file", "constants = symbols AND symbols >= 5 AND importers > 0", 1, "imported files of constants only"),
+    Rule("blast", "S511", "file", "importers = 1", 1, "files with one consumer"),
+    Rule("blast", "S515", "file", _has(_PATH, *_CONFIG_WORDS), 1, "settings by path"),
+    Rule("blast", "S527", "file", "exported >= 20", 1, "files with twenty exports"),
+    Rule("blast", "S560", "file", "importers > 0 AND test_importers = importers", 1, "files that only tests import"),
+    Rule("blast", "S566", "file", f"importers >= 5 AND {_has(_PATH, *_UTILITY_WORDS)}", 1, "widely used utilities"),
+    Rule("blast", "S572", "file", "lines >= 300", 1, "files of 300 lines"),
+    Rule("blast", "S578", "file", _like("concat('/', file_path, '/')", *[f"%{w}%" for w in _SHARED_FOLDERS]), 1, "files of shared folders"),
+    Rule("blast", "S608", "file", _has("base", *_CHURN_WORDS), 1, "names that tend to change"),
+    Rule("blast", "S662", "file", "lines > 300", 1, "files beyond 300 lines"),
+    Rule("blast", "S680", "file", "is_test", 1, "tests as targets"),
+    Rule("blast", "S710", "file", f"{_FOLDERS} >= 3", 1, "files three folders deep"),
+    Rule("blast", "S776", "file", "importers - test_importers >= 10", 1, "files with ten importing sources"),
+    Rule("blast", "S788", "file", _like("stem", *[p for w in _UTILITY_STEMS for p in (w, f"_{w}")]), 1, "shared utilities by exact name"),
+    Rule("blast", "S794", "file", _like("stem", *_COMMAND_STEMS), 1, "command line entries"),
+    Rule("blast", "S818", "file", "is_test", 1, "changed tests weaken the net"),
+    Rule("blast", "S830", "file", f"{_MIXED_CASE} = '__init__.py'", 1, "package surface"),
+    Rule("blast", "S836", "file", "lines > 500", 1, "files beyond 500 lines"),
+    Rule("blast", "S854", "file", _like("stem", *[f"{w}%" for w in _TEST_STEMS]), 1, "test helpers"),
+    Rule("blast", "S860", "file", _IN_API, 1, "files of interface folders"),
+    Rule("blast", "S890", "file", f"{_has('stem', *_DATA_WORDS)} AND NOT {_has('stem', 'mock', 'test')}", 1, "database access"),
+    Rule("blast", "S968", "file", f"{_has(_PATH, 'migrations/', 'migration/', 'alembic/')} OR " + _like("stem", *[p for w in ("migration", "migrate", "alembic", "schema", "flyway") for p in (w, f"{w}_%")]), 1, "database migration by folder or name"),
+    Rule("blast", "S908", "file", "symbols >= 30", 1, "thirty symbols in a file"),
+    Rule("blast", "S914", "file", "is_test", 1, "a test file is asked for"),
+    Rule("blast", "S956", "file", f"base = 'conftest.py' OR {_like('stem', 'fixtures', 'conftest', 'conftest_%')}", 1, "shared test fixture"),
+    Rule("hotspots", "S388", "top", _has(_PATH, "route", "endpoint", "view", "controller", "handler", "rest", "graphql", "api"), 1, "top hotspot serves requests"),
+    Rule("hotspots", "S400", "top", "is_test", 1, "top hotspot in a test file"),
+    Rule("hotspots", "S424", "top", f"{_SRC} AND kind = 'class' AND callers >= 3", 1, "top hotspot is a called class"),
+    Rule("hotspots", "S430", "top", f"{_SRC} AND complexity >= 20", 1, "top hotspot is complex"),
+    Rule("hotspots", "S436", "top", f"{_SRC} AND {_has(_PATH, *_TOP_DATA)}", 1, "top hotspot in the data layer"),
+    Rule("hotspots", "S478", "top", f"{_SRC} AND {_has(_PATH, *_TOP_GENERATED)}", 1, "top hotspot in generated code"),
+    Rule("hotspots", "S498", "top", f"{_SRC} AND " + _has(f"replace(replace({_PATH}, '_', ''), '-', '')", *_TOP_WRAPPERS), 1, "top hotspot wraps a dependency"),
+    Rule("hotspots", "S550", "top", f"{_SRC} AND {_FN} AND {_PRIVATE}", 1, "top hotspot is private, yet called"),
+    Rule("hotspots", "S568", "top", f"{_SRC} AND {_FOLDERS} >= 3", 1, "top hotspot three folders deep"),
+    Rule("hotspots", "S574", "top", f"{_SRC} AND callers > 0 AND test_callers = callers", 1, "only tests call the top hotspot"),
+    Rule("hotspots", "S580", "top", f"{_SRC} AND file_symbols >= 10", 1, "top hotspot in a wide file"),
+    Rule("hotspots", "S591", "top", f"{_SRC} AND {_MIXED_CASE} = '__init__.py'", 1, "top hotspot in a package file"),
+    Rule("hotspots", "S604", "top", "is_test", 1, "top hotspot belongs to a fixture"),
+    Rule("hotspots", "S610", "top", f"{_SRC} AND right(file_path, 3) <> '.py'", 1, "top hotspot not in Python"),
+    Rule("hotspots", "S826", "top", f"{_SRC} AND {_FN} AND lines >= 50", 1, "top hotspot has a long body"),
+    Rule("hotspots", "S856", "top", _like("stem", *_TOP_LEGACY), 1, "top hotspot in a legacy file"),
+    Rule("hotspots", "S880", "top", f"{_SRC} AND callers = 0", 1, "nothing is known to call the top hotspot"),
+    Rule("hotspots", "S898", "top", f"{_SRC} AND lines >= 50", 1, "top hotspot of 50 lines"),
+    Rule("hotspots", "S916", "top", f"{_SRC} AND callers = 1", 1, "top hotspot with one caller"),
+    Rule("hotspots", "S934", "top", f"{_SRC} AND callers > 0 AND test_callers = 0", 1, "no test calls the top hotspot"),
+    Rule("hotspots", "S946", "top", f"{_SRC} AND lines >= 100", 1, "top hotspot of 100 lines"),
+    Rule("hotspots", "S970", "top", f"{_SRC} AND {_FN} AND exported", 1, "top hotspot is public"),
+    Rule("hotspots", "S988", "top", f"{_SRC} AND {_FN} AND {_PRIVATE}", 1, "a private function leads"),
+    Rule("hotspots", "S1000", "top", f"{_SRC} AND lines >= 150", 1, "top hotspot of 150 lines"),
+    Rule("hotspots", "S1006", "top", f"{_SRC} AND {_like('base', *_TOP_ENTRIES)}", 1, "top hotspot at an entry point"),
+    Rule("hotspots", "S1020", "top", f"{_SRC} AND file_functions = 1", 1, "top hotspot alone in its file"),
     *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND {_FN} AND {_like('low', *p)}", n, label) for i, p, n, label in _DEAD],
     *[Rule("diff", i, "diff", _like("base", *p), n, label) for i, p, n, label in _DIFF],
     *[Rule("blast", i, "file", _like("base", *p), 1, label) for i, p, label in _BLAST],
@@ -139,11 +283,6 @@ RULES: list[Rule] = [
     Rule("dead", "S140", "symbol", f"confidence IS NOT NULL AND is_test AND {_FN}", 3, "unused helpers in test files"),
     Rule("dead", "S893", "symbol", "confidence IS NOT NULL AND exported AND kind IN ('function', 'class')", 4, "unused exports"),
     Rule("dead", "S98", "symbol", "confidence >= 40", 1, "removable with some confidence"),
-    Rule("dead", "S-high", "symbol", "confidence >= 70", 1, "removable with high confidence"),
-    Rule("dead", "S-large", "symbol", "confidence IS NOT NULL AND lines >= 50", 1, "large unused code"),
-    Rule("dead", "S-doc", "symbol", "confidence IS NOT NULL AND doc <> ''", 1, "unused but documented"),
-    Rule("dead", "S-class", "symbol", "confidence IS NOT NULL AND kind = 'class'", 2, "unused classes"),
-    Rule("dead", "S-component", "symbol", "confidence IS NOT NULL AND kind = 'component' AND renderers = 0", 1, "components that nothing renders"),
     Rule("overview", "S84", "symbol", f"{_SRC} AND exported AND {_FN} AND callers > 0 AND test_callers = 0", 3, "called exports without a test"),
     Rule("overview", "S82", "symbol", f"{_SRC} AND {_FN} AND complexity > 5", 5, "dense functions"),
     Rule("overview", "S125", "symbol", f"{_SRC} AND {_FN} AND complexity >= 15", 1, "most complex functions"),
@@ -151,22 +290,15 @@ RULES: list[Rule] = [
     Rule("overview", "S226", "file", f"{_SRC} AND symbols >= 50", 1, "monolithic files"),
     Rule("overview", "S110", "file", f"{_SRC} AND lines >= 50", 1, "files of 50 lines or more"),
     Rule("overview", "S775", "file", f"{_SRC} AND lines >= 200", 3, "large files"),
-    Rule("overview", "S-fanout", "file", f"{_SRC} AND imports >= 8", 1, "files with many imports"),
-    Rule("overview", "S-imported", "file", f"{_SRC} AND importers >= 3", 1, "widely imported files"),
     Rule("overview", "S643", "symbol", "kind = 'class' AND subtypes >= 1", 1, "classes with subclasses"),
     Rule("overview", "S979", "file", f"{_SRC} AND classes = 0 AND functions >= 5", 1, "files of functions without a class"),
-    Rule("overview", "S-churn", "file", f"{_SRC} AND commits >= 5", 1, "often changed files"),
-    Rule("overview", "S-old", "file", "days >= 90", 1, "files unchanged for 90 days"),
     Rule("hotspots", "S529", "symbol", f"{_SRC} AND {_FN} AND lines >= 50 AND callers >= 1", 1, "long called functions"),
     Rule("hotspots", "S262", "symbol", f"{_SRC} AND test_callers >= 3", 1, "well-tested symbols"),
-    Rule("hotspots", "S604", "symbol", "is_test AND cross_files >= 3", 1, "test symbols that others call"),
     Rule("hotspots", "S982", "symbol", f"{_SRC} AND callers >= 3 AND lines >= 50", 1, "heavyweight symbols"),
     Rule("hotspots", "S994", "symbol", f"{_SRC} AND callers >= 1 AND cross_files = 0", 1, "symbols called within their file only"),
     Rule("hotspots", "S958", "symbol", "file_path LIKE '%/__init__.py'", 1, "symbols of package inits"),
     Rule("hotspots", "S418", "symbol", _like("file_path", "%vendor/%", "%third_party/%"), 1, "vendored symbols"),
     Rule("hotspots", "S850", "symbol", f"{_SRC} AND signature LIKE 'async %'", 1, "async symbols"),
-    Rule("hotspots", "S-untested", "symbol", f"{_SRC} AND cross_files >= 2 AND test_callers = 0", 1, "shared and untested"),
-    Rule("hotspots", "S-dense", "symbol", f"{_SRC} AND complexity >= 20", 2, "very complex symbols"),
     Rule("blast", "S207", "file", "importers = 1", 1, "files with a single importer"),
     Rule("blast", "S138", "file", "imports >= 5", 1, "aggregators"),
     Rule("blast", "S371", "file", "symbols >= 15 AND importers >= 5", 1, "utility belts"),
@@ -175,13 +307,8 @@ RULES: list[Rule] = [
     Rule("blast", "S692", "file", "importers >= 10", 1, "heavily imported files"),
     Rule("blast", "S782", "file", "is_test", 1, "test files"),
     Rule("blast", "S99", "symbol", "exported AND cross_files >= 3", 2, "exposed exports"),
-    Rule("blast", "S-testonly", "file", "importers > 0 AND test_importers = importers", 1, "files that only tests import"),
-    Rule("blast", "S-isolated", "file", "importers = 0 AND imports = 0", 1, "files without imports either way"),
     Rule("diff", "S423", "diff", "is_test", 1, "tests changed"),
-    Rule("diff", "S-source", "diff", _SRC, 1, "sources changed"),
     Rule("diff", "S187", "diff", "importers >= 5", 1, "widely imported files changed"),
-    Rule("diff", "S-complex", "diff", "max_cx >= 15", 1, "complex files changed"),
-    Rule("diff", "S-fresh", "diff", "days <= 7", 1, "recently changed files changed again"),
     Rule("focus", "S168", "symbol", f"{_FN} AND lines >= 50", 1, "large functions"),
     Rule("focus", "S228", "symbol", "kind = 'class' AND subtypes > 0", 1, "classes with subclasses in focus"),
     Rule("focus", "S690", "symbol", f"kind = 'class' AND {_SRC} AND children >= 10", 1, "classes with many methods"),

@@ -11,7 +11,7 @@ from .catalogue import RULES, Rule
 
 
 def _subject(scope: str) -> str:
-    return "id" if scope == "symbol" else "file_path"
+    return "id" if scope in ("symbol", "top") else "file_path"
 
 
 def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
@@ -29,7 +29,7 @@ def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
 def fired(g: CodeGraph, now: str, rules: list[Rule] | None = None) -> DataFrame:
     """rule, n, sample of all rules that fire on a graph."""
     rules = RULES if rules is None else rules
-    tables = {"symbol": features.symbols, "file": lambda x: features.files(x, now), "diff": lambda x: features.changed(x, now)}
+    tables = {"symbol": features.symbols, "file": lambda x: features.files(x, now), "diff": lambda x: features.changed(x, now), "top": lambda x: features.top(x, now)}
     out = None
     for scope, build in tables.items():
         if own := [r for r in rules if r.scope == scope]:

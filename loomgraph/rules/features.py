@@ -1,4 +1,4 @@
-"""Feature tables: one row per symbol, file and changed file."""
+"""Feature tables: one row per symbol, file and changed file, and one for the top hotspot."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, is_test, module_of
 from ..model import CodeGraph
 from ..operators.history import ages, commit_counts, newest_change
-from ..operators.scoring import dead_confidence
+from ..operators.scoring import dead_confidence, hotspots
 
 
 def symbols(g: CodeGraph) -> DataFrame:
@@ -34,14 +34,22 @@ def files(g: CodeGraph, now: str) -> DataFrame:
     importers = g.imports.groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("importers"), F.count_if(is_test(F.col("source_id"))).alias("test_importers"))
     imports = g.imports.groupBy(F.col("source_id").alias("file_path")).agg(F.count("*").alias("imports"))
     own = g.symbols.groupBy("file_path").agg(
-        F.count("*").alias("symbols"), F.count_if("exported").alias("exported"), F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "constant").alias("constants"),
+        F.count("*").alias("symbols"), F.count_if("exported").alias("exported"), F.count_if(F.col("exported") & F.col("kind").isin("function", "method")).alias("exported_fns"),
+        F.count_if(F.col("exported") & F.col("kind").isin("function", "method", "class", "interface")).alias("exported_api"), F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "constant").alias("constants"),
         F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.max("complexity").alias("max_cx"), F.sum("complexity").alias("cx"), F.max("line_end").alias("lines"),
     )
     history = commit_counts(g).join(ages(g, now), "path", "left").select(F.col("path").alias("file_path"), "commits", "days")
     rows = own.join(importers, "file_path", "left").join(imports, "file_path", "left").join(history, "file_path", "left").na.fill(0, ["importers", "test_importers", "imports", "commits"])
+    rows = rows.withColumn("stem", F.regexp_replace(F.lower(basename(F.col("file_path"))), "[.][^.]*$", ""))
     return rows.withColumns({"base": F.lower(basename(F.col("file_path"))), "is_test": is_test(F.col("file_path")), "module": module_of(F.col("file_path"))})
 
 
 def changed(g: CodeGraph, now: str) -> DataFrame:
     """The files rows of the newest change of five files or more."""
     return files(g, now).join(newest_change(g).select(F.col("path").alias("file_path")), "file_path", "left_semi")
+
+
+def top(g: CodeGraph, now: str) -> DataFrame:
+    """The symbols row of the first hotspot with the names and counts of its file; no row where nothing scores."""
+    first = symbols(g).join(hotspots(g, now, 1).select("id"), "id", "left_semi")
+    return first.join(files(g, now).select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
