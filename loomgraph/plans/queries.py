@@ -378,11 +378,11 @@ from ..rules.evaluate import fired  # noqa: E402
 
 _FEATURES = _HOT.rstrip() + f"""
 , f_symbol AS (SELECT s.id, s.name, lower(s.name) AS low, s.kind, s.file_path, s.lines, s.complexity, s.exported, s.doc, s.signature, s.parent_id, {is_test('s.file_path')} AS is_test,
-    coalesce(u.callers, 0) AS callers, coalesce(u.test_callers, 0) AS test_callers, coalesce(u.cross_files, 0) AS cross_files, coalesce(d.n, 0) AS callees, coalesce(k.n, 0) AS children, coalesce(b.n, 0) AS subtypes, coalesce(r.n, 0) AS renderers, c.confidence
+    coalesce(u.callers, 0) AS callers, coalesce(u.test_callers, 0) AS test_callers, coalesce(u.cross_files, 0) AS cross_files, coalesce(d.n, 0) AS callees, coalesce(k.n, 0) AS children, coalesce(b.n, 0) AS subtypes, coalesce(r.n, 0) AS renderers, coalesce(fi.n, 0) AS file_importers, c.confidence
   FROM symbols s LEFT JOIN (SELECT target_id, count(*) AS callers, count(*) FILTER ({is_test('source_file')}) AS test_callers, count(DISTINCT CASE WHEN source_file <> target_file THEN source_file END) AS cross_files FROM calls GROUP BY 1) u ON s.id = u.target_id
   LEFT JOIN (SELECT source_id, count(*) AS n FROM calls GROUP BY 1) d ON s.id = d.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM edges WHERE kind = 'contains' GROUP BY 1) k ON s.id = k.source_id
   LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE kind = 'inherits' GROUP BY 1) b ON s.id = b.target_id LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE kind = 'renders' GROUP BY 1) r ON s.id = r.target_id
-  LEFT JOIN confidence c ON s.id = c.id),
+  LEFT JOIN confidence c ON s.id = c.id LEFT JOIN (SELECT target_id, count(*) AS n FROM imports GROUP BY 1) fi ON s.file_path = fi.target_id),
 f_file AS (SELECT f.*, lower(split_part(f.file_path, '/', -1)) AS base, regexp_replace(lower(split_part(f.file_path, '/', -1)), '[.][^.]*$', '') AS stem, {is_test('f.file_path')} AS is_test, coalesce(i.n, 0) AS importers, coalesce(i.t, 0) AS test_importers, coalesce(o.n, 0) AS imports, coalesce(h.commits, 0) AS commits, CASE WHEN h.days <= 730 THEN h.days END AS days
   FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported, count(*) FILTER (exported AND kind IN ('function', 'method')) AS exported_fns, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS exported_api, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'constant') AS constants, count(*) FILTER (kind IN ('function', 'method')) AS functions, max(complexity) AS max_cx, max(line_end) AS lines FROM symbols GROUP BY 1) f
   LEFT JOIN (SELECT target_id, count(*) AS n, count(*) FILTER ({is_test('source_id')}) AS t FROM imports GROUP BY 1) i ON f.file_path = i.target_id LEFT JOIN (SELECT source_id, count(*) AS n FROM imports GROUP BY 1) o ON f.file_path = o.source_id

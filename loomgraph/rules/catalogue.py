@@ -56,9 +56,9 @@ _SRC = "NOT is_test"
 # Name families of unused functions, as (id, patterns, least, label).
 _DEAD = [
     ("S232", ("%serialize%", "to_dict%", "from_dict%", "to_json%"), 1, "unused serializers"), ("S298", ("middleware_%", "interceptor_%", "before_%", "after_%"), 2, "unused middleware"),
-    ("S366", ("get_%", "set_%"), 2, "unused accessors"), ("S432", ("subscribe_%", "listen_%", "watch_%"), 2, "unused subscriptions"), ("S557", ("create_%", "make_%", "build_%"), 2, "unused factories"),
-    ("S629", ("%callback", "%handler", "%listener", "%hook"), 4, "unused callbacks"), ("S695", ("%mock%", "%fixture%", "%stub%", "%fake%"), 4, "unused test utilities"), ("S761", ("on_%", "handle_%"), 4, "unused event handlers"),
-    ("S827", ("%migrat%", "%upgrade%", "%rollback%"), 4, "unused migrations"), ("S959", ("hook_%", "%_hook"), 4, "unused hooks"),
+    ("S432", ("subscribe_%", "listen_%", "watch_%"), 2, "unused subscriptions"), 
+    
+    ("S959", ("hook_%", "%_hook"), 1, "unused hooks"),
 ]
 # File families, as (id, patterns of lower-case base names, least, label).
 _DIFF = [
@@ -83,7 +83,7 @@ _DEAD_MORE = [
     ("S291", 3, "unused readers", ("get_%", "fetch_%", "retrieve_%", "load_%", "read_%", "query_%",)),
     ("S310", 2, "unused adapters", ("adapt_%", "adapter_%", "convert_%", "converter_%", "transform_%", "format_%",)),
     ("S315", 2, "unused rate limiters", ("rate_limit_%", "throttle_%", "debounce_%", "quota_%",)),
-    ("S321", 4, "unused authentication", ("auth_%", "authenticate_%", "authorize_%", "check_auth%", "require_auth%",)),
+    ("S321", 1, "unused authentication", ("auth_%", "authenticate_%", "authorize_%", "check_auth%", "require_auth%",)),
     ("S329", 2, "unused notifications", ("notify_%", "send_notification%", "alert_%", "dispatch_event_%", "publish_%",)),
     ("S335", 2, "unused state handlers", ("on_enter_%", "on_exit_%", "on_leave_%", "transition_%", "state_%",)),
     ("S341", 2, "unused scheduled tasks", ("task_%", "cron_%", "scheduled_%", "periodic_%", "job_%",)),
@@ -97,17 +97,12 @@ _DEAD_MORE = [
     ("S456", 2, "unused formatters", ("format_%", "formatter_%", "pretty_%", "display_%",)),
     ("S468", 1, "unused encoders", ("serialize_%", "marshal_%", "encode_%", "dump_%",)),
     ("S480", 2, "unused debug helpers", ("dump_%", "print_debug_%", "trace_%", "verbose_%",)),
-    ("S505", 2, "unused predicates", ("is_%", "has_%", "can_%", "should_%", "needs_%",)),
-    ("S512", 2, "unused test support", ("setup_%", "teardown_%", "fixture_%", "mock_%", "stub_%", "fake_%",)),
-    ("S635", 4, "unused deprecated names", ("%deprecated%", "%obsolete%", "%legacy%",)),
 ]
 # Name families of unused classes.
 _DEAD_CLASSES = [
-    ("S248", 2, "unused exceptions", ("%error%", "%exception%", "%fault%", "%failure%",)),
-    ("S257", 2, "unused data types", ("%schema%", "%dto%", "%request%", "%response%", "%payload%",)),
-    ("S586", 4, "unused services", ("%manager", "%service", "%controller", "%registry", "%repository", "%provider",)),
-    ("S647", 4, "unused bases", ("%mixin%", "%base%", "%abstract%",)),
-    ("S653", 4, "unused protocols", ("%protocol", "%interface", "%abc",)),
+    ("S248", 2, "unused exceptions", ("%error", "%exception", "%fault", "%failure",)),
+    ("S257", 2, "unused data types", ("%schema", "%dto", "%request", "%response", "%payload",)),
+    ("S586", 1, "unused services", ("%manager", "%service", "%controller", "%registry", "%repository", "%provider",)),
 ]
 # More families of changed files.
 _DIFF_MORE = [
@@ -205,6 +200,69 @@ _PRIVATE = "left(name, 1) = '_' AND left(name, 2) <> '__'"
 _MIXED_CASE = "regexp_replace(file_path, '^.*/', '')"  # the base name as it is written
 _IN_API = _like(f"concat('/', {_PATH})", *[f"%/{w}/%" for w in _API_FOLDERS])
 
+# Families whose names are compared as written, at a confidence of 40 or more.
+_SURE = ("S202", "S208", "S218", "S225", "S232", "S238", "S248", "S257", "S264", "S270", "S285", "S291")
+# Families at a confidence of 40 or more in any case.  All others need 30.
+_SURE_ANY_CASE = ("S241", "S321", "S493")
+# Beginnings of the names of unused functions.
+_DEAD_PREFIX = [
+    ("S270", 2, "unused event functions", ("on_%", "handle_%", "listener_%", "observer_%", "subscriber_%", "on_message%", "on_event%", "on_change%", "on_error%", "on_connect%")),
+    ("S285", 2, "unused object factories", ("create_%", "make_%", "build_%", "construct_%", "instantiate_%", "new_%", "factory_%", "get_or_create_%")),
+    ("S297", 3, "three unused validators", ("validate_%", "check_%", "verify_%", "ensure_%", "assert_%", "is_valid_%")),
+    ("S354", 2, "unused makers", ("create_%", "make_%", "build_%", "construct_%", "new_%", "factory_%", "spawn_%")),
+    ("S360", 2, "unused event hooks", ("on_%", "handle_%", "listen_%", "when_%", "after_%", "before_%", "on_event_%", "event_handler_%", "process_event_%")),
+    ("S402", 2, "unused background work", ("background_task_%", "worker_%", "celery_%", "task_%", "async_job_%", "queue_%", "job_%")),
+    ("S408", 2, "unused checks", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%", "is_valid_%", "sanitize_%")),
+    ("S420", 2, "unused schedules", ("schedule_%", "cron_%", "periodic_%", "run_every_%", "hourly_%", "daily_%", "weekly_%", "nightly_%")),
+    ("S438", 1, "unused migration steps", ("migrate_%", "migration_%", "upgrade_%", "downgrade_%", "apply_migration_%", "run_migration_%")),
+    ("S444", 1, "unused command functions", ("main_%", "cmd_%", "cli_%", "command_%", "run_command_%", "handle_command_%")),
+    ("S450", 1, "unused recovery from errors", ("handle_error_%", "handle_exception_%", "on_error_%", "on_exception_%", "except_%", "catch_%", "recover_%")),
+    ("S462", 2, "unused assertions", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%", "is_valid_%")),
+    ("S474", 1, "unused beginnings", ("setup_%", "initialize_%", "init_%", "bootstrap_%", "configure_%", "startup_%")),
+    ("S493", 2, "unused receivers", ("on_%", "handle_%", "listen_%", "when_%", "on_event_%", "receive_%", "dispatch_%")),
+]
+# The same at any confidence, and whether only functions outside of classes count.
+_DEAD_ANY = [
+    ("S629", False, "unwired callbacks", ("%_callback", "%_handler", "%_listener", "%_hook", "%_receiver", "%_observer")),
+    ("S695", False, "test utilities among sources", ("%mock%", "%stub%", "%fake%", "%fixture%")),
+    ("S707", False, "unwired handlers", ("on_%", "handle_%", "%_handler", "%_listener", "%_callback")),
+    ("S761", False, "unwired subscribers", ("on_%", "handle_%", "listener_%", "subscriber_%")),
+    ("S767", False, "unused look-ups", ("get_%", "fetch_%", "load_%", "retrieve_%", "find_%")),
+    ("S779", False, "unused dispatch", ("dispatch%", "route_%", "route", "handle_request%", "process_%", "process", "execute_%", "execute")),
+    ("S827", False, "unused data migrations", ("migrate_%", "upgrade_%", "rollback_%", "revert_%", "downgrade_%")),
+    ("S845", False, "unused reactions", ("on_%", "handle_%", "%_handler", "%_callback", "%_listener")),
+    ("S851", False, "validation that nothing runs", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%")),
+    ("S857", False, "construction that nothing runs", ("create_%", "make_%", "build_%", "spawn_%", "new_%", "construct_%")),
+    ("S887", True, "unused interceptors", ("middleware_%", "interceptor_%", "filter_%", "before_%", "after_%", "pre_%", "post_%", "%middleware%", "%interceptor%")),
+    ("S917", True, "unused call-backs", ("on_%", "handle_%", "callback_%", "cb_%", "%callback%", "%_cb%")),
+    ("S923", True, "unused rendering", ("format_%", "render_%", "display_%", "to_%", "fmt_%", "stringify_%")),
+    ("S941", True, "unused set-up", ("configure_%", "setup_%", "init_%", "initialize_%", "bootstrap_%", "register_%")),
+    ("S953", False, "unused exports of data", ("to_dict%", "to_json%", "to_yaml%", "to_csv%", "to_xml%", "serialize_%", "marshal_%", "export_%")),
+    ("S965", True, "unused timed work", ("schedule_%", "cron_%", "task_%", "job_%", "periodic_%", "daily_%", "hourly_%")),
+    ("S971", True, "unused conversions", ("convert_%", "transform_%", "map_%", "parse_%", "translate_%", "normalize_%")),
+    ("S977", True, "unused database functions", ("sql_%", "query_%", "select_%", "fetch_%", "insert_%", "delete_%", "update_%", "upsert_%")),
+    ("S983", True, "unused senders", ("send_%", "notify_%", "emit_%", "dispatch_%", "publish_%", "broadcast_%", "fire_%", "trigger_%")),
+    ("S989", True, "unused guards", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%", "guard_%", "is_valid_%", "must_%")),
+    ("S995", True, "unused presentation", ("format_%", "fmt_%", "render_%", "display_%", "present_%", "show_%", "print_%", "stringify_%")),
+    ("S1001", True, "unused builders", ("build_%", "create_%", "make_%", "construct_%", "new_%", "factory_%", "produce_%", "generate_%")),
+    ("S1007", True, "unused error functions", ("handle_error%", "on_error%", "error_handler%", "handle_exception%", "on_exception%", "catch_error%", "rescue_%")),
+    ("S1013", True, "unused schema changes", ("migrate_%", "migration_%", "upgrade_%", "downgrade_%", "rollback_%", "apply_migration%", "run_migration%")),
+    ("S1019", True, "unused routes", ("route_%", "add_route%", "register_route%", "register_%", "add_url%", "add_view%", "add_endpoint%")),
+]
+# The same without callers, in files that nothing imports.
+_DEAD_ALONE = [
+    ("S551", "commands that nothing reaches", ("cmd_%", "do_%", "handle_%", "on_%", "command_%")),
+    ("S563", "validators that nothing reaches", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%")),
+]
+
+
+def _unused(i: str, patterns: tuple[str, ...], n: int, label: str) -> Rule:
+    """n functions outside of tests whose names meet patterns, at the confidence of their family."""
+    column = "name" if i in _SURE else "low"
+    least = 0 if i == "S959" else 40 if i in _SURE + _SURE_ANY_CASE else 30
+    return Rule("dead", i, "symbol", f"confidence >= {least} AND {_SRC} AND {_FN} AND {_like(column, *patterns)}", n, label)
+
+
 RULES: list[Rule] = [
     *[Rule("blast", i, "file", _has("stem", *words), 1, label) for i, label, words in _BLAST_HAS],
     *[Rule("blast", i, "file", _word("stem", *words), 1, label) for i, label, words in _BLAST_WORD],
@@ -269,19 +327,26 @@ RULES: list[Rule] = [
     Rule("hotspots", "S1000", "top", f"{_SRC} AND lines >= 150", 1, "top hotspot of 150 lines"),
     Rule("hotspots", "S1006", "top", f"{_SRC} AND {_like('base', *_TOP_ENTRIES)}", 1, "top hotspot at an entry point"),
     Rule("hotspots", "S1020", "top", f"{_SRC} AND file_functions = 1", 1, "top hotspot alone in its file"),
-    *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND {_FN} AND {_like('low', *p)}", n, label) for i, p, n, label in _DEAD],
+    *[_unused(i, p, n, label) for i, p, n, label in _DEAD],
     *[Rule("diff", i, "diff", _like("base", *p), n, label) for i, p, n, label in _DIFF],
     *[Rule("blast", i, "file", _like("base", *p), 1, label) for i, p, label in _BLAST],
-    *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND {_FN} AND {_like('low', *p)}", n, label) for i, n, label, p in _DEAD_MORE],
-    *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND kind = 'class' AND {_like('low', *p)}", n, label) for i, n, label, p in _DEAD_CLASSES],
+    *[_unused(i, p, n, label) for i, n, label, p in _DEAD_MORE],
+    *[_unused(i, p, n, label) for i, n, label, p in _DEAD_PREFIX],
+    *[Rule("dead", i, "symbol", f"confidence IS NOT NULL AND {_SRC} AND {_FN}{' AND parent_id IS NULL' if outer else ''} AND {_like('low', *p)}", 1, label) for i, outer, label, p in _DEAD_ANY],
+    *[Rule("dead", i, "symbol", f"{_SRC} AND kind = 'function' AND callers = 0 AND file_importers = 0 AND {_like('name', *p)}", 2, label) for i, label, p in _DEAD_ALONE],
+    Rule("dead", "S635", "symbol", f"confidence IS NOT NULL AND {_SRC} AND {_has('lower(doc)', 'deprecated', 'obsolete', 'do not use', 'do_not_use', 'legacy')}", 1, "unused and documented as outdated"),
+    Rule("dead", "S647", "symbol", f"confidence IS NOT NULL AND {_SRC} AND kind = 'class' AND {_has('low', 'mixin', 'base', 'abstract')}", 1, "unused bases"),
+    Rule("dead", "S653", "symbol", f"confidence IS NOT NULL AND {_SRC} AND kind = 'class' AND {_has('name', 'Protocol', 'Interface', 'ABC', 'Abstract')} AND NOT {_has('name', 'Mixin', 'Base')}", 1, "unused protocols"),
+    Rule("dead", "S719", "symbol", f"confidence IS NOT NULL AND {_SRC} AND {_FN} AND {_like('low', 'load_%', 'parse_%', 'read_%')} AND {_has('low', 'config', 'setting', 'conf', 'cfg')}", 1, "unused loaders of settings"),
+    *[Rule("dead", i, "symbol", f"confidence {'>= 40' if i in _SURE else 'IS NOT NULL'} AND {_SRC} AND kind = 'class' AND {_like('low', *p)}", n, label) for i, n, label, p in _DEAD_CLASSES],
     *[Rule("diff", i, "diff", _like("base", *p), n, label) for i, n, label, p in _DIFF_MORE],
     Rule("dead", "S159", "symbol", "confidence IS NOT NULL AND kind IN ('constant', 'variable')", 3, "unused constants"),
     Rule("dead", "S178", "symbol", "confidence >= 40 AND exported AND callers = 0 AND kind IN ('function', 'method')", 3, "unused exported functions"),
     Rule("dead", "S279", "symbol", "confidence >= 40 AND signature LIKE 'async %'", 2, "unused async functions"),
-    Rule("dead", "S665", "symbol", "confidence IS NOT NULL AND instr(signature, '->') > 0", 4, "unused annotated functions"),
+    Rule("dead", "S665", "symbol", f"confidence IS NOT NULL AND {_SRC} AND {_FN} AND instr(signature, '->') > 0", 1, "unused annotated functions"),
     Rule("dead", "S76", "symbol", "NOT exported AND callers = 0 AND kind IN ('function', 'method') AND NOT is_test", 3, "private functions without callers"),
     Rule("dead", "S140", "symbol", f"confidence IS NOT NULL AND is_test AND {_FN}", 3, "unused helpers in test files"),
-    Rule("dead", "S893", "symbol", "confidence IS NOT NULL AND exported AND kind IN ('function', 'class')", 4, "unused exports"),
+    Rule("dead", "S893", "symbol", f"confidence IS NOT NULL AND {_SRC} AND exported AND parent_id IS NULL AND kind IN ('function', 'class')", 1, "unused exports"),
     Rule("dead", "S98", "symbol", "confidence >= 40", 1, "removable with some confidence"),
     Rule("overview", "S84", "symbol", f"{_SRC} AND exported AND {_FN} AND callers > 0 AND test_callers = 0", 3, "called exports without a test"),
     Rule("overview", "S82", "symbol", f"{_SRC} AND {_FN} AND complexity > 5", 5, "dense functions"),

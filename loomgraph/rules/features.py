@@ -26,7 +26,8 @@ def symbols(g: CodeGraph) -> DataFrame:
     )
     for more in (up, down, kids, subs, rend):
         rows = rows.join(more, "id", "left")
-    rows = rows.na.fill(0, ["callers", "test_callers", "cross_files", "callees", "children", "subtypes", "renderers"])
+    importers = g.imports.groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("file_importers"))
+    rows = rows.join(importers, "file_path", "left").na.fill(0, ["file_importers", "callers", "test_callers", "cross_files", "callees", "children", "subtypes", "renderers"])
     return rows.join(dead_confidence(g).select("id", "confidence"), "id", "left")
 
 

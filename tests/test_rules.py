@@ -63,3 +63,35 @@ def test_counts_of_files(spark):
 
 def test_no_rows_no_rules(spark):
     assert _fired(spark, []) == {}
+
+
+SYMBOL = "id string, name string, low string, kind string, file_path string, is_test boolean, confidence int, parent_id string, callers long, file_importers long, doc string, signature string, exported boolean, lines long, renderers long"
+
+
+def _dead(spark, *rows):
+    """Ids of the rules on unused functions that fire on (name, confidence, more)."""
+    rules = [r for r in RULES if r.mode == "dead" and r.scope == "symbol"]
+    names = [c.split()[0] for c in SYMBOL.split(", ")]
+    plain = {"kind": "function", "file_path": "a/x.py", "is_test": False, "parent_id": None, "callers": 0, "file_importers": 1, "doc": "", "signature": "", "exported": False, "lines": 3, "renderers": 0}
+    full = [plain | {"id": f"a/x.py::{n}", "name": n, "low": n.lower(), "confidence": c} | more for n, c, more in rows]
+    found = of_scope(spark.createDataFrame([tuple(r[n] for n in names) for r in full], SYMBOL), rules, "id").collect()
+    return {r["rule"].split(".")[1] for r in found}
+
+
+def test_unused_functions(spark):
+    two = [("cron_a", 30, {}), ("cron_b", 30, {})]
+    assert {"S341", "S420", "S965"} <= _dead(spark, *two)
+    # one alone, too little confidence, or in tests
+    assert not {"S341", "S420"} & _dead(spark, two[0])
+    assert not {"S341", "S420"} & _dead(spark, *[(n, 29, {}) for n, _, _ in two])
+    assert not {"S341", "S420", "S965"} & _dead(spark, *[(n, c, {"is_test": True}) for n, c, _ in two])
+    # names as written and a confidence of 40
+    assert "S270" in _dead(spark, ("on_message", 40, {}), ("on_x", 40, {}))
+    assert "S270" not in _dead(spark, ("ON_message", 40, {}), ("on_x", 40, {}))
+    assert "S270" not in _dead(spark, ("on_message", 39, {}), ("on_x", 40, {}))
+    # methods count only where the family allows
+    assert "S965" not in _dead(spark, *[(n, c, {"parent_id": "p", "kind": "method"}) for n, c, _ in two])
+    # a single one is enough, at any confidence
+    assert {"S767", "S893"} <= _dead(spark, ("find_it", 0, {"exported": True}))
+    assert {"S551"} <= _dead(spark, ("do_a", None, {"file_importers": 0}), ("do_b", None, {"file_importers": 0}))
+    assert "S551" not in _dead(spark, ("do_a", None, {"file_importers": 0}), ("do_b", None, {}))
