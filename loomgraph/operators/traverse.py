@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test
 from ..model import CodeGraph
-from ..session import shared_base
-
-
-def _cut(df: DataFrame, at: str) -> DataFrame:
-    """Write a step below the shared checkpoint folder, so that lineage stays short and survives lost executors."""
-    df.write.mode("overwrite").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+from ..session import step_folder, written
 
 
 def layers(g: CodeGraph, most: int = 100) -> DataFrame:
     """file_path, layer: files without imports are layer 0, others one above the highest that they import; files in or above cycles share one last layer."""
     spark = g.edges.sparkSession
-    at = _folder(spark)
-    edges = _cut(g.imports, f"{at}/edges")
-    left = _cut(edges.select(F.explode(F.array("source_id", "target_id")).alias("file_path")).distinct(), f"{at}/left0")
+    at = step_folder(spark)
+    edges = written(g.imports, f"{at}/edges")
+    left = written(edges.select(F.explode(F.array("source_id", "target_id")).alias("file_path")).distinct(), f"{at}/left0")
     out: DataFrame | None = None
     for i in range(most):
         blocked = edges.join(left.select(F.col("file_path").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("file_path")).distinct()
-        rest = _cut(left.join(blocked, "file_path", "left_semi"), f"{at}/left{i + 1}")
+        rest = written(left.join(blocked, "file_path", "left_semi"), f"{at}/left{i + 1}")
         layer = left.join(rest, "file_path", "left_anti").withColumn("layer", F.lit(i))
         done = layer.isEmpty()
         if done:
@@ -63,13 +51,13 @@ def cycles(g: CodeGraph, longest: int = 4) -> DataFrame:
 
 def _spread(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """root, node, hops: nodes within depth steps of each root along edges (x, y), at their least number of hops."""
-    at = _folder(edges.sparkSession)
-    edges = _cut(edges, f"{at}/edges")
-    seen = _cut(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), f"{at}/seen0")
+    at = step_folder(edges.sparkSession)
+    edges = written(edges, f"{at}/edges")
+    seen = written(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), f"{at}/seen0")
     front = seen
     for i in range(1, depth + 1):
         new = front.join(edges, F.col("node") == F.col("x")).select("root", F.col("y").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(i))
-        front = _cut(new, f"{at}/front{i}")
+        front = written(new, f"{at}/front{i}")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -90,14 +78,14 @@ def upstream(g: CodeGraph, starts: DataFrame, depth: int = 4) -> DataFrame:
 
 def inheritance_depth(g: CodeGraph, most: int = 60) -> DataFrame:
     """id, depth: the longest chain of supertypes above each class; chains are cut at most steps."""
-    at = _folder(g.edges.sparkSession)
-    edges = _cut(g.pairs("inherits").select(F.col("source_id").alias("id"), F.col("target_id").alias("base")), f"{at}/edges")
+    at = step_folder(g.edges.sparkSession)
+    edges = written(g.pairs("inherits").select(F.col("source_id").alias("id"), F.col("target_id").alias("base")), f"{at}/edges")
     level = edges.select("id").distinct().withColumn("depth", F.lit(1))
     front = edges
     out = level
     for i in range(2, most + 1):
         step = edges.select(F.col("id").alias("_m"), F.col("base").alias("_b"))
-        front = _cut(front.join(step, F.col("base") == F.col("_m")).select("id", F.col("_b").alias("base")).distinct(), f"{at}/front{i}")
+        front = written(front.join(step, F.col("base") == F.col("_m")).select("id", F.col("_b").alias("base")).distinct(), f"{at}/front{i}")
         if front.isEmpty():
             break
         out = out.unionByName(front.select("id").distinct().withColumn("depth", F.lit(i)))
@@ -158,9 +146,9 @@ def focus(g: CodeGraph, seeds: DataFrame, depth: int = 3, most: int = 50) -> Dat
     neighbours of each kind, the most important first; callers aren't followed
     beyond a node with 15 caller files.
     """
-    at = _folder(g.edges.sparkSession)
+    at = step_folder(g.edges.sparkSession)
     cross = g.calls.where("source_file <> target_file").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("_c"), F.countDistinct("source_file").alias("_files"))
-    ranked = _cut(
+    ranked = written(
         g.symbols.select("id", "exported").join(cross, "id", "left").na.fill(0, ["_c", "_files"]).select("id", (2 * F.col("_c") + F.col("exported").cast("int")).alias("importance"), F.col("_files").alias("caller_files")),
         f"{at}/ranked",
     )
@@ -173,8 +161,8 @@ def focus(g: CodeGraph, seeds: DataFrame, depth: int = 3, most: int = 50) -> Dat
         .unionByName(edges("children", ("contains",), "source_id", "target_id")).unionByName(edges("subtypes", ("inherits", "implements"), "target_id", "source_id"))
         .unionByName(edges("renderers", ("renders",), "target_id", "source_id"))
     )
-    every = _cut(every.join(ranked.select(F.col("id").alias("y"), "importance"), "y"), f"{at}/every")
-    seen = _cut(seeds.select("id").distinct().join(ranked, "id").withColumn("depth", F.lit(0)), f"{at}/seen0")
+    every = written(every.join(ranked.select(F.col("id").alias("y"), "importance"), "y"), f"{at}/every")
+    seen = written(seeds.select("id").distinct().join(ranked, "id").withColumn("depth", F.lit(0)), f"{at}/seen0")
     for d in range(depth):
         limits = F.create_map(*[F.lit(x) for k, v in _FANOUT.items() for x in (k, v[min(d, 2)])])
         front = seen.where(F.col("depth") == d).select(F.col("id").alias("x"), F.col("caller_files").alias("_cf"))
@@ -189,7 +177,7 @@ def focus(g: CodeGraph, seeds: DataFrame, depth: int = 3, most: int = 50) -> Dat
         room = most - seen.count()
         if room <= 0:
             break
-        seen = _cut(seen.unionByName(next_.orderBy(F.desc("importance"), "id").limit(room).select(*seen.columns)), f"{at}/seen{d + 1}")
+        seen = written(seen.unionByName(next_.orderBy(F.desc("importance"), "id").limit(room).select(*seen.columns)), f"{at}/seen{d + 1}")
     return seen.select("id", "depth", "importance")
 
 

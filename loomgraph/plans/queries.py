@@ -374,24 +374,34 @@ SELECT DISTINCT source_id, id AS target_id, line FROM r WHERE k = 1""")(
 
 # --- rules -----------------------------------------------------------------------------------------------------------
 from ..rules.catalogue import RULES  # noqa: E402
-from ..rules.evaluate import fired  # noqa: E402
+from ..rules.evaluate import fired, subject  # noqa: E402
+from ..rules.totals import CODE_LANGUAGES, among  # noqa: E402
+from ..rules.totals import SQL as _TOTALS  # noqa: E402
 
 _FEATURES = _HOT.rstrip() + f"""
-, f_symbol AS (SELECT s.id, s.name, lower(s.name) AS low, s.kind, s.file_path, s.lines, s.complexity, s.exported, s.doc, s.signature, s.parent_id, {is_test('s.file_path')} AS is_test,
+, f_symbol AS (SELECT s.id, s.name, lower(s.name) AS low, s.kind, s.file_path, s.lines, s.complexity, s.exported, s.doc, s.signature, s.parent_id, {is_test('s.file_path')} AS is_test, {among('s.language', CODE_LANGUAGES)} AS code,
+    coalesce(u.src_files, 0) AS src_files, coalesce(m.methods, 0) AS methods, coalesce(m.member_fns, 0) AS member_fns, coalesce(gp.n, 0) AS grandparents,
     coalesce(u.callers, 0) AS callers, coalesce(u.test_callers, 0) AS test_callers, coalesce(u.cross_files, 0) AS cross_files, coalesce(d.n, 0) AS callees, coalesce(k.n, 0) AS children, coalesce(b.n, 0) AS subtypes, coalesce(r.n, 0) AS renderers, coalesce(fi.n, 0) AS file_importers, c.confidence
-  FROM symbols s LEFT JOIN (SELECT target_id, count(*) AS callers, count(*) FILTER ({is_test('source_file')}) AS test_callers, count(DISTINCT CASE WHEN source_file <> target_file THEN source_file END) AS cross_files FROM calls GROUP BY 1) u ON s.id = u.target_id
+  FROM symbols s LEFT JOIN (SELECT target_id, count(*) AS callers, count(*) FILTER ({is_test('source_file')}) AS test_callers, count(DISTINCT CASE WHEN source_file <> target_file THEN source_file END) AS cross_files, count(DISTINCT CASE WHEN source_file <> target_file AND NOT {is_test('source_file')} THEN source_file END) AS src_files FROM calls GROUP BY 1) u ON s.id = u.target_id
   LEFT JOIN (SELECT source_id, count(*) AS n FROM calls GROUP BY 1) d ON s.id = d.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM edges WHERE kind = 'contains' GROUP BY 1) k ON s.id = k.source_id
   LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE kind = 'inherits' GROUP BY 1) b ON s.id = b.target_id LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE kind = 'renders' GROUP BY 1) r ON s.id = r.target_id
-  LEFT JOIN confidence c ON s.id = c.id LEFT JOIN (SELECT target_id, count(*) AS n FROM imports GROUP BY 1) fi ON s.file_path = fi.target_id),
-f_file AS (SELECT f.*, lower(split_part(f.file_path, '/', -1)) AS base, regexp_replace(lower(split_part(f.file_path, '/', -1)), '[.][^.]*$', '') AS stem, {is_test('f.file_path')} AS is_test, coalesce(i.n, 0) AS importers, coalesce(i.t, 0) AS test_importers, coalesce(o.n, 0) AS imports, coalesce(h.commits, 0) AS commits, CASE WHEN h.days <= 730 THEN h.days END AS days
-  FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported, count(*) FILTER (exported AND kind IN ('function', 'method')) AS exported_fns, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS exported_api, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'constant') AS constants, count(*) FILTER (kind IN ('function', 'method')) AS functions, max(complexity) AS max_cx, max(line_end) AS lines FROM symbols GROUP BY 1) f
-  LEFT JOIN (SELECT target_id, count(*) AS n, count(*) FILTER ({is_test('source_id')}) AS t FROM imports GROUP BY 1) i ON f.file_path = i.target_id LEFT JOIN (SELECT source_id, count(*) AS n FROM imports GROUP BY 1) o ON f.file_path = o.source_id
+  LEFT JOIN confidence c ON s.id = c.id LEFT JOIN (SELECT target_id, count(*) AS n FROM imports GROUP BY 1) fi ON s.file_path = fi.target_id
+  LEFT JOIN (SELECT parent_id, count(*) FILTER (kind = 'method') AS methods, count(*) FILTER (kind IN ('function', 'method')) AS member_fns FROM symbols WHERE parent_id IS NOT NULL GROUP BY 1) m ON s.id = m.parent_id
+  LEFT JOIN (SELECT a.source_id, count(*) AS n FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'inherits') a JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'inherits') b ON a.target_id = b.source_id GROUP BY 1) gp ON s.id = gp.source_id),
+f_file AS (SELECT f.*, {module('f.file_path')} AS module, {among('f.language', CODE_LANGUAGES)} AS code, length(f.file_path) - length(replace(f.file_path, '/', '')) AS depth, regexp_replace(f.file_path, '/?[^/]*$', '') AS folder, coalesce(x.n, 0) AS outside_importers, coalesce(o.s, 0) AS src_imports, lower(split_part(f.file_path, '/', -1)) AS base, regexp_replace(lower(split_part(f.file_path, '/', -1)), '[.][^.]*$', '') AS stem, {is_test('f.file_path')} AS is_test, coalesce(i.n, 0) AS importers, coalesce(i.t, 0) AS test_importers, coalesce(o.n, 0) AS imports, coalesce(h.commits, 0) AS commits, CASE WHEN h.days <= 730 THEN h.days END AS days
+  FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported, count(*) FILTER (exported AND kind IN ('function', 'method')) AS exported_fns, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS exported_api, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'constant') AS constants, count(*) FILTER (kind IN ('function', 'method')) AS functions, max(complexity) AS max_cx, max(line_end) AS lines,
+    CAST(sum(complexity) AS BIGINT) AS cx, min(language) AS language, count(*) FILTER (starts_with(name, 'test_')) AS test_named, count(*) FILTER (starts_with(lower(name), 'test_')) AS low_test_named, count(*) FILTER (kind IN ('function', 'method', 'class')) AS definitions,
+    count(*) FILTER (kind IN ('function', 'method', 'class', 'constant')) AS interface, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'constant')) AS interface_exported,
+    count(*) FILTER (parent_id IS NULL) AS top_symbols, count(*) FILTER (parent_id IS NULL AND kind = 'function') AS top_functions FROM symbols GROUP BY 1) f
+  LEFT JOIN (SELECT target_id, count(*) AS n, count(*) FILTER ({is_test('source_id')}) AS t FROM imports GROUP BY 1) i ON f.file_path = i.target_id LEFT JOIN (SELECT source_id, count(*) AS n, count(*) FILTER (NOT {is_test('target_id')}) AS s FROM imports GROUP BY 1) o ON f.file_path = o.source_id
+  LEFT JOIN (SELECT target_id, count(*) AS n FROM imports WHERE {module('source_id')} <> {module('target_id')} GROUP BY 1) x ON f.file_path = x.target_id
   LEFT JOIN (SELECT path, count(DISTINCT commit_id) AS commits, DATE '2001-08-02' - max(day) AS days FROM commit_files GROUP BY 1) h ON f.file_path = h.path),
 f_diff AS (SELECT * FROM f_file WHERE file_path IN {_CHANGED}),
-f_top AS (SELECT s.*, f.base, f.stem, f.symbols AS file_symbols, f.functions AS file_functions FROM f_symbol s JOIN f_file f ON s.file_path = f.file_path WHERE s.id = (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 1))
-"""
+f_top AS (SELECT s.*, f.base, f.stem, f.symbols AS file_symbols, f.functions AS file_functions FROM f_symbol s JOIN f_file f ON s.file_path = f.file_path WHERE s.id = (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 1)),
+f_mutual AS (SELECT a.source_id AS file_path, a.target_id AS partner FROM imports a JOIN imports b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id <> a.target_id AND NOT {is_test('a.source_id')} AND NOT {is_test('a.target_id')}),
+""" + _TOTALS
 _FIRED = " UNION ALL ".join(
-    f"SELECT '{r.name}' AS rule, count(*) AS n, min({'id' if r.scope in ('symbol', 'top') else 'file_path'}) AS sample FROM f_{r.scope} WHERE {r.condition} HAVING count(*) >= {r.least}" for r in RULES
+    f"SELECT '{r.name}' AS rule, count(*) AS n, min({subject(r.scope)}) AS sample FROM f_{r.scope} WHERE {r.condition} HAVING count(*) >= {r.least}" for r in RULES
 )
 over_graph("signals", _FEATURES + _FIRED, fired, NOW)
 

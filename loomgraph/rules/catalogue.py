@@ -7,57 +7,18 @@ rule's name is its mode and id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class Rule:
-    mode: str
-    id: str
-    scope: str
-    condition: str
-    least: int
-    label: str
-
-    @property
-    def name(self) -> str:
-        return f"{self.mode}.{self.id}"
-
-
-def _like(column: str, *patterns: str) -> str:
-    """One of patterns, in which % at either end stands for any text; all other characters stand for themselves."""
-    tests = []
-    for p in patterns:
-        word = p.strip("%")
-        if p.startswith("%") and p.endswith("%"):
-            tests.append(f"instr({column}, '{word}') > 0")
-        elif p.startswith("%"):
-            tests.append(f"right({column}, {len(word)}) = '{word}'")
-        elif p.endswith("%"):
-            tests.append(f"left({column}, {len(word)}) = '{word}'")
-        else:
-            tests.append(f"{column} = '{word}'")
-    return f"({' OR '.join(tests)})"
-
-
-def _word(column: str, *words: str) -> str:
-    """One of words alone, or as the first or last part of a name joined by underscores."""
-    return _like(column, *[p for w in words for p in (w, f"{w}_%", f"%_{w}")])
-
-
-def _has(column: str, *words: str) -> str:
-    """One of words anywhere."""
-    return _like(column, *[f"%{w}%" for w in words])
-
-
-_FN = "kind IN ('function', 'method')"
-_SRC = "NOT is_test"
+from .base import FN as _FN
+from .base import SRC as _SRC
+from .base import Rule
+from .base import has as _has
+from .base import like as _like
+from .base import word as _word
+from .overview import OVERVIEW
 
 # Name families of unused functions, as (id, patterns, least, label).
 _DEAD = [
     ("S232", ("%serialize%", "to_dict%", "from_dict%", "to_json%"), 1, "unused serializers"), ("S298", ("middleware_%", "interceptor_%", "before_%", "after_%"), 2, "unused middleware"),
-    ("S432", ("subscribe_%", "listen_%", "watch_%"), 2, "unused subscriptions"), 
-    
+    ("S432", ("subscribe_%", "listen_%", "watch_%"), 2, "unused subscriptions"),
     ("S959", ("hook_%", "%_hook"), 1, "unused hooks"),
 ]
 # File families, as (id, patterns of lower-case base names, least, label).
@@ -67,8 +28,7 @@ _DIFF = [
     ("S522", ("__init__.py",), 1, "package init changed"), ("S939", ("%interface%", "%abstract%", "%protocol%"), 1, "interfaces changed"),
 ]
 _BLAST = [
-    ("S261", ("%windows%", "%linux%", "%darwin%", "%android%", "%ios%"), "platform-specific file"), 
-    
+    ("S261", ("%windows%", "%linux%", "%darwin%", "%android%", "%ios%"), "platform-specific file"),
 ]
 
 # More name families of unused functions.
@@ -264,6 +224,7 @@ def _unused(i: str, patterns: tuple[str, ...], n: int, label: str) -> Rule:
 
 
 RULES: list[Rule] = [
+    *OVERVIEW,
     *[Rule("blast", i, "file", _has("stem", *words), 1, label) for i, label, words in _BLAST_HAS],
     *[Rule("blast", i, "file", _word("stem", *words), 1, label) for i, label, words in _BLAST_WORD],
     *[Rule("blast", i, "file", f"{_like('base', *names)} AND importers >= {n}", 1, label) for i, n, label, names in _BLAST_BASE],
@@ -348,15 +309,6 @@ RULES: list[Rule] = [
     Rule("dead", "S140", "symbol", f"confidence IS NOT NULL AND is_test AND {_FN}", 3, "unused helpers in test files"),
     Rule("dead", "S893", "symbol", f"confidence IS NOT NULL AND {_SRC} AND exported AND parent_id IS NULL AND kind IN ('function', 'class')", 1, "unused exports"),
     Rule("dead", "S98", "symbol", "confidence >= 40", 1, "removable with some confidence"),
-    Rule("overview", "S84", "symbol", f"{_SRC} AND exported AND {_FN} AND callers > 0 AND test_callers = 0", 3, "called exports without a test"),
-    Rule("overview", "S82", "symbol", f"{_SRC} AND {_FN} AND complexity > 5", 5, "dense functions"),
-    Rule("overview", "S125", "symbol", f"{_SRC} AND {_FN} AND complexity >= 15", 1, "most complex functions"),
-    Rule("overview", "S191", "file", f"{_SRC} AND symbols > 0 AND exported = symbols", 2, "files that only export"),
-    Rule("overview", "S226", "file", f"{_SRC} AND symbols >= 50", 1, "monolithic files"),
-    Rule("overview", "S110", "file", f"{_SRC} AND lines >= 50", 1, "files of 50 lines or more"),
-    Rule("overview", "S775", "file", f"{_SRC} AND lines >= 200", 3, "large files"),
-    Rule("overview", "S643", "symbol", "kind = 'class' AND subtypes >= 1", 1, "classes with subclasses"),
-    Rule("overview", "S979", "file", f"{_SRC} AND classes = 0 AND functions >= 5", 1, "files of functions without a class"),
     Rule("hotspots", "S529", "symbol", f"{_SRC} AND {_FN} AND lines >= 50 AND callers >= 1", 1, "long called functions"),
     Rule("hotspots", "S262", "symbol", f"{_SRC} AND test_callers >= 3", 1, "well-tested symbols"),
     Rule("hotspots", "S982", "symbol", f"{_SRC} AND callers >= 3 AND lines >= 50", 1, "heavyweight symbols"),

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CodeGraph
+from ..session import step_folder, written
 from . import features
-from .catalogue import RULES, Rule
+from .base import Rule
+from .catalogue import RULES
+from .totals import totals
 
 
-def _subject(scope: str) -> str:
-    return "id" if scope in ("symbol", "top") else "file_path"
+def subject(scope: str) -> str:
+    """The column that names a row of a scope."""
+    return {"symbol": "id", "top": "id", "repository": "repository"}.get(scope, "file_path")
 
 
 def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
@@ -27,12 +33,16 @@ def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
 
 
 def fired(g: CodeGraph, now: str, rules: list[Rule] | None = None) -> DataFrame:
-    """rule, n, sample of all rules that fire on a graph."""
+    """rule, n, sample of all rules that fire on a graph.
+
+    The features of symbols and of files are written once; all scopes read the columns that they need.
+    """
     rules = RULES if rules is None else rules
-    tables = {"symbol": features.symbols, "file": lambda x: features.files(x, now), "diff": lambda x: features.changed(x, now), "top": lambda x: features.top(x, now)}
-    out = None
-    for scope, build in tables.items():
-        if own := [r for r in rules if r.scope == scope]:
-            found = of_scope(build(g), own, _subject(scope))
-            out = found if out is None else out.unionByName(found)
-    return out
+    at = step_folder(g.symbols.sparkSession)
+    symbols, files = written(features.symbols(g), f"{at}/symbols"), written(features.files(g, now), f"{at}/files")
+    tables = {
+        "symbol": lambda: symbols, "file": lambda: files, "diff": lambda: features.changed(files, g), "top": lambda: features.top(symbols, files, g, now), "mutual": lambda: features.mutual(g),
+        "repository": lambda: totals(symbols, files),
+    }
+    found = [of_scope(build(), own, subject(scope)) for scope, build in tables.items() if (own := [r for r in rules if r.scope == scope])]
+    return reduce(DataFrame.unionByName, found)

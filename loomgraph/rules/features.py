@@ -1,4 +1,4 @@
-"""Feature tables: one row per symbol, file and changed file, and one for the top hotspot."""
+"""Feature tables: one row per symbol, file, changed file and pair of files that import each other, and one for the top hotspot and the repository."""
 
 from __future__ import annotations
 
@@ -9,48 +9,73 @@ from ..functions.paths import basename, is_test, module_of
 from ..model import CodeGraph
 from ..operators.history import ages, commit_counts, newest_change
 from ..operators.scoring import dead_confidence, hotspots
+from .totals import CODE_LANGUAGES
+
+_INTERFACE = ("function", "method", "class", "constant")
+
+
+def _grandparents(g: CodeGraph) -> DataFrame:
+    """id, grandparents: bases of bases.  A class names few bases, so a popular base's own row is met once by each heir."""
+    base = g.pairs("inherits")
+    above = base.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("above"))
+    return base.join(above, "target_id").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("grandparents"))
 
 
 def symbols(g: CodeGraph) -> DataFrame:
     test = is_test(F.col("source_file"))
     up = g.calls.groupBy(F.col("target_id").alias("id")).agg(
-        F.count("*").alias("callers"), F.count_if(test).alias("test_callers"), F.countDistinct(F.when(F.col("source_file") != F.col("target_file"), F.col("source_file"))).alias("cross_files")
-    )
+        F.count("*").alias("callers"), F.count_if(test).alias("test_callers"), F.countDistinct(F.when(F.col("source_file") != F.col("target_file"), F.col("source_file"))).alias("cross_files"),
+        F.countDistinct(F.when((F.col("source_file") != F.col("target_file")) & ~test, F.col("source_file"))).alias("src_files"),
+    )
     down = g.calls.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("callees"))
     kids = g.of_kind("contains").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("children"))
     subs = g.pairs("inherits", "implements").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("subtypes"))
     rend = g.pairs("renders").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("renderers"))
+    own = g.symbols.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("kind") == "method").alias("methods"), F.count_if(F.col("kind").isin("function", "method")).alias("member_fns"))
     rows = g.symbols.select(
         "id", "name", F.lower("name").alias("low"), "kind", "file_path", (F.col("line_end") - F.col("line_start") + 1).alias("lines"), "complexity", "exported", "doc", "signature", "parent_id",
-        is_test(F.col("file_path")).alias("is_test"),
+        is_test(F.col("file_path")).alias("is_test"), F.col("language").isin(*CODE_LANGUAGES).alias("code"),
     )
-    for more in (up, down, kids, subs, rend):
+    for more in (up, down, kids, subs, rend, own, _grandparents(g)):
         rows = rows.join(more, "id", "left")
     importers = g.imports.groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("file_importers"))
-    rows = rows.join(importers, "file_path", "left").na.fill(0, ["file_importers", "callers", "test_callers", "cross_files", "callees", "children", "subtypes", "renderers"])
+    rows = rows.join(importers, "file_path", "left").na.fill(0, ["file_importers", "callers", "test_callers", "cross_files", "src_files", "callees", "children", "subtypes", "renderers", "methods", "member_fns", "grandparents"])
     return rows.join(dead_confidence(g).select("id", "confidence"), "id", "left")
 
 
 def files(g: CodeGraph, now: str) -> DataFrame:
     importers = g.imports.groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("importers"), F.count_if(is_test(F.col("source_id"))).alias("test_importers"))
-    imports = g.imports.groupBy(F.col("source_id").alias("file_path")).agg(F.count("*").alias("imports"))
+    outside = g.imports.where(module_of(F.col("source_id")) != module_of(F.col("target_id"))).groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("outside_importers"))
+    imports = g.imports.groupBy(F.col("source_id").alias("file_path")).agg(F.count("*").alias("imports"), F.count_if(~is_test(F.col("target_id"))).alias("src_imports"))
     own = g.symbols.groupBy("file_path").agg(
         F.count("*").alias("symbols"), F.count_if("exported").alias("exported"), F.count_if(F.col("exported") & F.col("kind").isin("function", "method")).alias("exported_fns"),
         F.count_if(F.col("exported") & F.col("kind").isin("function", "method", "class", "interface")).alias("exported_api"), F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "constant").alias("constants"),
         F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.max("complexity").alias("max_cx"), F.sum("complexity").alias("cx"), F.max("line_end").alias("lines"),
+        F.min("language").alias("language"), F.count_if(F.col("name").startswith("test_")).alias("test_named"), F.count_if(F.lower("name").startswith("test_")).alias("low_test_named"),
+        F.count_if(F.col("kind").isin("function", "method", "class")).alias("definitions"), F.count_if(F.col("kind").isin(*_INTERFACE)).alias("interface"), F.count_if(F.col("exported") & F.col("kind").isin(*_INTERFACE)).alias("interface_exported"),
+        F.count_if(F.col("parent_id").isNull()).alias("top_symbols"), F.count_if(F.col("parent_id").isNull() & (F.col("kind") == "function")).alias("top_functions"),
     )
     history = commit_counts(g).join(ages(g, now), "path", "left").select(F.col("path").alias("file_path"), "commits", "days")
-    rows = own.join(importers, "file_path", "left").join(imports, "file_path", "left").join(history, "file_path", "left").na.fill(0, ["importers", "test_importers", "imports", "commits"])
+    rows = own
+    for more in (importers, outside, imports, history):
+        rows = rows.join(more, "file_path", "left")
+    rows = rows.na.fill(0, ["importers", "test_importers", "outside_importers", "imports", "src_imports", "commits"])
     rows = rows.withColumn("stem", F.regexp_replace(F.lower(basename(F.col("file_path"))), "[.][^.]*$", ""))
-    return rows.withColumns({"base": F.lower(basename(F.col("file_path"))), "is_test": is_test(F.col("file_path")), "module": module_of(F.col("file_path"))})
+    return rows.withColumns({"base": F.lower(basename(F.col("file_path"))), "is_test": is_test(F.col("file_path")), "module": module_of(F.col("file_path")), "code": F.col("language").isin(*CODE_LANGUAGES), "depth": F.size(F.split("file_path", "/")) - 1, "folder": F.regexp_replace("file_path", "/?[^/]*$", "")})
 
 
-def changed(g: CodeGraph, now: str) -> DataFrame:
+def changed(files: DataFrame, g: CodeGraph) -> DataFrame:
     """The files rows of the newest change of five files or more."""
-    return files(g, now).join(newest_change(g).select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    return files.join(newest_change(g).select(F.col("path").alias("file_path")), "file_path", "left_semi")
 
 
-def top(g: CodeGraph, now: str) -> DataFrame:
+def top(symbols: DataFrame, files: DataFrame, g: CodeGraph, now: str) -> DataFrame:
     """The symbols row of the first hotspot with the names and counts of its file; no row where nothing scores."""
-    first = symbols(g).join(hotspots(g, now, 1).select("id"), "id", "left_semi")
-    return first.join(files(g, now).select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
+    first = symbols.join(hotspots(g, now, 1).select("id"), "id", "left_semi")
+    return first.join(files.select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
+
+
+def mutual(g: CodeGraph) -> DataFrame:
+    """file_path, partner: sources that import each other, each pair both ways."""
+    own = g.imports.where(~is_test(F.col("source_id")) & ~is_test(F.col("target_id")) & (F.col("source_id") != F.col("target_id"))).select(F.col("source_id").alias("file_path"), F.col("target_id").alias("partner"))
+    return own.join(own.select(F.col("partner").alias("file_path"), F.col("file_path").alias("partner")), ["file_path", "partner"], "left_semi")

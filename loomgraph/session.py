@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -42,3 +43,14 @@ def shared_base(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/loomgraph-shared"
     return f"{base.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
+
+
+def step_folder(spark: SparkSession) -> str:
+    """A new folder for the steps of one operator."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """Write a step below the shared checkpoint folder, so that lineage stays short and survives lost executors."""
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

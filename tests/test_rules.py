@@ -95,3 +95,54 @@ def test_unused_functions(spark):
     assert {"S767", "S893"} <= _dead(spark, ("find_it", 0, {"exported": True}))
     assert {"S551"} <= _dead(spark, ("do_a", None, {"file_importers": 0}), ("do_b", None, {"file_importers": 0}))
     assert "S551" not in _dead(spark, ("do_a", None, {"file_importers": 0}), ("do_b", None, {}))
+
+
+def _graph(spark, symbols, imports=(), inherits=(), calls=()):
+    """A graph of (path, name, kind, more) and of edges between paths or ids."""
+    from loomgraph.model import EDGE_SCHEMA, SYMBOL_SCHEMA, CodeGraph
+
+    names = [c.strip().split()[0] for c in SYMBOL_SCHEMA.split(",")]
+    plain = {"language": "python", "line_start": 1, "line_end": 4, "signature": "def f()", "doc": "", "parent_id": None, "exported": True, "complexity": 1, "byte_size": 10}
+    rows = [plain | {"id": f"{p}::{n}", "name": n, "qualified_name": n, "kind": k, "file_path": p} | more for p, n, k, more in symbols]
+    edges = [(kind, a, b, 1) for kind, pairs in (("imports", imports), ("inherits", inherits), ("calls", calls)) for a, b in pairs]
+    commits = spark.createDataFrame([], "commit_id long, day date, path string")
+    return CodeGraph(spark.createDataFrame([tuple(r[c] for c in names) for r in rows], SYMBOL_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA), commits)
+
+
+def _overview(spark, *args, **more):
+    from loomgraph.rules.evaluate import fired
+
+    rules = [r for r in RULES if r.mode == "overview"]
+    return {r["rule"].split(".")[1]: (r["n"], r["sample"]) for r in fired(_graph(spark, *args, **more), "2024-01-01", rules).collect()}
+
+
+def test_overview_of_nothing(spark):
+    assert _overview(spark, []) == {}
+
+
+def test_overview_without_tests(spark):
+    symbols = [(f"m{i}.py", f"f{j}", "function", {}) for i in range(8) for j in range(2)]
+    symbols += [("m0.py", "A", "class", {}), ("m1.py", "B", "class", {}), ("m2.py", "C", "class", {})]
+    found = _overview(
+        spark, symbols, imports=[("m0.py", "m1.py"), ("m1.py", "m0.py"), ("m2.py", "m1.py")], inherits=[("m0.py::A", "m1.py::B"), ("m1.py::B", "m2.py::C")], calls=[("m3.py::f0", "m4.py::f1")]
+    )
+    # no tests, all at the root, small files, little coupling, nothing documented
+    assert {"S82", "S100", "S547", "S667", "S871", "S967", "S391", "S259", "S421", "S733", "S901", "S961", "S588", "S781", "S286", "S679", "S203", "S877", "S607", "S520", "S463", "S721", "S919", "S829", "S841", "S937"} <= set(found)
+    # one pair of files imports each other, one class has a grandparent
+    assert found["S185"] == found["S613"] == found["S895"] == (1, "m0.py")
+    assert found["S643"] == (1, "m0.py::A")
+    # five exported functions, yet classes are exported as well; imports exist; one language only
+    assert not {"S631", "S594", "S582", "S625", "S805", "S979", "S763", "S213", "S151"} & set(found)
+    # a call makes the count of uncalled symbols smaller
+    assert "S86" not in found
+
+
+def test_overview_of_shares(spark):
+    tests = [(f"t/test_{i}.py", "test_a", "function", {"line_end": 200}) for i in range(6)]
+    sources = [("a/x.py", f"f{j}", "function", {"line_end": 60, "complexity": 12, "doc": "told"}) for j in range(6)] + [(f"b/{n}.go", n, "function", {"language": "go", "doc": "told"}) for n in ("y", "z")]
+    found = _overview(spark, tests + sources)
+    assert {"S213", "S565", "S823", "S913", "S373", "S883", "S1015", "S673"} <= set(found)
+    # nine files are too few for S532, one wide file of three too few for S859, and all exports are documented
+    assert not {"S532", "S859", "S348", "S547", "S322", "S203", "S877", "S588", "S973"} & set(found)
+    # one test file less, and there are less than two a source
+    assert "S823" not in _overview(spark, tests[:5] + sources)
