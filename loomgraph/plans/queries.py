@@ -375,7 +375,8 @@ SELECT DISTINCT source_id, id AS target_id, line FROM r WHERE k = 1""")(
 # --- rules -----------------------------------------------------------------------------------------------------------
 from ..rules.catalogue import RULES  # noqa: E402
 from ..rules.evaluate import fired, subject  # noqa: E402
-from ..rules.totals import CODE_LANGUAGES, among  # noqa: E402
+from ..rules.features import OF_CHANGED  # noqa: E402
+from ..rules.totals import CODE_LANGUAGES, PATHS, among  # noqa: E402
 from ..rules.totals import SQL as _TOTALS  # noqa: E402
 
 _FEATURES = _HOT.rstrip() + f"""
@@ -392,11 +393,15 @@ f_file AS (SELECT f.*, {module('f.file_path')} AS module, {among('f.language', C
   FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported, count(*) FILTER (exported AND kind IN ('function', 'method')) AS exported_fns, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS exported_api, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'constant') AS constants, count(*) FILTER (kind IN ('function', 'method')) AS functions, max(complexity) AS max_cx, max(line_end) AS lines,
     CAST(sum(complexity) AS BIGINT) AS cx, min(language) AS language, count(*) FILTER (starts_with(name, 'test_')) AS test_named, count(*) FILTER (starts_with(lower(name), 'test_')) AS low_test_named, count(*) FILTER (kind IN ('function', 'method', 'class')) AS definitions,
     count(*) FILTER (kind IN ('function', 'method', 'class', 'constant')) AS interface, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'constant')) AS interface_exported,
-    count(*) FILTER (parent_id IS NULL) AS top_symbols, count(*) FILTER (parent_id IS NULL AND kind = 'function') AS top_functions FROM symbols GROUP BY 1) f
+    count(*) FILTER (kind IN ('constant', 'variable')) AS consts, count(*) FILTER (parent_id IS NULL AND NOT starts_with(name, '_')) AS public_top,
+    count(*) FILTER (parent_id IS NULL AND kind NOT IN ('constant', 'variable', 'unknown', 'module')) AS top_others, count(*) FILTER (parent_id IS NULL) AS top_symbols, count(*) FILTER (parent_id IS NULL AND kind = 'function') AS top_functions FROM symbols GROUP BY 1) f
   LEFT JOIN (SELECT target_id, count(*) AS n, count(*) FILTER ({is_test('source_id')}) AS t FROM imports GROUP BY 1) i ON f.file_path = i.target_id LEFT JOIN (SELECT source_id, count(*) AS n, count(*) FILTER (NOT {is_test('target_id')}) AS s FROM imports GROUP BY 1) o ON f.file_path = o.source_id
   LEFT JOIN (SELECT target_id, count(*) AS n FROM imports WHERE {module('source_id')} <> {module('target_id')} GROUP BY 1) x ON f.file_path = x.target_id
   LEFT JOIN (SELECT path, count(DISTINCT commit_id) AS commits, DATE '2001-08-02' - max(day) AS days FROM commit_files GROUP BY 1) h ON f.file_path = h.path),
-f_diff AS (SELECT * FROM f_file WHERE file_path IN {_CHANGED}),
+f_diff AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in PATHS.items())}, {is_test('file_path')} AS is_test FROM (
+    SELECT p.path AS file_path, f.file_path IS NOT NULL AS known, {', '.join(f'coalesce(f.{c}, 0) AS {c}' for c in OF_CHANGED)} FROM (SELECT DISTINCT path FROM {_CHANGED}) p LEFT JOIN f_file f ON p.path = f.file_path)),
+f_touched AS (SELECT s.*, coalesce(c.n, 0) AS far_files FROM f_symbol s LEFT JOIN (SELECT target_id, count(DISTINCT source_file) AS n FROM calls WHERE source_file NOT IN {_CHANGED} GROUP BY 1) c ON s.id = c.target_id WHERE s.file_path IN {_CHANGED}),
+f_user AS (SELECT DISTINCT source_file AS file_path FROM calls WHERE NOT {is_test('target_file')} AND target_file IN {_CHANGED} AND source_file NOT IN {_CHANGED}),
 f_top AS (SELECT s.*, f.base, f.stem, f.symbols AS file_symbols, f.functions AS file_functions FROM f_symbol s JOIN f_file f ON s.file_path = f.file_path WHERE s.id = (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 1)),
 f_mutual AS (SELECT a.source_id AS file_path, a.target_id AS partner FROM imports a JOIN imports b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id <> a.target_id AND NOT {is_test('a.source_id')} AND NOT {is_test('a.target_id')}),
 """ + _TOTALS

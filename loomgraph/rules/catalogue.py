@@ -13,6 +13,7 @@ from .base import Rule
 from .base import has as _has
 from .base import like as _like
 from .base import word as _word
+from .diff import DIFF
 from .overview import OVERVIEW
 
 # Name families of unused functions, as (id, patterns, least, label).
@@ -23,9 +24,9 @@ _DEAD = [
 ]
 # File families, as (id, patterns of lower-case base names, least, label).
 _DIFF = [
-    ("S693", ("%migration%",), 1, "migration changed"), ("S669", ("%.md", "%.rst", "%.txt"), 3, "documentation changed"), ("S240", ("changelog%", "history%", "release%"), 1, "release notes changed"),
+    ("S240", ("changelog%", "history%", "release%"), 1, "release notes changed"),
     ("S319", ("requirements%", "package.json", "pyproject.toml", "cargo.toml", "go.mod"), 1, "dependencies changed"), ("S441", ("%serial%", "%schema%"), 1, "serialization changed"),
-    ("S522", ("__init__.py",), 1, "package init changed"), ("S939", ("%interface%", "%abstract%", "%protocol%"), 1, "interfaces changed"),
+    
 ]
 _BLAST = [
     ("S261", ("%windows%", "%linux%", "%darwin%", "%android%", "%ios%"), "platform-specific file"),
@@ -66,13 +67,9 @@ _DEAD_CLASSES = [
 ]
 # More families of changed files.
 _DIFF_MORE = [
-    ("S561", 1, "configuration files changed", ("%.yaml", "%.yml", "%.json", "%.toml", "%.ini", "%.env", "%.cfg",)),
     ("S615", 1, "secrets changed", (".env%", ".envrc", ".secret%", "%.pem", "%.key", "%.p12",)),
     ("S645", 1, "lock files changed", ("pipfile.lock", "poetry.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "gemfile.lock",)),
     ("S657", 1, "build configuration changed", ("jenkinsfile", "makefile", "dockerfile", ".travis.yml", "circle.yml", "azure-pipelines.yml",)),
-    ("S633", 1, "generated files changed", ("%_pb2.py", "%_pb2_grpc.py", "%_generated.py", "%_gen.py", "%_auto.py",)),
-    ("S651", 1, "models changed", ("schema.py", "models.py", "model.py", "tables.py", "entities.py",)),
-    ("S735", 1, "schema or migration changed", ("%migration%", "%migrate%", "%schema%", "%alembic%",)),
     ("S849", 1, "shared utilities changed", ("%utils%", "%helpers%", "%common%", "%shared%", "%core%",)),
     ("S855", 1, "legacy files changed", ("%_old%", "%_legacy%", "%_deprecated%", "%_bak%",)),
     ("S981", 1, "security files changed", ("%auth%", "%security%", "%crypto%",)),
@@ -225,6 +222,7 @@ def _unused(i: str, patterns: tuple[str, ...], n: int, label: str) -> Rule:
 
 RULES: list[Rule] = [
     *OVERVIEW,
+    *DIFF,
     *[Rule("blast", i, "file", _has("stem", *words), 1, label) for i, label, words in _BLAST_HAS],
     *[Rule("blast", i, "file", _word("stem", *words), 1, label) for i, label, words in _BLAST_WORD],
     *[Rule("blast", i, "file", f"{_like('base', *names)} AND importers >= {n}", 1, label) for i, n, label, names in _BLAST_BASE],
@@ -324,8 +322,6 @@ RULES: list[Rule] = [
     Rule("blast", "S692", "file", "importers >= 10", 1, "heavily imported files"),
     Rule("blast", "S782", "file", "is_test", 1, "test files"),
     Rule("blast", "S99", "symbol", "exported AND cross_files >= 3", 2, "exposed exports"),
-    Rule("diff", "S423", "diff", "is_test", 1, "tests changed"),
-    Rule("diff", "S187", "diff", "importers >= 5", 1, "widely imported files changed"),
     Rule("focus", "S168", "symbol", f"{_FN} AND lines >= 50", 1, "large functions"),
     Rule("focus", "S228", "symbol", "kind = 'class' AND subtypes > 0", 1, "classes with subclasses in focus"),
     Rule("focus", "S690", "symbol", f"kind = 'class' AND {_SRC} AND children >= 10", 1, "classes with many methods"),

@@ -9,7 +9,7 @@ from ..functions.paths import basename, is_test, module_of
 from ..model import CodeGraph
 from ..operators.history import ages, commit_counts, newest_change
 from ..operators.scoring import dead_confidence, hotspots
-from .totals import CODE_LANGUAGES
+from .totals import CODE_LANGUAGES, PATHS
 
 _INTERFACE = ("function", "method", "class", "constant")
 
@@ -53,6 +53,8 @@ def files(g: CodeGraph, now: str) -> DataFrame:
         F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.max("complexity").alias("max_cx"), F.sum("complexity").alias("cx"), F.max("line_end").alias("lines"),
         F.min("language").alias("language"), F.count_if(F.col("name").startswith("test_")).alias("test_named"), F.count_if(F.lower("name").startswith("test_")).alias("low_test_named"),
         F.count_if(F.col("kind").isin("function", "method", "class")).alias("definitions"), F.count_if(F.col("kind").isin(*_INTERFACE)).alias("interface"), F.count_if(F.col("exported") & F.col("kind").isin(*_INTERFACE)).alias("interface_exported"),
+        F.count_if(F.col("kind").isin("constant", "variable")).alias("consts"), F.count_if(F.col("parent_id").isNull() & ~F.col("name").startswith("_")).alias("public_top"),
+        F.count_if(F.col("parent_id").isNull() & ~F.col("kind").isin("constant", "variable", "unknown", "module")).alias("top_others"),
         F.count_if(F.col("parent_id").isNull()).alias("top_symbols"), F.count_if(F.col("parent_id").isNull() & (F.col("kind") == "function")).alias("top_functions"),
     )
     history = commit_counts(g).join(ages(g, now), "path", "left").select(F.col("path").alias("file_path"), "commits", "days")
@@ -64,9 +66,28 @@ def files(g: CodeGraph, now: str) -> DataFrame:
     return rows.withColumns({"base": F.lower(basename(F.col("file_path"))), "is_test": is_test(F.col("file_path")), "module": module_of(F.col("file_path")), "code": F.col("language").isin(*CODE_LANGUAGES), "depth": F.size(F.split("file_path", "/")) - 1, "folder": F.regexp_replace("file_path", "/?[^/]*$", "")})
 
 
+OF_CHANGED = ("symbols", "lines", "importers", "test_importers", "classes", "consts", "public_top", "top_others")
+
+
 def changed(files: DataFrame, g: CodeGraph) -> DataFrame:
-    """The files rows of the newest change of five files or more."""
-    return files.join(newest_change(g).select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    """Paths of the newest change of five files or more, with their parts and counts; a path that the graph doesn't know has counts of 0."""
+    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
+    rows = paths.join(files.select("file_path", *OF_CHANGED, F.lit(True).alias("known")), "file_path", "left").na.fill(0, list(OF_CHANGED)).na.fill(False, ["known"])
+    return rows.withColumns({n: F.expr(e) for n, e in PATHS.items()} | {"is_test": is_test(F.col("file_path"))})
+
+
+def touched(symbols: DataFrame, g: CodeGraph) -> DataFrame:
+    """The symbols rows of changed files with far_files: caller files outside of the change."""
+    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
+    far = g.calls.join(paths.select(F.col("file_path").alias("source_file")), "source_file", "left_anti").groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_file").alias("far_files"))
+    return symbols.join(paths, "file_path", "left_semi").join(far, "id", "left").na.fill(0, ["far_files"])
+
+
+def users(g: CodeGraph) -> DataFrame:
+    """file_path: files outside of the change that call symbols of its sources."""
+    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
+    calls = g.calls.where(~is_test(F.col("target_file"))).join(paths.select(F.col("file_path").alias("target_file")), "target_file", "left_semi")
+    return calls.select(F.col("source_file").alias("file_path")).distinct().join(paths, "file_path", "left_anti")
 
 
 def top(symbols: DataFrame, files: DataFrame, g: CodeGraph, now: str) -> DataFrame:

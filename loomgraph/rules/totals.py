@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import FN, SRC, like
+from .base import FN, SRC, has, like
 
 # Languages of code, of other text, extensions, names that programs start by.
 CODE_LANGUAGES = ("python", "typescript", "tsx", "javascript", "jsx", "rust", "go", "java", "csharp", "ruby")
@@ -26,6 +26,19 @@ _ENTRY_WORDS = ("main", "cli", "run", "start", "entry", "app", "serve", "launch"
 _IDLE_ENTRIES = ("main", "run", "start", "app", "application", "create_app", "entry")
 _STARTING_NAMES = ("main", "run", "start", "execute", "launch", "serve", "app")
 _STARTING_WORDS = ("main", "run", "__main__", "start", "app", "entry", "entrypoint")
+_CONFIG_WORDS = ("config", "settings", "conf", "env", "dotenv", "secrets", "options")
+_CONFIG_FILES = ("config.py", "settings.py", "constants.py", "exceptions.py", "errors.py", "env.py")
+_CONFIG_ENDS = (".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".cfg", ".conf")
+_NO_KIND = ("", "md", "txt", "rst", "json", "yaml", "yml", "toml", "cfg", "ini")
+_CODE_EXTENSIONS = ("py", "js", "ts", "jsx", "tsx", "go", "rs", "java", "kt", "cs", "cpp", "c", "h", "rb", "php", "swift", "scala", "ex", "exs")
+_PAPER_STEMS = ("readme", "changelog", "contributing", "license", "history", "authors")
+_DOC_WORDS = ("readme", "changelog", "docs/", "documentation", "howto", "guide")
+_LANGUAGE_OF = {
+    "py": "Python", "js": "JS", "ts": "TS", "tsx": "TS", "jsx": "JS", "go": "Go", "rs": "Rust", "java": "Java", "rb": "Ruby", "cs": "C#", "cpp": "C++", "c": "C", "php": "PHP",
+}
+_FAMILY_OF = {
+    "py": "python", "js": "js", "ts": "js", "tsx": "js", "jsx": "js", "go": "go", "java": "java", "rb": "ruby", "rs": "rust", "cpp": "cpp", "cc": "cpp", "c": "c", "cs": "csharp",
+}
 _ERRORS = ("%Error", "%Exception", "%Warning", "%Failure", "%Fault")
 
 
@@ -103,6 +116,38 @@ STRATA = {
 }
 STRATUM = {"code_src": _count(_CODE), "src": _count(SRC), "outside": "coalesce(sum(outside_importers), 0)"}
 
+#: Parts of a path.
+PATHS = {
+    "base": "lower(regexp_replace(file_path, '^.*/', ''))", "stem": "regexp_replace(lower(regexp_replace(file_path, '^.*/', '')), '[.][^.]*$', '')", "depth": "length(file_path) - length(replace(file_path, '/', ''))",
+    "folder": "regexp_replace(file_path, '/?[^/]*$', '')", "module": "CASE WHEN instr(file_path, '/') > 0 THEN split_part(file_path, '/', 1) ELSE '.' END",
+    "ext": "CASE WHEN instr(regexp_replace(file_path, '^.*/', ''), '.') > 0 THEN lower(regexp_replace(file_path, '^.*[.]', '')) ELSE '' END",
+}
+
+
+def _mapped(column: str, values: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in values.items())} END"
+
+
+def _ends(*ends: str) -> str:
+    return like("lower(file_path)", *[f"%{e}" for e in ends])
+
+
+_DOCS = _ends(".md", ".rst", ".txt", ".adoc")
+_TOLD = f"({_DOCS} OR {has('lower(file_path)', *_DOC_WORDS)})"
+# Over the files of a change.
+CHANGE = {
+    "changed": "count(*)", "tests": _count("is_test"), "known": _count("known"), "known_src": _count(f"known AND {SRC}"), "known_tests": _count("known AND is_test"),
+    "coded": _count(f"{SRC} AND NOT {_ends('.md', '.rst', '.txt')}"), "config_names": _count(f"{has('base', *_CONFIG_WORDS)}"), "config_bases": _count(among("regexp_replace(file_path, '^.*/', '')", _CONFIG_FILES)),
+    "config_files": _count(_ends(*_CONFIG_ENDS)), "docs": _count(_DOCS), "more_docs": _count(_ends(".md", ".rst", ".txt", ".adoc", ".asciidoc")),
+    "papers": _count(f"{_ends('.md', '.rst', '.txt', '.ipynb', '.adoc', '.wiki')} OR {among('stem', _PAPER_STEMS)}"), "told": _count(_TOLD), "untold_src": _count(f"{SRC} AND NOT {_TOLD}"),
+    "roots": "count(DISTINCT split_part(file_path, '/', 1))", "places": "count(DISTINCT CASE WHEN depth = 0 THEN file_path ELSE folder END)", "folders": "count(DISTINCT folder)", "modules": "count(DISTINCT CASE WHEN depth > 0 THEN module END)",
+    "open_modules": "count(DISTINCT CASE WHEN depth > 0 AND left(module, 1) <> '.' THEN module END)", "src_modules": f"count(DISTINCT CASE WHEN known AND {SRC} THEN module END)",
+    "extensions": f"count(DISTINCT CASE WHEN NOT {among('ext', _NO_KIND)} THEN ext END)", "code_files": _count(among("ext", _CODE_EXTENSIONS)),
+    "languages": f"count(DISTINCT {_mapped('ext', _LANGUAGE_OF)})", "families": f"count(DISTINCT {_mapped('ext', _FAMILY_OF)})",
+    "symbols": "coalesce(sum(symbols), 0)", "src_lines": _sum("lines", f"known AND {SRC}"), "public_top": "coalesce(sum(public_top), 0)", "src_top_others": _sum("top_others", SRC),
+    "const_files": _count("symbols > 0 AND consts = symbols"), "type_files": _count("symbols > 0 AND classes = symbols"),
+}
+
 
 def _aggregates(named: dict[str, str]) -> list:
     return [F.expr(e).alias(n) for n, e in named.items()]
@@ -121,6 +166,11 @@ def totals(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return reduce(DataFrame.crossJoin, parts).withColumn("repository", F.lit("repository"))  # one row each
 
 
+def of_change(changed: DataFrame) -> DataFrame:
+    """One row of totals over the files of a change."""
+    return changed.agg(*_aggregates(CHANGE)).withColumn("repository", F.lit("repository"))
+
+
 def _columns(named: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in named.items())
 
@@ -129,5 +179,6 @@ def _columns(named: dict[str, str]) -> str:
 SQL = f"""
 f_strata AS (SELECT part, key, {_columns(STRATUM)} FROM (SELECT 'language' AS part, language AS key, * FROM f_file UNION ALL SELECT 'folder', folder, * FROM f_file UNION ALL SELECT 'module', module, * FROM f_file) GROUP BY part, key),
 f_repository AS (SELECT *, 'repository' AS repository FROM (SELECT {_columns(FILES)} FROM f_file), (SELECT {_columns(SYMBOLS)} FROM f_symbol), (SELECT {_columns(STRATA)} FROM f_strata),
-  (SELECT coalesce(sum(cx), 0) AS top_cx FROM (SELECT cx FROM f_file WHERE {SRC} AND cx > 0 ORDER BY cx DESC, file_path LIMIT 3)))
+  (SELECT coalesce(sum(cx), 0) AS top_cx FROM (SELECT cx FROM f_file WHERE {SRC} AND cx > 0 ORDER BY cx DESC, file_path LIMIT 3))),
+f_change AS (SELECT {_columns(CHANGE)}, 'repository' AS repository FROM f_diff)
 """

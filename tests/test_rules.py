@@ -1,5 +1,7 @@
 """The rule catalogue: names are single, conditions meet the files that they are made for, and leave others alone."""
 
+import datetime
+
 import pytest
 
 from loomgraph.rules.catalogue import RULES
@@ -97,7 +99,7 @@ def test_unused_functions(spark):
     assert "S551" not in _dead(spark, ("do_a", None, {"file_importers": 0}), ("do_b", None, {}))
 
 
-def _graph(spark, symbols, imports=(), inherits=(), calls=()):
+def _graph(spark, symbols, imports=(), inherits=(), calls=(), change=()):
     """A graph of (path, name, kind, more) and of edges between paths or ids."""
     from loomgraph.model import EDGE_SCHEMA, SYMBOL_SCHEMA, CodeGraph
 
@@ -105,7 +107,7 @@ def _graph(spark, symbols, imports=(), inherits=(), calls=()):
     plain = {"language": "python", "line_start": 1, "line_end": 4, "signature": "def f()", "doc": "", "parent_id": None, "exported": True, "complexity": 1, "byte_size": 10}
     rows = [plain | {"id": f"{p}::{n}", "name": n, "qualified_name": n, "kind": k, "file_path": p} | more for p, n, k, more in symbols]
     edges = [(kind, a, b, 1) for kind, pairs in (("imports", imports), ("inherits", inherits), ("calls", calls)) for a, b in pairs]
-    commits = spark.createDataFrame([], "commit_id long, day date, path string")
+    commits = spark.createDataFrame([(1, datetime.date(2024, 1, 1), p) for p in change], "commit_id long, day date, path string")
     return CodeGraph(spark.createDataFrame([tuple(r[c] for c in names) for r in rows], SYMBOL_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA), commits)
 
 
@@ -146,3 +148,28 @@ def test_overview_of_shares(spark):
     assert not {"S532", "S859", "S348", "S547", "S322", "S203", "S877", "S588", "S973"} & set(found)
     # one test file less, and there are less than two a source
     assert "S823" not in _overview(spark, tests[:5] + sources)
+
+
+def _diff(spark, change, symbols, **more):
+    from loomgraph.rules.evaluate import fired
+
+    return {r["rule"].split(".")[1]: (r["n"], r["sample"]) for r in fired(_graph(spark, symbols, change=change, **more), "2024-01-02", [r for r in RULES if r.mode == "diff"]).collect()}
+
+
+def test_change_of_documents(spark):
+    found = _diff(spark, ["README.md", "docs/a.md", "docs/b.rst", "docs/c/d.txt", "x/CHANGELOG.md"], [("a/x.py", "f", "function", {})])
+    # paths that the graph doesn't know take part
+    assert {"S308", "S885", "S1005", "S375", "S699", "S687", "S771", "S879", "S837", "S957", "S909"} <= set(found)
+    assert found["S669"] == (5, "README.md") and found["S783"][0] == 5 and found["S596"] == (2, "README.md")
+    assert not {"S681", "S705", "S903", "S819", "S999", "S717", "S447", "S540", "S199", "S78"} & set(found)
+
+
+def test_change_of_code(spark):
+    change = ["a/x.py", "a/test_x.py", "b/__init__.py", "c/y.go", "deploy.yml"]
+    symbols = [("a/x.py", "f", "function", {"complexity": 10, "line_end": 600}), ("a/x.py", "BaseThing", "class", {}), ("a/test_x.py", "test_f", "function", {}), ("c/y.go", "g", "function", {"language": "go"})]
+    symbols += [(f"u/{i}.py", "h", "function", {}) for i in range(5)]
+    found = _diff(spark, change, symbols, calls=[(f"u/{i}.py::h", "a/x.py::f") for i in range(5)])
+    assert found["S127"] == (1, "a/x.py::f") and found["S187"] == (1, "a/x.py::f") and found["S163"] == (5, "u/0.py") and found["S485"] == (1, "a/x.py::BaseThing")
+    assert {"S149", "S135", "S465", "S741", "S627", "S777", "S573", "S747", "S951", "S819", "S78", "S783"} <= set(found)
+    # four callers elsewhere aren't five, and f has a caller
+    assert not {"S1028", "S160", "S639", "S308", "S681", "S181", "S205", "S753"} & set(found)
