@@ -375,12 +375,12 @@ SELECT DISTINCT source_id, id AS target_id, line FROM r WHERE k = 1""")(
 # --- rules -----------------------------------------------------------------------------------------------------------
 from ..rules.catalogue import RULES  # noqa: E402
 from ..rules.evaluate import fired, subject  # noqa: E402
-from ..rules.features import OF_CHANGED  # noqa: E402
+from ..rules.features import CALLERS, OF_CHANGED  # noqa: E402
 from ..rules.totals import CODE_LANGUAGES, PATHS, among  # noqa: E402
 from ..rules.totals import SQL as _TOTALS  # noqa: E402
 
 _FEATURES = _HOT.rstrip() + f"""
-, f_symbol AS (SELECT s.id, s.name, lower(s.name) AS low, s.kind, s.file_path, s.lines, s.complexity, s.exported, s.doc, s.signature, s.parent_id, {is_test('s.file_path')} AS is_test, {among('s.language', CODE_LANGUAGES)} AS code,
+, f_symbol AS (SELECT s.id, s.name, lower(s.name) AS low, s.kind, s.file_path, s.lines, s.complexity, s.exported, s.doc, s.signature, s.parent_id, s.byte_size, {is_test('s.file_path')} AS is_test, {among('s.language', CODE_LANGUAGES)} AS code,
     coalesce(u.src_files, 0) AS src_files, coalesce(m.methods, 0) AS methods, coalesce(m.member_fns, 0) AS member_fns, coalesce(gp.n, 0) AS grandparents,
     coalesce(u.callers, 0) AS callers, coalesce(u.test_callers, 0) AS test_callers, coalesce(u.cross_files, 0) AS cross_files, coalesce(d.n, 0) AS callees, coalesce(k.n, 0) AS children, coalesce(b.n, 0) AS subtypes, coalesce(r.n, 0) AS renderers, coalesce(fi.n, 0) AS file_importers, c.confidence
   FROM symbols s LEFT JOIN (SELECT target_id, count(*) AS callers, count(*) FILTER ({is_test('source_file')}) AS test_callers, count(DISTINCT CASE WHEN source_file <> target_file THEN source_file END) AS cross_files, count(DISTINCT CASE WHEN source_file <> target_file AND NOT {is_test('source_file')} THEN source_file END) AS src_files FROM calls GROUP BY 1) u ON s.id = u.target_id
@@ -402,7 +402,10 @@ f_diff AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in PATHS.items())}, {is_t
     SELECT p.path AS file_path, f.file_path IS NOT NULL AS known, {', '.join(f'coalesce(f.{c}, 0) AS {c}' for c in OF_CHANGED)} FROM (SELECT DISTINCT path FROM {_CHANGED}) p LEFT JOIN f_file f ON p.path = f.file_path)),
 f_touched AS (SELECT s.*, coalesce(c.n, 0) AS far_files FROM f_symbol s LEFT JOIN (SELECT target_id, count(DISTINCT source_file) AS n FROM calls WHERE source_file NOT IN {_CHANGED} GROUP BY 1) c ON s.id = c.target_id WHERE s.file_path IN {_CHANGED}),
 f_user AS (SELECT DISTINCT source_file AS file_path FROM calls WHERE NOT {is_test('target_file')} AND target_file IN {_CHANGED} AND source_file NOT IN {_CHANGED}),
-f_top AS (SELECT s.*, f.base, f.stem, f.symbols AS file_symbols, f.functions AS file_functions FROM f_symbol s JOIN f_file f ON s.file_path = f.file_path WHERE s.id = (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 1)),
+f_leader AS (SELECT * FROM f_symbol WHERE id IN (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 5)),
+f_top AS (SELECT s.*, f.base, f.stem, f.symbols AS file_symbols, f.functions AS file_functions, {', '.join(f'coalesce(c.{n}, 0) AS {n}' for n in CALLERS)} FROM f_symbol s JOIN f_file f ON s.file_path = f.file_path
+  LEFT JOIN (SELECT target_id, {', '.join(f'{e} AS {n}' for n, e in CALLERS.items())} FROM (SELECT *, regexp_replace(source_file, '/?[^/]*$', '') AS source_folder, regexp_replace(target_file, '/?[^/]*$', '') AS target_folder, {is_test('source_file')} AS is_test FROM calls) GROUP BY 1) c ON s.id = c.target_id
+  WHERE s.id = (SELECT id FROM hot WHERE score > 0 ORDER BY score DESC, id LIMIT 1)),
 f_mutual AS (SELECT a.source_id AS file_path, a.target_id AS partner FROM imports a JOIN imports b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id <> a.target_id AND NOT {is_test('a.source_id')} AND NOT {is_test('a.target_id')}),
 """ + _TOTALS
 _FIRED = " UNION ALL ".join(

@@ -274,6 +274,48 @@ RULES: list[Rule] = [
     Rule("hotspots", "S591", "top", f"{_SRC} AND {_MIXED_CASE} = '__init__.py'", 1, "top hotspot in a package file"),
     Rule("hotspots", "S604", "top", "is_test", 1, "top hotspot belongs to a fixture"),
     Rule("hotspots", "S610", "top", f"{_SRC} AND right(file_path, 3) <> '.py'", 1, "top hotspot not in Python"),
+    # the first hotspot, its callers and its callees
+    *[
+        Rule("hotspots", i, "top", f"{_SRC} AND {condition}", 1, label)
+        for i, condition, label in [
+            ("S510", f"{_FN} AND left(signature, 6) = 'async '", "top hotspot is asynchronous"),
+            ("S850", f"{_FN} AND left(ltrim(signature), 6) = 'async '", "an asynchronous function leads"),
+            ("S529", f"{_FN} AND lines > 50", "top hotspot is a long function"),
+            ("S706", f"{_FN} AND byte_size > 3000", "top hotspot beyond 3000 bytes"),
+            ("S585", f"{_FN} AND complexity < 3 AND callers >= 3", "top hotspot is simple"),
+            ("S646", f"{_FN} AND complexity <= 1 AND callers >= 5", "top hotspot is trivial"),
+            ("S664", f"{_FN} AND callers >= 5 AND callees = 0", "top hotspot calls nothing"),
+            ("S712", f"{_FN} AND callers >= 1 AND callees > callers", "top hotspot calls more than it is called"),
+            ("S778", "complexity >= 10", "top hotspot of complexity 10"),
+            ("S622", "kind = 'class' AND member_fns >= 5", "top hotspot is a class with five methods"),
+            ("S796", "kind = 'class' AND member_fns >= 10", "top hotspot is a class with ten methods"),
+            ("S952", "kind = 'method' AND parent_id IS NOT NULL", "top hotspot is a method"),
+            ("S676", "kind IN ('function', 'method', 'class') AND callers > 0 AND test_callers = callers", "tests alone call the top hotspot"),
+            ("S790", "exported AND test_callers >= 3 AND test_callers = callers", "three tests and no source call the top hotspot"),
+            ("S730", "callers > 0 AND test_callers = 0", "no test among the callers"),
+            ("S838", "callers > 0 AND test_callers = 0", "callers, but no tests"),
+            ("S922", "test_callers > 0", "tests call the top hotspot"),
+            ("S736", "callers >= 5 AND callees >= 5", "choke point"),
+            ("S754", "cross_callers = 1", "one caller from another file"),
+            ("S784", "callers >= 4 AND outer_callers = 0", "called within its folder only"),
+            ("S562", "far_roots >= 3", "called from three packages"),
+            ("S742", "src_roots >= 3", "called from three top folders"),
+            ("S814", "cross_roots >= 3", "called from three modules"),
+            ("S976", "src_folders >= 3", "called from three folders"),
+            ("S802", "callers >= 4 AND callees - self_calls = 1", "thin wrapper"),
+            ("S832", "callers >= 3 AND cross_files = 1", "called from one other file"),
+            ("S868", "callers >= 10", "ten callers"),
+            ("S874", "caller_files >= 5", "five caller files"),
+            ("S928", "lines <= 5 AND callers >= 5", "short and heavily called"),
+            ("S958", "(right(file_path, 12) = '/__init__.py' OR file_path = '__init__.py')", "top hotspot at the beginning of a package"),
+            ("S964", "src_files >= 10", "ten caller sources"),
+            ("S982", "callers - test_callers >= 3 AND lines >= 50", "heavyweight"),
+            ("S994", "callers > test_callers AND src_cross_callers = 0", "called within its file only"),
+        ]
+    ],
+    Rule("hotspots", "S418", "top", _has(_PATH, "vendor/", "third_party/", "vendors/", "node_modules/", "external/"), 1, "top hotspot is vendored"),
+    Rule("hotspots", "S820", "top", "is_test", 1, "a test leads"),
+    Rule("hotspots", "S262", "leader", f"{_SRC} AND {_FN} AND test_callers >= 3", 1, "well-tested hotspots"),
     Rule("hotspots", "S826", "top", f"{_SRC} AND {_FN} AND lines >= 50", 1, "top hotspot has a long body"),
     Rule("hotspots", "S856", "top", _like("stem", *_TOP_LEGACY), 1, "top hotspot in a legacy file"),
     Rule("hotspots", "S880", "top", f"{_SRC} AND callers = 0", 1, "nothing is known to call the top hotspot"),
@@ -307,13 +349,6 @@ RULES: list[Rule] = [
     Rule("dead", "S140", "symbol", f"confidence IS NOT NULL AND is_test AND {_FN}", 3, "unused helpers in test files"),
     Rule("dead", "S893", "symbol", f"confidence IS NOT NULL AND {_SRC} AND exported AND parent_id IS NULL AND kind IN ('function', 'class')", 1, "unused exports"),
     Rule("dead", "S98", "symbol", "confidence >= 40", 1, "removable with some confidence"),
-    Rule("hotspots", "S529", "symbol", f"{_SRC} AND {_FN} AND lines >= 50 AND callers >= 1", 1, "long called functions"),
-    Rule("hotspots", "S262", "symbol", f"{_SRC} AND test_callers >= 3", 1, "well-tested symbols"),
-    Rule("hotspots", "S982", "symbol", f"{_SRC} AND callers >= 3 AND lines >= 50", 1, "heavyweight symbols"),
-    Rule("hotspots", "S994", "symbol", f"{_SRC} AND callers >= 1 AND cross_files = 0", 1, "symbols called within their file only"),
-    Rule("hotspots", "S958", "symbol", "file_path LIKE '%/__init__.py'", 1, "symbols of package inits"),
-    Rule("hotspots", "S418", "symbol", _like("file_path", "%vendor/%", "%third_party/%"), 1, "vendored symbols"),
-    Rule("hotspots", "S850", "symbol", f"{_SRC} AND signature LIKE 'async %'", 1, "async symbols"),
     Rule("blast", "S207", "file", "importers = 1", 1, "files with a single importer"),
     Rule("blast", "S138", "file", "imports >= 5", 1, "aggregators"),
     Rule("blast", "S371", "file", "symbols >= 15 AND importers >= 5", 1, "utility belts"),

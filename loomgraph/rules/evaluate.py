@@ -17,7 +17,7 @@ from .totals import of_change, totals
 
 def subject(scope: str) -> str:
     """The column that names a row of a scope."""
-    return {"symbol": "id", "top": "id", "touched": "id", "repository": "repository", "change": "repository"}.get(scope, "file_path")
+    return {"symbol": "id", "top": "id", "touched": "id", "leader": "id", "repository": "repository", "change": "repository"}.get(scope, "file_path")
 
 
 def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
@@ -41,7 +41,7 @@ def fired(g: CodeGraph, now: str, rules: list[Rule] | None = None) -> DataFrame:
     at = step_folder(g.symbols.sparkSession)
     symbols, files = written(features.symbols(g), f"{at}/symbols"), written(features.files(g, now), f"{at}/files")
     tables = {
-        "symbol": lambda: symbols, "file": lambda: files, "diff": lambda: features.changed(files, g), "top": lambda: features.top(symbols, files, g, now), "mutual": lambda: features.mutual(g),
+        "symbol": lambda: symbols, "file": lambda: files, "diff": lambda: features.changed(files, g), "top": lambda: features.top(symbols, files, g, now), "leader": lambda: features.leaders(symbols, g, now), "mutual": lambda: features.mutual(g),
         "repository": lambda: totals(symbols, files), "change": lambda: of_change(features.changed(files, g)), "touched": lambda: features.touched(symbols, g), "user": lambda: features.users(g),
     }
     found = [of_scope(build(), own, subject(scope)) for scope, build in tables.items() if (own := [r for r in rules if r.scope == scope])]

@@ -33,7 +33,7 @@ def symbols(g: CodeGraph) -> DataFrame:
     rend = g.pairs("renders").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("renderers"))
     own = g.symbols.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("kind") == "method").alias("methods"), F.count_if(F.col("kind").isin("function", "method")).alias("member_fns"))
     rows = g.symbols.select(
-        "id", "name", F.lower("name").alias("low"), "kind", "file_path", (F.col("line_end") - F.col("line_start") + 1).alias("lines"), "complexity", "exported", "doc", "signature", "parent_id",
+        "id", "name", F.lower("name").alias("low"), "kind", "file_path", (F.col("line_end") - F.col("line_start") + 1).alias("lines"), "complexity", "exported", "doc", "signature", "parent_id", "byte_size",
         is_test(F.col("file_path")).alias("is_test"), F.col("language").isin(*CODE_LANGUAGES).alias("code"),
     )
     for more in (up, down, kids, subs, rend, own, _grandparents(g)):
@@ -90,10 +90,26 @@ def users(g: CodeGraph) -> DataFrame:
     return calls.select(F.col("source_file").alias("file_path")).distinct().join(paths, "file_path", "left_anti")
 
 
+# What the callers of the top hotspot are, over calls with the folder and first part of both files.
+CALLERS = {
+    "cross_callers": "count(*) FILTER (WHERE source_file <> target_file)", "src_cross_callers": "count(*) FILTER (WHERE source_file <> target_file AND NOT is_test)", "self_calls": "count(*) FILTER (WHERE source_id = target_id)",
+    "outer_callers": "count(*) FILTER (WHERE source_folder <> target_folder)", "caller_files": "count(DISTINCT source_file)", "src_folders": "count(DISTINCT CASE WHEN NOT is_test THEN source_folder END)",
+    "src_roots": "count(DISTINCT CASE WHEN NOT is_test THEN split_part(source_file, '/', 1) END)", "far_roots": "count(DISTINCT CASE WHEN NOT is_test AND instr(source_file, '/') > 0 THEN split_part(source_file, '/', 1) END)",
+    "cross_roots": "count(DISTINCT CASE WHEN source_file <> target_file AND instr(source_file, '/') > 0 THEN split_part(source_file, '/', 1) END)",
+}
+
+
+def leaders(symbols: DataFrame, g: CodeGraph, now: str, most: int = 5) -> DataFrame:
+    """The symbols rows of the first hotspots."""
+    return symbols.join(hotspots(g, now, most).select("id"), "id", "left_semi")
+
+
 def top(symbols: DataFrame, files: DataFrame, g: CodeGraph, now: str) -> DataFrame:
-    """The symbols row of the first hotspot with the names and counts of its file; no row where nothing scores."""
-    first = symbols.join(hotspots(g, now, 1).select("id"), "id", "left_semi")
-    return first.join(files.select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
+    """The symbols row of the first hotspot with the names and counts of its file and what its callers are; no row where nothing scores."""
+    first = leaders(symbols, g, now, 1).join(files.select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
+    folder = {f"{side}_folder": F.regexp_replace(f"{side}_file", "/?[^/]*$", "") for side in ("source", "target")}
+    calls = g.calls.join(first.select(F.col("id").alias("target_id")), "target_id", "left_semi").withColumns(folder | {"is_test": is_test(F.col("source_file"))})
+    return first.join(calls.groupBy(F.col("target_id").alias("id")).agg(*[F.expr(e).alias(n) for n, e in CALLERS.items()]), "id", "left").na.fill(0, list(CALLERS))
 
 
 def mutual(g: CodeGraph) -> DataFrame:
