@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CodeGraph
+from ..operators.scoring import hotspots
 from ..session import step_folder, written
 from . import features
 from .base import Rule
@@ -35,14 +36,28 @@ def of_scope(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
 def fired(g: CodeGraph, now: str, rules: list[Rule] | None = None) -> DataFrame:
     """rule, n, sample of all rules that fire on a graph.
 
-    The features of symbols and of files are written once; all scopes read the columns that they need.
+    What several scopes read is written once: the features of symbols and of files, the paths of the change and the first
+    hotspots.  A scope without rules isn't built.
     """
     rules = RULES if rules is None else rules
     at = step_folder(g.symbols.sparkSession)
-    symbols, files = written(features.symbols(g), f"{at}/symbols"), written(features.files(g, now), f"{at}/files")
+
+    @cache
+    def base(name: str) -> DataFrame:
+        build = {"symbols": lambda: features.symbols(g), "files": lambda: features.files(g, now), "paths": lambda: features.changed_paths(g), "hot": lambda: hotspots(g, now, 5).select("id", "score")}
+        return written(build[name](), f"{at}/{name}")
+
     tables = {
-        "symbol": lambda: symbols, "file": lambda: files, "diff": lambda: features.changed(files, g), "top": lambda: features.top(symbols, files, g, now), "leader": lambda: features.leaders(symbols, g, now), "mutual": lambda: features.mutual(g),
-        "repository": lambda: totals(symbols, files), "change": lambda: of_change(features.changed(files, g)), "touched": lambda: features.touched(symbols, g), "user": lambda: features.users(g),
-    }
+        "symbol": lambda: base("symbols"),
+        "file": lambda: base("files"),
+        "diff": lambda: features.changed(base("files"), base("paths")),
+        "touched": lambda: features.touched(base("symbols"), base("paths"), g),
+        "user": lambda: features.users(base("paths"), g),
+        "change": lambda: of_change(features.changed(base("files"), base("paths"))),
+        "leader": lambda: features.leaders(base("symbols"), base("hot")),
+        "top": lambda: features.top(base("symbols"), base("files"), base("hot"), g),
+        "mutual": lambda: features.mutual(g),
+        "repository": lambda: totals(base("symbols"), base("files")),
+    }
     found = [of_scope(build(), own, subject(scope)) for scope, build in tables.items() if (own := [r for r in rules if r.scope == scope])]
     return reduce(DataFrame.unionByName, found)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, is_test, module_of
 from ..model import CodeGraph
 from ..operators.history import ages, commit_counts, newest_change
-from ..operators.scoring import dead_confidence, hotspots
+from ..operators.scoring import dead_confidence
 from .totals import CODE_LANGUAGES, PATHS
 
 _INTERFACE = ("function", "method", "class", "constant")
@@ -69,23 +69,25 @@ def files(g: CodeGraph, now: str) -> DataFrame:
 OF_CHANGED = ("symbols", "lines", "importers", "test_importers", "classes", "consts", "public_top", "top_others")
 
 
-def changed(files: DataFrame, g: CodeGraph) -> DataFrame:
-    """Paths of the newest change of five files or more, with their parts and counts; a path that the graph doesn't know has counts of 0."""
-    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
+def changed_paths(g: CodeGraph) -> DataFrame:
+    """file_path: the newest change of five files or more."""
+    return newest_change(g).select(F.col("path").alias("file_path")).distinct()
+
+
+def changed(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Paths of a change with their parts and counts; a path that the graph doesn't know has counts of 0."""
     rows = paths.join(files.select("file_path", *OF_CHANGED, F.lit(True).alias("known")), "file_path", "left").na.fill(0, list(OF_CHANGED)).na.fill(False, ["known"])
     return rows.withColumns({n: F.expr(e) for n, e in PATHS.items()} | {"is_test": is_test(F.col("file_path"))})
 
 
-def touched(symbols: DataFrame, g: CodeGraph) -> DataFrame:
+def touched(symbols: DataFrame, paths: DataFrame, g: CodeGraph) -> DataFrame:
     """The symbols rows of changed files with far_files: caller files outside of the change."""
-    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
     far = g.calls.join(paths.select(F.col("file_path").alias("source_file")), "source_file", "left_anti").groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_file").alias("far_files"))
     return symbols.join(paths, "file_path", "left_semi").join(far, "id", "left").na.fill(0, ["far_files"])
 
 
-def users(g: CodeGraph) -> DataFrame:
+def users(paths: DataFrame, g: CodeGraph) -> DataFrame:
     """file_path: files outside of the change that call symbols of its sources."""
-    paths = newest_change(g).select(F.col("path").alias("file_path")).distinct()
     calls = g.calls.where(~is_test(F.col("target_file"))).join(paths.select(F.col("file_path").alias("target_file")), "target_file", "left_semi")
     return calls.select(F.col("source_file").alias("file_path")).distinct().join(paths, "file_path", "left_anti")
 
@@ -99,14 +101,14 @@ CALLERS = {
 }
 
 
-def leaders(symbols: DataFrame, g: CodeGraph, now: str, most: int = 5) -> DataFrame:
-    """The symbols rows of the first hotspots."""
-    return symbols.join(hotspots(g, now, most).select("id"), "id", "left_semi")
+def leaders(symbols: DataFrame, hot: DataFrame) -> DataFrame:
+    """The symbols rows of the first hotspots, a few rows."""
+    return symbols.join(hot.select("id"), "id", "left_semi")
 
 
-def top(symbols: DataFrame, files: DataFrame, g: CodeGraph, now: str) -> DataFrame:
+def top(symbols: DataFrame, files: DataFrame, hot: DataFrame, g: CodeGraph) -> DataFrame:
     """The symbols row of the first hotspot with the names and counts of its file and what its callers are; no row where nothing scores."""
-    first = leaders(symbols, g, now, 1).join(files.select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
+    first = leaders(symbols, hot.orderBy(F.desc("score"), "id").limit(1)).join(files.select("file_path", "base", "stem", F.col("symbols").alias("file_symbols"), F.col("functions").alias("file_functions")), "file_path")
     folder = {f"{side}_folder": F.regexp_replace(f"{side}_file", "/?[^/]*$", "") for side in ("source", "target")}
     calls = g.calls.join(first.select(F.col("id").alias("target_id")), "target_id", "left_semi").withColumns(folder | {"is_test": is_test(F.col("source_file"))})
     return first.join(calls.groupBy(F.col("target_id").alias("id")).agg(*[F.expr(e).alias(n) for n, e in CALLERS.items()]), "id", "left").na.fill(0, list(CALLERS))
