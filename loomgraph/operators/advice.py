@@ -66,12 +66,29 @@ def orbit(g: CodeGraph, path: str, query: str, most: int = 3) -> DataFrame:
     return best.orderBy(F.desc("frequency"), "id").limit(most).select("id", "hits")
 
 
-def key_files_in(texts: DataFrame, text: str = "text", most: int = 15) -> DataFrame:
-    """Paths that texts mention, sources before tests before examples, by frequency."""
-    pattern = F.lit(r"([A-Za-z0-9_\-]+(?:/[A-Za-z0-9_\-.]+)*\.(?:py|ts|tsx|js|go|rs|java|rb))\b")
-    rows = texts.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), pattern, 1)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    tier = F.when(is_test(F.col("path")), 1).when(F.lower("path").rlike("example|demo|sample|tutorial"), 2).otherwise(0)
-    return rows.withColumn("tier", tier).orderBy("tier", F.desc("n"), "path").limit(most)
+def key_files_in(texts: DataFrame, text: str = "text", keywords: tuple[str, ...] = (), most: int = 15) -> DataFrame:
+    """path, n, tier: paths that texts mention; sources before tests before examples, then those that a keyword names, by mentions.
+
+    A file with over 30 % of more than six mentions is a tier lower, unless a keyword of four letters or more is in its stem
+    or a line that begins with ● shows a symbol of it.
+    """
+    ends = "py|ts|tsx|js|jsx|go|rs|java|cs|rb"
+    known = texts.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = known.select(F.explode(F.regexp_extract_all("_t", F.lit(rf"\b((?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+\.(?:{ends}))\b"), 1)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    shown = known.select(F.explode(F.regexp_extract_all("_t", F.lit(rf"(?m)^[ \t]*●.*?—\s+(\S+\.(?:{ends})):\d"), 1)).alias("path")).distinct().withColumn("_shown", F.lit(True))
+    low = F.lower("path")
+    stem = F.regexp_replace(basename(low), r"\.[^.]*$", "")
+    named = F.lit(False)
+    for k in keywords:
+        if len(k) > 3:
+            named = named | stem.contains(k.lower())
+    tier = F.when(low.rlike("example|tutorial|demo|sample"), 2).when(low.rlike("test|spec|fixture"), 1).otherwise(0)
+    rows = rows.join(shown, "path", "left").withColumn("named", named)
+    total = rows.agg(F.sum("n").alias("_total"))
+    rows = rows.crossJoin(F.broadcast(total))  # one row
+    hub = (F.col("_total") > 6) & (F.col("n") > 0.3 * F.col("_total")) & ~F.col("named") & F.col("_shown").isNull()
+    rows = rows.select("path", "n", (tier + hub.cast("int")).alias("tier"), "named")
+    return rows.orderBy("tier", F.desc("named"), F.desc("n"), "path").limit(most).drop("named")
 
 
 def importance(g: CodeGraph, hot: DataFrame) -> DataFrame:
@@ -82,17 +99,6 @@ def importance(g: CodeGraph, hot: DataFrame) -> DataFrame:
     return rows.select("id", (2 * F.col("c") + F.col("exported").cast("int") + F.col("_h")).cast("long").alias("importance"), (F.col("f") >= 10).alias("utility"))
 
 
-def adaptive_depth(callers: int, callees: int, hot: bool, nodes: int) -> int:
-    """How far a focus expands: shallow about hubs, deep about symbols that call much and are called little."""
-    if callers >= 15:
-        depth = 2
-    elif callees >= 6 and callers <= 3:
-        depth = 5 if hot else 4
-    else:
-        depth = 4 if hot else 3
-    return depth + (nodes < 20)
-
-
 def relay_points(g: CodeGraph) -> DataFrame:
     """id, via, best, total: a callee in another file that makes up 65 % or more of what a symbol's callees reach."""
     cross = g.calls.where("source_file <> target_file").select("source_id", "target_id")

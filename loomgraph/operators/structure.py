@@ -185,3 +185,13 @@ def token_budget(g: CodeGraph, budget: int = 4000) -> DataFrame:
     rows = g.files.select("file_path", module_of(F.col("file_path")).alias("module"), tokens.alias("tokens"))
     running = F.sum("tokens").over(W.partitionBy("module").orderBy("file_path").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("running", running).where(F.col("running") <= budget)
+
+
+def complexity_distribution(g: CodeGraph) -> DataFrame:
+    """n, mean, median, p90, most: complexity of functions outside of tests; top_share: what the three densest files hold of all."""
+    rows = g.symbols.where(~is_test(F.col("file_path")) & (F.col("complexity") >= 1))
+    files = rows.groupBy("file_path").agg(F.sum("complexity").alias("cx"))
+    top = files.orderBy(F.desc("cx"), "file_path").limit(3).agg(F.sum("cx").alias("_top")).crossJoin(files.agg(F.sum("cx").alias("_all")))  # one row each
+    points = {"median": F.percentile("complexity", F.lit(0.5)), "p90": F.percentile("complexity", F.lit(0.9)), "mean": F.avg("complexity")}
+    own = rows.where(F.col("kind").isin("function", "method")).agg(F.count("*").alias("n"), F.max("complexity").alias("most"), *[F.round(e, 6).alias(n) for n, e in points.items()])
+    return own.crossJoin(top).withColumn("top_share", F.round(F.col("_top") / F.col("_all"), 6)).drop("_top", "_all")  # one row each

@@ -330,6 +330,7 @@ over_graph("o069p_inheritance_depth", None, traverse.inheritance_depth)
 ORACLE_SQL["o069p_inheritance_depth"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + """, i AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'inherits'), up(id, base, depth) AS (
     SELECT source_id, target_id, 1 FROM i UNION SELECT id, i.target_id, depth + 1 FROM up JOIN i ON base = i.source_id WHERE depth < 60) SELECT id, max(depth) AS depth FROM up GROUP BY id"""
 over_graph("o069_focus", None, lambda g: traverse.focus(g, search.search(g, PHRASE).limit(3).select("id")))
+over_graph("o069c_adaptive_focus", None, lambda g: traverse.focus(g, search.search(g, PHRASE).limit(3).select("id"), None))
 
 # --- telemetry -------------------------------------------------------------------------------------------------------
 over_usage("o110_sessions", "SELECT event_id, session FROM sessions", lambda u: telemetry.sessions(u).select("event_id", "session"))
@@ -430,9 +431,16 @@ UNION ALL SELECT 'tests', item, 1 FROM (SELECT item FROM imp UNION SELECT source
     lambda s, d: (lambda g: tools.blast(g, _file(g, 30)))(graph(s, d))
 )
 over_graph("o095_diff_risk", f"""
-SELECT file_path, coalesce(symbols, 0) AS symbols, coalesce(exported, 0) AS exported, coalesce(o, 0) AS outside, CASE WHEN coalesce(o, 0) >= 12 THEN 'HIGH' WHEN coalesce(o, 0) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk
-FROM (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported FROM symbols GROUP BY 1) LEFT JOIN (SELECT target_file, count(DISTINCT source_file) AS o FROM calls WHERE source_file <> target_file GROUP BY 1) ON file_path = target_file
-WHERE file_path IN {_CHANGED}""", lambda g: tools.diff(g, history.newest_change(g)))
+SELECT p.path AS file_path, coalesce(s.symbols, 0) AS symbols, coalesce(s.exported, 0) AS exported, coalesce(c.n, 0) AS callers, coalesce(h.n, 0) AS churn, b.n AS blast, v.per_week AS active,
+    CASE WHEN coalesce(c.n, 0) + 2 * coalesce(h.n, 0) >= 12 THEN 'HIGH' WHEN coalesce(c.n, 0) + 2 * coalesce(h.n, 0) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+FROM (SELECT DISTINCT path FROM {_CHANGED}) p LEFT JOIN (SELECT file_path, count(*) AS symbols, count(*) FILTER (exported) AS exported FROM symbols GROUP BY 1) s ON p.path = s.file_path
+LEFT JOIN (SELECT target_file, count(*) AS n FROM (SELECT DISTINCT target_file, target_id, source_file FROM calls WHERE source_file <> target_file) GROUP BY 1) c ON p.path = c.target_file
+LEFT JOIN (SELECT path, count(DISTINCT commit_id) AS n FROM commit_files GROUP BY 1) h ON p.path = h.path LEFT JOIN (SELECT target_id, count(*) AS n FROM imports WHERE source_id <> target_id GROUP BY 1 HAVING count(*) >= 2) b ON p.path = b.target_id
+LEFT JOIN (SELECT * FROM velocity WHERE per_week >= 2) v ON p.path = v.path""", lambda g: tools.diff(g, history.newest_change(g), NOW))
+over_graph("o105_complexity", f"""
+, f AS (SELECT * FROM symbols WHERE kind IN ('function', 'method') AND NOT {is_test('file_path')} AND complexity >= 1), b AS (SELECT file_path, sum(complexity) AS cx FROM symbols WHERE NOT {is_test('file_path')} AND complexity >= 1 GROUP BY 1)
+SELECT count(*) AS n, round(avg(complexity), 6) AS mean, round(quantile_cont(complexity, 0.5), 6) AS median, round(quantile_cont(complexity, 0.9), 6) AS p90, max(complexity) AS most,
+    round((SELECT sum(cx) FROM (SELECT cx FROM b ORDER BY cx DESC, file_path LIMIT 3)) / (SELECT sum(cx) FROM b), 6) AS top_share FROM f""", structure.complexity_distribution)
 over_graph("o104_prepare_context", None, lambda g: tools.prepare(g, PHRASE, NOW))
 
 

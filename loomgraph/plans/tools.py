@@ -35,13 +35,24 @@ def blast(g: CodeGraph, path: str) -> DataFrame:
     return rows("importers", importers, "item", "n").unionByName(rows("callers", callers, "item", "n")).unionByName(rows("exports", exports, "item", "n")).unionByName(rows("tests", tests, "item", "n")).unionByName(rows("imports", own, "item", "n"))
 
 
-def diff(g: CodeGraph, changed: DataFrame) -> DataFrame:
-    """file_path, symbols, outside callers and risk of changed files (path)."""
+def diff(g: CodeGraph, changed: DataFrame, now: str) -> DataFrame:
+    """file_path, symbols, exported, callers, churn, blast, active, risk of changed files (path).
+
+    callers: caller files outside, counted for each symbol; churn: commits; blast: importers, where there are two or more;
+    active: commits of the last week, where there are two or more; risk: by callers and twice the churn, 12 or 6 and more.
+    """
     files = changed.select(F.col("path").alias("file_path")).distinct()
-    outside = g.calls.where("source_file <> target_file").groupBy(F.col("target_file").alias("file_path")).agg(F.countDistinct("source_file").alias("outside"))
+    calls = g.calls.where("source_file <> target_file").join(files.select(F.col("file_path").alias("target_file")), "target_file", "left_semi")
+    callers = calls.select("target_file", "target_id", "source_file").distinct().groupBy(F.col("target_file").alias("file_path")).agg(F.count("*").alias("callers"))
     own = g.symbols.groupBy("file_path").agg(F.count("*").alias("symbols"), F.count_if("exported").alias("exported"))
-    rows = files.join(own, "file_path", "left").join(outside, "file_path", "left").na.fill(0)
-    return rows.withColumn("risk", F.when(F.col("outside") >= 12, "HIGH").when(F.col("outside") >= 6, "MEDIUM").otherwise("LOW"))
+    churn = history.commit_counts(g).select(F.col("path").alias("file_path"), F.col("commits").alias("churn"))
+    blast = g.imports.where("source_id <> target_id").groupBy(F.col("target_id").alias("file_path")).agg(F.count("*").alias("blast")).where("blast >= 2")
+    active = history.velocity(g, now, 7).where("per_week >= 2").select(F.col("path").alias("file_path"), F.col("per_week").alias("active"))
+    for more in (own, callers, churn):
+        files = files.join(more, "file_path", "left").na.fill(0)
+    points = F.col("callers") + 2 * F.col("churn")
+    rows = files.join(blast, "file_path", "left").join(active, "file_path", "left")
+    return rows.withColumn("risk", F.when(points >= 12, "HIGH").when(points >= 6, "MEDIUM").otherwise("LOW"))
 
 
 def overview(g: CodeGraph, now: str) -> DataFrame:

@@ -78,3 +78,29 @@ def test_test_predicates(spark, path, test, simple):
 
     row = spark.createDataFrame([(path,)], "p string").select(paths.is_test(F.col("p")), paths.is_test_simple(F.col("p"))).first()
     assert tuple(row) == (test, simple)
+
+
+@pytest.mark.parametrize("files,callees,hot,depth", [(15, 9, True, 2), (14, 5, False, 3), (14, 5, True, 4), (3, 6, False, 4), (3, 6, True, 5), (4, 6, False, 3)])
+def test_adaptive_depth(files, callees, hot, depth):
+    assert traverse.adaptive_depth(files, callees, hot) == depth
+
+
+def test_focus_without_a_depth_goes_one_further_where_sparse(spark):
+    chain = [symbol(f"m{i}.py", f"f{i}") for i in range(8)]
+    g = graph(spark, chain, [("calls", f"m{i}.py::f{i}", f"m{i + 1}.py::f{i + 1}", 1) for i in range(7)])
+    seed = spark.createDataFrame([("m0.py::f0",)], "id string")
+    assert traverse.depth_of(g, seed) == 3
+    assert {r["depth"] for r in traverse.focus(g, seed, 3).collect()} == {0, 1, 2, 3}
+    assert {r["depth"] for r in traverse.focus(g, seed, None).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_key_files_demote_hubs(spark):
+    from loomgraph.operators import advice
+
+    text = "hub.py " * 5 + "a/x.py a/x.py tests/test_x.py example/e.py none"
+    found = lambda t, *words: [(r["path"], r["tier"]) for r in advice.key_files_in(spark.createDataFrame([(t,), (None,)], "text string"), "text", words).collect()]
+    assert found(text) == [("a/x.py", 0), ("hub.py", 1), ("tests/test_x.py", 1), ("example/e.py", 2)]
+    # a keyword or a shown symbol keeps it first
+    assert found(text.replace("hub", "router"), "router")[0] == ("router.py", 0)
+    assert found("● f — hub.py:1-2\n" + text)[0] == ("hub.py", 0)
+    assert found("nothing here") == []
