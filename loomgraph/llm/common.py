@@ -85,6 +85,19 @@ def rows_operator(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def partition_operator(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Run function(iterator of the rows of a partition, in their order) -> tuples in the order of schema; nothing but what function keeps is held."""
+    ensure_importable(df.sparkSession)
+    out = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = iter(function(row for batch in batches for piece in pieces(batch) for row in zip(*(c.to_pylist() for c in piece.columns))))
+        while some := list(islice(made, PIECE_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*some), out.types)], names=out.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

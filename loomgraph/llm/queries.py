@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fertility, langid, mixing, secrets, simhash, toxicity, warc
+from . import bpe, chat, collocations, exact_dedup, fertility, langid, mixing, packing, secrets, simhash, toxicity, warc, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,12 +61,61 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_fertility, op3_bpe, op4_chat, op5_langid, op6_simhash, op7_warc, op8_mixing, op9_secrets, op10_exact_dedup)
-}
+    for f in (
+        op1_toxicity, op2_fertility, op3_bpe, op4_chat, op5_langid, op6_simhash, op7_warc, op8_mixing, op9_secrets, op10_exact_dedup,
+        op11_whitening, op12_collocations, op13_packing,
+    )
+}
 
 ORACLE_SQL = {
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+        ), grams AS (
+            SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS gram, m
+            FROM words, (VALUES (1), (2), (3), (4)) AS sizes(m)
+        ), counted AS (
+            SELECT lang, gram, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+        ), cuts AS (
+            SELECT lang, gram, m, f AS a, unnest(range(1, m)) AS k, string_split(gram, ' ') AS w FROM counted WHERE m > 1
+        ), parts AS (
+            SELECT c.lang, c.gram, c.m, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * c.a::HUGEINT // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+            FROM cuts c
+            JOIN counted x ON x.lang = c.lang AND x.gram = array_to_string(c.w[1:c.k], ' ')
+            JOIN counted y ON y.lang = c.lang AND y.gram = array_to_string(c.w[c.k + 1:], ' ')
+        ), scored AS (
+            SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT DISTINCT s.lang, s.gram FROM scored s JOIN (
+                SELECT lang, f, unnest(flatten(list_transform(range(2, m), lambda n: list_transform(range(1, m - n + 2), lambda i: array_to_string(string_split(gram, ' ')[i:i + n - 1], ' '))))) AS gram
+                FROM counted WHERE m > 2
+            ) longer ON longer.lang = s.lang AND longer.gram = s.gram AND 100 * longer.f::HUGEINT >= 80 * s.a::HUGEINT
+        ), ranked AS (
+            SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(gram)) AS rank
+            FROM scored s ANTI JOIN inside USING (lang, gram)
+        )
+        SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body FROM pages
