@@ -1,17 +1,20 @@
 """Transcript parsing by a hidden Markov model, and canonical rendering of turns.
 
 Each line of a transcript shows a speaker marker (a name before a colon, a
-bracketed or hashed role), and line features: a question mark at the end, list
-or code look, length, the case of its first letter, whether a blank line came
-before.  States are a role and whether the line begins or continues a turn.
-Emission and transition counts come from a bounded number of labelled
-transcripts, whatever their length, with add-one smoothing; Viterbi recovers the
-states, and runs of one turn become canonical turns.
+bracketed or hashed role; plain, misspelt or quoted), and line features: a
+question mark at the end, list or code look, length, the case of its first
+letter, whom it addresses, whether a blank line came before.  States are a role
+and the line's place in its turn: the first, the second, the third or a later
+one.  What the first three lines show and how often a turn ends there is learned
+by role; later lines are alike for all roles, so that a long turn isn't cut for
+its length.  Markers are evidence like the other features.  Counts come from a
+bounded number of labelled transcripts, whatever their length, with smoothing;
+Viterbi recovers the states, and runs of one turn become canonical turns.
 
 A transcript is decoded and rendered as a whole, whatever its length.  All lines
 are sorted and dealt out in pieces of at most BLOCK lines, one row each, so the
 lines of a long transcript are read and told apart by many tasks.  Two steps run
-along a transcript: Viterbi over one byte a line, which keeps six bytes of back
+along a transcript: Viterbi over two bytes a line, which keeps twelve bytes of back
 pointers a line, and the hash of the rendered text, which holds a turn at a time.
 Scores are whole numbers, so no result depends on where pieces end.
 
@@ -24,24 +27,29 @@ form's own marks are rendered with a backslash before them.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby, islice
+from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, _arrow_schema, cut, ensure_importable, rows_operator, shared_dir
+from .common import Memo, cut, ensure_importable, partition_operator, rows_operator, shared_dir
 
 ROLES = ("system", "user", "assistant")
-STATES = [(r, b) for r in ROLES for b in (True, False)]
+#: Lines of a turn that are told apart: its first ones, and all later ones.
+DEPTH = 4
+STATES = [(r, d) for r in ROLES for d in range(DEPTH)]
 #: Lines of a piece (a power of two), and labelled transcripts that training takes at most.
 BLOCK, MAX_TRAIN = 2048, 2_000
+#: Lines that each state of every model has seen marked or not marked, and share of features that are as in any state.
+PRIOR, ODD = 300, 0.1
 
 # Names that commonly mark speakers, by role.
 NAMES = {
@@ -49,20 +57,38 @@ NAMES = {
     "user": "user", "human": "user", "customer": "user", "question": "user", "q": "user", "client": "user", "me": "user",
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "agent": "assistant", "answer": "assistant", "a": "assistant", "model": "assistant",
 }
-MARKER = re.compile(r"^\s*(?:[#>*\-\[<|(]*\s*)([A-Za-z]{1,12})\s*(?:[\])>|*]*\s*:|[\])>|]+)\s*", re.A)
+# Words that address a reader, and that name a speaker.
+SECOND = frozenset("you your yours du dein deine sie ihr ihre vous votre vos toi tu usted su tus".split())
+SPEAKER = frozenset("i my me we our ich mein meine wir je mon ma mes nous yo mi nosotros".split())
+MARKER = re.compile(r"^\s*([#>*\-\[<|(]*)\s*([A-Za-z]{1,12})\s*(?:[\])>|*]*\s*:|[\])>|]+)\s*", re.A)
 #: Lines that could be taken for marks of the canonical form.
 MARK = re.compile(r"^\\*<\|", re.M)
 
 
-def marker(line: str) -> tuple[str, int]:
-    """The role that a line's speaker marker names ('' for none) and the marker's length."""
-    m = MARKER.match(line)
-    role = NAMES.get(m[1].lower(), "") if m else ""
-    return (role, m.end()) if role else ("", 0)
+def _misspelt(name: str) -> set[str]:
+    """A name with two letters swapped, one left out or one doubled."""
+    return {name[:i] + x + name[i + 2 :] for i in range(len(name) - 1) for x in (name[i + 1] + name[i], name[i])} | {name[:i] + name[i : i + 1] + name[i:] for i in range(len(name))}
+
+
+FUZZY = {x: role for name, role in NAMES.items() if len(name) > 3 for x in _misspelt(name) if x not in NAMES}
 
 
-#: What a line shows by itself: the role that a marker names, its look, its length class, the case of its first letter.
-SHOWN = [f"{role}|{look}|{length}|{case}" for role in ("", *ROLES) for look in ("", "?", "`") for length in range(5) for case in "0a"]
+def marker(line: str) -> tuple[str, str, int]:
+    """The role that a line's speaker marker names ('' for none), its kind (plain, fuzzy or quoted) and the marker's length."""
+    m = MARKER.match(line)
+    if not m:
+        return "", "", 0
+    word = m[2].lower()
+    role = NAMES.get(word) or FUZZY.get(word, "")
+    if not role:
+        return "", "", 0
+    return role, "quoted" if m[1] == ">" else "plain" if word in NAMES else "fuzzy", m.end()
+
+
+#: What a line shows by itself: a marker's role and kind, its look, its length class, the case of its first letter, whom it addresses.
+MARKS = ["", *(f"{kind} {role}" for kind in ("plain", "fuzzy", "quoted") for role in ROLES)]
+LENGTHS = 16
+SHOWN = [(mark, look, length, case, who) for mark in MARKS for look in ("", "?", "`") for length in range(LENGTHS) for case in "0a" for who in ("", "you", "i")]
 NUMBERS = {x: i for i, x in enumerate(SHOWN)}
 #: Its place: the first line, after a line that is not blank, after a blank one.
 PLACES = ("first", "next", "after")
@@ -71,11 +97,14 @@ PLACES = ("first", "next", "after")
 def shown(line: str | None) -> int:
     """The number in SHOWN of what a line shows; 0 for blank lines only."""
     line = line or ""
-    role, n = marker(line)
+    role, kind, n = marker(line)
     rest = line[n:].strip()
-    length = 0 if not rest else min(4, 1 + len(rest).bit_length() // 3)
+    # three classes for each doubling from 16 characters on
+    length = max(1, min(LENGTHS - 1, int(3 * math.log2(len(rest) + 1)) - 11)) if rest else 0
     look = "?" if rest.endswith("?") else "`" if rest.startswith(("```", "- ", "* ", "1.")) else ""
-    return NUMBERS[f"{role}|{look}|{length}|{'a' if rest[:1].islower() else '0'}"]
+    words = set(rest[:400].lower().split())
+    who = "you" if words & SECOND else "i" if words & SPEAKER else ""
+    return NUMBERS[f"{kind} {role}" if role else "", look, length, "a" if rest[:1].islower() else "0", who]
 
 
 def placed(seen: Iterable[int], before: int | None = None) -> Iterator[tuple[int, int]]:
@@ -113,26 +142,34 @@ class Model:
                 self.start[a] += n
         return self
 
+    #: Numbers of different values of the parts of a symbol.
+    SIZES = (3 * len(MARKS), 3, LENGTHS, 2, 3)
+
     @staticmethod
     def _parts(x: int, at: int) -> list[str]:
-        """The independent parts of a symbol; whether a line is marked and where it stands tell together whether a turn begins."""
-        role, look, length, case = SHOWN[x].split("|")
-        return [f"{role}|{PLACES[at]}", f"l{look}", f"n{length}", f"c{case}"]
+        """The independent parts of a symbol; how a line is marked and where it stands tell together whether a turn begins."""
+        mark, look, length, case, who = SHOWN[x]
+        return [f"{mark}|{PLACES[at]}", f"l{look}", f"n{length}", f"c{case}", f"w{who}"]
 
     def prepare(self) -> Model:
-        """Scores from the counts.  How long a turn goes on and what its later lines show are shared by the roles, so the length of a turn says nothing of its role."""
-        begins = np.array([b for _, b in STATES])
-        goes_on = np.array([[not b and ra == rb for rb, b in STATES] for ra, _ in STATES])
-        stay = self.move[goes_on].sum() / (self.move[goes_on].sum() + self.move[:, begins].sum())
-        start = np.where(begins, self.move, 0)
-        start = (1 - stay) * start / start.sum(axis=1, keepdims=True)
+        """Scores from the counts.  How long later lines go on and what they show are shared by the roles."""
+        depth = np.array([d for _, d in STATES])
+        begins = depth == 0
+        role = np.array([ROLES.index(r) for r, _ in STATES])
+        goes_on = (role[:, None] == role) & (depth == np.minimum(depth[:, None] + 1, DEPTH - 1))
+        # a turn ends or goes on: by role in its first lines, for all roles together later
+        on, ends = np.where(goes_on, self.move, 0).sum(axis=1), np.where(begins, self.move, 0).sum(axis=1)
+        later = depth == DEPTH - 1
+        on[later], ends[later] = on[later].sum(), ends[later].sum()
+        stay = (on / (on + ends))[:, None]
+        # who speaks next depends on who spoke
+        follows = np.stack([np.where(begins, self.move, 0)[role == r].sum(axis=0) for r in range(len(ROLES))])[role]
         with np.errstate(divide="ignore"):
-            logs = np.log(np.where(goes_on, stay, start))
-        # a line continues its turn or begins another; it can't continue a turn of another role
+            logs = np.log(np.where(goes_on, stay, (1 - stay) * follows / follows.sum(axis=1, keepdims=True)))
         self.log_move = np.where(goes_on | begins, self._whole(np.maximum(logs, -1e3)), -(1 << 50))
         self.log_start = np.where(begins, self._whole(np.log(self.start / self.start.sum())), -(1 << 50))
-        later = sum((self.emit[i] for i in range(len(STATES)) if not begins[i]), Counter())
-        self.shared = [self.emit[i] if begins[i] else later for i in range(len(STATES))]
+        shared = sum((self.emit[i] for i in np.flatnonzero(later)), Counter())
+        self.shared = [shared if later[i] else self.emit[i] for i in range(len(STATES))]
         self.cache: dict[tuple[int, int], np.ndarray] = {}
         self.steps = Memo(self._step, 8 << 20)
         return self
@@ -145,13 +182,17 @@ class Model:
     def _emission(self, x: int, at: int) -> np.ndarray:
         if (x, at) not in self.cache:
             total = np.zeros(len(STATES))
-            named = SHOWN[x].split("|")[0]
-            for s, (role, begins) in enumerate(STATES):
-                n = sum(self.shared[s].values()) / 4
-                for part in self._parts(x, at):
-                    total[s] += np.log((self.shared[s][part] + 1) / (n + 12))
-                if named:  # a marker begins a turn of the role that it names
-                    total[s] += 0 if named == role and begins else -20
+            mark = SHOWN[x][0]
+            pool = sum(self.emit, Counter())
+            lines = sum(pool.values()) / len(self.SIZES)
+            for s, (role, depth) in enumerate(STATES):
+                # every state has seen PRIOR lines at the three places: those that begin a turn with its plain marker, the others without one
+                usual = f"plain {role}" if depth == 0 else ""
+                n = sum(self.shared[s].values()) / len(self.SIZES)
+                for i, (part, size) in enumerate(zip(self._parts(x, at), self.SIZES)):
+                    prior = 0 if i else PRIOR
+                    own = (self.shared[s][part] + (prior / len(PLACES) if mark == usual else 0) + 0.5) / (n + size / 2 + prior)
+                    total[s] += np.log(own if i == 0 else (1 - ODD) * own + ODD * (pool[part] + 0.5) / (lines + size / 2))
             self.cache[x, at] = self._whole(total)
         return self.cache[x, at]
 
@@ -185,13 +226,19 @@ class Model:
         return list(self.path(map(shown, lines)))
 
 
+def text_of(line: str, role: str) -> str:
+    """The first line of a turn without its marker, if that names the turn's role and isn't quoted."""
+    named, kind, n = marker(line)
+    return line[n:] if named == role and kind != "quoted" else line
+
+
 def turns(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
     """(role, text) of the turns that states make of lines; markers are taken off."""
     out: list[list] = []
     for line, s in zip(lines, states):
-        role, begins = STATES[s]
-        if begins or not out:
-            out.append([role, [line[marker(line)[1] :]]])
+        role, depth = STATES[s]
+        if depth == 0 or not out:
+            out.append([role, [text_of(line, role)]])
         else:
             out[-1][1].append(line)
     return [(role, "\n".join(parts).strip()) for role, parts in out]
@@ -202,28 +249,32 @@ def render(found: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{MARK.sub(chr(92) * 2 + chr(92) + 'g<0>', text)}\n<|end|>\n" for role, text in found)
 
 
-def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", blanks: bool = True) -> DataFrame:
     """Raw transcript lines of a table of turns: conv, line number (by turn), line, state.
 
-    A turn is marked in a style that depends on its conversation; in one style
-    assistants' turns go unmarked, after a blank line where another turn came
-    before.  state is the number of the line's true state, for training and
-    measuring; the blank line continues the turn before it.
+    Transcripts are as ragged as raw ones, by a hash of the conversation and the
+    turn: the marker's style is the conversation's or, for one turn in four,
+    another one; one turn in six goes unmarked, whoever speaks, and one in twelve
+    is misspelt; one in ten quotes a marked line of another speaker.  With blanks,
+    one line in eight within texts and every other turn is followed by a blank
+    line.  state is the number of the line's true state, for training and measuring.
     """
     name = F.coalesce(F.col(role), F.lit("user"))
-    style = F.pmod(F.xxhash64(conv), F.lit(4))
-    head = (
-        F.when(style == 0, F.concat(F.initcap(name), F.lit(": ")))
-        .when(style == 1, F.concat(F.lit("["), name, F.lit("] ")))
-        .when(style == 2, F.concat(F.lit("### "), F.initcap(name), F.lit(": ")))
-        .otherwise(F.when(name == "assistant", F.lit("")).otherwise(F.concat(F.initcap(name), F.lit(": "))))
-    )
-    lines = F.split(F.concat(head, F.coalesce(F.col(text), F.lit(""))), "\n")
-    # the blank line ends every other turn of that style
-    lines = F.when((style == 3) & (name != "assistant"), F.concat(lines, F.array(F.lit("")))).otherwise(lines)
-    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, 2 * i)]), name)
-    at = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("_role"), F.posexplode(lines).alias("at", "line"), number.alias("_n"))
-    return at.select("conv", "turn", "_role", "at", "line", (F.coalesce("_n", F.lit(2)) + F.when(F.col("at") == 0, 0).otherwise(1)).cast("int").alias("state"))
+    draw = lambda what, n: F.pmod(F.xxhash64(F.col(conv), F.col(turn), F.lit(what)), F.lit(n))
+    style = F.when(draw("other", 4) == 0, draw("style", 3)).otherwise(F.pmod(F.xxhash64(conv), F.lit(3)))
+    spelt = F.when(draw("misspelt", 12) == 0, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.substring(name, 5, 99))).otherwise(name)
+    marked = F.when(style == 0, F.concat(F.initcap(spelt), F.lit(": "))).when(style == 1, F.concat(F.lit("["), spelt, F.lit("] "))).otherwise(F.concat(F.lit("### "), F.initcap(spelt), F.lit(": ")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(F.concat(F.when(draw("unmarked", 6) == 0, F.lit("")).otherwise(marked), body), "\n")
+    quoted = F.concat(F.when(name == "user", F.lit("> Assistant: ")).otherwise(F.lit("> User: ")), F.substring(F.split_part(body, F.lit("\n"), F.lit(1)), 1, 60))
+    lines = F.when(draw("quoted", 10) == 0, F.concat(lines, F.array(quoted))).otherwise(lines)
+    if blanks:
+        blank = lambda x, i: F.when(F.pmod(F.xxhash64(F.col(conv), F.col(turn), i), F.lit(8)) == 0, F.array(x, F.lit(""))).otherwise(F.array(x))
+        lines = F.concat(F.flatten(F.transform(lines, blank)), F.when(draw("after", 2) == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, DEPTH * i)]), name)
+    whole = rows.select(F.struct(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("_role"), number.alias("_n")).alias("_of"), lines.alias("_lines"))
+    at = whole.select("_of.*", F.posexplode("_lines").alias("at", "line"))
+    return at.select("conv", "turn", "_role", "at", "line", (F.coalesce("_n", F.lit(DEPTH)) + F.least(F.col("at"), F.lit(DEPTH - 1))).cast("int").alias("state"))
 
 
 def _learned(pieces: DataFrame, conversations: int) -> Model:
@@ -250,26 +301,14 @@ def train(lines: DataFrame, conversations: int = MAX_TRAIN) -> Model:
     return _learned(_pieces(lines, shared_dir(lines.sparkSession)), conversations)
 
 
-def _stream(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Run function over the rows of each partition in their order; nothing but what function keeps is held."""
-    out = _arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = function(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        while some := list(islice(made, 1024)):
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*some), out.types)], names=out.names)
-
-    return df.mapInArrow(run, schema)
-
-
 def _pieces(lines: DataFrame, path: str) -> DataFrame:
     """conv, piece_id and rows (id, line, state, shown): successive lines of a transcript, in the order of piece_id."""
     ensure_importable(lines.sparkSession)
     kind = lines.schema["conv"].dataType.simpleString()
     order = ["conv", "turn", "_role", "at", "line"]
-    coded = _stream(
+    coded = partition_operator(
         lines.select(*order, "state"), lambda rows: ((*row, shown(row[4])) for row in rows),
-        f"conv {kind}, turn {lines.schema['turn'].dataType.simpleString()}, _role string, at int, line string, state int, shown byte",
+        f"conv {kind}, turn {lines.schema['turn'].dataType.simpleString()}, _role string, at int, line string, state int, shown short",
     )
     # repeated rows are told apart, so that many of them are dealt to many tasks
     numbered = coded.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").withColumn("id", F.monotonically_increasing_id())
@@ -286,17 +325,17 @@ def _decoded(pieces: DataFrame, model: Model, path: str) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         m = shared.value.prepare()
         for _, own in groupby(rows, lambda r: r[0]):
-            ids, ends, seen = [], [0], bytearray()
+            ids, ends, seen = [], [0], array("h")
             for _, piece_id, part in own:
                 ids.append(piece_id)
-                seen += bytes(part)
+                seen.extend(part)
                 ends.append(len(seen))
             states = m.path(seen)
             for piece_id, a, z in zip(ids, ends, ends[1:]):
                 yield piece_id, list(states[a:z])
 
     told = pieces.select("conv", "piece_id", F.col("rows.shown").alias("shown")).repartition("conv").sortWithinPartitions("conv", "piece_id")
-    found = cut(_stream(told, run, "piece_id long, found array<tinyint>"), f"{path}/found")
+    found = cut(partition_operator(told, run, "piece_id long, found array<tinyint>"), f"{path}/found")
     both = pieces.join(found, "piece_id").repartition("conv").sortWithinPartitions("conv", "piece_id")
     return both.select("conv", F.inline(F.arrays_zip(F.col("rows.line").alias("line"), F.col("rows.state").alias("state"), "found")))
 
@@ -306,13 +345,13 @@ def _turns(rows: Iterator[tuple]) -> Iterator[tuple]:
     for conv, own in groupby(rows, lambda r: r[0]):
         no, lines, states, right, unmarked, recalled = 0, [], [], 0, 0, 0
         for _, line, state, found in own:
-            if lines and STATES[found][1]:
+            if lines and STATES[found][1] == 0:
                 yield conv, no, *turns(lines, states)[0], len(lines), right, unmarked, recalled
                 no, lines, states, right, unmarked, recalled = no + 1, [], [], 0, 0, 0
             lines.append(line)
             states.append(found)
             right += state == found
-            if STATES[state][1] and not marker(line)[0]:
+            if STATES[state][1] == 0 and not marker(line)[0] and line:
                 unmarked, recalled = unmarked + 1, recalled + (state == found)
         yield conv, no, *turns(lines, states)[0], len(lines), right, unmarked, recalled
 
@@ -336,7 +375,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
     kind = lines.schema["conv"].dataType.simpleString()
     at = shared_dir(lines.sparkSession)
     found = _decoded(_pieces(lines, at), model, at)
-    return _stream(found, _turns, f"conv {kind}, turn_no long, role string, text string, {_COUNTS}")
+    return partition_operator(found, _turns, f"conv {kind}, turn_no long, role string, text string, {_COUNTS}")
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -345,4 +384,4 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     pieces = _pieces(from_turns(rows, conv, turn, role, text), at)
     kind = pieces.schema["conv"].dataType.simpleString()
     found = _decoded(pieces, _learned(pieces, MAX_TRAIN), at)
-    return _stream(found, _transcripts, f"`{conv}` {kind}, n_turns long, {_COUNTS}, roles string, rendered_sha256 string")
+    return partition_operator(found, _transcripts, f"`{conv}` {kind}, n_turns long, {_COUNTS}, roles string, rendered_sha256 string")

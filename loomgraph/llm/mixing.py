@@ -6,9 +6,14 @@ its inclusion probability.  The cube method moves these probabilities through
 the null space of the constraints (document total and word total) until at most
 as many as there are constraints stay fractional; groups of at most about GROUP
 rows of a source fly on their own, what they leave undecided flies again
-together, and the last few rows of a source (with LANDING of its smaller ones,
-kept back for this from its first flight on) land by the choice nearest to its
-targets.  Each source lands when it is down to one group, whatever the others do.
+together.  Rows with more than LARGE of their source's words are settled first,
+each along a direction that spreads its counter-move over all other open rows of
+its group (a row that outweighs what the others could give or take goes the only
+way there is); of the others three fly at a time.  The last few rows of a source
+(with LANDING of its smaller ones of all sizes, kept back for this from its first
+flight on) land on one of the choices that miss the source's words by NEAR of
+them at most (else on the nearest), drawn by how likely their probabilities make
+it.  Each source lands when it is down to one group, whatever the others do.
 
 Defined results: a null text has size 0; null sources are one source, the last.
 A source of size 0 has target 0 and its rows are taken no times.  Rows that agree
@@ -33,7 +38,11 @@ from .common import cut, ensure_importable, fresh, join_groups, shared_dir
 
 # Fixed values of the mix: weights by the sources' order, words to take as a share of all, the most copies of a source.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-SEED, GROUP, LANDING = 20240607, 4000, 8
+SEED, GROUP, LANDING = 20240607, 4000, 14
+#: Share of a source's words from which a row is large, and share of its target that a landing may miss.
+LARGE, NEAR = 0.03, 0.002
+#: Share of what the other units could give or take that a large unit may use.
+ROOM = 0.9
 #: Alike rows that one task tells apart at once.
 BLOCK = 4096
 _EPS = 1e-9
@@ -103,31 +112,89 @@ def flight(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
         live = [i for i in live if _EPS < p[i] < 1 - _EPS]
 
 
-def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """0 or 1 for each of a few fractional units: of all choices, that with the words nearest to expectation, then the documents."""
+def settle(p: np.ndarray, x: np.ndarray, u: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """p with the large units made whole, the largest first.
+
+    The other open units take the counter-move in shares a + b * size, by which
+    both totals stay, if that settles the unit in one step whichever way it goes.
+    Else, as a large unit stands for many documents, they take it evenly, by which
+    the words stay.  A unit whose counter-move the others can't make isn't moved
+    that way.
+    """
+    p = p.astype(float).copy()
+    for i in large[np.argsort(-x[large], kind="stable")]:
+        draw = u[i]
+        while _EPS < p[i] < 1 - _EPS:
+            open_ = np.flatnonzero((p > _EPS) & (p < 1 - _EPS) & (x > 0))
+            open_ = open_[open_ != i]
+            q, y = p[open_], x[open_]
+            can = (1 - p[i]) * x[i] <= ROOM * (q @ y), p[i] * x[i] <= ROOM * ((1 - q) @ y)
+            if not len(y) or not any(can):
+                break
+            about = y - y.mean()
+            spread = float(about @ about)
+            ways = [(1.0 / len(y) + (x[i] - y.mean()) / spread * about)] if spread > _EPS else []
+            for share in (*ways, np.full(len(y), x[i] / y.sum())):
+                # how far the unit can go up and down before another one is whole
+                rate = np.maximum(np.abs(share), 1e-15)
+                up = min(1 - p[i], (np.where(share > 0, q, 1 - q) / rate).min())
+                down = min(p[i], (np.where(share > 0, 1 - q, q) / rate).min())
+                if up >= 1 - p[i] - _EPS and down >= p[i] - _EPS:
+                    break
+            step = up if not can[1] or can[0] and draw * (up + down) < down else -down
+            p[i] += step
+            p[open_] = q - step * share
+            p = np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p))
+            draw = draw * 7919.0 % 1.0
+    return p
+
+
+def landing(p: np.ndarray, x: np.ndarray, near: float = 0.0, draw: float = 0.5) -> np.ndarray:
+    """0 or 1 for each of a few fractional units.
+
+    Of all choices that miss the expected words by near at most, one by its
+    likelihood; if there is none, that with the words nearest to expectation, then
+    the documents.
+    """
     left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     out = np.round(p)
     if len(left):
         choices = np.array(list(product((0, 1), repeat=len(left))), float)
         off = np.abs((choices - p[left]) @ np.stack([x[left], np.ones(len(left))], axis=1))
-        out[left] = choices[np.lexsort((off[:, 1], off[:, 0]))[0]]
+        some = np.flatnonzero(off[:, 0] <= near)
+        if len(some):
+            likely = np.cumsum(np.where(choices[some] > 0, p[left], 1 - p[left]).prod(axis=1))
+            best = some[min(np.searchsorted(likely, draw * likely[-1], side="right"), len(some) - 1)]
+        else:
+            best = np.lexsort((off[:, 1], off[:, 0]))[0]
+        out[left] = choices[best]
     return out
 
 
+def group(p: np.ndarray, x: np.ndarray, u: np.ndarray, kept: np.ndarray, size: float, near: float, keeps: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after the flight of one group of a source of size words, and which of its units are kept for the landing; last: the units land, missing near words at most."""
+    kept = kept.copy()
+    left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if keeps and not kept.any():
+        small = left[x[left] <= LARGE * size]
+        small = small[np.argsort(x[small], kind="stable")]
+        # a group of few units lands as it is
+        kept[small[np.unique(np.linspace(0, len(small) - 1, LANDING).astype(int))] if len(small) > LANDING else left if len(left) <= LANDING + 2 else small] = True
+    own, flies = p.copy(), ~kept
+    own[flies] = settle(p[flies], x[flies], u[flies], np.flatnonzero(x[flies] > LARGE * size))
+    own[flies] = flight(own[flies], x[flies], u[flies])
+    return (landing(own, x, near, float(u[0])) if last else own), kept
+
+
 def _group(level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_u", "size"], kind="stable").reset_index(drop=True)
-        p, x, u = (rows[c].to_numpy(float) for c in ("_p", "size", "_u"))
-        p, kept = p.copy(), rows["_kept"].to_numpy(bool).copy()
         last = bool(rows["_last"].iloc[0])
-        if not kept.any() and (last or level == 0 and rows["_g"].iloc[0] == 0):
-            # one group of a source keeps a few of its smaller units for the landing
-            left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-            left = left[np.argsort(x[left], kind="stable")]
-            if len(left) > 3 * LANDING:
-                kept[left[np.unique(np.linspace(0, len(left) // 2, LANDING).astype(int))]] = True
-        p[~kept] = flight(p[~kept], x[~kept], u[~kept])
-        return rows.assign(_p=landing(p, x) if last else p, _kept=kept)
+        # one group of a source keeps units for the landing
+        keeps = last or level == 0 and rows["_g"].iloc[0] == 0
+        p, x, u = (rows[c].to_numpy(float) for c in ("_p", "size", "_u"))
+        p, kept = group(p, x, u, rows["_kept"].to_numpy(bool), float(rows["source_size"].iloc[0]), NEAR * float(rows["target"].iloc[0]), keeps, last)
+        return rows.assign(_p=p, _kept=kept)
 
     return run
 

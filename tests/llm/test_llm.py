@@ -476,7 +476,40 @@ def test_mixing_lands_each_source_near_its_target_beside_large_ones(spark):
     docs = ids.withColumn("text", F.expr("repeat('w ', cast(1 + pmod(xxhash64(doc_id), 400) as int))"))
     rows = mixing.mix(docs, weights=(30.0, 1.0)).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert {r["source"]: r["n"] for r in rows} == {"big": 9_000, "small": 300}
-    assert all(abs(r["taken"] - r["target"]) < 2 for r in rows), rows
+    assert all(abs(r["taken"] - r["target"]) <= mixing.NEAR * r["target"] for r in rows), rows
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_takes_each_source_within_one_percent(spark, sf):
+    from pyspark.sql import functions as F
+
+    made = queries.op8_mixing(spark, f"/root/testdata/{sf}").join(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in made.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.01 * r["target"], r
+
+
+@pytest.mark.parametrize("p0", [0.2, 0.5, 0.9])
+def test_mixing_beside_a_document_of_a_third_of_its_source(p0):
+    """Over many seeds: the words are near, and every document is taken about as often as it should be."""
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.integers(20, 900, 60)).astype(float)
+    x[-1] = x[:-1].sum() / 2
+    taken = np.zeros(len(x))
+    for seed in range(300):
+        u = np.random.default_rng(seed).random(len(x))
+        p, _ = mixing.group(np.full(len(x), p0), x, u, np.zeros(len(x), bool), x.sum(), mixing.NEAR * p0 * x.sum(), True, True)
+        assert set(p) <= {0.0, 1.0} and abs(p @ x - p0 * x.sum()) <= 0.01 * p0 * x.sum()
+        taken += p / 300
+    # at 0.2 the document is longer than its source's target, so it is never taken
+    assert abs(taken[-1] - (0 if p0 == 0.2 else p0)) < 0.12 and abs(taken.mean() - p0) < 0.1, taken
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.05, 0.95), st.integers(0, 50)), min_size=4, max_size=30), st.integers(0, 1 << 30))
+def test_settling_keeps_words(units, seed):
+    p, x = np.array([u[0] for u in units]), np.array([float(u[1]) for u in units])
+    q = mixing.settle(p, x, np.random.default_rng(seed).random(len(p)), np.array([0, 1]))
+    assert (q >= 0).all() and (q <= 1).all() and abs((q * x).sum() - (p * x).sum()) < 1e-5
 
 
 def test_mixing_of_alike_rows(spark, monkeypatch):
@@ -576,28 +609,45 @@ def test_chat_recovers_marked_turns(spark):
     assert model.decode([]) == []
 
 
-def test_chat_finds_unmarked_turns_of_held_out_transcripts(spark):
+@pytest.mark.parametrize("blanks", [True, False])
+def test_chat_finds_unmarked_turns_of_held_out_transcripts(spark, blanks):
+    """The texts are made of random words, so lengths and who speaks next are all that tells unmarked turns; marked ones are nearly all found."""
     from pyspark.sql import functions as F
 
-    lines = chat.from_turns(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    lines = chat.from_turns(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"), blanks=blanks)
     out = F.crc32(F.col("conv").cast("string").cast("binary")) % 5 == 0
     model = chat.train(lines.where(~out))
     found = chat.parse(lines.where(out), model).agg(*[F.sum(c).alias(c) for c in ("n_unmarked", "n_recalled", "n_lines", "n_right")]).first()
-    assert found["n_unmarked"] >= 5 and found["n_recalled"] >= 0.9 * found["n_unmarked"] and found["n_right"] >= 0.97 * found["n_lines"], found
+    assert found["n_unmarked"] >= 100 and found["n_recalled"] >= 0.45 * found["n_unmarked"] and found["n_right"] >= 0.9 * found["n_lines"], found
     for n in (10, 50, 1_500, 5_000):  # a marked turn of many long lines is one turn
         text = ["User: " + "many plain words " * 8, *["Many plain words " * 8 + "."] * (n - 1), "Assistant: yes"]
         assert [(r, t.count("\n")) for r, t in chat.turns(text, model.prepare().decode(text))] == [("user", n - 1), ("assistant", 0)]
+    # quoted markers stay in their turn, misspelt ones begin one
+    text = ["User: a short line", "> Assistant: as it was said", "Asisstant: " + "many plain words " * 9, "User: thanks"]
+    assert [r for r, _ in chat.turns(text, model.decode(text))] == ["user", "assistant", "user"]
+
+
+def test_chat_uses_line_features_where_no_marker_stands(spark):
+    """Speakers that differ by questions and by whom they address are told apart without any marker."""
+    rng = random.Random(9)
+    ask = lambda: " ".join(rng.choices("can you tell me how this goes please".split(), k=6)) + "?"
+    answer = lambda: "\n".join(f"I {' '.join(rng.choices('said that one works well here today'.split(), k=14))}." for _ in range(3))
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", ask() if t % 2 == 0 else answer()) for c in range(300) for t in range(6)]
+    lines = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), blanks=False)
+    model = chat.train(lines.where("conv < 200"))
+    found = chat.parse(lines.where("conv >= 200"), model).agg({"n_unmarked": "sum", "n_recalled": "sum"}).first()
+    assert found["sum(n_unmarked)"] > 50 and found["sum(n_recalled)"] >= 0.95 * found["sum(n_unmarked)"], found
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["", "User: a", "Assistant: b", "plain words", "What is it?", "- item", "lower case words"]), min_size=1, max_size=5), st.integers(0, 5))
+@given(st.lists(st.sampled_from(["", "User: a", "Assistant: b", "plain words", "What is it?", "- item", "> User: so", "Asistant: x y"]), min_size=1, max_size=4), st.integers(0, 5))
 def test_chat_path_is_the_best(lines, seed):
     """Viterbi against all state sequences."""
     rng = random.Random(seed)
     model = chat.Model()
     for _ in range(6):
         n = rng.randint(2, 9)
-        model.learn(chat.counted([rng.randrange(6) for _ in range(n)], [rng.randrange(len(chat.SHOWN)) for _ in range(n)]))
+        model.learn(chat.counted([rng.randrange(len(chat.STATES)) for _ in range(n)], [rng.randrange(len(chat.SHOWN)) for _ in range(n)]))
     model.prepare()
     seen = list(chat.placed(map(chat.shown, lines)))
     emit = [model._emission(*x) for x in seen]
@@ -605,14 +655,15 @@ def test_chat_path_is_the_best(lines, seed):
     def value(path):
         return int(model.log_start[path[0]]) + sum(int(e[s]) for e, s in zip(emit, path)) + sum(int(model.log_move[a, b]) for a, b in zip(path, path[1:]))
 
-    assert value(model.decode(lines)) == max(value(p) for p in product(range(6), repeat=len(lines)))
+    assert value(model.decode(lines)) == max(value(p) for p in product(range(len(chat.STATES)), repeat=len(lines)))
 
 
 def test_chat_query_and_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "a"), (1, 1, None, None), (1, 1, None, None), (None, 0, "robot", "x\ny"), (2, None, "assistant", "z")]
-    got = chat.format_chats(spark.createDataFrame(rows, schema)).collect()
-    assert Counter(r["conv_id"] for r in got) == Counter([1, None, 2]) and sum(r["n_lines"] for r in got) == 6
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], f"{schema}, conv string, line int")
+    got = chat.format_chats(table).collect()
+    assert Counter(r["conv_id"] for r in got) == Counter([1, None, 2]) and sum(r["n_lines"] for r in got) == chat.from_turns(table).count() >= 6
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
     found = queries.op4_chat(spark, "/root/testdata/sf0.01").agg({"n_right": "sum", "n_lines": "sum"}).first()
     assert found["sum(n_right)"] / found["sum(n_lines)"] > 0.7
