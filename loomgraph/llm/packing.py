@@ -46,7 +46,7 @@ TIERS = (4096, 2048, 1024, 512)
 POOL, POOL_ROWS, STEP = 1 << 20, 1 << 14, 64 * 4096
 END = 2
 #: Bytes of encoded words that a Python worker remembers, about, for each of two memories.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 160 << 20
 # Fixed value: the public pre-tokeniser pattern of the vocabulary, on lower-case text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -55,8 +55,8 @@ class Ids:
     """Ids of texts as the tokenizers library gives them, as bytes of 32-bit numbers.
 
     No token crosses white space, so words are encoded once and remembered.  Words
-    of Latin letters up to U+017F, which normalise by lower case alone, go to the
-    library's merge model directly; all others go through the whole library.
+    of characters from U+0021 to U+017F, which normalise by lower case alone, go to
+    the library's merge model directly; all others go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -72,13 +72,18 @@ class Ids:
         self.words = Memo(self._word, CACHE_BYTES)
 
     def _run(self, run: str) -> bytes:
-        return array("i", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(self.shown)
+        return array("i", [t.id for t in self.model.tokenize(run)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._run(word.decode().lower())
         text = word.decode()
-        if max(text) < "ƀ" and not any(a in word for a in self.added):
-            return b"".join(map(self.runs.__getitem__, self.pre.findall(text.lower())))
-        return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if max(text) >= "ƀ" or min(text) < "!" or any(a in word for a in self.added):
+            return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        return self._run(text) if text.isalpha() else b"".join(map(self.runs.__getitem__, self.pre.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
