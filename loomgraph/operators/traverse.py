@@ -9,27 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_test
 from ..model import CodeGraph
 from ..session import step_folder, written
+from .components import peeled
 
 
-def layers(g: CodeGraph, most: int = 100) -> DataFrame:
+def layers(g: CodeGraph) -> DataFrame:
     """file_path, layer: files without imports are layer 0, others one above the highest that they import; files in or above cycles share one last layer."""
-    spark = g.edges.sparkSession
-    at = step_folder(spark)
-    edges = written(g.imports, f"{at}/edges")
-    left = written(edges.select(F.explode(F.array("source_id", "target_id")).alias("file_path")).distinct(), f"{at}/left0")
-    out: DataFrame | None = None
-    for i in range(most):
-        blocked = edges.join(left.select(F.col("file_path").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("file_path")).distinct()
-        rest = written(left.join(blocked, "file_path", "left_semi"), f"{at}/left{i + 1}")
-        layer = left.join(rest, "file_path", "left_anti").withColumn("layer", F.lit(i))
-        done = layer.isEmpty()
-        if done:
-            layer = left.withColumn("layer", F.lit(i))
-        out = layer if out is None else out.unionByName(layer)
-        if done or rest.isEmpty():
-            return out
-        left = rest
-    return out.unionByName(left.withColumn("layer", F.lit(most)))
+    return peeled(g.imports).select(F.col("node").alias("file_path"), "layer")
 
 
 def cycles(g: CodeGraph, longest: int = 4) -> DataFrame:
@@ -64,16 +49,47 @@ def _spread(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def cascade(g: CodeGraph, starts: DataFrame, depth: int = 5) -> DataFrame:
-    """Files that import a start, directly or not: root, hops, files."""
+def _reached(edges: DataFrame, depth: int, most: int) -> DataFrame:
+    """root, node, hops: what each root reaches along edges (x, y) within depth steps, exactly as long as it is fewer than most nodes, and at least most else.
+
+    Each node holds what it reaches in exactly so many hops, the first by id; a
+    node's next ones are its neighbours' last ones that it hasn't seen.  So a hop
+    reads each edge once with most + 2 rows at most, whatever the hubs.  Nodes that
+    hold enough grow no more: whoever points at them has enough with what they hold.
+    """
+    at = step_folder(edges.sparkSession)
+    room = most + 2
+    edges = written(edges.where("x <> y").distinct(), f"{at}/edges")
+    first = W.partitionBy("root").orderBy("node")
+    limited = lambda rows: rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= room).drop("_r")
+    seen = front = written(limited(edges.select(F.col("x").alias("root"), F.col("y").alias("node"))).withColumn("hops", F.lit(1)), f"{at}/hop1")
+    for i in range(2, depth + 1):
+        full = seen.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") >= room).select(F.col("root").alias("x"))
+        pulled = edges.join(full, "x", "left_anti").join(front.select(F.col("root").alias("y"), "node"), "y").where("node <> x")
+        next_ = pulled.select(F.col("x").alias("root"), "node").distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        front = written(limited(next_).withColumn("hops", F.lit(i)), f"{at}/hop{i}")
+        if front.isEmpty():
+            break
+        seen = written(seen.unionByName(front), f"{at}/seen{i}")
+    return seen
+
+
+def cascade(g: CodeGraph, depth: int = 5, most: int = 200) -> DataFrame:
+    """Files that import a file, directly or not, nearest first and most of them at most: root, hops, files; of files that have importers of importers."""
     edges = g.imports.select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))
-    return _spread(starts, edges, depth).where("hops > 0").groupBy("root", "hops").agg(F.count("*").alias("files"))
+    levels = _reached(edges, depth, most).groupBy("root", "hops").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("root").orderBy("hops").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = levels.withColumn("files", F.least("n", most - before)).where("files > 0")
+    return rows.withColumn("_deep", F.max("hops").over(W.partitionBy("root"))).where("_deep > 1").select("root", "hops", "files")
 
 
-def upstream(g: CodeGraph, starts: DataFrame, depth: int = 4) -> DataFrame:
-    """Callers outside tests within depth hops: root, direct, reach."""
+def upstream(g: CodeGraph, depth: int = 4, most: int = 200) -> DataFrame:
+    """Callers outside tests within depth hops: root, direct, reach (most at most), capped, and whether few direct callers (up to 8) stand for a wide reach (20 symbols and four times the direct ones)."""
     edges = g.calls.where(~is_test(F.col("source_file"))).select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))
-    return _spread(starts, edges, depth).where("hops > 0").groupBy("root").agg(F.count_if(F.col("hops") == 1).alias("direct"), F.count("*").alias("reach"))
+    direct = edges.where("x <> y").groupBy(F.col("x").alias("root")).agg(F.count("*").alias("direct"))
+    reach = _reached(edges, depth, most).groupBy("root").agg(F.least(F.count("*"), F.lit(most)).alias("reach"))
+    rows = direct.join(reach, "root").withColumn("capped", F.col("reach") >= most)
+    return rows.withColumn("shown", (F.col("direct") <= 8) & (F.col("reach") >= 20) & (F.col("reach") >= 4 * F.col("direct")))
 
 
 def inheritance_depth(g: CodeGraph, most: int = 60) -> DataFrame:
@@ -127,12 +143,69 @@ def hub_callees(g: CodeGraph, least: int = 3) -> DataFrame:
     return g.calls.where((F.col("source_file") != F.col("target_file")) & ~is_test(F.col("source_file"))).groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_file").alias("files")).where(F.col("files") >= least)
 
 
-def apex(g: CodeGraph, starts: DataFrame, depth: int = 5) -> DataFrame:
-    """The least hops up from each start to a caller that no one outside tests calls: root, hops (null beyond depth)."""
-    edges = g.calls.where(~is_test(F.col("source_file"))).select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))
-    called = edges.select(F.col("x").alias("node")).distinct()
-    tops = _spread(starts, edges, depth).join(called, "node", "left_anti").groupBy("root").agg(F.min("hops").alias("hops"))
-    return starts.join(tops, "root", "left")
+def apex(g: CodeGraph, depth: int = 5, fan: int = 8) -> DataFrame:
+    """The nearest caller up the chain that nothing outside tests calls, for functions and methods: root, hops, apex, path (ids from root to it) and line.
+
+    A symbol that nothing calls is its own entry; one that only tests call has no
+    row; where none is found within depth hops, hops is null.  Of each symbol's
+    callers the first fan by id are followed; of equally near ends the first by id
+    counts, and of equal ways to it the first caller.  The ends pass their names
+    down, so each hop reads each call once, whatever the number of roots.
+    """
+    at = step_folder(g.edges.sparkSession)
+    every = g.calls.select("target_id", "source_id", is_test(F.col("source_file")).alias("_test"))
+    called = every.groupBy(F.col("target_id").alias("id")).agg(F.bool_or(~F.col("_test")).alias("_real"))
+    nodes = written(g.symbols.select("id", "name", "kind").join(called, "id", "left"), f"{at}/nodes")
+    order = W.partitionBy("target_id").orderBy("source_id")
+    edges = written(every.where(~F.col("_test")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fan).select("target_id", "source_id"), f"{at}/edges")
+    front = nodes.where(~F.coalesce("_real", F.lit(False))).select("id", F.col("id").alias("apex"), F.array("id").alias("path"), F.lit(0).alias("hops"))
+    seen = front = written(front, f"{at}/hop0")
+    for i in range(1, depth + 1):
+        told = edges.join(front.select(F.col("id").alias("source_id"), "apex", "path"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min(F.struct("apex", "source_id", "path")).alias("_b"))
+        new = told.join(seen.select("id"), "id", "left_anti").select("id", "_b.apex", F.concat(F.array("id"), "_b.path").alias("path"), F.lit(i).alias("hops"))
+        front = written(new, f"{at}/hop{i}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    # symbols that only tests call end no chain that they begin
+    roots = nodes.where(F.col("kind").isin("function", "method") & F.coalesce("_real", F.col("_real").isNull())).select(F.col("id").alias("root"), "_real")
+    rows = roots.join(seen.withColumnRenamed("id", "root"), "root", "left").join(nodes.select(F.col("id").alias("apex"), F.col("name").alias("_name")), "apex", "left")
+    said = F.when(F.col("_real").isNull(), "self [entry]").when(F.col("hops").isNull(), F.lit(f"{depth}+ hops"))
+    said = said.otherwise(F.concat("_name", F.lit(" ["), F.col("hops").cast("string"), F.when(F.col("hops") == 1, " hop]").otherwise(" hops]")))
+    return rows.select("root", "hops", "apex", "path", F.concat(F.lit("apex: "), said).alias("line"))
+
+
+def orphan_cascade(g: CodeGraph, least: int = 2) -> DataFrame:
+    """Symbols whose only-theirs callees have only-theirs callees in turn, least of them or more: root, helpers (both together), deeper, via (the first three of the callees, by name)."""
+    real = g.calls.where(~is_test(F.col("source_file")))
+    sole = real.groupBy(F.col("target_id").alias("id"), F.col("target_file")).agg(F.count("*").alias("_n"), F.min("source_id").alias("owner")).where("_n = 1")
+    kinds = g.symbols.where(F.col("kind").isin("function", "method")).select("id", "name")
+    sole = sole.join(kinds, "id").where("id <> owner")
+    inner = sole.where(~is_test(F.col("target_file"))).groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("_deeper"))
+    rows = sole.select("id", "owner", "name").join(inner, "id", "left").groupBy(F.col("owner").alias("root"))
+    made = rows.agg(F.count("*").alias("_own"), F.sum("_deeper").alias("deeper"), F.array_sort(F.collect_set(F.when(F.col("_deeper") > 0, F.col("name")))).alias("_via"))
+    return made.where(F.col("deeper") >= least).select("root", (F.col("_own") + F.col("deeper")).alias("helpers"), "deeper", F.array_join(F.slice("_via", 1, 3), ", ").alias("via"))
+
+
+def orphaned(g: CodeGraph, removed: DataFrame) -> DataFrame:
+    """id, wave: functions and methods that nothing outside tests calls any more once removed (id) are gone: wave by wave, as their last caller goes.
+
+    Each symbol has a count of callers left; a wave takes off what its own symbols called.
+    """
+    at = step_folder(g.edges.sparkSession)
+    real = written(g.calls.where(~is_test(F.col("source_file"))).where("source_id <> target_id").select("source_id", "target_id"), f"{at}/calls")
+    kinds = g.symbols.where(F.col("kind").isin("function", "method")).select("id")
+    left = written(real.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).join(kinds, "id", "left_semi"), f"{at}/left0")
+    front, i = written(removed.select("id").distinct(), f"{at}/gone0"), 0
+    out = front.withColumn("wave", F.lit(0))
+    while not front.isEmpty():
+        i += 1
+        less = real.join(front.select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("_less"))
+        counted = left.join(out.select("id"), "id", "left_anti").join(less, "id", "left").select("id", (F.col("n") - F.coalesce("_less", F.lit(0))).alias("n"))
+        left = written(counted, f"{at}/left{i}")
+        front = left.where("n = 0").select("id")
+        out = out.unionByName(front.withColumn("wave", F.lit(i)))
+    return out.where("wave > 0")
 
 
 # Neighbours that one node adds, by kind of edge, at depth 0, 1 and further.

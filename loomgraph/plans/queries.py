@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import history, lookup, resolve, scoring, search, structure, telemetry, traverse
+from ..operators import components, history, lookup, resolve, scoring, search, structure, telemetry, traverse
 from ..session import ship
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -298,19 +298,46 @@ p3 AS (SELECT list_append(p, y) AS p FROM p2 JOIN e ON p[-1] = x WHERE y > p[1]
 SELECT array_to_string(p, ' > ') AS cycle, CAST(len(p) AS INTEGER) AS length FROM (SELECT p FROM p2 UNION ALL SELECT p FROM p3 UNION ALL SELECT p FROM p4) q JOIN e ON p[-1] = x AND p[1] = y""", traverse.cycles)
 over_graph("o065_layers", None, traverse.layers)
 _STARTS = "SELECT file_path AS root FROM files"
-over_graph("o069d_cascade", None, lambda g: traverse.cascade(g, g.files.select(F.col("file_path").alias("root"))))
-ORACLE_SQL["o069d_cascade"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", reach(root, node, hops) AS (
-    SELECT root, root, 0 FROM ({_STARTS}) UNION SELECT root, i.source_id, hops + 1 FROM reach JOIN imports i ON i.target_id = node WHERE hops < 5)
-SELECT root, hops, count(*) AS files FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1, 2"""
-over_graph("o069e_upstream", None, lambda g: traverse.upstream(g, g.symbols.select(F.col("id").alias("root"))))
-ORACLE_SQL["o069e_upstream"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')}), reach(root, node, hops) AS (
-    SELECT id, id, 0 FROM symbols UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 4)
-SELECT root, count(*) FILTER (hops = 1) AS direct, count(*) AS reach FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1"""
-over_graph("o069f_apex", None, lambda g: traverse.apex(g, g.symbols.select(F.col("id").alias("root"))))
 _RECURSIVE = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1)
-ORACLE_SQL["o069f_apex"] = _RECURSIVE + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')}), reach(root, node, hops) AS (
-    SELECT id, id, 0 FROM symbols UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 5)
-SELECT id AS root, hops FROM symbols LEFT JOIN (SELECT root, min(hops) AS hops FROM reach WHERE node NOT IN (SELECT target_id FROM c) GROUP BY 1) ON id = root"""
+over_graph("o064_components", None, components.import_components)
+_MUTUAL = """, reach(a, b) AS (SELECT source_id, target_id FROM imports WHERE source_id <> target_id UNION SELECT a, i.target_id FROM reach JOIN imports i ON i.source_id = b WHERE i.source_id <> i.target_id),
+ends AS (SELECT source_id AS node FROM imports UNION SELECT target_id FROM imports),
+parts AS (SELECT node, least(node, coalesce(min(x.b), node)) AS component FROM ends LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) x ON x.a = node GROUP BY node)"""
+ORACLE_SQL["o064_components"] = _RECURSIVE + _MUTUAL + """
+SELECT component, count(*) AS size, string_agg(node, ' ' ORDER BY node) AS members FROM parts GROUP BY component HAVING count(*) > 1"""
+over_graph("o065_condensed_layers", None, components.condensed_layers)
+ORACLE_SQL["o065_condensed_layers"] = _RECURSIVE + _MUTUAL + """, e AS (SELECT DISTINCT x.component AS a, y.component AS b FROM imports JOIN parts x ON x.node = source_id JOIN parts y ON y.node = target_id WHERE x.component <> y.component),
+up(component, n) AS (SELECT DISTINCT component, 0 FROM parts UNION SELECT a, n + 1 FROM up JOIN e ON b = component)
+SELECT node AS file_path, component, layer FROM parts JOIN (SELECT component, max(n) AS layer FROM up GROUP BY 1) USING (component)"""
+over_graph("o069q_longest_chain", None, components.longest_chain)
+ORACLE_SQL["o069q_longest_chain"] = _RECURSIVE + f""", e AS (SELECT source_id AS a, target_id AS b FROM imports WHERE source_id <> target_id AND source_id IN (SELECT file_path FROM files) AND target_id IN (SELECT file_path FROM files)
+    AND NOT {is_test('source_id')} AND NOT {is_test('target_id')}),
+walk(p) AS (SELECT [a, b] FROM e UNION SELECT list_append(p, b) FROM walk JOIN e ON a = p[-1] WHERE len(p) < 12 AND NOT list_contains(p, b))
+SELECT array_to_string(min(p), ' > ') AS chain, CAST(len(p) AS INTEGER) AS length FROM walk WHERE len(p) = (SELECT max(len(p)) FROM walk) AND len(p) >= 5 GROUP BY len(p)"""
+over_graph("o069d_cascade", None, traverse.cascade)
+ORACLE_SQL["o069d_cascade"] = _RECURSIVE + f""", reach(root, node, hops) AS (
+    SELECT root, root, 0 FROM ({_STARTS}) UNION SELECT root, i.source_id, hops + 1 FROM reach JOIN imports i ON i.target_id = node WHERE hops < 5),
+levels AS (SELECT root, hops, count(*) AS n FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1, 2)
+SELECT root, hops, files FROM (SELECT root, hops, least(n, 200 - before) AS files, max(hops) FILTER (before < 200) OVER (PARTITION BY root) AS deep FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY root ORDER BY hops ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM levels)) WHERE files > 0 AND deep > 1"""
+over_graph("o069e_upstream", None, traverse.upstream)
+ORACLE_SQL["o069e_upstream"] = _RECURSIVE + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')} AND source_id <> target_id), reach(root, node, hops) AS (
+    SELECT id, id, 0 FROM symbols UNION SELECT root, c.source_id, hops + 1 FROM reach JOIN c ON c.target_id = node WHERE hops < 4)
+SELECT *, direct <= 8 AND reach >= 20 AND reach >= 4 * direct AS shown FROM (SELECT root, count(*) FILTER (hops = 1) AS direct, least(count(*), 200) AS reach, count(*) >= 200 AS capped
+    FROM (SELECT root, node, min(hops) AS hops FROM reach GROUP BY 1, 2) WHERE hops > 0 GROUP BY 1)"""
+over_graph("o069f_apex", None, lambda g: traverse.apex(g).drop("path"))
+ORACLE_SQL["o069f_apex"] = _RECURSIVE + f""", c AS (SELECT source_id, target_id FROM calls WHERE NOT {is_test('source_file')}),
+few AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY source_id) <= 8), reach(root, node, hops) AS (
+    SELECT id, id, 0 FROM symbols UNION SELECT root, few.source_id, hops + 1 FROM reach JOIN few ON few.target_id = node WHERE hops < 5),
+tops AS (SELECT root, min(node) AS apex, hops FROM (SELECT * FROM reach WHERE node NOT IN (SELECT target_id FROM c) QUALIFY hops = min(hops) OVER (PARTITION BY root)) GROUP BY root, hops),
+real AS (SELECT id, id IN (SELECT target_id FROM c) AS really, id IN (SELECT target_id FROM calls) AS called FROM symbols WHERE kind IN ('function', 'method'))
+SELECT r.id AS root, hops, apex, 'apex: ' || CASE WHEN NOT called THEN 'self [entry]' WHEN hops IS NULL THEN '5+ hops' ELSE a.name || ' [' || hops || CASE WHEN hops = 1 THEN ' hop]' ELSE ' hops]' END END AS line
+FROM real r LEFT JOIN tops ON root = r.id LEFT JOIN symbols a ON a.id = apex WHERE really OR NOT called"""
+over_graph("o069l_orphan_cascade", f"""
+, sole AS (SELECT c.target_id AS id, s.name, c.target_file, min(source_id) AS owner FROM calls c JOIN symbols s ON s.id = c.target_id WHERE s.kind IN ('function', 'method') AND NOT {is_test('source_file')} GROUP BY 1, 2, 3 HAVING count(*) = 1),
+own AS (SELECT * FROM sole WHERE id <> owner), inner_ AS (SELECT owner AS id, count(*) AS n FROM own WHERE NOT {is_test('target_file')} GROUP BY 1)
+SELECT owner AS root, CAST(count(*) + sum(n) AS BIGINT) AS helpers, CAST(sum(n) AS BIGINT) AS deeper, array_to_string(list_sort(list(DISTINCT name) FILTER (n > 0))[1:3], ', ') AS via
+FROM own LEFT JOIN inner_ USING (id) GROUP BY owner HAVING sum(n) >= 2""", traverse.orphan_cascade)
 ORACLE_SQL["o065_layers"] = _RECURSIVE + """, chain(file_path, n) AS (
     SELECT file_path, 0 FROM (SELECT source_id AS file_path FROM imports UNION SELECT target_id FROM imports) UNION SELECT source_id, n + 1 FROM chain JOIN imports ON target_id = file_path WHERE n < 200),
 far AS (SELECT file_path, max(n) AS n FROM chain GROUP BY 1)
