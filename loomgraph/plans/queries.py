@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -610,3 +610,40 @@ over_graph("o104_coverage", """
 SELECT resolved, total, round(resolved / total, 6) AS share, (SELECT count(*) FROM files) AS files, CASE WHEN resolved / total > 0.75 THEN 'high' WHEN resolved / total >= 0.4 THEN 'medium' ELSE 'low' END AS confidence
 FROM (SELECT count(*) FILTER (w IN (SELECT lower(name) FROM symbols)) AS resolved, count(*) AS total FROM (SELECT unnest(['nothing', (SELECT lower(name) FROM symbols WHERE seq = 30), (SELECT lower(name) FROM symbols WHERE seq = 31)]) AS w))""",
     lambda g: advice.coverage(g, ["Nothing", _symbol_name(g, 30), _symbol_name(g, 31)], g.files))
+
+# --- a store that lasts ----------------------------------------------------------------------------------------------
+from ..session import step_folder  # noqa: E402
+from ..streaming.store import Store, with_files  # noqa: E402
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of files in a store, each document a file with one symbol that refers to the next one: in the second, French files change and German ones go.  What counts then, by file."""
+    at = Window.partitionBy("source").orderBy("doc_id")
+    path = lambda c: F.concat("source", F.lit("/"), c.cast("string"), F.lit(".txt"))
+    docs = table(spark, sf_dir, "documents").select("lang", "text", path(F.col("doc_id")).alias("path"), path(F.lead("doc_id").over(at)).alias("next"))
+    store = Store(spark, step_folder(spark), {
+        "files": "path string, hash string", "symbols": "id string, file_path string",
+        "edges": "kind string, source_id string, target_id string, line int, source_file string, target_file string",
+    })
+
+    def relations(rows: DataFrame, name: str, text: Column, refers: bool) -> dict[str, DataFrame]:
+        known = rows.where("next is not null")
+        edges = known.select(F.lit("imports").alias("kind"), F.col("path").alias("source_id"), F.col("next").alias("target_id"), F.lit(0).alias("line"))
+        if refers:
+            edges = edges.unionByName(known.select(F.lit("references").alias("kind"), F.concat("path", F.lit("::body")).alias("source_id"), F.concat("next", F.lit("::body")).alias("target_id"), F.lit(1).alias("line")))
+        symbols = rows.select(F.concat("path", F.lit(f"::{name}")).alias("id"), F.col("path").alias("file_path"))
+        return {"files": rows.select("path", F.md5(text).alias("hash")), "symbols": symbols, "edges": with_files(edges)}
+
+    store.apply(0, docs, **relations(docs, "body", F.col("text"), True))
+    store.apply(1, docs.where("lang in ('fr', 'de')"), **relations(docs.where("lang = 'fr'"), "changed", F.upper("text"), False))
+    names = store.read("symbols").groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("symbol"))
+    edges = store.read("edges").groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "references").alias("refers"))
+    return store.read("files").join(names, "path", "left").join(edges, "path", "left").na.fill(0, ["edges", "refers"])
+
+
+QUERIES["o131_store"] = stored_documents
+ORACLE_SQL["o131_store"] = """
+WITH d AS (SELECT *, source || '/' || doc_id || '.txt' AS path, lead(doc_id) OVER w AS next_id, lead(lang) OVER w AS next_lang FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT path, CASE WHEN lang = 'fr' THEN md5(upper(text)) ELSE md5(text) END AS hash, path || CASE WHEN lang = 'fr' THEN '::changed' ELSE '::body' END AS symbol,
+    CAST((next_id IS NOT NULL)::INT + refers AS BIGINT) AS edges, refers
+FROM (SELECT *, CAST(next_id IS NOT NULL AND lang <> 'fr' AND next_lang NOT IN ('fr', 'de') AS BIGINT) AS refers FROM d) WHERE lang <> 'de'"""
