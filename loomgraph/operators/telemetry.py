@@ -40,15 +40,21 @@ def sessions(usage: DataFrame, by: str | None = None) -> DataFrame:
     return out.withColumn("session", number.cast("long")).drop("day", "_start", "_base")
 
 
-def session_summary(usage: DataFrame) -> DataFrame:
-    """Events, modes in order of first use, tokens, failures, success and a hash of each session."""
-    rows = sessions(usage).groupBy("session").agg(
-        F.count("*").alias("events"), F.min("ts").alias("_start"), F.max("ts").alias("_end"), F.sum("tokens").alias("tokens"), F.count_if("empty").alias("empties"),
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "mode"))).alias("_e"),
-    )
-    modes = F.array_join(F.array_distinct(F.transform("_e", lambda x: x["mode"])), ",")
+def session_summary(usage: DataFrame, most: int = 30) -> DataFrame:
+    """Events, modes in order of first use, tokens, failures, success and a hash of each session; sessions of more than most events have no hash.
+
+    Modes come from their first uses, and times are gathered for short sessions only.
+    """
+    rows = sessions(usage)
+    sizes = rows.groupBy("session").agg(F.count("*").alias("events"), F.sum("tokens").alias("tokens"), F.count_if("empty").alias("empties"))
+    first = rows.groupBy("session", "mode").agg(F.min(F.struct("ts", "event_id")).alias("_at")).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("_at", "mode"))).alias("_m"))
+    short = rows.join(sizes.where(F.col("events") <= most).select("session"), "session", "left_semi")
+    times = short.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("_e"))
     stamp = F.array_join(F.transform("_e", lambda x: F.unix_micros(x["ts"]).cast("string")), "|")
-    return rows.select("session", "events", "tokens", "empties", modes.alias("modes"), (F.col("empties") < 0.5 * F.col("events")).alias("success"), F.substring(F.md5(stamp.cast("binary")), 1, 8).alias("hash"))
+    modes = F.array_join(F.transform("_m", lambda x: x["mode"]), ",")
+    return sizes.join(first, "session").join(times, "session", "left").select(
+        "session", "events", "tokens", "empties", modes.alias("modes"), (F.col("empties") < 0.5 * F.col("events")).alias("success"), F.substring(F.md5(stamp.cast("binary")), 1, 8).alias("hash")
+    )
 
 
 def _ordered(usage: DataFrame, steps: int) -> DataFrame:

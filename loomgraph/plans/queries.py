@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import components, history, lookup, resolve, scoring, search, structure, telemetry, traverse
+from ..operators import components, history, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -364,8 +364,30 @@ over_usage("o110_sessions", "SELECT event_id, session FROM sessions", lambda u:
 over_usage("o111_session_summary", """
 , f AS (SELECT session, string_agg(mode, ',' ORDER BY t, e) AS modes FROM (SELECT session, mode, min(ts) AS t, min(event_id) AS e FROM sessions GROUP BY 1, 2) GROUP BY 1)
 SELECT s.session, count(*) AS events, sum(tokens) AS tokens, count(*) FILTER (empty) AS empties, any_value(modes) AS modes, count(*) FILTER (empty) < 0.5 * count(*) AS success,
-    substr(md5(string_agg(CAST(epoch_us(ts) AS VARCHAR), '|' ORDER BY ts, event_id)), 1, 8) AS hash
+    CASE WHEN count(*) <= 30 THEN substr(md5(string_agg(CAST(epoch_us(ts) AS VARCHAR), '|' ORDER BY ts, event_id)), 1, 8) END AS hash
 FROM sessions s JOIN f ON s.session = f.session GROUP BY s.session""", telemetry.session_summary)
+# A mode for each kind of event, so that sessions have tasks.
+MODES = {"view": "overview", "signup": "symbols", "click": "focus", "error": "dead", "purchase": "stats"}
+
+
+def _session_tasks(u: DataFrame) -> DataFrame:
+    """Users share five logs, so that these have sessions of several events; feedback is what purchases and errors say."""
+    u = u.withColumn("repo", F.expr("repo % 5"))
+    return tasks.session_tasks(u.withColumn("mode", F.create_map(*[F.lit(x) for pair in MODES.items() for x in pair])[F.col("mode")]), telemetry.feedback(u)).drop("session")
+
+
+over_usage("o111_session_tasks", """
+, m AS (SELECT * REPLACE (repo % 5 AS repo), CASE mode WHEN 'view' THEN 'overview' WHEN 'signup' THEN 'symbols' WHEN 'click' THEN 'focus' WHEN 'error' THEN 'dead' ELSE 'stats' END AS how,
+    CASE mode WHEN 'view' THEN 'orientation' WHEN 'signup' THEN 'code_navigation' WHEN 'click' THEN 'code_navigation' WHEN 'error' THEN 'cleanup' END AS task FROM usage),
+o AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY repo ORDER BY ts, event_id) <= 1200000000 THEN 0 ELSE 1 END AS opens_ FROM m),
+s AS (SELECT *, sum(opens_) OVER (PARTITION BY repo ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o),
+g AS (SELECT repo, session, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, count(*) AS events, sum(tokens) AS tokens, count(*) FILTER (empty) AS empties,
+    substr(md5(string_agg(CAST(epoch_us(ts) AS VARCHAR), '|' ORDER BY ts, event_id)), 1, 8) AS session_hash FROM s GROUP BY 1, 2 HAVING count(*) <= 30),
+c AS (SELECT repo, session, string_agg(how, ',' ORDER BY t, e) AS context_modes FROM (SELECT repo, session, how, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS e FROM s WHERE how <> 'stats' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+k AS (SELECT repo, session, arg_min(task, (-n, t, e)) AS task_type FROM (SELECT repo, session, task, count(*) AS n, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS e FROM s WHERE task IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b AS (SELECT g.repo, g.session, bool_or(u.mode = 'purchase') AS helpful FROM g JOIN usage u ON u.repo % 5 = g.repo AND u.mode IN ('purchase', 'error') AND abs(epoch_us(u.ts) - g.end_us) <= 3600000000 GROUP BY 1, 2)
+SELECT g.repo, start_us, end_us, events, tokens, empties, context_modes, task_type, coalesce(helpful, empties < 0.5 * events) AS success, session_hash
+FROM g JOIN c USING (repo, session) LEFT JOIN k USING (repo, session) LEFT JOIN b USING (repo, session)""", _session_tasks)
 over_usage("o112_markov1", "SELECT * FROM markov1", telemetry.markov1)
 over_usage("o113_markov2", "SELECT * FROM markov2", telemetry.markov2)
 over_usage("o114_predict", """
