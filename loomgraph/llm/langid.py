@@ -2,6 +2,9 @@
 
 A bounded sample of labelled rows gives each language the shares of scripts
 among its letters and the probabilities of character trigrams within words.
+Trigrams are hashed to the cells of a table of a fixed size, CELLS numbers for all
+languages together, so that none is dropped, and neither the driver nor what is
+broadcast grows with the texts; trigrams that share a cell share its probability.
 The script of a word narrows its candidates to languages that use it; each
 candidate scores the word by its trigrams.  Viterbi over the words, with PENALTY
 for each switch, labels spans.  The language with most letters wins.
@@ -30,13 +33,14 @@ from .common import cut, ensure_importable, held_out, rows_operator, shared_dir
 
 #: Labelled rows of each language, and of all languages together, that training takes, about.
 ROWS_PER_LANGUAGE, MAX_ROWS = 2_000, 200_000
+#: Numbers of the trigram table, and cells of a language at most (powers of two).
+CELLS, CELLS_PER_LANGUAGE = 1 << 24, 1 << 20
 #: Nats that a switch of language costs, the most that a word can say against a candidate, and what bars a language that isn't one.
 PENALTY, CLIP, BARRED = 12.0, 8.0, 1e6
 #: Bytes of words' scores that a worker remembers, about, and languages whose numbers of rows are broadcast at most.
 CACHE_BYTES, BROADCAST = 64 << 20, 10_000
 #: Least share of a language's letters that a script needs to count as used.
 USED = 0.01
-_WORD = regex.compile(r"\p{L}+")
 _OTHER = regex.compile(r"[^\p{L}\n]")
 
 # First code points of Unicode ranges, and their scripts.
@@ -58,17 +62,29 @@ def script(letter: str) -> str:
     return RANGES[i][1] if i >= 0 else "Other"
 
 
-def grams(word: str) -> list[str]:
-    """Trigrams of a word with its ends marked by spaces."""
-    w = f" {word} "
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+def letters_of(text: str) -> np.ndarray:
+    """The code points of a text in lower case, a space for whatever isn't a letter, but for line ends, and a line end before and behind."""
+    return np.frombuffer(f"\n{_OTHER.sub(' ', text.lower())}\n".encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def cells_of(a: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
+    """The cells of the trigrams whose middles are the letters at; neighbours are letters of the word or a space."""
+    b = np.where(a == 10, 32, a)
+    code = (b[at - 1] << 42 | b[at] << 21 | b[at + 1]).astype(np.uint64)
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (code >> np.uint64(65 - cells.bit_length())).astype(np.int64) if cells > 1 else np.zeros(len(code), np.int64)
+
+
+def cells_for(languages: int) -> int:
+    """Cells of each of so many languages: a power of two."""
+    return min(CELLS_PER_LANGUAGE, 1 << max(1, (CELLS // max(1, languages)).bit_length() - 1))
 
 
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
-    table: dict[str, np.ndarray] = field(default_factory=dict)
-    unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Log probabilities: a row for each cell, a column for each language.
+    table: np.ndarray = field(default_factory=lambda: np.zeros((2, 0), np.float32))
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -80,15 +96,10 @@ class Model:
         self.letters = np.zeros(1 << 12)
         self.used = self.held = 0
         self.index = {}
-        # trigrams as sorted numbers, their rows (and one more for unseen ones), and scripts that not all languages use
-        code = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in self.table], np.int64)
-        order = np.argsort(code)
-        self.codes = code[order]
-        self.matrix = np.concatenate([np.array([*self.table.values()], float).reshape(len(self.table), n)[order], np.reshape(self.unseen, (1, -1)) if n else np.zeros((1, 0))])
         self.partial = {k for k, used in self.scripts.items() if not used.all()}
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("languages", "table", "unseen", "scripts")}
+        return {k: self.__dict__[k] for k in ("languages", "table", "scripts")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -100,18 +111,14 @@ class Model:
         Each letter is the middle of one trigram, whose neighbours are letters of its word or a space.
         """
         n, m = len(raw), len(self.languages)
-        text = _OTHER.sub(" ", b"\n".join(raw).decode("utf-8", "replace").lower())
-        a = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32).astype(np.int64)
+        a = letters_of(b"\n".join(raw).decode("utf-8", "replace"))
         at = np.flatnonzero((a != 32) & (a != 10))
         token = (np.cumsum(a == 10) - 1)[at]
-        b = np.where(a == 10, 32, a)
-        code = b[at - 1] << 42 | b[at] << 21 | b[at + 1]
-        row = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        row = np.where(self.codes[row] == code, row, len(self.codes)) if len(self.codes) else np.zeros(len(code), np.int64)
-        total = np.stack([np.bincount(token, self.matrix[row, j], n) for j in range(m)], axis=1)
+        cell = cells_of(a, at, len(self.table))
+        total = np.stack([np.bincount(token, self.table[cell, j], n) for j in range(m)], axis=1)
         barred = np.zeros((n, m), bool)
         if self.partial:
-            kind = np.searchsorted(_STARTS, b[at], side="right") - 1
+            kind = np.searchsorted(_STARTS, a[at], side="right") - 1
             for i in np.unique(kind).tolist():
                 if (name := RANGES[i][1]) in self.partial:
                     barred[np.ix_(np.unique(token[kind == i]), ~self.scripts[name])] = True
@@ -202,48 +209,49 @@ class Model:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, most: int = MAX_ROWS) -> Model:
-    """Count trigrams and scripts in about rows documents of each language (all of rare ones), by hash of their ids, outside the held-out fifth; most bounds all languages together."""
+    """Count trigrams and scripts in about rows documents of each language (all of rare ones), outside the held-out fifth; most bounds all languages together.
+
+    Rows are drawn one by one, by a hash of id, text and their number, so null ids and repeated rows are drawn like others.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(key).alias("_id"))
     at = shared_dir(docs.sparkSession)
     sizes = cut(known.groupBy("_lang").agg(F.count("*").alias("_n")), f"{at}/sizes")
-    number = sizes.count()
-    if not number:
+    languages = [r[0] for r in sizes.select("_lang").orderBy("_lang").limit(most).collect()]
+    if not languages:
         return Model()
-    unit = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(sizes) if number <= BROADCAST else sizes, "_lang").where(unit * F.col("_n") < F.lit(min(rows, most / number)))
+    cells = cells_for(len(languages))
+    unit = F.pmod(F.xxhash64("_id", F.xxhash64("_text"), F.monotonically_increasing_id(), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.withColumn("_unit", unit)
+    sample = drawn.join(F.broadcast(sizes) if len(languages) <= BROADCAST else sizes, "_lang").where(F.col("_unit") * F.col("_n") < F.lit(min(rows, most / len(languages))))
 
     def count(langs, texts):
-        seen: dict[str, Counter] = defaultdict(Counter)
-        for lang_, t in zip(langs, texts):
-            words = Counter(_WORD.findall(t.lower()))
-            c = seen[lang_]
-            for w, n in words.items():
-                for g in grams(w):
-                    c["g" + g] += n
-                c["s" + script(w[0])] += n * len(w)
-        for lang_, c in seen.items():
-            for g, n in c.items():
-                yield lang_, g[0], g[1:], n
-
-    parts = rows_operator(sample, ["_lang", "_text"], count, "lang string, kind string, what string, n long")
-    local = cut(parts.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), f"{at}/counts").toPandas()
-    languages = sorted(local["lang"].unique())
-    at = {name: i for i, name in enumerate(languages)}
-    of = local[local["kind"] == "g"]
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for name, g, n in zip(of["lang"], of["what"], of["n"]):
-        counts[g][at[name]] = n
-    totals = sum(counts.values(), np.zeros(len(languages)))
+        by: dict[str, list[str]] = defaultdict(list)
+        for name, t in zip(langs, texts):
+            by[name].append(t)
+        for name, own in by.items():
+            a = letters_of("\n".join(own))
+            middle = np.flatnonzero((a != 32) & (a != 10))
+            kinds = Counter({RANGES[i][1] if i >= 0 else "Other": n for i, n in zip(*(x.tolist() for x in np.unique(np.searchsorted(_STARTS, a[middle], side="right") - 1, return_counts=True)))})
+            yield from ((name, k, -1, n) for k, n in kinds.items())
+            found, n = np.unique(cells_of(a, middle, cells), return_counts=True)
+            yield from ((name, None, c, k) for c, k in zip(found.tolist(), n.tolist()))
+
+    parts = rows_operator(sample, ["_lang", "_text"], count, "lang string, script string, cell int, n long")
+    counts = cut(parts.groupBy("lang", "script", "cell").agg(F.sum("n").alias("n")), f"{at}/counts")
+    # one number for each cell and language at most
+    local = counts.where("script is null").select("lang", "cell", "n").toPandas()
+    column = {name: i for i, name in enumerate(languages)}
+    table = np.zeros((cells, len(languages)), np.float32)
+    table[local["cell"].to_numpy(np.int64), local["lang"].map(column).to_numpy(np.int64)] = local["n"].to_numpy(np.float32)
     floor = 0.5
-    size = len(counts) + 1
-    norm = np.log(totals + floor * size)
-    logs = {g: (np.log(c + floor) - norm).astype(np.float32) for g, c in counts.items()}
-    letters = local[local["kind"] == "s"]
+    used = int((table.sum(axis=1) > 0).sum()) + 1
+    norm = np.log(table.sum(axis=0, dtype=np.float64) + floor * used)
+    table = np.log(table + np.float32(floor)) - norm.astype(np.float32)
     scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for name, s, n in zip(letters["lang"], letters["what"], letters["n"]):
-        scripts[s][at[name]] = n
+    for r in counts.where("script is not null").collect():
+        scripts[r["script"]][column[r["lang"]]] = r["n"]
     whole = np.maximum(sum(scripts.values(), np.zeros(len(languages))), 1)
-    return Model(languages, logs, np.log(floor) - norm, {s: used for s, c in scripts.items() if (used := c / whole >= USED).any()})
+    return Model(languages, table, {s: some for s, c in scripts.items() if (some := c / whole >= USED).any()})
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

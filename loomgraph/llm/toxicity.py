@@ -163,11 +163,19 @@ def chain_odds(counts: dict[str, tuple[int, int]], rows: tuple[int, int]) -> dic
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
-    """At most rows labelled documents outside the held-out fifth: _label, _fold, _text.  Only these rows of labels are broadcast."""
+    """About rows labelled documents at most, outside the held-out fifth: _label, _fold, _text.
+
+    At most rows ids of labels are taken and broadcast.  Where ids repeat among the
+    documents, so that they bring more rows, these are drawn one by one, by a hash
+    of id, text and their number.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    some = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))
     fold = (F.crc32(F.col("_id").cast("string").cast("binary")) % 5).cast("int")
-    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(some), F.col("_k") == F.col("_id")).select("_label", fold.alias("_fold"), "_text")
+    found = docs.select(F.col(key).alias("_k")).join(some, F.col("_k") == F.col("_id")).count()
+    unit = F.pmod(F.xxhash64("_k", F.xxhash64("_text"), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    drawn = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).withColumn("_unit", unit)
+    return drawn.join(some, F.col("_k") == F.col("_id")).where(F.col("_unit") * found < rows).select("_label", fold.alias("_fold"), "_text")
 
 
 def count_features(rows: DataFrame) -> DataFrame:

@@ -408,6 +408,28 @@ def test_langid_accuracy_and_spans(spark):
     assert model.label("123 !!")[0] == "und" and model.label(None)[0] == "und" and model.label("½ ² ① Ⅳ")[0] == "und"
 
 
+def test_samples_of_repeated_ids_are_bounded(spark):
+    """One id with thousands of rows, and null ids, bring about as many rows as the bounds say."""
+    docs = spark.range(6_000).selectExpr("cast(if(id < 5000, 3, if(id < 5500, null, id)) as long) doc_id", "concat('the cat and dog ', id) text", "'en' lang")
+    labels = spark.createDataFrame([(3, 1), (5_501, 0), (5_502, 0), (5_503, 1)], "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 500).count()
+    assert 350 < found < 650
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20_000).count() > 5_000
+    model = langid.train(docs, rows=300)
+    counted = np.exp(-model.table.min()) * 0.5  # letters and half a letter for each used cell
+    assert 300 * 9 < counted < 500 * 30
+    assert langid.train(docs.where("doc_id is null"), rows=100).languages == ["en"]
+
+
+def test_langid_table_has_a_fixed_size(monkeypatch):
+    for n in (1, 4, 16, 17, 200, 100_000):
+        cells = langid.cells_for(n)
+        assert cells & (cells - 1) == 0 and 2 <= cells <= langid.CELLS_PER_LANGUAGE and (cells == 2 or cells * n <= langid.CELLS)
+        a = langid.letters_of("Einige Wörter, и слова")
+        found = langid.cells_of(a, np.flatnonzero((a != 32) & (a != 10)), cells)
+        assert ((0 <= found) & (found < cells)).all()
+
+
 def test_langid_bars_languages_that_lack_a_script(spark):
     rows = [(i, t, lang) for i in range(200) for t, lang in (("the cat and the dog", "en"), ("кот и собака", "ru"), ("le chat et le chien", "fr"))]
     model = langid.train(spark.createDataFrame([(3 * i + k, t, lang) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
@@ -420,7 +442,7 @@ def test_langid_bars_languages_that_lack_a_script(spark):
 @given(st.lists(st.tuples(*[st.floats(-8, 0)] * 3), min_size=1, max_size=12))
 def test_langid_path_is_the_best(rows):
     scores = np.array(rows)
-    model = langid.Model(["a", "b", "c"], {}, np.zeros(3))
+    model = langid.Model(["a", "b", "c"], np.zeros((2, 3), np.float32))
     value = lambda p: sum(scores[i, k] for i, k in enumerate(p)) - langid.PENALTY * sum(a != b for a, b in zip(p, p[1:]))
     v = list(scores[0])
     for s in scores[1:]:
