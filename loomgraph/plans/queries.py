@@ -422,6 +422,28 @@ SELECT DISTINCT source_id, id AS target_id, line FROM r WHERE k = 1""")(
     ).select("source_id", "target_id", "line").distinct())(graph(s, d))
 )
 
+_MEMBERS = GRAPH + """
+, m AS (SELECT CASE WHEN parent_id IS NOT NULL THEN parent_id || '.' || short ELSE id END AS id, short AS name, CASE WHEN parent_id IS NOT NULL THEN split_part(parent_id, '::', 2) || '.' || short ELSE split_part(id, '::', 2) END AS qn,
+    kind, file_path AS f, exported, parent_id, lead(short) OVER (PARTITION BY module, parent_id IS NULL ORDER BY seq) AS next FROM (SELECT *, regexp_replace(name, '_[0-9]+$', '') AS short FROM symbols)),
+lk AS (SELECT DISTINCT name AS n, id, f, exported FROM m UNION SELECT qn, id, f, exported FROM m WHERE qn <> name),
+w AS (SELECT DISTINCT id AS source_id, f, parent_id AS cls, split_part(parent_id, '::', 2) AS c, next AS b FROM m WHERE parent_id IS NOT NULL AND next IS NOT NULL),
+inh AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'inherits'),
+kin AS (SELECT source_id AS cls, target_id AS kin, 3 AS v FROM inh UNION SELECT target_id, source_id, 4 FROM inh UNION SELECT a.target_id, b.target_id, 5 FROM inh a JOIN inh b ON a.source_id = b.source_id AND a.target_id <> b.target_id UNION SELECT cls, cls, 1 FROM w),
+imported AS (SELECT DISTINCT source_id AS f, target_id AS g FROM imports)
+"""
+_BEST = """
+SELECT source_id, target AS target_id, coalesce(arg_min(id, (v, kin, how, pref, id)) FILTER (id IS NOT NULL), target) AS id FROM (
+    SELECT x.*, CASE WHEN l.f = x.f THEN 0 WHEN i.g IS NOT NULL THEN 3 WHEN l.exported THEN 4 ELSE 5 END AS pref FROM found x LEFT JOIN lk l ON l.id = x.id AND l.n = x.n LEFT JOIN imported i ON i.f = x.f AND i.g = l.f) GROUP BY source_id, target"""
+query("o042_self_calls", _MEMBERS + """
+, found AS (SELECT source_id, w.f, 'self.' || b AS target, v, kin, 0 AS how, id, qn AS n FROM w JOIN kin USING (cls) JOIN m ON m.id = kin || '.' || b
+    UNION ALL SELECT source_id, w.f, 'self.' || b, CASE v WHEN 1 THEN 2 ELSE v END, kin, 1, id, n FROM w JOIN kin USING (cls) JOIN lk ON n = split_part(kin, '::', 2) || '.' || b
+    UNION ALL SELECT source_id, w.f, 'self.' || b, 6, '', 0, id, n FROM w JOIN lk ON n = b AND lk.f = w.f
+    UNION ALL SELECT source_id, f, 'self.' || b, 9, '', 0, NULL, NULL FROM w)""" + _BEST)(lambda s, d: resolve.resolved_members(graph(s, d), True))
+query("o043_type_methods", _MEMBERS + """
+, found AS (SELECT source_id, w.f, c || '.' || b AS target, 0 AS v, '' AS kin, 0 AS how, id, n FROM w JOIN lk ON n = c || '.' || b
+    UNION ALL SELECT source_id, w.f, c || '.' || b, 7, '', 0, id, n FROM w JOIN lk ON n = b WHERE c IN (SELECT n FROM lk JOIN m USING (id) WHERE kind = 'class')
+    UNION ALL SELECT source_id, f, c || '.' || b, 9, '', 0, NULL, NULL FROM w)""" + _BEST)(lambda s, d: resolve.resolved_members(graph(s, d), False))
+
 # --- rules -----------------------------------------------------------------------------------------------------------
 from ..rules.catalogue import RULES  # noqa: E402
 from ..rules.evaluate import fired, subject  # noqa: E402
