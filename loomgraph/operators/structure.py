@@ -144,19 +144,42 @@ def noisy_modules(g: CodeGraph) -> DataFrame:
     return rows.select("module", "files", "edges", noisy.alias("noisy"))
 
 
+# Folders that a quality score leaves out, and the style of function names by language.
+ASIDE = ("archive/", "bench/", "node_modules/", ".git/", "dist/", "build/")
+STYLES = {"python": "snake", "typescript": "camel", "javascript": "camel"}
+
+
+def naming(g: CodeGraph) -> DataFrame:
+    """language, functions, conforming: functions of languages with a style that keep to it: snake_case in lower case, or a small first letter and a capital later."""
+    name = F.col("name")
+    snake = name.contains("_") & (name == F.lower(name))
+    camel = name.rlike(r"^\p{Ll}") & F.substring(name, 2, 1 << 20).rlike(r"\p{Lu}")
+    rows = g.symbols.where((F.col("kind") == "function") & F.col("language").isin(*STYLES))
+    return rows.groupBy("language").agg(F.count("*").alias("functions"), F.count_if(F.when(F.col("language").isin(*[x for x, s in STYLES.items() if s == "snake"]), snake).otherwise(camel)).alias("conforming"))
+
+
 def quality(g: CodeGraph) -> DataFrame:
-    """One row of scores: minimality, simplicity, independence and their mean, each truncated to 0 to 100."""
-    dead = dead_confidence(g).where("confidence >= 50").agg(F.count("*").alias("dead"))
-    own = g.symbols.agg(F.count_if("exported").alias("exported"), F.avg("complexity").alias("cx"))
+    """One row of scores of 0 to 100: minimality by dead code, simplicity by mean complexity (of symbols that have any), independence by files with more than 20 importers, convention by names, and their mean, rounded down.
+
+    Dead and exported symbols of folders put aside don't count; languages of fewer
+    than three functions have no say on names, and without any the score is 80.
+    """
+    aside = F.lit(False)
+    for folder in ASIDE:
+        aside = aside | F.col("file_path").startswith(folder)
+    dead = dead_confidence(g).where("confidence >= 50").join(g.symbols.where(~aside).select("id"), "id", "left_semi").agg(F.count("*").alias("dead"))
+    own = g.symbols.agg(F.count_if(F.col("exported") & ~aside).alias("exported"), F.avg(F.when(F.col("complexity") > 0, F.col("complexity"))).alias("cx"))
     used = g.imports.groupBy("target_id").count().agg(F.count_if(F.col("count") > 20).alias("busy"))
     files = g.files.agg(F.count("*").alias("files"))
-    clamp = lambda x: trunc(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)))
-    row = dead.join(own).join(used).join(files)  # each is one row
+    share = F.when(F.col("functions") >= 3, F.col("conforming") / F.col("functions"))
+    names = naming(g).agg(F.avg(share).alias("share"))
+    less = lambda x: F.greatest(F.lit(0), 100 - trunc(x)).cast("long")
+    row = dead.join(own).join(used).join(files).join(names)  # each is one row
     row = row.select(
-        clamp(100 - 200.0 * F.col("dead") / F.greatest("exported", F.lit(1))).alias("minimality"), clamp(100 - 3.0 * F.col("cx")).alias("simplicity"),
-        clamp(100 - 500.0 * F.col("busy") / F.greatest("files", F.lit(1))).alias("independence"),
+        less(200.0 * F.col("dead") / F.greatest("exported", F.lit(1))).alias("minimality"), less(3.0 * F.coalesce("cx", F.lit(0.0))).alias("simplicity"),
+        less(500.0 * F.col("busy") / F.greatest("files", F.lit(1))).alias("independence"), F.coalesce(F.least(F.lit(100), trunc(110.0 * F.col("share"))), F.lit(80)).cast("long").alias("convention"),
     )
-    return row.withColumn("score", trunc((F.col("minimality") + F.col("simplicity") + F.col("independence")) / 3))
+    return row.withColumn("score", F.expr("(minimality + simplicity + independence + convention) div 4"))
 
 
 def families(g: CodeGraph, n: int = 20) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import components, history, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
-from ..session import ship
+from ..operators import components, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
+from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
 from .oracle import GRAPH, USAGE, is_test, module
@@ -174,6 +174,15 @@ scored AS (SELECT doc_id, round({' + '.join(f"ln(1 + (n - d{i} + 0.5) / (d{i} +
 query("o051_bm25", _BM25 + "SELECT doc_id, score FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")(lambda s, d: search.bm25(table(s, d, "documents"), TERMS))
 
 
+@query("o051_index", _BM25 + "SELECT doc_id, score FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents, asked for the documents with any of the terms."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    made = index.Index(spark, step_folder(spark))
+    made.update(0, docs, text="text")
+    return made.match(" OR ".join(TERMS.split()), 20).select(F.col("doc").cast("long").alias("doc_id"), "score")
+
+
 def _vector(s: SparkSession, d: str) -> list[float]:
     row = table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0]) if row else [0.0]
@@ -281,11 +290,15 @@ over_graph("o089_noisy_modules", f"""
 , x AS (SELECT module, count(*) AS edges FROM (SELECT unnest([{module('source_file')}, {module('target_file')}]) AS module FROM calls WHERE {module('source_file')} <> {module('target_file')}) GROUP BY 1),
 f AS (SELECT {module('file_path')} AS module, count(*) AS files FROM files GROUP BY 1)
 SELECT f.module, files, coalesce(edges, 0) AS edges, (files >= 10 AND coalesce(edges, 0) = 0) OR (files >= 20 AND coalesce(edges, 0) < 3 AND files > 0.2 * (SELECT sum(files) FROM f)) AS noisy FROM f LEFT JOIN x ON f.module = x.module""", structure.noisy_modules)
-over_graph("o097_quality", """
-, q AS (SELECT CAST(trunc(greatest(0, least(100, 100 - 200.0 * (SELECT count(*) FROM confidence WHERE confidence >= 50) / greatest(1, (SELECT count(*) FROM symbols WHERE exported))))) AS BIGINT) AS minimality,
-    CAST(trunc(greatest(0, least(100, 100 - 3.0 * (SELECT avg(complexity) FROM symbols)))) AS BIGINT) AS simplicity,
-    CAST(trunc(greatest(0, least(100, 100 - 500.0 * (SELECT count(*) FROM (SELECT target_id FROM imports GROUP BY 1 HAVING count(*) > 20)) / greatest(1, (SELECT count(*) FROM files))))) AS BIGINT) AS independence)
-SELECT *, CAST(trunc((minimality + simplicity + independence) / 3) AS BIGINT) AS score FROM q""", structure.quality)
+_KEPT = " AND ".join(f"NOT starts_with(file_path, '{x}')" for x in structure.ASIDE)
+over_graph("o097_quality", f"""
+, gone AS (SELECT count(*) AS n FROM confidence WHERE confidence >= 50 AND {_KEPT}), exported AS (SELECT count(*) AS n FROM symbols WHERE exported AND {_KEPT}),
+cx AS (SELECT sum(complexity) / greatest(count(*), 1) AS mean FROM symbols WHERE complexity > 0), busy AS (SELECT count(*) AS n FROM (SELECT target_id FROM imports GROUP BY 1 HAVING count(*) > 20)), f AS (SELECT greatest(count(*), 1) AS n FROM files),
+names AS (SELECT language, count(*) FILTER (CASE WHEN language = 'python' THEN name LIKE '%\\_%' ESCAPE '\\' AND name = lower(name) ELSE regexp_matches(name, '^\\p{{Ll}}.*\\p{{Lu}}') END) / count(*) AS share
+    FROM symbols WHERE kind = 'function' AND language IN ('python', 'typescript', 'javascript') GROUP BY 1 HAVING count(*) >= 3),
+q AS (SELECT greatest(0, 100 - CAST(trunc(200.0 * gone.n / greatest(exported.n, 1)) AS BIGINT)) AS minimality, greatest(0, 100 - CAST(trunc(3 * cx.mean) AS BIGINT)) AS simplicity,
+    greatest(0, 100 - CAST(trunc(500.0 * busy.n / f.n) AS BIGINT)) AS independence, coalesce(least(100, CAST(trunc((SELECT sum(share) / count(*) FROM names) * 110) AS BIGINT)), 80) AS convention FROM gone, exported, cx, busy, f)
+SELECT *, (minimality + simplicity + independence + convention) // 4 AS score FROM q""", structure.quality)
 over_graph("o098_families", "SELECT * FROM (SELECT regexp_extract(name, '^([A-Za-z]+)_', 1) AS prefix, count(*) AS members, count(DISTINCT name) AS names FROM symbols WHERE kind IN ('function', 'method') GROUP BY 1) WHERE prefix <> '' AND members >= 2 AND names > 1 ORDER BY members DESC, prefix LIMIT 20", structure.families)
 over_graph("o105_size_classes", "SELECT CASE WHEN lines <= 5 THEN 'tiny' WHEN lines <= 20 THEN 'small' WHEN lines <= 50 THEN 'medium' WHEN lines <= 150 THEN 'large' ELSE 'huge' END AS size, count(*) AS n, round(avg(complexity), 6) AS avg_cx FROM symbols WHERE kind IN ('function', 'method') GROUP BY 1", structure.size_classes)
 over_graph("o115_top_symbols", "SELECT * FROM (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'component' THEN 1 ELSE 2 END, line_start, id) AS r, id FROM symbols) WHERE r <= 8", structure.top_symbols)
@@ -656,7 +669,6 @@ FROM (SELECT count(*) FILTER (w IN (SELECT lower(name) FROM symbols)) AS resolve
     lambda g: advice.coverage(g, ["Nothing", _symbol_name(g, 30), _symbol_name(g, 31)], g.files))
 
 # --- a store that lasts ----------------------------------------------------------------------------------------------
-from ..session import step_folder  # noqa: E402
 from ..streaming.store import Store, with_files  # noqa: E402
 
 

@@ -19,7 +19,7 @@ def commits(spark: SparkSession, path: str, separator: str = "COMMIT_SEP") -> Da
     blocks = spark.read.option("lineSep", separator).text(path).select(F.trim("value").alias("block")).where("block <> ''")
     lines = F.transform(F.split("block", "\n"), lambda x: F.trim(x))
     head = F.split(F.get(lines, F.lit(0)), r"\s+")
-    files = F.array_distinct(F.filter(F.slice(lines, 2, 100_000), lambda x: x != ""))
+    files = F.array_distinct(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != ""))
     rows = blocks.select(F.get(head, F.lit(0)).alias("commit_id"), F.to_date(F.timestamp_seconds(F.get(head, F.lit(1)).try_cast("long"))).alias("day"), files.alias("files"))
     return rows.where("day is not null").select("commit_id", "day", F.explode("files").alias("path"))
 

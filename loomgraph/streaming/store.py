@@ -5,8 +5,8 @@ ends what was stored for it before; nothing older is rewritten.  The manifest is
 small file that names the base and the deltas with their batches; a new version
 is written beside it and renamed, so a batch counts as a whole or not at all, a
 batch that comes again changes nothing, and whoever opens the folder goes on from
-the last version.  Rows lie in buckets by the hash of their first file, so the rows
-of some files are read from their buckets alone.  Compaction writes a new base of
+the last version.  Rows lie in buckets by the hash of their first file, or of another
+column, so the rows of some files are read from their buckets alone.  Compaction writes a new base of
 the rows that count.
 
 A row belongs to the files that its owner columns name (null for none): it ends
@@ -44,9 +44,13 @@ def with_files(edges: DataFrame) -> DataFrame:
 class Store:
     """Relations by name, each with a schema (DDL) and owner columns, kept below folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, relations: dict[str, str], owners: dict[str, tuple[str, ...]] | None = None, buckets: int = BUCKETS, deltas: int = DELTAS):
+    def __init__(
+        self, spark: SparkSession, folder: str, relations: dict[str, str], owners: dict[str, tuple[str, ...]] | None = None, by: dict[str, str] | None = None,
+        buckets: int = BUCKETS, deltas: int = DELTAS,
+    ):
         self.spark, self.folder, self.relations, self.buckets, self.deltas = spark, folder.rstrip("/"), relations, buckets, deltas
         self.owners = {name: (owners or OWNERS)[name] for name in relations}
+        self.by = {name: (by or {}).get(name, self.owners[name][0]) for name in relations}
 
     # --- the manifest
 
@@ -113,7 +117,7 @@ class Store:
         return rows
 
     def read(self, name: str | None = None, paths: Iterable[str] | None = None) -> DataFrame:
-        """The rows of a relation that count; with paths, of these files only (by first owner), from their buckets."""
+        """The rows of a relation that count; with paths, those with these values of the column that its buckets go by, from their buckets."""
         name = name or next(iter(self.relations))
         buckets = None
         if paths is not None:
@@ -121,7 +125,7 @@ class Store:
             made = self.spark.createDataFrame([(p,) for p in paths], "p string").select(self._bucket(F.col("p"))).distinct().collect()
             buckets = [r[0] for r in made]
         rows = self._live(name, self.manifest(), buckets)
-        rows = rows if paths is None else rows.where(F.col(self.owners[name][0]).isin(paths))
+        rows = rows if paths is None else rows.where(F.col(self.by[name]).isin(paths))
         return rows.drop("_batch", "_bucket").select(*[f"`{c}`" for c in self._columns(name)])
 
     def _columns(self, name: str) -> list[str]:
@@ -130,8 +134,9 @@ class Store:
     # --- writing
 
     def _write(self, name: str, rows: DataFrame, folder: str) -> None:
-        rows = rows.withColumn("_bucket", self._bucket(F.col(self.owners[name][0])))
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{folder}/{name}")
+        # sorted, so that the footers of files tell which values lie in them
+        rows = rows.withColumn("_bucket", self._bucket(F.col(self.by[name])))
+        rows.repartition("_bucket").sortWithinPartitions("_bucket", self.by[name]).write.partitionBy("_bucket").parquet(f"{folder}/{name}")
 
     def apply(self, number: int, changed: DataFrame, **rows: DataFrame) -> bool:
         """Take batch number: what was stored for the files of changed (path) ends, and rows, by relation, come in.  False, and nothing happens, for a batch that is in already."""
