@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import components, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
+from ..operators import components, context, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -703,3 +703,37 @@ WITH d AS (SELECT *, source || '/' || doc_id || '.txt' AS path, lead(doc_id) OVE
 SELECT path, CASE WHEN lang = 'fr' THEN md5(upper(text)) ELSE md5(text) END AS hash, path || CASE WHEN lang = 'fr' THEN '::changed' ELSE '::body' END AS symbol,
     CAST((next_id IS NOT NULL)::INT + refers AS BIGINT) AS edges, refers
 FROM (SELECT *, CAST(next_id IS NOT NULL AND lang <> 'fr' AND next_lang NOT IN ('fr', 'de') AS BIGINT) AS refers FROM d) WHERE lang <> 'de'"""
+
+
+# --- prepared contexts -----------------------------------------------------------------------------------------------
+def gated_contexts(g: CodeGraph) -> DataFrame:
+    """Each name without its number is a task with two keywords, the name and its last word: the files that declare them, those of classes with its first word to fall back on, files of its densest symbols as baseline."""
+    named = g.symbols.select("file_path", "complexity", "kind", F.regexp_replace("name", r"_\d+$", "").alias("task"))
+    last, first = F.substring_index("task", "_", -1), F.substring_index("task", "_", 1)
+    tasks = named.select("task").distinct()
+    pairs = tasks.select("task", F.lit(1).alias("k"), F.col("task").alias("keyword")).unionByName(tasks.select("task", F.lit(2).alias("k"), last.alias("keyword")))
+    declared = named.select(F.col("task").alias("keyword"), "file_path").unionByName(named.select(last.alias("keyword"), "file_path")).distinct()
+    rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("file_path"))
+    found = pairs.join(declared.withColumn("rank", rank("keyword")), "keyword").select("task", "keyword", "k", F.col("file_path").alias("file"), "rank")
+    classes = named.where("kind = 'class'").select(first.alias("_first"), "file_path").distinct().withColumn("rank", rank("_first"))
+    fallback = tasks.select("task", last.alias("keyword"), first.alias("_first")).join(classes, "_first").select("task", "keyword", F.lit(2).alias("k"), F.col("file_path").alias("file"), "rank", F.lit(1).alias("way"))
+    return context.gate(found, fallback, named.where("complexity >= 28").select("task", F.col("file_path").alias("file")))
+
+
+over_graph("o104_prepare_context", """
+, named AS (SELECT file_path AS f, complexity, kind, regexp_replace(name, '_[0-9]+$', '') AS task FROM symbols), words AS (SELECT DISTINCT task, split_part(task, '_', -1) AS last, split_part(task, '_', 1) AS first FROM named),
+pairs AS (SELECT task, 1 AS k, task AS keyword FROM words UNION ALL SELECT task, 2, last FROM words),
+declared AS (SELECT DISTINCT task AS keyword, f FROM named UNION SELECT DISTINCT split_part(task, '_', -1), f FROM named),
+found AS (SELECT task, keyword, k, f, r, n FROM pairs JOIN (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY f) AS r, count(*) OVER (PARTITION BY keyword) AS n FROM declared) USING (keyword)),
+defined AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY f) AS r FROM (SELECT DISTINCT split_part(task, '_', 1) AS first, f FROM named WHERE kind = 'class')),
+ways AS (SELECT task, k, 2 AS way, r, f FROM found WHERE n BETWEEN 9 AND 15 AND r <= greatest(1, 15 - n)
+    UNION ALL SELECT w.task, 2, 1, d.r, d.f FROM words w JOIN defined d USING (first) WHERE length(w.last) >= 4 AND EXISTS (SELECT 1 FROM found x WHERE x.task = w.task AND x.keyword = w.last AND x.n > 8)),
+instead AS (SELECT * FROM ways QUALIFY (k, way) = min((k, way)) OVER (PARTITION BY task)),
+every AS (SELECT task, 0 AS part, k, r, f FROM instead UNION ALL SELECT task, 1, k, r, f FROM found WHERE n <= 8),
+places AS (SELECT task, f, min((part, k, r)) AS place FROM every GROUP BY 1, 2), base AS (SELECT DISTINCT task, f FROM named WHERE complexity >= 28),
+placed AS (SELECT p.task, p.f, row_number() OVER (PARTITION BY p.task ORDER BY place, p.f) AS r, b.f IS NOT NULL AS told, max(CASE WHEN place[1] = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p.task) = 1 AS focus
+    FROM places p LEFT JOIN base b ON b.task = p.task AND b.f = p.f),
+gathered AS (SELECT task, count(*) AS n, any_value(focus) AS focus, count(*) FILTER (told) AS shared, string_agg(f, ' ' ORDER BY r) FILTER (focus OR r <= 5) AS files FROM placed GROUP BY task),
+said AS (SELECT task, count(*) AS said FROM base GROUP BY 1),
+judged AS (SELECT task, n, files, CASE WHEN coalesce(said, 0) >= 2 AND shared = 0 THEN 'off the baseline' WHEN focus THEN 'focus' ELSE 'path' END AS how FROM gathered LEFT JOIN said USING (task))
+SELECT DISTINCT words.task, coalesce(how, 'nothing') AS how, coalesce(n, 0) AS n, CASE WHEN how IN ('focus', 'path') THEN files ELSE '' END AS files FROM words LEFT JOIN judged USING (task)""", gated_contexts)
