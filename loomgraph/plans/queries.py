@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import components, context, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
+from ..operators import components, context, families, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -737,3 +737,32 @@ gathered AS (SELECT task, count(*) AS n, any_value(focus) AS focus, count(*) FIL
 said AS (SELECT task, count(*) AS said FROM base GROUP BY 1),
 judged AS (SELECT task, n, files, CASE WHEN coalesce(said, 0) >= 2 AND shared = 0 THEN 'off the baseline' WHEN focus THEN 'focus' ELSE 'path' END AS how FROM gathered LEFT JOIN said USING (task))
 SELECT DISTINCT words.task, coalesce(how, 'nothing') AS how, coalesce(n, 0) AS n, CASE WHEN how IN ('focus', 'path') THEN files ELSE '' END AS files FROM words LEFT JOIN judged USING (task)""", gated_contexts)
+
+
+# --- families of names, exposure -------------------------------------------------------------------------------------
+over_graph("o116_variant_groups", f"""
+, v AS (SELECT DISTINCT file_path, regexp_extract(name, '^(.+)_([a-z]|[0-9]+)$', 1) AS base, CAST(regexp_extract(name, '_([0-9]+)$', 1) AS BIGINT) AS pos, name FROM symbols
+    WHERE kind IN ('function', 'method') AND NOT {is_test('file_path')} AND length(ltrim(regexp_extract(name, '^(.+)_([a-z]|[0-9]+)$', 1), '_')) >= 5),
+o AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 1 THEN 0 ELSE 1 END AS b FROM v WINDOW w AS (PARTITION BY file_path, base ORDER BY pos, name)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY file_path, base ORDER BY pos, name ROWS UNBOUNDED PRECEDING) AS run FROM o),
+c AS (SELECT file_path, base, run, count(*) AS n, count(DISTINCT pos) AS long FROM r GROUP BY 1, 2, 3)
+SELECT file_path, base, 'numeric series' AS series, CAST(sum(n) AS BIGINT) AS total, max(long) AS longest_run FROM c GROUP BY 1, 2 HAVING sum(n) >= 2""", families.variant_groups)
+over_graph("o116_sibling_families", f"""
+, f AS (SELECT id, name, file_path, regexp_replace(file_path, '/?[^/]*$', '') AS folder, split_part(name, '_', 1) AS stem FROM symbols WHERE NOT {is_test('file_path')} AND length(split_part(name, '_', 1)) >= 5)
+SELECT id, stem, siblings FROM (SELECT a.id, a.stem, count(DISTINCT b.name) AS siblings FROM f a JOIN f b ON a.folder = b.folder AND a.stem = b.stem AND a.file_path <> b.file_path GROUP BY 1, 2) WHERE siblings >= 3""", families.sibling_families)
+over_graph("o065c_exposure", f"""
+, hot AS (SELECT path FROM velocity), t AS (SELECT DISTINCT target_id FROM calls WHERE {is_test('source_file')}),
+up AS (SELECT target_id AS id, count(DISTINCT source_file) AS caller_files, count(*) FILTER (source_file IN (FROM hot)) AS hot_callers FROM calls WHERE source_file <> target_file AND NOT {is_test('source_file')} GROUP BY 1),
+down AS (SELECT source_id AS id, count(*) AS callees, count(*) FILTER (target_file IN (FROM hot)) AS hot_callees, count(*) FILTER (target_id NOT IN (FROM t)) AS untested FROM calls WHERE source_file <> target_file AND NOT {is_test('target_file')} GROUP BY 1),
+x AS (SELECT s.id, coalesce(caller_files, 0) AS caller_files, coalesce(hot_callees, 0) AS hot_callees, coalesce(hot_callers, 0) AS hot_callers, coalesce(callees, 0) AS callees, coalesce(untested, 0) AS untested, s.file_path IN (FROM hot) AS in_hot
+    FROM symbols s LEFT JOIN up ON up.id = s.id LEFT JOIN down ON down.id = s.id),
+y AS (SELECT *, (caller_files >= 8)::INT + (hot_callees >= 2)::INT + (hot_callers >= 3)::INT + (callees >= 3 AND untested / callees >= 0.5)::INT + in_hot::INT AS factors FROM x)
+SELECT *, CASE WHEN factors >= 3 THEN 'CRITICAL' WHEN factors = 2 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM y WHERE factors > 0""", lambda g: families.exposure(g, history.velocity(g, NOW, 7)))
+
+
+@query("o020_most_children", GRAPH + ", c AS (SELECT source_id, target_id FROM edges WHERE kind = 'contains') SELECT id, name, kind, file_path FROM symbols WHERE id IN (SELECT target_id FROM c WHERE source_id = (SELECT source_id FROM c GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 1))")
+def most_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the symbol that contains the most symbols contains."""
+    g = graph(spark, sf_dir)
+    top = g.pairs("contains").groupBy("source_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_id").first()
+    return lookup.children_of(g, top[0] if top else "").select("id", "name", "kind", "file_path")
