@@ -760,9 +760,9 @@ y AS (SELECT *, (caller_files >= 8)::INT + (hot_callees >= 2)::INT + (hot_caller
 SELECT *, CASE WHEN factors >= 3 THEN 'CRITICAL' WHEN factors = 2 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM y WHERE factors > 0""", lambda g: families.exposure(g, history.velocity(g, NOW, 7)))
 
 
-@query("o020_most_children", GRAPH + ", c AS (SELECT source_id, target_id FROM edges WHERE kind = 'contains') SELECT id, name, kind, file_path FROM symbols WHERE id IN (SELECT target_id FROM c WHERE source_id = (SELECT source_id FROM c GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 1))")
+@query("o020_most_children", GRAPH + ", c AS (SELECT source_id, target_id FROM edges WHERE kind = 'contains') SELECT id, kind, file_path, line_start FROM symbols WHERE id IN (SELECT target_id FROM c WHERE source_id = (SELECT source_id FROM c GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 1))")
 def most_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the symbol that contains the most symbols contains."""
     g = graph(spark, sf_dir)
     top = g.pairs("contains").groupBy("source_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_id").first()
-    return lookup.children_of(g, top[0] if top else "").select("id", "name", "kind", "file_path")
+    return lookup.children_of(g, top[0] if top else "").select("id", "kind", "file_path", "line_start")
