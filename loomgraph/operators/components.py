@@ -93,24 +93,28 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def peeled(edges: DataFrame) -> DataFrame:
-    """node, layer: nodes without edges to others are layer 0, the others one above the highest that they point at.  Nodes in or above cycles share one last layer."""
-    at = step_folder(edges.sparkSession)
+    """node, layer: nodes without edges to others are layer 0, the others one above the highest that they point at.  Nodes in or above cycles share one last layer.
+
+    A round keeps the nodes that point at one of those left; a node's layer is the
+    last round that it is left in.  Edges to nodes that are done are dropped every
+    few rounds.
+    """
+    spark = edges.sparkSession
+    at = step_folder(spark)
     edges = written(edges.select("source_id", "target_id"), f"{at}/edges")
-    left, out, i = written(_ends(edges), f"{at}/left0"), None, 0
-    while True:
-        blocked = edges.select(F.col("source_id").alias("node")).distinct()
-        rest = written(left.join(blocked, "node", "left_semi"), f"{at}/left{i + 1}")
-        n = rest.count()
-        stuck = n == left.count()
-        layer = (left if stuck else left.join(rest, "node", "left_anti")).withColumn("layer", F.lit(i))
-        out = layer if out is None else out.unionByName(layer)
-        if stuck or not n:
-            return written(out, f"{at}/layers")
-        # an edge to a node that is done blocks no more
-        edges = written(edges.join(rest.select(F.col("node").alias("target_id")), "target_id", "left_semi"), f"{at}/edges{i}")
+    left = written(_ends(edges), f"{at}/left/round=0")
+    n, i = left.count(), 0
+    while n:
+        to_left = edges.join(left.select(F.col("node").alias("target_id")), "target_id", "left_semi")
+        if i % 8 == 7:
+            edges = to_left = written(to_left, f"{at}/edges{i}")
+        rest = written(left.join(to_left.select(F.col("source_id").alias("node")), "node", "left_semi"), f"{at}/left/round={i + 1}")
+        before, n = n, rest.count()
+        if n == before:
+            break
         left, i = rest, i + 1
-        if i % 25 == 0:
-            out = written(out, f"{at}/layers{i}")
+    rounds = spark.read.schema(f"node {edges.schema['source_id'].dataType.simpleString()}, round int").parquet(f"{at}/left")
+    return rounds.where(F.col("round") <= i).groupBy("node").agg(F.max("round").alias("layer"))
 
 
 def import_components(g: CodeGraph) -> DataFrame:

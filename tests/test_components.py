@@ -50,9 +50,9 @@ def test_a_cycle_of_seven_and_layers_over_it(spark):
 
 
 def test_layers_beyond_a_hundred(spark):
-    g = imports(spark, [(f"c{i + 1:03}", f"c{i:03}") for i in range(103)])
+    g = imports(spark, [(f"c{i + 1:03}", f"c{i:03}") for i in range(104)])
     layers = {r["file_path"]: r["layer"] for r in traverse.layers(g).collect()}
-    assert layers == {f"c{i:03}": i for i in range(104)}
+    assert layers == {f"c{i:03}": i for i in range(105)}
 
 
 def plain_chain(edges, most=12):
