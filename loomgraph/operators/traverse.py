@@ -208,78 +208,6 @@ def orphaned(g: CodeGraph, removed: DataFrame) -> DataFrame:
     return out.where("wave > 0")
 
 
-# Neighbours that one node adds, by kind of edge, at depth 0, 1 and further.
-_FANOUT = {"callers": (12, 6, 3), "callees": (6, 4, 2), "children": (5, 5, 0), "subtypes": (5, 3, 3), "renderers": (4, 2, 2)}
-
-
-def adaptive_depth(caller_files: int, callees: int, hot: bool) -> int:
-    """How far a focus expands: shallow about hubs, deep about symbols that call much and are called from few files."""
-    if caller_files >= 15:
-        return 2
-    if callees >= 6 and caller_files <= 3:
-        return 5 if hot else 4
-    return 4 if hot else 3
-
-
-def depth_of(g: CodeGraph, seeds: DataFrame, hot: DataFrame | None = None) -> int:
-    """The adaptive depth of seeds (id) by their callers outside of their own files and their callees; hot: paths of much changed files."""
-    own = g.symbols.join(seeds.select("id").distinct(), "id", "left_semi").select("id", "file_path")
-    files = own.select("file_path").distinct()
-    up = g.calls.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi").join(files.select(F.col("file_path").alias("source_file")), "source_file", "left_anti")
-    down = g.calls.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi").count()
-    warm = hot is not None and not files.join(hot.select(F.col("path").alias("file_path")), "file_path", "left_semi").isEmpty()
-    return adaptive_depth(up.select("source_file").distinct().count(), down, warm)
-
-
-def focus(g: CodeGraph, seeds: DataFrame, depth: int | None = 3, most: int = 50, hot: DataFrame | None = None) -> DataFrame:
-    """The sub-graph about seeds: id, depth, importance; at most most symbols.
-
-    Without a depth it follows from the seeds (depth_of), and is one more, to 5
-    at most, where that shows fewer than 20 symbols.
-
-    Levels are expanded at once, each node adding a limited number of
-    neighbours of each kind, the most important first; callers aren't followed
-    beyond a node with 15 caller files.
-    """
-    at = step_folder(g.edges.sparkSession)
-    cross = g.calls.where("source_file <> target_file").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("_c"), F.countDistinct("source_file").alias("_files"))
-    ranked = written(
-        g.symbols.select("id", "exported").join(cross, "id", "left").na.fill(0, ["_c", "_files"]).select("id", (2 * F.col("_c") + F.col("exported").cast("int")).alias("importance"), F.col("_files").alias("caller_files")),
-        f"{at}/ranked",
-    )
-
-    def edges(kind: str, kinds: tuple[str, ...], a: str, b: str) -> DataFrame:
-        return g.pairs(*kinds).select(F.lit(kind).alias("how"), F.col(a).alias("x"), F.col(b).alias("y"))
-
-    every = (
-        edges("callers", ("calls",), "target_id", "source_id").unionByName(edges("callees", ("calls",), "source_id", "target_id"))
-        .unionByName(edges("children", ("contains",), "source_id", "target_id")).unionByName(edges("subtypes", ("inherits", "implements"), "target_id", "source_id"))
-        .unionByName(edges("renderers", ("renders",), "target_id", "source_id"))
-    )
-    every = written(every.join(ranked.select(F.col("id").alias("y"), "importance"), "y"), f"{at}/every")
-    seen = written(seeds.select("id").distinct().join(ranked, "id").withColumn("depth", F.lit(0)), f"{at}/seen0")
-    sparse = depth is None
-    depth = depth_of(g, seeds, hot) if depth is None else depth
-    for d in range(min(depth + sparse, 5) if sparse else depth):
-        if d == depth and seen.count() >= 20:
-            break
-        limits = F.create_map(*[F.lit(x) for k, v in _FANOUT.items() for x in (k, v[min(d, 2)])])
-        front = seen.where(F.col("depth") == d).select(F.col("id").alias("x"), F.col("caller_files").alias("_cf"))
-        order = W.partitionBy("x", "how").orderBy(F.desc("importance"), "y")
-        next_ = (
-            every.join(F.broadcast(front), "x")  # front holds at most most rows
-            .where((F.col("how") != "callers") | F.lit(d == 0) | (F.col("_cf") < 15))
-            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limits[F.col("how")])
-            .select(F.col("y").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").join(ranked, "id")
-            .withColumn("depth", F.lit(d + 1))
-        )
-        room = most - seen.count()
-        if room <= 0:
-            break
-        seen = written(seen.unionByName(next_.orderBy(F.desc("importance"), "id").limit(room).select(*seen.columns)), f"{at}/seen{d + 1}")
-    return seen.select("id", "depth", "importance")
-
-
 def import_depth(g: CodeGraph, starts: DataFrame, most: int = 12) -> DataFrame:
     """root, depth: the most hops from each start up its importers, tests aside, along shortest paths."""
     edges = g.imports.where(~is_test(F.col("source_id")) & ~is_test(F.col("target_id"))).select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import components, context, families, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
+from ..operators import advice, components, context, families, focus, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -22,6 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 # What the look-up queries ask for.
 SYMBOL = "select id from symbols where seq = 30"
 QUESTION_NAME, PHRASE, TERMS = "small_ring_0", "red widget ring", "the and of"
+QUESTIONS = "red widget ring | small bolt"
 
 
 def query(name: str, sql: str | None = None):
@@ -369,8 +370,20 @@ over_graph("o069o_hub_callees", f"SELECT target_id AS id, count(DISTINCT source_
 over_graph("o069p_inheritance_depth", None, traverse.inheritance_depth)
 ORACLE_SQL["o069p_inheritance_depth"] = GRAPH.replace("WITH s0", "WITH RECURSIVE s0", 1) + """, i AS (SELECT DISTINCT source_id, target_id FROM edges WHERE kind = 'inherits'), up(id, base, depth) AS (
     SELECT source_id, target_id, 1 FROM i UNION SELECT id, i.target_id, depth + 1 FROM up JOIN i ON base = i.source_id WHERE depth < 60) SELECT id, max(depth) AS depth FROM up GROUP BY id"""
-over_graph("o069_focus", None, lambda g: traverse.focus(g, search.search(g, PHRASE).limit(3).select("id")))
-over_graph("o069c_adaptive_focus", None, lambda g: traverse.focus(g, search.search(g, PHRASE).limit(3).select("id"), None))
+over_graph("o069_focus", None, lambda g: focus.focus(g, search.search(g, PHRASE).limit(3).select("id"), hot=history.recent_files(g)))
+over_graph("o069c_adaptive_focus", None, lambda g: focus.focus(g, search.search(g, PHRASE).limit(3).select("id"), None))
+over_graph("o069c_multi_focus", None, lambda g: focus.focus(g, focus.multi_seeds(g, QUESTIONS), None, history.recent_files(g)))
+
+
+@query("o069c_module_focus")
+def _module_focus(s, d):
+    """The focus of each module, about its three most important symbols."""
+    g = graph(s, d)
+    hot = history.recent_files(g)
+    best = Window.partitionBy("module").orderBy(F.desc("importance"), "id")
+    top = g.symbols.select("id", "module").join(advice.importance(g, hot).select("id", "importance"), "id").withColumn("place", F.row_number().over(best)).where("place <= 3")
+    return focus.focus_each(g, top.select(F.col("module").alias("label"), "id", "place"), None, hot)
+
 
 # --- telemetry -------------------------------------------------------------------------------------------------------
 over_usage("o110_sessions", "SELECT event_id, session FROM sessions", lambda u: telemetry.sessions(u).select("event_id", "session"))
@@ -546,7 +559,6 @@ query("o015_export", GRAPH + "SELECT what, count(*) AS n FROM (SELECT 'file' AS
 query("o017_folder_notes")(lambda s, d: folder_notes(graph(s, d)))
 
 # --- advice ----------------------------------------------------------------------------------------------------------
-from ..operators import advice  # noqa: E402
 
 _XC = "(SELECT target_id, count(*) AS c, count(DISTINCT source_file) AS f FROM calls WHERE source_file <> target_file GROUP BY 1)"
 over_graph("o029_hot_sources", "SELECT file_path FROM files WHERE NOT contains(file_path, '/test_')", lambda g: g.files.where(advice.is_hot_source(F.col("file_path"))).select("file_path"))

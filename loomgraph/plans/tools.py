@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_change_task, token_estimate
 from ..model import CodeGraph
-from ..operators import history, lookup, scoring, search, structure, telemetry, traverse
+from ..operators import focus, history, lookup, scoring, search, structure, telemetry, traverse
 from ..rules.evaluate import fired
 
 Tool = Callable[..., DataFrame]
@@ -80,7 +80,7 @@ def prepare(g: CodeGraph, task: str, now: str, task_type: str = "", budget: int
     spark = g.symbols.sparkSession
     change = spark.createDataFrame([(task, task_type)], "t string, k string").select(is_change_task(F.col("t"), F.col("k"))).first()[0]
     hits = search.search(g, task).limit(3)
-    about = traverse.focus(g, hits.select("id"), 2).select(F.lit("focus").alias("section"), F.col("id").alias("item"), F.row_number().over(W.orderBy("depth", F.desc("importance"), "id")).alias("rank"))
+    about = focus.focus(g, hits.select("id"), 2).select(F.lit("focus").alias("section"), F.col("id").alias("item"), F.col("place").cast("int").alias("rank"))
     if change:
         return within_budget(about, "item", ["rank"], budget)
     hot = scoring.hotspots(g, now, 5).select(F.lit("hotspots").alias("section"), F.col("id").alias("item"), (F.row_number().over(W.orderBy(F.desc("score"), "id")) + 1000).alias("rank"))
@@ -169,7 +169,7 @@ class Registry:
 
 #: Tools over a code graph, or over a usage log, by name.
 TOOLS: dict[str, Tool] = {
-    "overview": overview, "stats": structure.stats, "focus": traverse.focus, "hotspots": scoring.hotspots, "blast_radius": blast, "diff_context": diff, "dead_code": scoring.dead_confidence,
+    "overview": overview, "stats": structure.stats, "focus": focus.focus, "hotspots": scoring.hotspots, "blast_radius": blast, "diff_context": diff, "dead_code": scoring.dead_confidence,
     "lookup": lookup.lookup, "symbols": structure.top_symbols, "file_map": structure.top_symbols, "dependencies": traverse.layers, "architecture": structure.module_edges, "prepare_context": prepare,
     "search_semantic": search.search, "cochange_context": history.cochange_of, "get_patterns": structure.families, "suggest_next": telemetry.predict, "report": telemetry.report,
     "learn_recommendation": telemetry.effectiveness, "token_stats": telemetry.token_stats, "quality": structure.quality, "signals": fired,
@@ -179,7 +179,7 @@ TOOLS: dict[str, Tool] = {
 def registry() -> Registry:
     """All plugins with their modes and dependencies."""
     return Registry((
-        Plugin("overview", overview, (), ("overview",)), Plugin("focus", traverse.focus, (), ("focus",)), Plugin("blast", blast, (), ("blast",)), Plugin("diff", diff, (), ("diff",)),
+        Plugin("overview", overview, (), ("overview",)), Plugin("focus", focus.focus, (), ("focus",)), Plugin("blast", blast, (), ("blast",)), Plugin("diff", diff, (), ("diff",)),
         Plugin("hotspots", scoring.hotspots, (), ("hotspots",)), Plugin("dead_code", scoring.dead_confidence, (), ("dead",)), Plugin("lookup", lookup.lookup, (), ("lookup",)),
         Plugin("arch", structure.module_edges, (), ("arch",)), Plugin("map", structure.top_symbols, (), ("map",)), Plugin("symbols", structure.top_symbols, (), ("symbols",)),
         Plugin("context", prepare, ("focus", "blast", "overview"), ("context",)), Plugin("tokens", telemetry.token_stats, (), ("token_stats",)), Plugin("learn", telemetry.effectiveness, ("context", "tokens"), ("learn", "insights")),

@@ -1,10 +1,11 @@
 """Micro-graphs at the thresholds of rules, and properties of iterative operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
 from loomgraph.model import EDGE_SCHEMA, SYMBOL_SCHEMA, CodeGraph
-from loomgraph.operators import history, lookup, scoring, search, telemetry, traverse
+from loomgraph.operators import focus, history, lookup, scoring, search, telemetry, traverse
 
 
 def symbol(path, name, kind="function", exported=True, parent=None, lines=(1, 5), cx=1, doc=""):
@@ -81,17 +82,17 @@ def test_test_predicates(spark, path, test, simple):
 
 
 @pytest.mark.parametrize("files,callees,hot,depth", [(15, 9, True, 2), (14, 5, False, 3), (14, 5, True, 4), (3, 6, False, 4), (3, 6, True, 5), (4, 6, False, 3)])
-def test_adaptive_depth(files, callees, hot, depth):
-    assert traverse.adaptive_depth(files, callees, hot) == depth
+def test_adaptive_depth(spark, files, callees, hot, depth):
+    assert spark.range(1).select(focus.adaptive_depth(*map(F.lit, (files, callees, hot)))).first()[0] == depth
 
 
 def test_focus_without_a_depth_goes_one_further_where_sparse(spark):
     chain = [symbol(f"m{i}.py", f"f{i}") for i in range(8)]
     g = graph(spark, chain, [("calls", f"m{i}.py::f{i}", f"m{i + 1}.py::f{i + 1}", 1) for i in range(7)])
     seed = spark.createDataFrame([("m0.py::f0",)], "id string")
-    assert traverse.depth_of(g, seed) == 3
-    assert {r["depth"] for r in traverse.focus(g, seed, 3).collect()} == {0, 1, 2, 3}
-    assert {r["depth"] for r in traverse.focus(g, seed, None).collect()} == {0, 1, 2, 3, 4}
+    assert focus.profiles(g, seed.withColumn("label", F.lit("x"))).first()["depth"] == 3
+    assert {r["depth"] for r in focus.focus(g, seed, 3).collect()} == {0, 1, 2, 3}
+    assert {r["depth"] for r in focus.focus(g, seed, None).collect()} == {0, 1, 2, 3, 4}
 
 
 def test_key_files_demote_hubs(spark):
