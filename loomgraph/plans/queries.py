@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import advice, components, context, families, focus, history, index, lookup, resolve, scoring, search, structure, tasks, telemetry, traverse
+from ..operators import advice, components, context, families, focus, history, index, lookup, resolve, review, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -629,6 +629,42 @@ over_graph("o096_diff_dependents", f"""
 , users AS (SELECT target_file, source_file FROM calls WHERE source_file <> target_file AND target_file IN {_CHANGED} UNION SELECT target_id, source_id FROM imports WHERE target_id IN {_CHANGED})
 SELECT DISTINCT CASE WHEN {is_test('source_file')} THEN 'test' ELSE 'dependent' END AS section, source_file AS item FROM users WHERE source_file NOT IN {_CHANGED}
 UNION ALL SELECT 'untested', path FROM {_CHANGED} c WHERE NOT {is_test('path')} AND path NOT IN (SELECT target_file FROM users WHERE {is_test('source_file')})""", lambda g: advice.diff_dependents(g, history.newest_change(g)))
+_EVERY_CHANGE = f"""
+, ch AS (SELECT DISTINCT commit_id AS change, file_path, {is_test('file_path')} AS test FROM commit_files JOIN files ON path = file_path),
+imp AS (SELECT target_id AS file_path, source_id AS importer FROM imports WHERE source_id <> target_id AND source_id IN (SELECT file_path FROM files)),
+out_calls AS (SELECT ch.change, s.id, s.file_path, s.line_start, ch.test, count(*) AS n FROM ch JOIN symbols s ON ch.file_path = s.file_path JOIN calls c ON c.target_id = s.id
+    WHERE s.exported AND NOT EXISTS (SELECT 1 FROM ch o WHERE o.change = ch.change AND o.file_path = c.source_file) GROUP BY ALL)"""
+_BASE = "split_part(file_path, '/', -1)"
+
+
+def _every_change(g) -> DataFrame:
+    return g.commit_files.select(F.col("commit_id").alias("change"), "path")
+
+
+over_graph("o094_change_summary", _EVERY_CHANGE + f"""
+, own AS (SELECT change, count(*) AS symbols, count(*) FILTER (exported) AS exported, count(*) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS k,
+    string_agg(name, ', ' ORDER BY file_path, line_start, id) FILTER (exported AND kind IN ('function', 'method', 'class', 'interface')) AS names FROM ch JOIN symbols USING (file_path) WHERE NOT test GROUP BY change),
+b AS (SELECT change, count(DISTINCT importer) AS blast FROM ch JOIN imp USING (file_path) GROUP BY change), o AS (SELECT change, count(*) AS called FROM out_calls WHERE NOT test GROUP BY change),
+f AS (SELECT change, list_sort(list(DISTINCT {module('file_path')})) AS l FROM ch WHERE NOT test GROUP BY change),
+t0 AS (SELECT change, file_path, count(*) AS n FROM ch JOIN imp USING (file_path) GROUP BY ALL HAVING count(*) >= 2), t1 AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY n DESC, file_path) AS r, count(*) OVER (PARTITION BY change) AS c FROM t0),
+t AS (SELECT change, string_agg({_BASE} || ' (blast:' || n || ')', ', ' ORDER BY r) AS top FROM t1 WHERE c >= 2 AND r <= 3 GROUP BY change),
+j AS (SELECT x.change, coalesce(symbols, 0) AS symbols, coalesce(exported, 0) AS exported, CASE WHEN k BETWEEN 2 AND 8 THEN names END AS names, coalesce(blast, 0) AS blast, coalesce(called, 0) AS called, coalesce(len(l), 0) AS folders,
+    CASE WHEN len(l) >= 3 THEN array_to_string(l[1:5], ', ') || CASE WHEN len(l) > 5 THEN ' +' || (len(l) - 5) || ' more' ELSE '' END END AS scope, top
+    FROM (SELECT DISTINCT change FROM ch) x LEFT JOIN own USING (change) LEFT JOIN b USING (change) LEFT JOIN o USING (change) LEFT JOIN f USING (change) LEFT JOIN t USING (change))
+SELECT *, CASE WHEN symbols > 0 THEN CASE WHEN blast + 3 * called >= 16 THEN 'HIGH' WHEN blast + 3 * called >= 6 THEN 'MEDIUM' END END AS risk FROM j""", lambda g: review.summaries(g, _every_change(g)))
+over_graph("o096_change_sections", _EVERY_CHANGE + f"""
+, e AS (SELECT change, 'external' AS section, id AS item, n, 10 AS most, row_number() OVER (PARTITION BY change ORDER BY file_path, line_start, id) AS r FROM out_calls),
+i0 AS (SELECT DISTINCT change, importer FROM ch JOIN imp USING (file_path) WHERE NOT EXISTS (SELECT 1 FROM ch o WHERE o.change = ch.change AND o.file_path = importer)),
+i AS (SELECT change, 'importer', importer, NULL, 10, row_number() OVER (PARTITION BY change ORDER BY importer) FROM i0),
+k0 AS (SELECT DISTINCT ch.change, s.file_path, s.line_start, s.id, b.file_path AS by_file, b.id AS painter FROM ch JOIN symbols s ON s.file_path = ch.file_path AND s.kind = 'component' JOIN edges e ON e.kind = 'renders' AND e.target_id = s.id JOIN symbols b ON e.source_id = b.id
+    WHERE NOT EXISTS (SELECT 1 FROM ch o WHERE o.change = ch.change AND o.file_path = b.file_path)),
+k AS (SELECT change, 'component', painter || ' renders ' || id, NULL, 5, row_number() OVER (PARTITION BY change ORDER BY file_path, line_start, id, by_file, painter) AS r FROM k0 QUALIFY r <= 5),
+t0 AS (SELECT change, source_file, count(*) AS n FROM ch JOIN calls ON file_path = target_file WHERE {is_test('source_file')} GROUP BY ALL),
+t AS (SELECT change, 'test', source_file, n, 5, row_number() OVER (PARTITION BY change ORDER BY n DESC, source_file) FROM t0),
+u AS (SELECT change, 'untested', id, NULL, 6, row_number() OVER (PARTITION BY change ORDER BY file_path, line_start, id) FROM ch JOIN symbols s USING (file_path)
+    WHERE NOT test AND kind IN ('function', 'method', 'class') AND id NOT IN (SELECT target_id FROM calls WHERE {is_test('source_file')}))
+SELECT change, section, CAST(r AS INTEGER) AS r, item, CAST(n AS BIGINT) AS n, total FROM (SELECT *, count(*) OVER (PARTITION BY change, section) AS total FROM (FROM e UNION ALL FROM i UNION ALL FROM k UNION ALL FROM t UNION ALL FROM u)) WHERE r <= most""",
+    lambda g: review.sections(g, _every_change(g)))
 over_graph("o099_parameter_idioms", "SELECT 'a,b' AS params, count(*) AS n FROM symbols WHERE kind IN ('function', 'method') HAVING count(*) >= 3", advice.parameter_idioms)
 over_graph("o116_name_series", "SELECT file_path, regexp_replace(name, '_?([0-9]+|[A-C])$', '') AS stem, count(DISTINCT name) AS n FROM symbols GROUP BY 1, 2 HAVING count(DISTINCT name) >= 3", advice.name_series)
 over_graph("o127_counterparts", """
