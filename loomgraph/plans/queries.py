@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..model import CodeGraph
 from ..functions.keywords import keywords_column
-from ..operators import advice, components, context, families, focus, history, index, lookup, resolve, review, scoring, search, structure, tasks, telemetry, traverse
+from ..operators import advice, components, context, families, focus, history, index, lookup, reports, resolve, review, scoring, search, structure, tasks, telemetry, traverse
 from ..session import ship, step_folder
 from ..sources.logs import export, folder_notes
 from ..sources.projection import NOW, graph, table, usage
@@ -427,6 +427,46 @@ SELECT mode, total, n, useful, wasted, CAST(CASE WHEN c < 3 THEN 4000 ELSE great
 over_usage("o103_effectiveness", """
 SELECT coalesce(r.repo, t.repo) AS repo, r.n, r.rate, t.avg_tokens FROM (SELECT repo, count(*) AS n, round(count(*) FILTER (mode = 'purchase') / count(*), 6) AS rate FROM usage WHERE mode IN ('purchase', 'error') GROUP BY 1 HAVING count(*) >= 3) r
 FULL JOIN (SELECT repo, round(avg(tokens), 6) AS avg_tokens FROM usage GROUP BY 1) t ON r.repo = t.repo""", telemetry.effectiveness)
+# own: what a user's own log holds; every seventh user works in a scratch folder, every eleventh below /tmp
+_LOGS = """
+WITH every AS (SELECT event_id, ts, CASE WHEN user_id % 7 = 0 THEN 'tmp' ELSE 'repo' END || user_id AS repo, CASE WHEN user_id % 11 = 0 THEN '/tmp/' ELSE '/src/' END || user_id AS repo_path,
+    CASE event_type WHEN 'view' THEN 'overview' WHEN 'signup' THEN 'stats' WHEN 'click' THEN 'focus' WHEN 'error' THEN 'dead' ELSE 'prepare' END AS mode,
+    CASE WHEN event_id % 5 > 0 THEN CAST(trunc(value) AS INTEGER) END AS tokens, event_type = 'error' AS empty, CASE WHEN event_id % 3 = 0 THEN CAST(regexp_extract(props, '[0-9]+') AS INTEGER) END AS duration_ms, event_type, value FROM events),
+own AS (FROM every WHERE event_id % 4 = 0), shared AS (SELECT * REPLACE (CASE WHEN event_id % 8 = 0 THEN 'copy' ELSE repo END AS repo) FROM every WHERE event_id % 4 IN (0, 1, 2)),
+merged AS (FROM own UNION ALL FROM shared WHERE ts NOT IN (SELECT ts FROM own)),
+said AS (SELECT ts, repo, repo_path, mode, value > 30 AS helpful, CASE WHEN event_id % 3 = 0 THEN repeat('note ' || event_id || ' ', 12) END AS note FROM merged WHERE event_type IN ('purchase', 'click', 'error'))"""
+_REAL = "NOT (starts_with(repo, 'tmp') AND length(repo) < 20) AND NOT contains(repo_path, '/tmp/') AND NOT contains(repo_path, 'pytest')"
+
+
+def _logs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A usage log merged of an own and a shared one, and the feedback in it."""
+    user, i = F.col("user_id"), F.col("event_id")
+    modes = F.create_map(*[F.lit(x) for kv in {"view": "overview", "signup": "stats", "click": "focus", "error": "dead"}.items() for x in kv])
+    every = table(s, d, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.when(user % 7 == 0, "tmp").otherwise("repo"), user.cast("string")).alias("repo"),
+        F.concat(F.when(user % 11 == 0, "/tmp/").otherwise("/src/"), user.cast("string")).alias("repo_path"), F.coalesce(modes[F.col("event_type")], F.lit("prepare")).alias("mode"),
+        F.when(i % 5 > 0, F.col("value").cast("int")).alias("tokens"), (F.col("event_type") == "error").alias("empty"), F.when(i % 3 == 0, F.regexp_extract("props", "[0-9]+", 0).cast("int")).alias("duration_ms"), "event_type", "value",
+    )
+    shared = every.where(i % 4 < 3).withColumn("repo", F.when(i % 8 == 0, "copy").otherwise(F.col("repo")))
+    log = reports.merged(every.where(i % 4 == 0), shared)
+    note = F.when(i % 3 == 0, F.repeat(F.concat(F.lit("note "), i.cast("string"), F.lit(" ")), F.lit(12)))
+    return log, log.where(F.col("event_type").isin("purchase", "click", "error")).select("ts", "repo", "repo_path", "mode", (F.col("value") > 30).alias("helpful"), note.alias("note"))
+
+
+query("o100_usage_report", _LOGS + f""", u AS (FROM merged WHERE {_REAL}), f AS (FROM said WHERE {_REAL}),
+n5 AS (SELECT *, row_number() OVER (ORDER BY ts DESC, item DESC) AS r FROM (SELECT ts, CASE WHEN helpful THEN '[+] ' ELSE '[-] ' END || mode || ': ' || substr(note, 1, 100) AS item FROM f WHERE note <> '') QUALIFY r <= 5)
+SELECT 'repo' AS section, repo AS item, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM u GROUP BY repo UNION ALL SELECT 'total', '', count(*) FILTER (mode <> 'stats'), count(*) FILTER (mode = 'stats') FROM u HAVING count(*) > 0
+UNION ALL SELECT 'mode', mode, count(*), floor(avg(tokens)) FROM u WHERE mode <> 'stats' GROUP BY mode
+UNION ALL SELECT 'empty', mode, count(*) FILTER (empty), round(100 * count(*) FILTER (empty) / count(*), 6) FROM u WHERE mode <> 'stats' GROUP BY mode HAVING bool_or(empty)
+UNION ALL SELECT 'duration', '', max(duration_ms), floor(avg(duration_ms)) FROM u HAVING count(duration_ms) > 0
+UNION ALL SELECT 'feedback', CASE WHEN helpful THEN 'helpful' ELSE 'unhelpful' END, count(*), NULL FROM f GROUP BY helpful UNION ALL SELECT 'unhelpful', mode, count(*), NULL FROM f WHERE NOT helpful GROUP BY mode
+UNION ALL SELECT 'note', item, (SELECT count(*) FROM n5) + 1 - r, NULL FROM n5""")(lambda s, d: reports.usage_report(*map(reports.real, _logs(s, d))))
+query("o103_mode_effectiveness", _LOGS + """, u AS (FROM merged WHERE mode <> 'stats' AND NOT contains(repo_path, '/tmp/')),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) <= 1200000000 THEN 0 ELSE 1 END AS opens FROM u), x AS (SELECT *, sum(opens) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+r AS (SELECT repo_path, count(*) AS n FROM (SELECT session, arg_min(repo_path, (ts, event_id)) AS repo_path FROM x GROUP BY session) GROUP BY repo_path)
+SELECT * FROM (SELECT 'mode' AS section, mode AS item, n, rate, coalesce(t, 0) AS avg_tokens FROM (SELECT mode, count(*) AS n, round(count(*) FILTER (helpful) / count(*), 6) AS rate FROM said WHERE NOT contains(repo_path, '/tmp/') GROUP BY mode HAVING count(*) >= 3)
+    LEFT JOIN (SELECT mode, CAST(floor(avg(tokens)) AS BIGINT) AS t FROM u WHERE tokens <> 0 GROUP BY mode) USING (mode)
+UNION ALL FROM (SELECT 'repo', repo_path, n, NULL, NULL FROM r ORDER BY n DESC, repo_path LIMIT 5)) WHERE (SELECT sum(n) FROM r) >= 10""")(lambda s, d: reports.mode_effectiveness(*_logs(s, d)))
 over_usage("o049b_near_session_end", """
 SELECT e.session, count(*) AS n FROM (SELECT session, max(ts) AS e FROM sessions GROUP BY 1) e JOIN usage f ON f.mode IN ('purchase', 'error') AND abs(epoch_us(f.ts) - epoch_us(e.e)) <= 3600000000 GROUP BY 1""", telemetry.near_session_end)
 over_usage("o133_windows", "SELECT CAST(floor(epoch_us(ts) / 604800000000) * 604800000000 AS BIGINT) AS start_us, mode, count(*) AS n, sum(tokens) AS tokens FROM usage GROUP BY 1, 2", telemetry.windows)
