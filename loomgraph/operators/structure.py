@@ -203,11 +203,17 @@ def top_symbols(g: CodeGraph, n: int = 8) -> DataFrame:
 
 
 def token_budget(g: CodeGraph, budget: int = 4000) -> DataFrame:
-    """Files in path order for as long as a running estimate of their tokens stays within a budget, for each module."""
-    tokens = F.ceil(F.col("byte_size") / 400).cast("long")
+    """Files in path order for as long as a running estimate of their tokens, one each at least, stays within a budget, for each module.
+
+    So a module shows at most as many files as the budget has tokens; the others
+    are left out before its files meet in one task.
+    """
+    tokens = F.greatest(F.ceil(F.coalesce("byte_size", F.lit(0)) / 400), F.lit(1)).cast("long")
+    order = W.partitionBy("module").orderBy("file_path")
     rows = g.files.select("file_path", module_of(F.col("file_path")).alias("module"), tokens.alias("tokens"))
-    running = F.sum("tokens").over(W.partitionBy("module").orderBy("file_path").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("running", running).where(F.col("running") <= budget)
+    first = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= budget).drop("_r")
+    running = F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return first.withColumn("running", running).where(F.col("running") <= budget)
 
 
 def complexity_distribution(g: CodeGraph) -> DataFrame:

@@ -34,7 +34,7 @@ _BLAST = [
 
 # More name families of unused functions.
 _DEAD_MORE = [
-    ("S202", 1, "unused error handlers", ("handle_%", "on_error%", "catch_%", "except_%", "error_handler%",)),
+    ("S202", 1, "unused error handlers", ("handle_%", "on_error%", "catch_%", "except_%", "%error_handler%", "%_error")),
     ("S208", 1, "unused callbacks and listeners", ("%_callback", "%_handler", "%_listener", "%_hook",)),
     ("S218", 1, "unused initializers", ("init_%", "initialize_%", "setup_app%", "configure_%", "bootstrap_%", "startup_%",)),
     ("S225", 2, "unused validators", ("validate_%", "check_%", "verify_%", "assert_%", "ensure_%",)),
