@@ -113,7 +113,8 @@ def modules(g: CodeGraph) -> DataFrame:
     rows = g.symbols.withColumn("module", module)
     top = rows.where("exported").withColumn("r", F.row_number().over(W.partitionBy("module").orderBy(F.desc(_lines()), "id"))).where("r <= 5")
     names = top.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("exports"))
-    return rows.groupBy("module").agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols"), F.sum(_lines()).alias("lines")).join(names, "module", "left")
+    languages = F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages")
+    return rows.groupBy("module").agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("symbols"), F.sum(_lines()).alias("lines"), languages).join(names, "module", "left")
 
 
 def module_edges(g: CodeGraph) -> DataFrame:
@@ -126,11 +127,33 @@ def module_edges(g: CodeGraph) -> DataFrame:
     return rows.join(back, ["source", "target"], "left").na.fill(False, ["mutual"])
 
 
-def live_coupling(g: CodeGraph) -> DataFrame:
-    """Pairs of modules with two or more pairs of files that change together at least half the time."""
-    rows = cochange(g).where("frequency >= 0.5").select(F.least("path", "partner").alias("a"), F.greatest("path", "partner").alias("b")).distinct()
+def module_hubs(g: CodeGraph, modules: int = 2, edges: int = 10) -> DataFrame:
+    """Modules that at least so many others use by at least so many imports and calls: module, dependents, edges."""
+    rows = module_edges(g).groupBy(F.col("target").alias("module")).agg(F.count("*").alias("dependents"), F.sum(F.col("imports") + F.col("calls")).alias("edges"))
+    return rows.where((F.col("dependents") >= modules) & (F.col("edges") >= edges))
+
+
+def live_coupling(g: CodeGraph, share: float = 0.5) -> DataFrame:
+    """Pairs of modules with two or more pairs of files that change together at least that share of the time: a, b, pairs, leads.
+
+    Files are those of the graph, modules those that use or are used by another;
+    leads: the module that the other one uses, whose changes ask for the other's;
+    null where both use each other or neither does.
+    """
+    held = g.files.select("file_path")
+    rows = cochange(g).where(F.col("frequency") >= share).select(F.least("path", "partner").alias("a"), F.greatest("path", "partner").alias("b")).distinct()
+    for end in "ab":
+        rows = rows.join(held.withColumnRenamed("file_path", end), end, "left_semi")
     rows = rows.select(module_of(F.col("a")).alias("x"), module_of(F.col("b")).alias("y")).where("x <> y")
-    return rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("pairs")).where("pairs >= 2")
+    rows = rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("pairs")).where("pairs >= 2")
+    uses = module_edges(g).select("source", "target")
+    used = uses.select(F.explode(F.array("source", "target")).alias("module")).distinct()
+    for end in "ab":
+        rows = rows.join(used.withColumnRenamed("module", end), end, "left_semi")
+    rows = rows.join(uses.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(True).alias("_ab")), ["a", "b"], "left")
+    rows = rows.join(uses.select(F.col("source").alias("b"), F.col("target").alias("a"), F.lit(True).alias("_ba")), ["a", "b"], "left")
+    leads = F.when(F.col("_ab").isNotNull() & F.col("_ba").isNull(), F.col("b")).when(F.col("_ba").isNotNull() & F.col("_ab").isNull(), F.col("a"))
+    return rows.select("a", "b", "pairs", leads.alias("leads"))
 
 
 def noisy_modules(g: CodeGraph) -> DataFrame:

@@ -278,15 +278,21 @@ over_graph("o086_risky_untested", f"""
 SELECT f.file_path, c.commits FROM f JOIN (SELECT {_SHORT.format('path')} AS path, count(DISTINCT commit_id) AS commits FROM commit_files GROUP BY 1 HAVING count(DISTINCT commit_id) >= 5) c ON f.file_path = c.path
 WHERE NOT {is_test('f.file_path')} AND NOT EXISTS (SELECT 1 FROM g t WHERE {is_test('t.file_path')} AND contains(split_part(t.file_path, '/', -1), f.stem))""", lambda g: structure.risky_untested(_short(g)))
 over_graph("o090_modules", """
-SELECT m.module, files, symbols, lines, exports FROM (SELECT module, count(DISTINCT file_path) AS files, count(*) AS symbols, sum(lines) AS lines FROM symbols GROUP BY module) m
+SELECT m.module, files, symbols, lines, languages, exports FROM (SELECT module, count(DISTINCT file_path) AS files, count(*) AS symbols, sum(lines) AS lines, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM symbols GROUP BY module) m
 LEFT JOIN (SELECT module, string_agg(name, ',' ORDER BY r) AS exports FROM (SELECT module, name, row_number() OVER (PARTITION BY module ORDER BY lines DESC, id) AS r FROM symbols WHERE exported) WHERE r <= 5 GROUP BY module) e ON m.module = e.module""", structure.modules)
 _ME = f"""
 , i AS (SELECT {module('source_id')} AS source, {module('target_id')} AS target, count(*) AS imports FROM imports GROUP BY 1, 2), c AS (SELECT {module('source_file')} AS source, {module('target_file')} AS target, count(*) AS calls FROM calls GROUP BY 1, 2),
 m AS (SELECT coalesce(i.source, c.source) AS source, coalesce(i.target, c.target) AS target, coalesce(imports, 0) AS imports, coalesce(calls, 0) AS calls FROM i FULL JOIN c ON i.source = c.source AND i.target = c.target)
 """
 over_graph("o090_module_edges", _ME + "SELECT m.*, EXISTS (SELECT 1 FROM m b WHERE b.source = m.target AND b.target = m.source) AS mutual FROM m WHERE source <> target", structure.module_edges)
-over_graph("o091_live_coupling", f"""
-SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS pairs FROM (SELECT {module('a')} AS x, {module('b')} AS y FROM (SELECT DISTINCT least(path, partner) AS a, greatest(path, partner) AS b FROM cochange WHERE frequency >= 0.5)) WHERE x <> y GROUP BY 1, 2 HAVING count(*) >= 2""", structure.live_coupling)
+over_graph("o090_module_hubs", _ME + "SELECT target AS module, count(*) AS dependents, CAST(sum(imports + calls) AS BIGINT) AS edges FROM m WHERE source <> target GROUP BY target HAVING count(*) >= 2 AND sum(imports + calls) >= 10", structure.module_hubs)
+_COUPLING = _ME + f"""
+, p AS (SELECT {module('a')} AS x, {module('b')} AS y FROM (SELECT DISTINCT least(path, partner) AS a, greatest(path, partner) AS b FROM cochange WHERE frequency >= SHARE) WHERE a IN (SELECT file_path FROM files) AND b IN (SELECT file_path FROM files)),
+d AS (SELECT source, target FROM m WHERE source <> target), k AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS pairs FROM p WHERE x <> y GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT a, b, pairs, CASE WHEN (a, b) IN (FROM d) AND (b, a) NOT IN (FROM d) THEN b WHEN (b, a) IN (FROM d) AND (a, b) NOT IN (FROM d) THEN a END AS leads
+FROM k WHERE a IN (SELECT source FROM d UNION SELECT target FROM d) AND b IN (SELECT source FROM d UNION SELECT target FROM d)"""
+over_graph("o091_live_coupling", _COUPLING.replace("SHARE", "0.5"), structure.live_coupling)
+over_graph("o091_loose_coupling", _COUPLING.replace("SHARE", "0.02"), structure.live_coupling, 0.02)
 over_graph("o089_noisy_modules", f"""
 , x AS (SELECT module, count(*) AS edges FROM (SELECT unnest([{module('source_file')}, {module('target_file')}]) AS module FROM calls WHERE {module('source_file')} <> {module('target_file')}) GROUP BY 1),
 f AS (SELECT {module('file_path')} AS module, count(*) AS files FROM files GROUP BY 1)

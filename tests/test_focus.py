@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import graph, symbol
 
-from loomgraph.operators import focus
+from loomgraph.operators import focus, traverse
 
 WAYS = {"callers": ("calls", 1, 0), "callees": ("calls", 0, 1), "children": ("contains", 0, 1), "subtypes": ("inherits", 1, 0), "renderers": ("renders", 1, 0)}
 
@@ -152,3 +152,12 @@ def test_seeds_of_several_questions_and_odd_input(spark):
     assert focus.multi_seeds(g, " | ").count() == 0
     assert focus.focus(g, focus.multi_seeds(g, "|"), None).count() == 0
     assert focus.focus(graph(spark, [], []), focus.multi_seeds(g, "draw_line"), None).count() == 0
+
+
+@pytest.mark.parametrize("callers,found", [(12, []), (13, ["x00.py::main", "x05.py::open"])])
+def test_callers_beyond_a_focus(spark, callers, found):
+    names = {0: "main", 5: "open", 7: "shown"}
+    rows = [symbol("a.py", "f")] + [symbol(f"x{i:02}.py", names.get(i, f"c{i}"), exported=i in (5, 7, 9)) for i in range(callers)] + [symbol("tests/test_x.py", "main")]
+    g = graph(spark, rows, [("calls", r[0], "a.py::f", 1) for r in rows[1:]])
+    shown = spark.createDataFrame([("a.py::f",), ("x07.py::shown",)], "id string")
+    assert [r["id"] for r in traverse.beyond_focus(g, shown, "a.py::f").orderBy("id").collect()] == found

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from test_operators import graph, symbol
 
-from loomgraph.operators import review
+from loomgraph.operators import review, structure
 
 
 def changes(spark, *rows):
@@ -74,3 +74,16 @@ def test_reach_by_brute_force(spark, seed):
 def test_no_changes(spark):
     g = graph(spark, [symbol("a.py", "f")], [])
     assert review.summaries(g, changes(spark, ("c", None))).count() == 0 and review.sections(g, changes(spark, (None, "a.py"))).count() == 0
+
+
+def test_live_coupling_follows_dependencies(spark):
+    rows = [symbol(f"{m}/{i}.py", f"{m}{i}") for m in "abcd" for i in range(2)]
+    # a uses b; b and c use each other; d has no dependency
+    edges = [("imports", "a/0.py", "b/0.py", 1), ("calls", "b/0.py::b0", "c/0.py::c0", 1), ("calls", "c/1.py::c1", "b/1.py::b1", 1)]
+    pairs = [(x, y, i) for x, y in ("ab", "bc", "ad") for i in range(2)]
+    commits = [(9 * k + n, "2001-01-01", f"{m}/{i}.py") for k, (x, y, i) in enumerate(pairs) for n in range(3) for m in (x, y)]
+    found = structure.live_coupling(graph(spark, rows, edges, [*commits, (99, "2001-01-01", "notes/x.md"), (99, "2001-01-01", "a/0.py")]), 0.3).collect()
+    assert sorted((r["a"], r["b"], r["pairs"], r["leads"]) for r in found) == [("a", "b", 2, "b"), ("b", "c", 2, None)]
+    many = [("calls", f"a/{i % 2}.py::a{i % 2}", f"b/{i // 2}.py::b{i // 2}", 1) for i in range(4)] + [("imports", f"d/{i % 2}.py", f"b/{i // 2}.py", 1) for i in range(4)]
+    hubs = lambda more: [tuple(r) for r in structure.module_hubs(graph(spark, rows, many + more)).collect()]
+    assert hubs([("calls", "c/0.py::c0", "b/0.py::b0", 1)]) == [] and hubs([("calls", "c/0.py::c0", f"b/{i}.py::b{i}", 1) for i in range(2)]) == [("b", 3, 10)]
