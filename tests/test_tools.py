@@ -40,3 +40,8 @@ def test_task_keywords_by_brute_force(spark):
 
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text", text.task_keywords(F.col("text")).alias("k")).collect()
     assert rows and all(r["k"] == slow(r["text"]) for r in rows)
+
+
+def test_simple_upper_keeps_one_character_for_each(spark):
+    row = spark.createDataFrame([("straße, déjà", "ᾀŉ", None)], "a string, b string, c string")
+    assert tuple(row.select(*[text.simple_upper(F.col(c)) for c in "abc"]).first()) == ("STRAẞE, DÉJÀ", "ᾈŉ", None)
