@@ -116,6 +116,13 @@ def test_reach_is_exact_below_the_cap_and_saturates_at_it(spark):
             assert found.get(root) == (want if len(want) > 1 else None), (root, most)
 
 
+def test_cascade_without_a_limit_counts_all_importers(spark):
+    # 230 files import a.py in two hops, b.py has direct importers only
+    edges = [("m.py", "a.py"), *((f"i{i:03}.py", "m.py") for i in range(230)), ("x.py", "b.py"), ("y.py", "b.py")]
+    found = {(r["root"], r["hops"]): r["files"] for r in traverse.cascade(imports(spark, edges)).collect()}
+    assert found == {("a.py", 1): 1, ("a.py", 2): 230, ("m.py", 1): 230, ("b.py", 1): 2}
+
+
 def test_upstream_gates(spark):
     fan = [("a.py::c", "a.py::seed"), *((f"u{i}.py::u", "a.py::c") for i in range(25)), ("tests/test_x.py::t", "a.py::seed")]
     many = [(f"v{i}.py::v", "b.py::seed") for i in range(9)] + [(f"w{i}.py::w", "v1.py::v") for i in range(40)]
