@@ -1,5 +1,8 @@
 """Micro-graphs at the thresholds of rules, and properties of iterative operators."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +108,15 @@ def test_key_files_demote_hubs(spark):
     assert found(text.replace("hub", "router"), "router")[0] == ("router.py", 0)
     assert found("● f — hub.py:1-2\n" + text)[0] == ("hub.py", 0)
     assert found("nothing here") == []
+
+
+def test_cycles_by_halves(spark):
+    pick = random.Random(4)
+    names = [f"f{i}.py" for i in range(9)]
+    edges = sorted({(pick.choice(names), pick.choice(names)) for _ in range(45)})
+    g = graph(spark, [symbol(f, "f") for f in names], [("imports", *e, 1) for e in edges])
+    want = sorted((" > ".join(p), n) for n in range(2, 6) for p in itertools.permutations(names, n) if p[0] == min(p) and all(e in edges for e in zip(p, p[1:] + p[:1])))
+    found = traverse.cycles(g, 5)
+    assert sorted(map(tuple, found.collect())) == want and {n for _, n in want} == {2, 3, 4, 5}
+    # joins are by first and last file: none closes whole paths by their last element
+    assert "element_at" not in found._jdf.queryExecution().optimizedPlan().toString()
