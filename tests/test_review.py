@@ -87,3 +87,9 @@ def test_live_coupling_follows_dependencies(spark):
     many = [("calls", f"a/{i % 2}.py::a{i % 2}", f"b/{i // 2}.py::b{i // 2}", 1) for i in range(4)] + [("imports", f"d/{i % 2}.py", f"b/{i // 2}.py", 1) for i in range(4)]
     hubs = lambda more: [tuple(r) for r in structure.module_hubs(graph(spark, rows, many + more)).collect()]
     assert hubs([("calls", "c/0.py::c0", "b/0.py::b0", 1)]) == [] and hubs([("calls", "c/0.py::c0", f"b/{i}.py::b{i}", 1) for i in range(2)]) == [("b", 3, 10)]
+
+
+def test_coupling_counts_uses_of_modules_once(spark):
+    g = graph(spark, [symbol("a/0.py", "f"), symbol("b/0.py", "g")], [("imports", "a/0.py", "b/0.py", 1)], [(1, "2001-01-01", "a/0.py"), (1, "2001-01-01", "b/0.py")])
+    # imports and calls are read when their counts are written, and not again for each of its uses
+    assert "imports" not in structure.live_coupling(g)._jdf.queryExecution().optimizedPlan().toString()
