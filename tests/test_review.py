@@ -93,3 +93,20 @@ def test_coupling_counts_uses_of_modules_once(spark):
     g = graph(spark, [symbol("a/0.py", "f"), symbol("b/0.py", "g")], [("imports", "a/0.py", "b/0.py", 1)], [(1, "2001-01-01", "a/0.py"), (1, "2001-01-01", "b/0.py")])
     # imports and calls are read when their counts are written, and not again for each of its uses
     assert "imports" not in structure.live_coupling(g)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_changes_give_what_small_ones_do(spark, monkeypatch):
+    # whole changes of 1 to 6 files, by pairs of files and without
+    pick = random.Random(7)
+    files = [f"m{i}.py" for i in range(7)] + ["test_m1.py"]
+    rows = [symbol(pick.choice(files), f"f{i}", pick.choice(["function", "component"])) for i in range(30)]
+    ids, held = [r[0] for r in rows], sorted({r[5] for r in rows})
+    edges = [(k, pick.choice(ids), pick.choice(ids), 1) for k in ("calls", "renders") for _ in range(40)] + [("imports", pick.choice(held), pick.choice(held), 1) for _ in range(15)]
+    each = changes(spark, *[(f"c{i}", f) for i in range(8) for f in pick.sample(held, 1 + i % 6)])
+    g = graph(spark, rows, edges)
+    found = []
+    for wide in (64, 2):
+        monkeypatch.setattr(review, "WIDE", wide)
+        monkeypatch.setattr(review, "PART", wide)
+        found.append((sorted(map(tuple, review.summaries(g, each).collect()), key=repr), sorted(map(tuple, review.sections(g, each).collect()), key=repr)))
+    assert found[0] == found[1] and {r[1] for r in found[0][1]} >= {"external", "importer", "component", "test"}
