@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..streaming.store import Store
 from .search import B, K1
 
@@ -50,6 +55,38 @@ def alternatives(query: str) -> list[list[Item]]:
     return out if wanted and all(any(i.wanted for i in items) for items in out) and query.split()[-1:] not in (["AND"], ["OR"]) else []
 
 
+#: Words that are gathered at a time, about; a document is gathered whole.
+WORDS = 1 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, doc, tf, places of documents with their words (doc, w)."""
+    schema = pa.schema([("term", pa.string()), ("doc", pa.string()), ("tf", pa.int32()), ("places", pa.list_(pa.int32()))])
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + WORDS, "right")))
+            some, n = batch.slice(first, last - first), sizes[first:last]
+            first = last
+            coded = some.column(1).flatten().dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(codes):
+                continue
+            at = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+            keys = np.repeat(np.arange(len(n), dtype=np.int64), n) * len(coded.dictionary) + codes
+            order = np.argsort(keys, kind="stable")  # places stay in order
+            keys = keys[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            offsets = np.append(starts, len(keys)).astype(np.int32)
+            doc, term = np.divmod(keys[starts], len(coded.dictionary))
+            places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32)))
+            rows = pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)).cast(pa.string()), some.column(0).take(pa.array(doc)).cast(pa.string()), pa.array(np.diff(offsets)), places], schema=schema)
+            for i in range(0, len(rows), 10_000):
+                yield rows.slice(i, 10_000)
+
+
 class Index:
     """Postings (term, doc, tf, places) in buckets by term, and lengths of documents, below a folder."""
 
@@ -63,11 +100,12 @@ class Index:
         """Take batch number: docs (doc, text) replace what the index has of them, gone (doc) go.  A batch that is in changes nothing."""
         words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
         rows = docs.select("doc", words.alias("w"))
-        # terms of a document are gathered for it alone; places are those of its words
-        places = rows.select("doc", F.posexplode("w").alias("at", "term")).groupBy("doc", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
+        ship(self.store.spark)
+        # terms of a document are gathered in its task, and each task writes its postings: words aren't shuffled
+        places = rows.mapInArrow(_gathered, "term string, doc string, tf int, places array<int>")
         changed = docs.select(F.col("doc").alias("path"))
         changed = changed if gone is None else changed.unionByName(gone.select(F.col("doc").alias("path")))
-        return self.store.apply(number, changed, postings=places.select("term", "doc", "tf", "places"), lengths=rows.select("doc", F.size("w").alias("len")))
+        return self.store.apply(number, changed, ("postings",), postings=places, lengths=rows.select("doc", F.size("w").alias("len")))
 
     def postings(self, items: list[Item]) -> DataFrame:
         """Postings of the items' words: from the buckets of whole words, and for beginnings from all buckets, where the files' footers tell which blocks to read."""

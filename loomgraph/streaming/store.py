@@ -133,13 +133,17 @@ class Store:
 
     # --- writing
 
-    def _write(self, name: str, rows: DataFrame, folder: str) -> None:
+    def _write(self, name: str, rows: DataFrame, folder: str, dealt: bool = True) -> None:
         # sorted, so that the footers of files tell which values lie in them
         rows = rows.withColumn("_bucket", self._bucket(F.col(self.by[name])))
-        rows.repartition("_bucket").sortWithinPartitions("_bucket", self.by[name]).write.partitionBy("_bucket").parquet(f"{folder}/{name}")
+        rows = rows.repartition("_bucket") if dealt else rows
+        rows.sortWithinPartitions("_bucket", self.by[name]).write.partitionBy("_bucket").parquet(f"{folder}/{name}")
 
-    def apply(self, number: int, changed: DataFrame, **rows: DataFrame) -> bool:
-        """Take batch number: what was stored for the files of changed (path) ends, and rows, by relation, come in.  False, and nothing happens, for a batch that is in already."""
+    def apply(self, number: int, changed: DataFrame, own_files: Iterable[str] = (), **rows: DataFrame) -> bool:
+        """Take batch number: what was stored for the files of changed (path) ends, and rows, by relation, come in.  False, and nothing happens, for a batch that is in already.
+
+        Of the relations named in own_files each task writes files of its own to the buckets, so that their rows aren't shuffled.
+        """
         manifest = self.manifest()
         if number <= manifest["last"]:
             return False
@@ -147,7 +151,7 @@ class Store:
         changed.select("path").distinct().withColumn("_batch", F.lit(number).cast("long")).write.parquet(f"{folder}/marks")
         for name in self.relations:
             made = rows[name] if name in rows else self.spark.createDataFrame([], self.relations[name])
-            self._write(name, made.select(*[f"`{c}`" for c in self._columns(name)]).withColumn("_batch", F.lit(number).cast("long")), folder)
+            self._write(name, made.select(*[f"`{c}`" for c in self._columns(name)]).withColumn("_batch", F.lit(number).cast("long")), folder, name not in own_files)
         self._publish(manifest | {"version": manifest["version"] + 1, "last": number, "deltas": [*manifest["deltas"], {"folder": folder, "batch": number}]})
         if len(manifest["deltas"]) + 1 > self.deltas:
             self.compact()

@@ -67,3 +67,16 @@ def test_changed_documents_and_terms_alone_are_read(spark, made, tmp_path):
     out.update(1, table(spark, {"1": "fresh words", "8": "fresh graph"}), spark.createDataFrame([("2",)], "doc string"))
     again = index.Index(spark, f"file://{tmp_path}/index", buckets=8)
     assert found(again, "modules") == set() and found(again, "fresh") == {"1", "8"} and found(again, "graph") == {"6", "7", "8"} and found(again, "output") == set()
+
+
+def test_words_are_not_shuffled(spark, tmp_path, monkeypatch):
+    # documents are gathered in their tasks, some at a time, and each task writes its own files
+    monkeypatch.setattr(index, "WORDS", 3)
+    docs = spark.createDataFrame([("a", "x y x"), ("b", ""), ("c", None), ("d", "y z z x")], "doc string, text string").repartition(2)
+    made = index.Index(spark, f"file://{tmp_path}/index")
+    dealt = []
+    monkeypatch.setattr(made.store, "_write", lambda name, rows, folder, dealt_=True, write=made.store._write: (dealt.append((name, dealt_)), write(name, rows, folder, dealt_)))
+    made.update(0, docs)
+    assert dealt == [("postings", False), ("lengths", True)]
+    found = sorted((r["term"], r["doc"], r["tf"], tuple(r["places"])) for r in made.store.read("postings").collect())
+    assert found == [("x", "a", 2, (0, 2)), ("x", "d", 1, (3,)), ("y", "a", 1, (1,)), ("y", "d", 1, (0,)), ("z", "d", 2, (1, 2))]
