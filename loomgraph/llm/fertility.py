@@ -18,20 +18,20 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from array import array
 from base64 import b64decode
 from collections import Counter
 from functools import lru_cache, reduce
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, rows_operator, shared_dir
+from .common import cut, rows_operator, shared_dir
 
 #: Base rules: least words, most repeated words in 100.
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -40,8 +40,11 @@ _SYMBOLS = "[#*$%&|<>]".strip("[]")
 _WHITE = " \t\n\x0b\f\r"
 #: Bands: the side (-1: low values are rejected), quartile distances, least half-width and cells per unit of each measure.
 MEASURES = {"chars_per_token": (-1, 4.0, 0.4, 100), "byte_share": (1, 4.0, 0.05, 1000), "entropy": (-1, 1.75, 0.03, 1000)}
-#: Bytes of words' tokens that a worker remembers for a vocabulary, about.
-CACHE_BYTES = 48 << 20
+#: Bytes of words and their tokens that a worker remembers, about; longer words are forgotten first.
+CACHE_BYTES, LONG = 64 << 20, 64
+#: Words that a vocabulary is asked for at once at most, and their bytes, about; tokens are Python numbers only during a call.
+CALL_WORDS, CALL_BYTES = 4096, 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Documents that a class needs for bands of its own.
 LEAST = 50
 
@@ -56,7 +59,7 @@ class Vocabulary:
             p = SentencePieceProcessor(model_file=path)
             self.size = p.get_piece_size()
             self.fallback = np.fromiter((p.is_byte(i) for i in range(self.size)), bool, self.size)
-            encode = lambda w: p.encode(w)
+            self.encode = lambda words: p.encode(words, num_threads=1)
         else:
             if path.endswith(".tiktoken"):
                 from tiktoken import Encoding
@@ -76,25 +79,31 @@ class Vocabulary:
             # a byte vocabulary falls back where a token is one byte of a character of several
             self.fallback = np.zeros(self.size, bool)
             self.fallback[[i for i, s in strings.items() if len(s) == 1 and s[0] >= 0x80]] = True
-            encode = lambda w: plain(" " + w)
-        self.memo = Memo(lambda w: array("i", encode(w.decode("utf-8", "replace"))).tobytes(), CACHE_BYTES)
-
-    def measure(self, words: dict[bytes, int], counts: np.ndarray, chars: int) -> tuple[float, float, float, int]:
-        """Characters per token, byte-fallback share, entropy as a share of its greatest value, tokens, of distinct words and their numbers."""
-        parts = list(map(self.memo.__getitem__, words))
-        ids = np.frombuffer(b"".join(parts), np.int32)
-        if not len(ids):
-            return 0.0, 0.0, 0.0, 0
-        weights = np.repeat(counts, np.fromiter(map(len, parts), np.int64, len(parts)) >> 2)
-        n = int(weights.sum())
-        order = np.argsort(ids, kind="stable")
-        ids, weights = ids[order], weights[order]
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        each = np.add.reduceat(weights, starts)
-        some = each / n
-        top = math.log2(min(n, self.size))
-        entropy = float(-(some * np.log2(some)).sum()) / top if top else 1.0
-        return chars / n, float(each[self.fallback[ids[starts]]].sum() / n), entropy, n
+            self.encode = lambda words: [plain(" " + w) for w in words]
+
+    def measure(self, tokens: np.ndarray, bounds: np.ndarray, chars: np.ndarray) -> list[list]:
+        """For each text: characters per token, byte-fallback share, entropy as a share of its greatest value, tokens.
+
+        bounds are where the tokens of each text begin, and their end; the tokens of a text are put in order in place.
+        """
+        n = np.diff(bounds)
+        full = n > 0
+        back = np.diff(np.append(0, np.cumsum(self.fallback[tokens]))[bounds])
+        for a, z in pairwise(bounds.tolist()):
+            tokens[a:z].sort()
+        first = np.append(tokens[:1] >= 0, tokens[1:] != tokens[:-1])
+        first[bounds[:-1][full]] = True
+        runs = np.flatnonzero(first)
+        each = np.diff(np.append(runs, len(tokens)))
+        of = np.searchsorted(runs, bounds)
+        some = each / np.repeat(n, np.diff(of))
+        entropy = full.astype(float)
+        if full.any():
+            entropy[full] = -np.add.reduceat(some * np.log2(some), of[:-1][full])
+        most = np.maximum(n, 1)
+        top = np.log2(np.minimum(most, self.size))
+        entropy = np.where(top > 0, entropy / np.where(top > 0, top, 1), full)
+        return [x.tolist() for x in (np.where(full, chars / most, 0.0), back / most, entropy, n)]
 
 
 @lru_cache(maxsize=4)
@@ -102,11 +111,86 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Table:
+    """Token ids of words under several vocabularies; about CACHE_BYTES of the words used last are remembered, long ones only while there is room.
+
+    Words are encoded once for many texts: most are in several texts, and calls word by word take longer than the encoding.
+    """
+
+    def __init__(self, paths: tuple[str, ...]):
+        self.vocabularies = [vocabulary(path) for path in paths]
+        self.words = pa.array([], pa.large_string())
+        self.ids = [np.empty(0, np.int32) for _ in paths]
+        self.lengths = [np.empty(0, np.int32) for _ in paths]
+        self.used = np.empty(0, np.int64)
+        self.now = 0
+
+    def bytes(self) -> int:
+        return self.words.nbytes + sum(x.nbytes for x in (*self.ids, *self.lengths, self.used))
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words lie in the table, which takes up the new ones; rows change with the next call."""
+        if self.bytes() > CACHE_BYTES:
+            self.forget()
+        at = pc.index_in(words, value_set=self.words)
+        new, rows = at.is_null().to_numpy(zero_copy_only=False), at.fill_null(-1).to_numpy().astype(np.int64)
+        rows[new] = len(self.words) + np.arange(new.sum())
+        added = words.filter(pa.array(new))
+        self.words = pa.concat_arrays([self.words, added])
+        step = max(1, min(CALL_WORDS, len(added) * CALL_BYTES // max(1, added.nbytes)))
+        for i, v in enumerate(self.vocabularies):
+            ids, lengths = [self.ids[i]], [self.lengths[i]]
+            for k in range(0, len(added), step):
+                some = v.encode(added.slice(k, step).to_pylist())
+                lengths.append(np.fromiter(map(len, some), np.int32, len(some)))
+                ids.append(np.fromiter(chain.from_iterable(some), np.int32, lengths[-1].sum(dtype=np.int64)))
+            self.ids[i], self.lengths[i] = np.concatenate(ids), np.concatenate(lengths)
+        self.now += 1
+        self.used = np.append(self.used, np.zeros(len(added), np.int64))
+        self.used[rows] = self.now
+        return rows
+
+    def forget(self) -> None:
+        """Keep the half of the words that was used last, without long ones."""
+        kept = np.zeros(len(self.used), bool)
+        kept[np.argsort(self.used, kind="stable")[len(kept) // 2 :]] = True
+        kept &= pc.binary_length(self.words).to_numpy() <= LONG
+        for i, lengths in enumerate(self.lengths):
+            self.ids[i], self.lengths[i] = self.ids[i][np.repeat(kept, lengths)], lengths[kept]
+        self.words, self.used = self.words.filter(pa.array(kept)), self.used[kept]
+
+    def measures(self, rows: np.ndarray, offsets: np.ndarray, chars: np.ndarray) -> list[list]:
+        """The measures of texts under each vocabulary, from the rows of their words one after the other and where each text begins."""
+        out = []
+        for v, ids, lengths in zip(self.vocabularies, self.ids, self.lengths):
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
+            each = lengths[rows]
+            before = np.append(0, np.cumsum(each, dtype=np.int64))
+            at = np.repeat(starts[rows] - before[:-1], each)
+            at += np.arange(len(at))
+            out += v.measure(ids[at], before[offsets], chars)
+        return out
+
+
+@lru_cache(maxsize=2)
+def table(paths: tuple[str, ...]) -> Table:
+    return Table(paths)
+
+
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word of all texts one after the other, and where each text begins, with the end."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    words, offsets = split.values, split.offsets.to_numpy()
+    some = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves empty strings
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.append(0, np.cumsum(some))[offsets]
+
+
 def script(text: str) -> str:
     """The script that most letters belong to, by the first word of their Unicode names; '' without letters."""
     kinds = set(text)
-    if all(c < "ɐ" for c in kinds):
-        return "LATIN" if any(c.isalpha() for c in kinds) else ""
+    if max(kinds, default="") < "ɐ":
+        return "LATIN" if any(map(str.isalpha, kinds)) else ""
     found: Counter = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
@@ -114,10 +198,9 @@ def script(text: str) -> str:
     return min(found, key=lambda k: (-found[k], k)) if found else ""
 
 
-def numbered(words: list) -> tuple[dict, np.ndarray]:
-    """The distinct words, numbered as they come, and the number of each word."""
-    ids: dict = {}
-    return ids, np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+def numbered(words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, and the number of each word among them."""
+    return np.unique(words, return_inverse=True)
 
 
 def repeated_words(codes: np.ndarray, distinct: int, window: int = WINDOW) -> int:
@@ -143,6 +226,25 @@ def repeated_words(codes: np.ndarray, distinct: int, window: int = WINDOW) -> in
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
+def repeats(codes: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> list[int]:
+    """repeated_words of each text; only texts in which windows share a hash are looked into."""
+    if len(codes) < window:
+        return [0] * (len(offsets) - 1)
+    n = len(codes) - window + 1
+    hashes = np.zeros(n, np.uint64)
+    for i in range(window):
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * _MIX + codes[i : n + i].astype(np.uint64)
+    out = []
+    for a, z in pairwise(offsets.tolist()):
+        own = np.sort(hashes[a : max(a, z - window + 1)])
+        if (own[1:] == own[:-1]).any():
+            distinct, local = numbered(codes[a:z])
+            out.append(repeated_words(local, len(distinct), window))
+        else:
+            out.append(0)
+    return out
+
+
 def repeated_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     seen: set = set()
@@ -164,17 +266,16 @@ def measures(docs: DataFrame, paths: list[str], key: str = "doc_id", text: str =
     """key, base counts and measures of each row's whole text; those of vocabularies after the first have its number in their names."""
 
     def run(keys, texts):
-        every = [vocabulary(path) for path in paths]
-        for k, t in zip(keys, texts):
-            t = t or ""
-            words = t.encode().split()
-            chars = len(t) - sum(map(t.count, _WHITE))
-            distinct, codes = numbered(words)
-            counts = np.bincount(codes, minlength=len(distinct))
-            repeats = repeated_words(codes, len(distinct))
-            failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED * len(words)
-            measured = chain.from_iterable(v.measure(distinct, counts, chars) for v in every)
-            yield (k, len(words), chars, sum(map(t.count, _SYMBOLS)), repeated_lines(t), repeats, failed, script(t), *measured)
+        texts = [t or "" for t in texts]
+        words, codes, offsets = words_of(texts)
+        known = table(tuple(paths))
+        chars = [len(t) - sum(map(t.count, _WHITE)) for t in texts]
+        rows = known.rows(words)[codes]
+        measured = known.measures(rows, offsets, np.array(chars, np.int64))
+        repeated = repeats(codes, offsets)
+        for k, t, n, c, r, *of in zip(keys, texts, np.diff(offsets).tolist(), chars, repeated, *measured):
+            failed = n < MIN_WORDS or 100 * r > MAX_REPEATED * n
+            yield (k, n, c, sum(map(t.count, _SYMBOLS)), repeated_lines(t), r, failed, script(t), *of)
 
     kind = docs.schema[key].dataType.simpleString()
     columns = ", ".join(f"{m} {'long' if m.startswith('n_') else 'double'}" for i in range(len(paths)) for m in _named(i))

@@ -366,6 +366,77 @@ def test_fertility_bands_by_brute_force(spark):
     assert all(got[1_000 + i]["byte_share"] > 0.5 for i in range(4))
 
 
+def piece_of(texts):
+    """What fertility.measures yields for a piece of rows, without Spark."""
+    made, frame = {}, type("Frame", (), {"schema": {"doc_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "long"})()})}})
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fertility, "rows_operator", lambda df, columns, run, schema: made.update(run=run))
+        fertility.measures(frame, VOCABULARIES)
+    return list(made["run"](list(range(len(texts))), texts))
+
+
+def slow_words(path, text):
+    """Measures of a text whose words are encoded one by one."""
+    encode, single, size = encoder(path)
+    words = WORDS.findall(text)
+    ids = [i for w in words for i in encode(w)]
+    if not ids:
+        return 0.0, 0.0, 0.0, 0
+    shares = np.array([*Counter(ids).values()]) / len(ids)
+    top = np.log2(min(len(ids), size))
+    return len("".join(words)) / len(ids), sum(i in single for i in ids) / len(ids), float(-(shares * np.log2(shares)).sum() / top) if top else 1.0, len(ids)
+
+
+ODD_WORDS = "".join(["ab  \n\t\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\u3000\u2581\u200b\ufeff\x00", "é日λ🙂$#"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(ODD_WORDS, max_size=30), max_size=6))
+def test_fertility_of_a_piece_by_brute_force(texts):
+    """Texts are measured together as each alone, whatever white space and odd characters they hold."""
+    rows = piece_of(texts)
+    assert [r[0] for r in rows] == list(range(len(texts)))
+    for t, r in zip(texts, rows):
+        words = WORDS.findall(t or "")
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        counts = Counter(windows)
+        assert (r[1], r[2], r[5]) == (len(words), len("".join(words)), len({i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(5)}))
+        assert np.allclose(r[8:], [x for path in VOCABULARIES for x in slow_words(path, t or "")])
+
+
+def test_fertility_encodes_many_words_a_call_and_once(monkeypatch):
+    """A SentencePiece model is called for thousands of words at once, for each word once while it is remembered."""
+    from sentencepiece import SentencePieceProcessor
+
+    asked, plain = [], SentencePieceProcessor.encode
+    monkeypatch.setattr(SentencePieceProcessor, "encode", lambda self, words, **k: asked.append(words) or plain(self, words, **k))
+    fertility.vocabulary.cache_clear()
+    getattr(fertility, "table", fertility.vocabulary).cache_clear()
+    texts = [" ".join(f"w{(7 * i + k) % 5_000}" for k in range(50)) for i in range(1_000)]
+    first, again = piece_of(texts), piece_of(texts)
+    assert len(asked) <= 2 and sum(len(x) for x in asked) == 5_000
+    assert first == again
+
+
+def test_fertility_table_is_bound_by_bytes(monkeypatch):
+    """Words are forgotten beyond the bytes, long ones first, and encoded anew with the same results."""
+    rng = random.Random(9)
+    pieces = [[" ".join(["the", "ein" * 400, *(f"{rng.choice('abc')}{rng.randrange(10 ** 6)}" for _ in range(100))]) for _ in range(10)] for _ in range(12)]
+    plain = [piece_of(p) for p in pieces]
+    monkeypatch.setattr(fertility, "CACHE_BYTES", 150_000)
+    fertility.table.cache_clear()
+    small = []
+    for p in pieces:
+        small.append(piece_of(p))
+        held = fertility.table(tuple(VOCABULARIES))
+        assert len(held.words) == len(held.used) == len(held.lengths[0]) == len(held.lengths[1])
+        assert held.bytes() < 400_000
+    held.forget()
+    assert max(map(len, held.words.to_pylist())) <= fertility.LONG
+    fertility.table.cache_clear()
+    assert small == plain
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-4, 4), max_size=25))
 def test_maximal_segments(scores):
