@@ -110,3 +110,24 @@ def test_large_changes_give_what_small_ones_do(spark, monkeypatch):
         monkeypatch.setattr(review, "PART", wide)
         found.append((sorted(map(tuple, review.summaries(g, each).collect()), key=repr), sorted(map(tuple, review.sections(g, each).collect()), key=repr)))
     assert found[0] == found[1] and {r[1] for r in found[0][1]} >= {"external", "importer", "component", "test"}
+
+
+def test_items_tied_to_files_of_a_change_only(spark, monkeypatch):
+    # one row for items that are tied alike, in parts of few rows and with large changes; importers of 1300 files as 3 rows of bits
+    pick = random.Random(3)
+    files = [(f"m{i:04}.py", i) for i in range(1300)]
+    items = {(f, o): set(pick.sample(range(6), 1 + pick.randrange(4))) for f in range(6) for o in range(20)}
+    ties = spark.createDataFrame([(f, g, o, 1, len(gs), len(gs)) for (f, o), gs in items.items() for g in gs], "f int, g int, ord int, n long, every long, by long")
+    sets = {f"c{i}": set(pick.sample(range(6), 1 + i % 6)) for i in range(20)}
+    named = spark.createDataFrame(files, "file_path string, f int")
+    each = changes(spark, *[(c, files[f][0]) for c, fs in sets.items() for f in fs])
+    expected = {(c, f): n for c, fs in sets.items() for f in fs if (n := sum(gs <= fs for (x, _), gs in items.items() if x == f))}
+    for narrow, wide in ((500_000, 64), (5, 64), (5, 3)):
+        monkeypatch.setattr(review, "NARROW", narrow)
+        monkeypatch.setattr(review, "WIDE", wide)
+        at = review.step_folder(spark)
+        found = review._Changes(each, named, at).whole(ties, at).collect()
+        assert {(r["change"], r["f"]): r["whole"] for r in found} == expected
+    rows = review._bits(spark.range(1300).selectExpr("1 as f", "cast(id as int) as i").where("i <> 70"), f"{review.step_folder(spark)}/bits").collect()
+    assert sorted(r["block"] for r in rows) == [0, 1, 2]
+    assert {64 * (review.WORDS * r["block"] + j) + b for r in rows for j in range(review.WORDS) for b in range(64) if (r[f"w{j}"] or 0) >> b & 1} == set(range(1300)) - {70}
