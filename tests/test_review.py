@@ -131,3 +131,26 @@ def test_items_tied_to_files_of_a_change_only(spark, monkeypatch):
     rows = review._bits(spark.range(1300).selectExpr("1 as f", "cast(id as int) as i").where("i <> 70"), f"{review.step_folder(spark)}/bits").collect()
     assert sorted(r["block"] for r in rows) == [0, 1, 2]
     assert {64 * (review.WORDS * r["block"] + j) + b for r in rows for j in range(review.WORDS) for b in range(64) if (r[f"w{j}"] or 0) >> b & 1} == set(range(1300)) - {70}
+
+
+def test_most_counted_and_first_outside(spark, monkeypatch):
+    # sums in a matrix and by a join; the first importers that aren't changed, over three rows of bits
+    pick = random.Random(5)
+    named = spark.createDataFrame([(f"m{i:04}.py", i) for i in range(1300)], "file_path string, f int")
+    counts = {(f, i): pick.randrange(1, 4) for f in range(8) for i in pick.sample(range(1300), 9 if f else 2)}
+    sets = {f"c{k}": {0} if not k else set(pick.sample(range(12), 1 + k % 6)) for k in range(20)} | {"far": {9, 11}}
+    known = review._Changes(changes(spark, *[(c, f"m{f:04}.py") for c, fs in sets.items() for f in fs]), named, review.step_folder(spark))
+    table = spark.createDataFrame([(f, i, n) for (f, i), n in counts.items()], "f int, i int, _n long")
+    most, near = set(), set()
+    for c, fs in sets.items():
+        total = defaultdict(int)
+        for (f, i), n in counts.items():
+            total[i] += n if f in fs else 0
+        total = {i: n for i, n in total.items() if n}
+        most |= {(c, i, total[i], r + 1, len(total)) for r, i in enumerate(sorted(total, key=lambda i: (-total[i], i))[:5])}
+        near |= {(c, i, r + 1, len(total.keys() - fs)) for r, i in enumerate(sorted(total.keys() - fs)[:10])}
+    for dense in (2_000_000, 70, 1):
+        monkeypatch.setattr(review, "DENSE", dense)
+        assert {tuple(r) for r in review._most(known, table, 5).select("change", "i", "n", "r", "total").collect()} == most
+    at = review.step_folder(spark)
+    assert {tuple(r) for r in review._outside(known, review._bits(table, f"{at}/bits"), named, 10, f"{at}/outside").collect()} == near
