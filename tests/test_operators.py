@@ -120,3 +120,12 @@ def test_cycles_by_halves(spark):
     assert sorted(map(tuple, found.collect())) == want and {n for _, n in want} == {2, 3, 4, 5}
     # joins are by first and last file: none closes whole paths by their last element
     assert "element_at" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_halves_of_cycles_are_dealt_out_as_numbers(spark):
+    names = ["b.py", "a/z.py", "é.py", "B.py"]
+    g = graph(spark, [symbol(f, "f") for f in names], [("imports", a, b, 1) for a, b in zip(names, names[1:] + names[:1])])
+    found = traverse.cycles(g)
+    assert [tuple(r) for r in found.collect()] == [("B.py > b.py > a/z.py > é.py", 4)]
+    # no list of paths is kept for a half, and none is shuffled
+    assert "array" not in found._jdf.queryExecution().optimizedPlan().toString()
